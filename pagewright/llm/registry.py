@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pagewright.llm.mixing import OP1_SQL, op1_source_mix
+from pagewright.llm.token_files import op10_token_files
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op10_token_files": op10_token_files,
 }
 ORACLES = {
     "op1_source_mix": OP1_SQL,
