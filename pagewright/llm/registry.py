@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pagewright.llm.mixing import OP1_SQL, op1_source_mix
+from pagewright.llm.substrings import OP8_SQL, op8_substring_dedup
 from pagewright.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op8_substring_dedup": op8_substring_dedup,
     "op1_source_mix": op1_source_mix,
     "op10_token_files": op10_token_files,
 }
 ORACLES = {
+    "op8_substring_dedup": OP8_SQL,
     "op1_source_mix": OP1_SQL,
 }
