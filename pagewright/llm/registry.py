@@ -5,9 +5,11 @@ from __future__ import annotations
 from pagewright.llm.mixing import OP1_SQL, op1_source_mix
 from pagewright.llm.simhash import op9_simhash_dedup
 from pagewright.llm.substrings import OP8_SQL, op8_substring_dedup
+from pagewright.llm.suffixes import op2_suffix_dedup
 from pagewright.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op1_source_mix": op1_source_mix,

@@ -125,8 +125,8 @@ def _kept(text: bytes | None, spans: bytes | None) -> tuple[int, int, list[bytes
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row."""
-    rows = C.with_row_ids(docs)
-    spans = repeated_spans(rows, window).dropDuplicates(["rid"]).withColumnRenamed("rid", "of")
+    rows, distinct = C.with_row_ids(docs)
+    spans = repeated_spans(distinct, window).withColumnRenamed("rid", "of")
     whole = rows.join(spans, rows["rid"] == spans["of"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
