@@ -19,6 +19,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,63 +30,154 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import simple8b
+from pagewright.llm.columns import Rolling, bounded_batches
 from pagewright.sources.session import prepare_workers, shared_path, shuffle_partitions, table
 
 SEGMENT_IDS = 1 << 18
-#: Entries of each of the two generations of the cache of encoded pieces.
-CACHE = 300_000
+#: Characters encoded at a time.
+CHARS = 2 << 20
 SCHEMA = "shard int, segment int, first long, n_ids long, words binary, block_words binary, escapes binary, doc_ids array<long>, lengths array<int>"
 DECODED = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
-# Byte-level BPE splits a text into pieces and merges inside each alone. In texts of these
-# characters only, Python's classes are those of the tokenizer's pattern.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Byte-level BPE cuts a text into pieces and merges inside each alone. For texts of these characters
+# only, the cuts are found here; _LETTER, _DIGIT and _WHITE are the classes of its pattern, which is
+#   's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 _OTHER = re.compile(r"[^\n\r\t\x20-\x7eÀ-ÖØ-öø-ɏ]")
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_LETTER, _DIGIT, _WHITE, _REST = range(4)
+_CLASS = np.array([_WHITE if chr(c) in "\t\n\r " else _DIGIT if chr(c) in "0123456789" else _LETTER if chr(c).isalpha() else _REST for c in range(0x250)], np.uint8)
+_ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
+
+
+def pieces(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of documents of such characters, end to end; no document is empty.
+
+    A run of one class is a piece and takes a space before it; of white space before something else,
+    the last character stands apart; an apostrophe takes its ending from the letters behind it.
+    """
+    n = len(codes)
+    kind = _CLASS[codes]
+    head = np.zeros(n + 1, bool)
+    head[offsets[:-1]] = head[n] = True
+    fresh = head.copy()
+    fresh[1:n] |= kind[1:] != kind[:-1]
+    white = kind == _WHITE
+    cut = fresh.copy()
+    inside = ~head[1:n]
+    after = white[:-1] & ~white[1:] & inside
+    cut[: n - 1] |= after
+    cut[1:n] &= ~(after & (codes[:-1] == 32))
+    # an apostrophe alone between what isn't a space and letters
+    at = np.flatnonzero((codes == 39) & fresh[:n] & cut[:n] & fresh[1:])
+    at = at[(at + 1 < n)]
+    at = at[~head[at + 1] & (kind[np.minimum(at + 1, n - 1)] == _LETTER)]
+    for ending in _ENDINGS:
+        k = len(ending)
+        of = at[at + k < n]
+        for j, c in enumerate(ending, 1):
+            of = of[(codes[of + j] == ord(c)) & ~head[of + j]]
+        cut[of + 1] = False
+        cut[of + 1 + k] = True
+    return np.flatnonzero(cut[:n])
 
 
 class Encoder:
-    """The tokenizers library, with each distinct piece of byte-level BPE encoded once.
+    """The tokenizers library, with pieces of byte-level BPE encoded once as long as they are remembered.
 
-    A text with characters outside the set above, or with the string of an added token, and every
-    text of another kind of tokenizer goes through the library whole.
+    A text with other characters, or with the string of an added token, and every text of another
+    kind of tokenizer goes through the library whole. Pieces are told apart by 64-bit hashes.
     """
 
+    SLOTS = 1 << 19
+    POOL = 4 << 20
+
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.pieces = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and all(pre.get(k) == v for k, v in _BYTE_LEVEL.items()) and not spec["model"].get("ignore_merges")
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        self.cuts = model["type"] == "BPE" and not spec.get("normalizer") and all(pre.get(k) == v for k, v in _BYTE_LEVEL.items()) and not model.get("ignore_merges") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        new = []
-        for w in words:
-            if (known := self.old.get(w)) is not None:
-                self.young[w] = known
-            else:
-                new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.young[w] = np.array(e.ids, self.kind).tobytes()
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if not self.pieces or _OTHER.search(text) or any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = _PIECE.findall(text)
-        if missing := set(words) - self.young.keys():
-            if len(self.young) > CACHE:  # before the lookup: what this text needs stays
-                self.old, self.young = self.young, {}
-                missing = set(words)
-            self._learn(missing)
-        out = b"".join(map(self.young.__getitem__, words))
-        return np.frombuffer(out, self.kind).astype(np.uint32)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if not _OTHER.match(chr(c))}
+        self.rolling = Rolling(31)
+        self.value = np.random.default_rng(32).integers(1 << 63, size=0x250, dtype=np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(self.SLOTS, np.uint64)
+        self.where = np.zeros(self.SLOTS, np.int64)
+        self.count = np.zeros(self.SLOTS, np.int32)
+        self.pool = np.zeros(self.POOL, np.uint32)
+        self.used = 0
+
+    def _learn(self, shown: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize = self.tokenizer.model.tokenize
+        found = [[t.id for t in tokenize(s)] for s in shown]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter((i for f in found for i in f), np.uint32, int(counts.sum()))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.POOL), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        where = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        return where, counts
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and their number for each text; no text is empty."""
+        whole = "".join(texts)
+        codes = np.frombuffer(whole.encode("utf-16-le"), np.uint16)
+        offsets = np.cumsum([0, *map(len, texts)])
+        starts = pieces(codes, offsets)
+        ends = np.append(starts[1:], len(codes))
+        h = self.rolling.of(self.rolling.prefix(self.value[codes]), starts, ends)
+        h[h == 0] = 1
+        if self.used > self.POOL:
+            self.forget()
+        slot = (h >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
+        where, count = self.where[slot], self.count[slot].astype(np.int64)
+        missing = np.flatnonzero(self.hashes[slot] != h)
+        if len(missing):
+            new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            shown = whole.translate(self.shown)
+            place = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F))])
+            some = missing[first]
+            got, counts = self._learn([shown[a:b] for a, b in zip(place[starts[some]].tolist(), place[ends[some]].tolist(), strict=True)])
+            where[missing], count[missing] = got[back], counts[back]
+            at = (new >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
+            self.hashes[at], self.where[at], self.count[at] = new, got, counts  # of equal slots the last, in all three
+        before = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.repeat(where - before[:-1], count) + np.arange(before[-1])]
+        return ids, np.diff(before[np.searchsorted(starts, offsets)])
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out = [np.empty(0, np.uint32)] * len(texts)
+        group: list[int] = []
+        size = 0
+
+        def cut() -> None:
+            ids, counts = self._cut([texts[i] for i in group])
+            for i, a, k in zip(group, (np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
+                out[i] = ids[a : a + k]
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.cuts or _OTHER.search(text) or any(t in text for t in self.added):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                continue
+            group.append(i)
+            size += len(text)
+            if size >= CHARS:
+                cut()
+                group, size = [], 0
+        if group:
+            cut()
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -110,9 +202,9 @@ def _segments(tokenizer_path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for batch in batches:
-            for s, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for s, doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encode(batch.column(2).to_pylist()), strict=True):
                 shard = s
-                got = np.append(encode(text.as_py() or ""), np.uint32(end_id))
+                got = np.append(own, np.uint32(end_id))
                 ids.append(got)
                 docs.append(doc_id)
                 lengths.append(len(got))
@@ -140,6 +232,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode the documents and write the file set to path."""
     spark = docs.sparkSession
     prepare_workers(spark)
+    bounded_batches(docs)
     cut = shards(docs, n_shards or shuffle_partitions(spark))
     cut.mapInArrow(_segments(tokenizer_path, end_id), SCHEMA).write.option("compression", "zstd").parquet(path)
 

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from pagewright.llm import simple8b
-from pagewright.llm.token_files import op10_token_files, read_token_ids, read_token_index, write_token_files
+from pagewright.llm.token_files import Encoder, op10_token_files, pieces, read_token_ids, read_token_index, write_token_files
 from pagewright.sources.session import shared_path
 
 PATH = P.path("byte_bpe_50k.json")
@@ -63,3 +63,30 @@ def test_empty(spark):
 def test_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op10_token_files(spark, sf).collect()), key=key) == sorted(brute(rows), key=key)
+
+
+def test_pieces_are_those_of_the_pattern():
+    import random
+
+    import regex
+
+    r = random.Random(5)
+    parts = ["'", "'s", "'re", "'ll", "'x", " ", "  ", "\n", "\t", "a", "é", "Zz", "1", "42", "_", "!", "--", " '", "s", "re", "d", "''"]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(3000)]
+    codes = np.frombuffer("".join(texts).encode("utf-16-le"), np.uint16)
+    offsets = np.cumsum([0, *map(len, texts)])
+    starts = set(pieces(codes, offsets).tolist())
+    for text, at in zip(texts, offsets.tolist()):
+        want = {at + m.start() for m in regex.finditer(P.PATTERN, text)}
+        assert want == {s for s in starts if at <= s < at + len(text)}, repr(text)
+
+
+def test_encoder_forgets_and_agrees():
+    t, e = Tokenizer.from_file(PATH), Encoder(PATH)
+    e.POOL = 50
+    e.forget()
+    texts = [f"word{i} été it's {i * 7919}  x\n" * 3 for i in range(60)] + ["", None, "日本 it's"]
+    for _ in range(2):
+        for i in range(0, len(texts), 9):
+            for text, got in zip(texts[i : i + 9], e(texts[i : i + 9])):
+                assert got.tolist() == t.encode(text or "", add_special_tokens=False).ids
