@@ -85,10 +85,11 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[tup
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values, one to one."""
     x = x ^ (x >> U(31))
-    x = x * U(0x9E3779B97F4A7C15)
+    x *= U(0x9E3779B97F4A7C15)
     x ^= x >> U(29)
     x *= U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> U(32))
+    x ^= x >> U(32)
+    return x
 
 
 class Rolling:
@@ -123,6 +124,12 @@ class Rolling:
         """The hash of values[start:end], wherever it stands."""
         return mixed((sums[end] - sums[start]) * self.inverses[start])
 
+    def every(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """The hashes of all stretches of that width."""
+        h = sums[width:] - sums[:-width]
+        h *= self.inverses[: len(h)]
+        return mixed(h)
+
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document numbers of the words [^\\x20\\x09-\\x0D]+; none spans documents."""

@@ -44,7 +44,7 @@ from pagewright.sources.session import checkpoint, prepare_workers, shuffle_part
 LENGTH = 100
 GRAM = 32
 #: Bytes of text in a worker's arrays at a time.
-PIECE = 2 << 20
+PIECE = 3 << 18
 _STRETCHES, _MARKS, _OPEN, _WINDOWS = 0, 1, 2, 3
 _ONE, _TWO = C.Rolling(21), C.Rolling(22)
 
@@ -66,19 +66,23 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     cells = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
     cells[:n] = x
     cells = cells.reshape(-1, width)
-    right = np.minimum.accumulate(cells[:, ::-1], 1)[:, ::-1].reshape(-1)
-    left = np.minimum.accumulate(cells, 1).reshape(-1)
-    return np.minimum(right[: n - width + 1], left[width - 1 : n])
+    left = np.minimum.accumulate(cells, 1).reshape(-1)[width - 1 : n].copy()
+    right = cells[:, ::-1]
+    np.minimum.accumulate(right, 1, out=right)
+    return np.minimum(left, cells.reshape(-1)[: n - width + 1], out=left)
 
 
 def _anchored(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """Stretches of windows that share an anchor: (document, first start, windows, gram's hash, stretch's hash)."""
     sums = _ONE.prefix(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = _ONE.of(sums, at, at + gram)
+    grams = _ONE.every(sums, gram)
     bits = C.U((1 << max(24, len(data).bit_length())) - 1)
-    least = _sliding_min((grams & ~bits) | at.astype(np.uint64), length - gram + 1)
-    anchor = (least & bits).astype(np.int64)
+    keys = grams & ~bits
+    keys |= np.arange(len(grams), dtype=np.uint64)
+    anchor = _sliding_min(keys, length - gram + 1)
+    del keys
+    anchor &= bits
+    anchor = anchor.view(np.int64)
     start = np.union1d(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, offsets[:-1])
     start = start[start < len(anchor)]
     doc = np.searchsorted(offsets, start, "right") - 1
