@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagewright.llm.decontamination import OP5_SQL, op5_decontamination
 from pagewright.llm.mixing import OP1_SQL, op1_source_mix
 from pagewright.llm.simhash import op9_simhash_dedup
 from pagewright.llm.substrings import OP8_SQL, op8_substring_dedup
@@ -9,6 +10,7 @@ from pagewright.llm.suffixes import op2_suffix_dedup
 from pagewright.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op5_decontamination": op5_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
@@ -16,6 +18,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 ORACLES = {
+    "op5_decontamination": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op1_source_mix": OP1_SQL,
 }
