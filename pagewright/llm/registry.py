@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagewright.llm.decontamination import OP5_SQL, op5_decontamination
+from pagewright.llm.language import op7_language_id
 from pagewright.llm.mixing import OP1_SQL, op1_source_mix
 from pagewright.llm.simhash import op9_simhash_dedup
 from pagewright.llm.substrings import OP8_SQL, op8_substring_dedup
@@ -10,6 +11,7 @@ from pagewright.llm.suffixes import op2_suffix_dedup
 from pagewright.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op7_language_id": op7_language_id,
     "op5_decontamination": op5_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
