@@ -9,8 +9,10 @@ from pagewright.llm.simhash import op9_simhash_dedup
 from pagewright.llm.substrings import OP8_SQL, op8_substring_dedup
 from pagewright.llm.suffixes import op2_suffix_dedup
 from pagewright.llm.token_files import op10_token_files
+from pagewright.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op7_language_id": op7_language_id,
     "op5_decontamination": op5_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
