@@ -112,6 +112,11 @@ def _ties(g: np.ndarray, c: np.ndarray, rid: np.ndarray, start: np.ndarray) -> t
     return order, first, several
 
 
+def _bucket(g: np.ndarray, n: int) -> np.ndarray:
+    """Anchors are grams of small hash, so the hash itself isn't even."""
+    return C.bucket_of(C.mixed(g ^ C.U(0x5851F42D4C957F2D)), n)
+
+
 def _digit_1(length: int, gram: int, n: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for rids, data, offsets, base in _pieces(batches, length):
@@ -126,13 +131,13 @@ def _digit_1(length: int, gram: int, n: int):
             opened = first & several
             yield from C.span_rows(rid[opened], start[opened], start[opened] + count[opened], n, _OPEN)
             marks = np.unique(g[opened])
-            for b, (m,) in C.dealt(C.bucket_of(marks, n), n, marks):
+            for b, (m,) in C.dealt(_bucket(marks, n), n, marks):
                 yield b, _MARKS, m.tobytes()
             alone = first & ~several
             g, c, rid, start, count = (x[alone] for x in (g, c, rid, start, count))
             order = np.lexsort((start, rid))
             g, c, rid, start, count = (x[order] for x in (g, c, rid, start, count))
-            for b, (x, y, r, s, k) in C.dealt(C.bucket_of(g, n), n, g, c, rid, start, count):
+            for b, (x, y, r, s, k) in C.dealt(_bucket(g, n), n, g, c, rid, start, count):
                 yield b, _STRETCHES, x.tobytes() + y.tobytes(), C.narrow(r), s.astype("<u4" if s.max() < 1 << 32 else "<u8").tobytes(), k.astype("<u2").tobytes()
 
     return lambda batches: C.blobs(found(batches))
@@ -246,7 +251,7 @@ def _last(length: int, n: int):
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, n: int | None = None) -> DataFrame:
-    """(rid, text) -> (rid, spans): byte stretches covered by windows that also start earlier.
+    """(rid, doc_id, text) -> (rid, spans): byte stretches covered by windows that also start earlier.
 
     A rid has up to two rows, whose stretches may overlap; spans: int64 pairs, end excluded.
     """
@@ -259,7 +264,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, n: i
     deep = rows.select("rid", "text").mapInArrow(_digit_1(length, gram, n), C.BLOB).repartitionById(n, bucket).mapInArrow(_digit_2(length, n), C.BLOB)
     known = checkpoint(deep.repartitionById(n, bucket).mapInArrow(_by_document, C.ROW_SPANS + ", kind int"))
     opened = known.where(F.col("kind") == _OPEN).select(F.col("rid").alias("of"), "spans").dropDuplicates(["of"])
-    windows = rows.join(opened, rows["rid"] == opened["of"]).select("rid", "text", "spans").mapInArrow(_digit_3(length, n), C.BLOB)
+    # with doc_id, so that the texts' exchange is the one that the removal reads too
+    windows = rows.join(opened, rows["rid"] == opened["of"]).select("rid", "text", "spans", "doc_id").mapInArrow(_digit_3(length, n), C.BLOB)
     last = windows.repartitionById(n, bucket).mapInArrow(_last(length, n), C.BLOB).repartitionById(n, bucket).mapInArrow(C.collect_spans, C.ROW_SPANS)
     return known.where(F.col("kind") == C.SPANS).select("rid", "spans").union(last)
 
@@ -282,7 +288,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept
     """
     rows, distinct = C.with_row_ids(docs)
     found = repeated_spans(distinct, length, gram).groupBy(F.col("rid").alias("of")).agg(F.collect_list("spans").alias("spans"))
-    whole = rows.join(found, rows["rid"] == found["of"], "left").select("doc_id", "text", "spans")
+    whole = rows.join(found, rows["rid"] == found["of"], "left").select("doc_id", "text", "spans", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
