@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     size = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     total, positives = int(size[0]), int(size[1])
     if not total or positives in (0, total):
-        return fit([], []) if not total else fit([[]] * total, [int(positives > 0)] * total, np.empty(0, np.int64))
+        return fit([], [int(positives > 0)] * min(total, 1), np.empty(0, np.int64))
     found = rows.mapInArrow(counted, "term long, a long, n long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where("n > 2")
     # a term's ratio in SQL orders the terms, so that only the best reach the driver
     rate = positives / total
