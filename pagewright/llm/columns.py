@@ -23,23 +23,26 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def with_row_ids(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rid, doc_id, text) of every row, and the same with one row for each rid: rid is unique for
-    each different (doc_id, text) and ascends with doc_id.
+def numbered(docs: DataFrame, text: str = "text", rid: str = "rid") -> tuple[DataFrame, bool]:
+    """The rows with rid, unique for each different (doc_id, text) and ascending with doc_id; whether rid is unique.
 
     Where doc_id has neither nulls nor repeats, rid is doc_id. Else the pairs are sorted by doc_id,
     nulls first, then by the text's hash, and numbered in that order; equal rows share a rid.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = rows.groupBy("doc_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    found = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     if found["most"] <= 1 and not found["nulls"]:
-        rows = rows.withColumn("rid", F.col("doc_id")).where(F.col("rid").isNotNull())  # none is null; the plan shows it
-        return rows, rows
-    rows = rows.withColumn("th", F.xxhash64("text"))
-    ids = rows.select(F.col("doc_id").alias("id"), F.col("th").alias("h")).distinct().orderBy(F.col("id").asc_nulls_first(), "h").withColumn("rid", F.monotonically_increasing_id())
+        return docs.withColumn(rid, F.col("doc_id").cast("long")).where(F.col(rid).isNotNull()), True  # none is null; the plan shows it
+    keys = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col(text).cast("string")).alias("__th")]
+    ids = docs.select(*keys).distinct().orderBy(F.col("__id").asc_nulls_first(), "__th").withColumn(rid, F.monotonically_increasing_id())
     ids = checkpoint(ids)
-    rows = rows.join(ids, rows["doc_id"].eqNullSafe(ids["id"]) & (rows["th"] == ids["h"])).select("doc_id", "text", "rid")
-    return rows, rows.dropDuplicates(["rid"])
+    same = docs["doc_id"].cast("long").eqNullSafe(ids["__id"]) & (F.xxhash64(docs[text].cast("string")) == ids["__th"])
+    return docs.join(ids, same).drop("__id", "__th"), False
+
+
+def with_row_ids(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id, text) of every row, and the same with one row for each rid; see numbered()."""
+    rows, unique = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    return rows, rows if unique else rows.dropDuplicates(["rid"])
 
 
 def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
