@@ -75,11 +75,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     _, items = with_row_ids(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
     items = checkpoint(with_words(items).select(F.col("rid").alias("iid"), F.col("doc_id").alias("item_id"), F.array_distinct(shingles(width)).alias("grams")))
     sketch = checkpoint(sketches(items, threshold))
-    probes = with_words(docs).select("rid", F.explode(hashes(width)).alias("p"))
+    # explode() would add a filter on its array, pushed to the scan: the shingles would be made twice, and of all rows
+    probes = with_words(docs).select("rid", F.explode_outer(hashes(width)).alias("p")).where("p is not null")
     sketch = _small(sketch)
     candidates = checkpoint(probes.join(sketch, probes["p"] == sketch["h"]).select("rid", "iid").distinct())
     wanted = _small(candidates.select(F.col("rid").alias("of")).distinct())
-    grams = with_words(docs.join(wanted, docs["rid"] == wanted["of"])).select("rid", "doc_id", F.explode(F.array_distinct(shingles(width))).alias("gram"))
+    grams = with_words(docs.join(wanted, docs["rid"] == wanted["of"])).select("rid", "doc_id", F.explode_outer(F.array_distinct(shingles(width))).alias("gram")).where("gram is not null")
     own = _small(items.select("iid", "item_id", F.size("grams").alias("n_item"), F.explode("grams").alias("own")))
     shared = grams.join(own, grams["gram"] == own["own"]).groupBy("rid", "doc_id", "iid", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     shared = shared.where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - F.lit(1e-9)))
