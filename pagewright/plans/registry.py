@@ -1,4 +1,5 @@
 """Every query of the library and, where SQL can express it, the same in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pagewright.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
