@@ -6,7 +6,7 @@ neighbours, which still tie, go on to the next pass with a deeper digit.
 
 Digit 1, anchors. A window of `length` bytes holds length - GRAM + 1 grams of GRAM bytes. Its anchor is
 its gram of smallest hash (the leftmost of equals), so equal windows have their anchors at the same
-offset. Windows that lie next to each other mostly share an anchor, about 35 of them, and travel as
+offset. Windows that lie next to each other mostly share an anchor, about 27 of them, and travel as
 one stretch, keyed by the anchor's gram. Stretches whose gram is found once are done.
 Digit 2, stretches. Among stretches with the same gram, those that agree in all their bytes and in
 the anchor's offset are ordered by position; all but the first consist of repeated windows only.
@@ -42,7 +42,7 @@ from pagewright.llm import columns as C
 from pagewright.sources.session import checkpoint, prepare_workers, shuffle_partitions, table
 
 LENGTH = 100
-GRAM = 32
+GRAM = 48
 #: Bytes of text in a worker's arrays at a time.
 PIECE = 3 << 18
 _STRETCHES, _MARKS, _OPEN, _WINDOWS = 0, 1, 2, 3
@@ -138,7 +138,7 @@ def _digit_1(length: int, gram: int, n: int):
             order = np.lexsort((start, rid))
             g, c, rid, start, count = (x[order] for x in (g, c, rid, start, count))
             for b, (x, y, r, s, k) in C.dealt(_bucket(g, n), n, g, c, rid, start, count):
-                yield b, _STRETCHES, x.tobytes() + y.tobytes(), C.narrow(r), s.astype("<u4" if s.max() < 1 << 32 else "<u8").tobytes(), k.astype("<u2").tobytes()
+                yield b, _STRETCHES, x.tobytes() + y.tobytes(), C.narrow(r), s.astype("<u4" if s.max() < 1 << 32 else "<u8").tobytes(), k.astype("<u1" if k.max() < 1 << 8 else "<u2").tobytes()
 
     return lambda batches: C.blobs(found(batches))
 
@@ -156,8 +156,8 @@ def _digit_2(length: int, n: int):
         g = np.concatenate([np.frombuffer(e[0], "<u8", len(e[0]) // 16) for e in entries])
         c = np.concatenate([np.frombuffer(e[0], "<u8", offset=len(e[0]) // 2) for e in entries])
         rid = C.joined(entries, 1)
-        start = np.concatenate([np.frombuffer(e[2], "<u4" if 2 * len(e[2]) == 4 * len(e[3]) else "<u8").astype(np.int64) for e in entries])
-        count = C.joined(entries, 3, "<u2").astype(np.int64)
+        start = np.concatenate([np.frombuffer(e[2], f"<u{16 * len(e[2]) // len(e[0])}").astype(np.int64) for e in entries])
+        count = np.concatenate([np.frombuffer(e[3], f"<u{16 * len(e[3]) // len(e[0])}").astype(np.int64) for e in entries])
         del entries
         order = np.argsort(g)
         ordered = g[order]
