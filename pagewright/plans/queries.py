@@ -180,7 +180,7 @@ def link_candidates(s, d):  # noqa: ANN001, ANN201
 
 @query()
 def discover_links(s, d):  # noqa: ANN001, ANN201
-    return D.discover(pages(s, d).withColumn("content_type", F.lit("text/html")), KEYWORDS, NEGATIVE)[0]
+    return D.discover(pages(s, d).withColumn("content_type", F.lit("text/html")), KEYWORDS, NEGATIVE, threshold=0.2)[0]
 
 
 @query("SELECT page_id, CAST(('0x' || left(sha256(url), 8))::BIGINT % 8 AS INT) AS identity, 'u-zone-z-country-us-session-' || left(sha256(url), 16) AS session FROM pages")
