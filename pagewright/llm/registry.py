@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagewright.llm.decontamination import OP5_SQL, op5_decontamination
 from pagewright.llm.language import op7_language_id
+from pagewright.llm.media import op3_audio_fingerprints
 from pagewright.llm.mixing import OP1_SQL, op1_source_mix
 from pagewright.llm.pages import op6_html_extraction
 from pagewright.llm.simhash import op9_simhash_dedup
@@ -13,6 +14,7 @@ from pagewright.llm.token_files import op10_token_files
 from pagewright.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op3_audio_fingerprints": op3_audio_fingerprints,
     "op6_html_extraction": op6_html_extraction,
     "op4_toxicity": op4_toxicity,
     "op7_language_id": op7_language_id,
