@@ -44,8 +44,15 @@ def with_words(rows: DataFrame) -> DataFrame:
     return rows.withColumn("w", words(F.col("text"))).drop("text")
 
 
-def shingles(width: int = SHINGLE, of=lambda g: g, kind: str = "array<array<string>>") -> Column:
-    """of() each run of width words in `w`; of fewer words, of the one run of all; of none, nothing."""
+def _joined(words_of: Column) -> Column:
+    return F.array_join(words_of, " ")
+
+
+def shingles(width: int = SHINGLE, of=_joined, kind: str = "array<string>") -> Column:
+    """of() each run of width words in `w`; of fewer words, of the one run of all; of none, nothing.
+
+    Runs are joined by a space, which no word holds: array_distinct() hashes strings, but compares arrays pair by pair.
+    """
     w = F.col("w")
     runs = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: of(F.slice(w, i, width)))
     return F.when(F.size(w) >= width, runs).when(F.size(w) > 0, F.array(of(w))).otherwise(F.array().cast(kind))
