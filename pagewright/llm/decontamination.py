@@ -68,8 +68,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(iid, shingles with their hashes) -> (iid, h): each item's k smallest hashes, k by its size partition."""
-    sized = items.select("iid", F.array_sort(F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g)))).alias("hashes"), F.size("grams").alias("n")).where("n > 0")
+    """(iid, hashes in order, distinct) -> (iid, h): each item's k smallest hashes, k by its size partition."""
+    sized = items.select("iid", "hashes", F.size("hashes").alias("n")).where("n > 0")
     sized = sized.withColumn("part", F.floor(F.log2("n")))
     most = sized.groupBy(F.col("part").alias("of")).agg(F.max("n").alias("u"))
     k = F.col("u") - F.ceil(F.col("u") * threshold - F.lit(1e-9)) + 1
@@ -80,7 +80,7 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """(rid, doc_id, text) and (item_id, text) -> (rid, doc_id, item_id, n_item, n_shared), n_shared >= threshold * n_item."""
     _, items = with_row_ids(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
-    items = checkpoint(with_words(items).select(F.col("rid").alias("iid"), F.col("doc_id").alias("item_id"), F.array_distinct(shingles(width)).alias("grams")))
+    items = checkpoint(with_words(items).select(F.col("rid").alias("iid"), F.col("doc_id").alias("item_id"), F.array_distinct(shingles(width)).alias("grams"), F.array_sort(F.array_distinct(hashes(width))).alias("hashes")))
     sketch = checkpoint(sketches(items, threshold))
     # explode() would add a filter on its array, pushed to the scan: the shingles would be made twice, and of all rows
     probes = with_words(docs).select("rid", F.explode_outer(hashes(width)).alias("p")).where("p is not null")
