@@ -22,7 +22,7 @@ from pagewright.sources.session import shared_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text of this many letters or more whose phrases are on average shorter than this is in no learned language.
-LETTERS, PHRASE = 200, 2.5
+LETTERS, PHRASE = 200, 2.2
 TOKENIZER = "byte_bpe_50k.json"
 
 #: The chain ends in a tokenizer's ids, which SQL can't express; tests compare run() with a brute-force version.
