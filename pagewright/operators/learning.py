@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 
@@ -253,3 +254,29 @@ def consolidate(memories: DataFrame, signals: DataFrame, responses: DataFrame, n
         return pd.DataFrame(rows, columns=["skill", "batch", "version_before", "version_after", "signal_count", "cost_usd", "summary", "memory"])
 
     return steps.groupBy("skill").applyInPandas(fold, "skill string, batch long, version_before int, version_after int, signal_count long, cost_usd double, summary string, memory string")
+
+
+def new_memory(name: str, version: str) -> dict:
+    empty = {**{k: [] for k in MEMORY_LISTS}, **{k: {} for k in MEMORY_MAPS}, **{k: "" for k in MEMORY_TEXTS}}
+    return {"skill_name": name, "skill_version": version, "skill_hash": hashlib.sha256(f"{name}::{version}".encode()).hexdigest()[:16], "memory_version": 1, "warmup_cost_usd": 0.0, **empty}
+
+
+def is_stale(memory: dict | None, name: str, version: str) -> bool:
+    """A memory is of a skill's name and version; other changes of the skill don't count."""
+    return memory is None or memory.get("skill_hash") != new_memory(name, version)["skill_hash"]
+
+
+def warm_up(memory: dict | None, name: str, version: str, answer: dict | None, negative: Sequence[str] = ()) -> dict:
+    """The memory if it is fresh, else a new one from the answer's row (content, cost_usd, error)."""
+    if not is_stale(memory, name, version):
+        return memory
+    answer = answer or {}
+    content = None if answer.get("error") else J.parse(answer.get("content"))
+    out = updated_memory(new_memory(name, version), content, negative, warm=isinstance(content, dict))
+    return out | {"warmup_cost_usd": float(answer.get("cost_usd") or 0.0)}
+
+
+def schema_parts(memory: dict, fields: Sequence[str]) -> tuple[dict, dict]:
+    """Synonyms and hints of the schema's fields only; of all fields if none are named."""
+    keep = lambda d: {k: v for k, v in (d or {}).items() if not fields or k in fields}
+    return keep(memory.get("confirmed_field_synonyms")), keep(memory.get("field_extraction_hints"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import identity_bucket, proxy_url, session_user
+
 QUARANTINE, RELEASE = 0.25, 0.5
 
 
@@ -80,3 +82,52 @@ def rate_limit(requests: DataFrame, rate: float = 1.0, burst: int = 3) -> DataFr
 
     rows = requests.select("domain", "seq", F.col("at").cast("double").alias("at"))
     return rows.repartition("domain").sortWithinPartitions("domain", "at", "seq").mapInPandas(fold, "domain string, seq long, at double, wait double")
+
+
+# Identities are these user agents, each with the language at its place modulo three.
+USER_AGENTS = (
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/123.0.0.0 Safari/537.36 Edg/123.0.0.0",
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.4.1 Safari/605.1.15",
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:125.0) Gecko/20100101 Firefox/125.0",
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 14.4; rv:125.0) Gecko/20100101 Firefox/125.0",
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/122.0.0.0 Safari/537.36 OPR/108.0.0.0",
+)
+LANGUAGES = ("en-US,en;q=0.9", "en-US,en;q=0.8,en-GB;q=0.6", "en-GB,en;q=0.9,en-US;q=0.8")
+ACCEPT = "text/html,application/xhtml+xml,application/xml;q=0.9,image/avif,image/webp,*/*;q=0.8"
+
+
+def request_headers(url: Column, extra: dict[str, str] | None = None) -> Column:
+    """map of headers: the url's identity over the extra ones."""
+    k = identity_bucket(url, len(USER_AGENTS))
+    own = {
+        "User-Agent": F.element_at(F.array(*map(F.lit, USER_AGENTS)), k + 1),
+        "Accept-Language": F.element_at(F.array(*map(F.lit, LANGUAGES)), k % len(LANGUAGES) + 1),
+        "Accept": F.lit(ACCEPT),
+    }
+    rest = {name: F.lit(v) for name, v in (extra or {}).items() if name not in own}
+    return F.create_map(*[x for name, v in {**rest, **own}.items() for x in (F.lit(name), v)])
+
+
+def proxy_kind(settings: dict) -> str:
+    """Which kind of proxies settings ask for: session (customer, zone and password), rotating, static or none, in this order."""
+    if not settings or not settings.get("enabled", True):
+        return "none"
+    if settings.get("customer_id") and settings.get("zone") and settings.get("password"):
+        return "session"
+    return "rotating" if settings.get("servers") else "static" if settings.get("server") else "none"
+
+
+def assign_proxies(requests: DataFrame, settings: dict) -> DataFrame:
+    """(url, shard, seq) -> with the proxy's url by the settings' kind, null for none."""
+    kind, text = proxy_kind(settings), F.lit(None).cast("string")
+    if kind == "rotating":
+        return round_robin(requests, list(settings["servers"]))
+    if kind == "static":
+        text = proxy_url(F.lit(settings["server"]), F.lit(settings.get("username")).cast("string"), F.lit(settings.get("password")).cast("string"))
+    if kind == "session":
+        user = session_user(settings["customer_id"], F.col("url"), settings["zone"], settings.get("country") or "", settings.get("sticky", True))
+        text = proxy_url(F.lit(f"http://{settings.get('host', 'localhost')}:{settings.get('port', 22225)}"), user, F.lit(settings["password"]))
+    return requests.withColumn("proxy", text)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import json_records as J
 from pagewright.functions.predicates import contains_any
+from pagewright.functions.text import normalize_key
 
 
 def _mapped(fn: Callable[[str | None], object], kind: str) -> Callable[[Column], Column]:
@@ -35,8 +36,6 @@ def rename_keys(record_json: Column, aliases: dict[str, list[str]]) -> Column:
 
 def rename_map(record: Column, aliases: dict[str, list[str]]) -> Column:
     """The same for a map column without equal keys after renaming, inside codegen."""
-    from pagewright.functions.text import normalize_key
-
     known: dict[str, str] = {}
     for name, others in aliases.items():
         known[J.normalize_key(name)] = name
@@ -190,3 +189,25 @@ def merge_snapshots(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     cols = [c for c in new.columns if c != key]
     both = existing.alias("a").join(new.alias("b"), key, "full_outer")
     return both.select(key, *[F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) for c in cols])
+
+
+DECISIONS = "merge_decisions array<struct<new_record_index:int,existing_record_id:string,merge:boolean>>"
+
+
+def merge_answers(existing: DataFrame, new: DataFrame, answers: DataFrame, primary_key: str = "", merge_keys: Sequence[str] = ()) -> DataFrame:
+    """Merge by a model's answers (url, content, error): -> (url, rec_idx, record_json, added, updated).
+
+    A url without new records keeps its own; one without existing records gets all new ones, whatever was answered;
+    one whose answer is an error, isn't JSON or is missing gets its new records behind the existing ones.
+    """
+    sides = existing.select("url", F.lit(0).alias("side")).union(new.select("url", F.lit(1).alias("side"))).groupBy("url").agg(F.max((F.col("side") == 0).cast("int")).alias("had"), F.max("side").alias("got"))
+    good = answers.where(F.col("error").isNull() & F.try_parse_json("content").isNotNull()).select("url", F.from_json("content", DECISIONS)["merge_decisions"].alias("d"), F.lit(True).alias("answered"))
+    plan = sides.join(good, "url", "left").withColumn("by", (F.col("had") == 1) & (F.col("got") == 1) & F.coalesce("answered", F.lit(False)))
+    decided, rest = plan.where("by").select("url", "d"), plan.where("not by").select("url", F.when((F.col("had") == 0) & (F.col("got") == 1), True).otherwise(False).alias("fresh"))
+    picks = decided.select("url", F.posexplode("d").alias("seq", "x")).select("url", "seq", F.col("x.new_record_index").alias("new_index"), F.coalesce("x.merge", F.lit(False)).alias("merge"), F.col("x.existing_record_id").alias("target_id"))
+    urls = decided.select("url")
+    merged = merge_records(existing.join(urls, "url", "left_semi"), new.join(urls, "url", "left_semi"), picks, primary_key, merge_keys)
+    both = existing.select("url", F.lit(0).alias("side"), "rec_idx", "record_json").union(new.select("url", F.lit(1).alias("side"), "rec_idx", "record_json")).join(rest, "url")
+    added = F.when(F.col("fresh"), F.count("*").over(Window.partitionBy("url"))).otherwise(0).cast("int")
+    plain = both.select("url", (F.row_number().over(Window.partitionBy("url").orderBy("side", "rec_idx")) - 1).alias("rec_idx"), "record_json", added.alias("added"), F.lit(0).alias("updated"))
+    return merged.unionByName(plain)

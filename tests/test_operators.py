@@ -239,3 +239,32 @@ def test_crawl(spark):
     assert {r["url"][-1] for r in out["records"].collect()} == {"1", "2", "4", "5"} and out["dead_letters"].count() == 0
     strict = crawl.run(inputs, fetched, crawl.Skill("s", carry_forward=False))
     assert {r["url"][-1]: r["error"] for r in strict["dead_letters"].collect()} == {"2": "HTTP 500", "4": "HTTP 0"}
+
+
+def test_merging_by_answers(spark):
+    old = rows(spark, ("u", 0, {"id": "A", "p": 1}), ("e", 0, {"id": "A"}), ("k", 0, {"id": "K"}))
+    new = rows(spark, ("u", 0, {"id": "A", "p": 2}), ("e", 0, {"id": "B"}), ("n", 0, {"id": "N"}), ("n", 1, {"id": "N"}))
+    answers = spark.createDataFrame([("u", '{"merge_decisions": [{"new_record_index": 0, "existing_record_id": "A", "merge": true}]}', None), ("e", "{broken", None), ("n", None, "timeout")], "url string, content string, error string")
+    got = {}
+    for r in R.merge_answers(old, new, answers, "id").orderBy("url", "rec_idx").collect():
+        got.setdefault(r["url"], []).append((json.loads(r["record_json"]), r["added"], r["updated"]))
+    assert got == {"u": [({"id": "A", "p": 2}, 0, 1)], "e": [({"id": "A"}, 0, 0), ({"id": "B"}, 0, 0)], "k": [({"id": "K"}, 0, 0)], "n": [({"id": "N"}, 2, 0), ({"id": "N"}, 2, 0)]}
+
+
+def test_warm_up():
+    fresh = L.warm_up(None, "s", "1", {"content": '{"api_patterns": ["/a"], "prompt1_context": null}', "cost_usd": 0.2}, ["admin", "admin"])
+    assert fresh["high_confidence_api_patterns"] == ["/a"] and fresh["known_noise_patterns"] == ["admin"] and fresh["warmup_cost_usd"] == 0.2 and fresh["prompt1_context"] == ""
+    assert L.warm_up(fresh, "s", "1", None) is fresh and L.is_stale(fresh, "s", "2") and L.is_stale(None, "s", "1")
+    assert L.warm_up(fresh, "s", "2", {"error": "timeout", "content": "{}"}, ["n"])["known_noise_patterns"] == ["n"]
+    assert L.schema_parts({"confirmed_field_synonyms": {"a": ["b"], "x": []}}, ["a"]) == ({"a": ["b"]}, {})
+
+
+def test_identities_and_providers(spark):
+    df = spark.createDataFrame([("https://a", "s", 0), ("https://b", "s", 1)], "url string, shard string, seq int")
+    h = [r["h"] for r in df.select(Z.request_headers(F.col("url"), {"X": "1", "Accept": "no"}).alias("h")).collect()]
+    assert all(x["X"] == "1" and x["Accept"] == Z.ACCEPT and x["User-Agent"] in Z.USER_AGENTS and x["Accept-Language"] == Z.LANGUAGES[Z.USER_AGENTS.index(x["User-Agent"]) % 3] for x in h)
+    assert [Z.proxy_kind(s) for s in ({}, {"enabled": False, "server": "x"}, {"customer_id": "c", "zone": "z", "password": "p", "servers": ["s"]}, {"servers": ["s"], "server": "x"}, {"server": "x"})] == ["none", "none", "session", "rotating", "static"]
+    proxies = lambda s: [r["proxy"] for r in Z.assign_proxies(df, s).orderBy("seq").collect()]
+    assert proxies({}) == [None, None] and proxies({"servers": ["p", "q"]}) == ["p", "q"] and proxies({"server": "http://h:1", "username": "u"}) == ["http://u@h:1"] * 2
+    got = proxies({"customer_id": "c", "zone": "z", "password": "p", "host": "h"})
+    assert got[0] != got[1] and all(p.startswith("http://c-zone-z-session-") and p.endswith(":p@h:22225") for p in got)
