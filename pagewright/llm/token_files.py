@@ -34,6 +34,8 @@ from pagewright.llm.columns import Rolling, bounded_batches
 from pagewright.sources.session import prepare_workers, shared_path, shuffle_partitions, table
 
 SEGMENT_IDS = 1 << 18
+#: Up to so many shards are cut by quantiles that stand in the plan; beyond, Spark samples the bounds itself.
+MAX_BOUNDS = 2_048
 #: Characters encoded at a time.
 CHARS = 2 << 20
 SCHEMA = "shard int, segment int, first long, n_ids long, words binary, block_words binary, escapes binary, doc_ids array<long>, lengths array<int>"
@@ -221,6 +223,9 @@ def _segments(tokenizer_path: str, end_id: int):
 def shards(docs: DataFrame, n: int) -> DataFrame:
     """(shard, doc_id, text), each shard an ascending range of doc_id and sorted."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if n > MAX_BOUNDS:
+        ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        return ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
     bounds = sorted(set(bounds or []))
     shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)

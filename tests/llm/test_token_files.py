@@ -5,7 +5,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from pagewright.llm import simple8b
+from pagewright.llm import simple8b, token_files
 from pagewright.llm.token_files import Encoder, op10_token_files, pieces, read_token_ids, read_token_index, write_token_files
 from pagewright.sources.session import shared_path
 
@@ -37,7 +37,9 @@ def test_round_trip(n, high):
     assert (simple8b.decode(*simple8b.encode(x), n) == x).all()
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("most", [2048, 1])
+def test_odd_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(token_files, "MAX_BOUNDS", most)
     path = shared_path(spark, "test")
     docs = spark.createDataFrame([(a, b, "x", 1) for a, b in ODD], "doc_id long, text string, shard string, first int")
     write_token_files(docs, path, PATH, n_shards=3)
