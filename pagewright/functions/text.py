@@ -121,22 +121,36 @@ def session_user(user: str, url: Column, zone: str = "", country: str = "", stic
     return F.concat_ws("-", *parts)
 
 
-def detect_platform(html: Column, url: Column) -> Column:
-    text = F.lower(F.concat(html, url))
+def page_text(html: Column, url: Column) -> Column:
+    """What platforms are told by. Make it a column of its own before platform_of() or platform_shares(), which use it often."""
+    return F.lower(F.concat(html, url))
+
+
+def platform_of(text: Column) -> Column:
+    """The first platform with a mark in the text."""
     out = None
     for name, marks in PLATFORMS.items():
-        hit = text.rlike("|".join(re.escape(m.lower()) for m in marks))
+        hit = text.contains(marks[0].lower())
+        for m in marks[1:]:
+            hit = hit | text.contains(m.lower())
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
 
-def platform_scores(html: Column, url: Column) -> Column:
+def platform_shares(text: Column) -> Column:
     """map(platform, share of its marks that are there), without those of none."""
-    text = F.lower(F.concat(html, url))
     share = lambda marks: sum((text.contains(m.lower()).cast("int") for m in marks[1:]), text.contains(marks[0].lower()).cast("int")) / F.lit(len(marks))
     return F.map_filter(F.create_map(*[x for name, marks in PLATFORMS.items() for x in (F.lit(name), share(marks))]), lambda _, v: v > 0)
 
 
+def detect_platform(html: Column, url: Column) -> Column:
+    return platform_of(page_text(html, url))
+
+
+def platform_scores(html: Column, url: Column) -> Column:
+    return platform_shares(page_text(html, url))
+
+
 def api_signature(patterns: Column) -> Column:
     return F.array_join(F.array_sort(patterns), "|")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.predicates import contains_any, is_api_endpoint, is_data_api
-from pagewright.functions.text import netloc, url_join, url_path
+from pagewright.functions.text import SCHEME, netloc, url_join, url_path
 
 ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 QUOTED_API = r"""(?U)["'](/[\w\-./]+(?:api|v\d|json|data|feed)[\w\-./]*)["']"""
@@ -20,20 +20,25 @@ def extract_links(pages: DataFrame) -> DataFrame:
     """(url, html) -> (url, pos, link): absolute http(s) links in page order, repeats kept."""
     # comments and raw text aren't markup
     body = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
-    tags = F.regexp_extract_all(body, F.lit(ANCHOR), F.lit(0))
-    found = pages.select("url", F.posexplode(tags).alias("pos", "tag"))
-    href = F.trim(F.concat(*[F.regexp_extract("tag", ANCHOR, k) for k in (1, 2, 3)]))
-    found = found.select("url", "pos", F.replace(href, F.lit("&amp;"), F.lit("&")).alias("href")).where("href <> ''")
+    href = lambda tag: F.replace(F.trim(F.concat(*[F.regexp_extract(tag, ANCHOR, k) for k in (1, 2, 3)])), F.lit("&amp;"), F.lit("&"))
+    found = _listed(pages, F.transform(F.regexp_extract_all(body, F.lit(ANCHOR), F.lit(0)), href), "href").where("href <> ''")
     for start in SKIPPED:
         found = found.where(~F.col("href").startswith(start))
-    found = found.select("url", "pos", url_join(F.col("url"), F.col("href")).alias("link"))
-    return found.where(F.col("link").rlike("(?i)^https?://|^https?:"))
+    # told from the parts: a filter on the joined link would be pushed down, and the link be built twice
+    http = "(?i)^https?:"
+    found = found.where(F.col("href").rlike(http) | ~F.col("href").rlike(SCHEME) & F.col("url").rlike(http))
+    return found.select("url", "pos", url_join(F.col("url"), F.col("href")).alias("link"))
+
+
+def _listed(pages: DataFrame, values: Column, name: str) -> DataFrame:
+    """(url, pos, name), one row for each value. explode() would add a filter on the array, which is then built twice."""
+    return pages.select("url", F.posexplode_outer(values).alias("pos", name)).where(F.col("pos").isNotNull())
 
 
 def extract_api_urls(pages: DataFrame) -> DataFrame:
     """(url, html) -> (url, pos, api_url): quoted root-relative data paths, once each, in order."""
     paths = F.array_distinct(F.regexp_extract_all("html", F.lit(QUOTED_API), F.lit(1)))
-    return pages.select("url", F.posexplode(paths).alias("pos", "path")).select("url", "pos", url_join(F.col("url"), F.col("path")).alias("api_url"))
+    return _listed(pages, paths, "path").select("url", "pos", url_join(F.col("url"), F.col("path")).alias("api_url"))
 
 
 def score_url(url: Column, keywords: Sequence[str] = (), negative: Sequence[str] = ()) -> Column:

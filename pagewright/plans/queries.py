@@ -62,7 +62,8 @@ def captcha_flag(s, d):  # noqa: ANN001, ANN201
 
 @query("SELECT page_id, CASE " + " ".join(f"WHEN {_any(m, 'lower(html || url)')} THEN '{n}'" for n, m in X.PLATFORMS.items()) + f" END AS platform FROM ({_MARKED})")
 def platform_detect(s, d):  # noqa: ANN001, ANN201
-    return marked(s, d).select("page_id", X.detect_platform(F.col("html"), F.col("url")).alias("platform"))
+    rows = marked(s, d).withColumn("text", X.page_text(F.col("html"), F.col("url")))
+    return rows.select("page_id", X.platform_of(F.col("text")).alias("platform"))
 
 
 @query(
@@ -72,7 +73,8 @@ def platform_detect(s, d):  # noqa: ANN001, ANN201
     )
 )
 def platform_confidence(s, d):  # noqa: ANN001, ANN201
-    return marked(s, d).select("page_id", F.explode(X.platform_scores(F.col("html"), F.col("url"))).alias("platform", "score"))
+    rows = marked(s, d).withColumn("text", X.page_text(F.col("html"), F.col("url")))
+    return rows.select("page_id", F.explode_outer(X.platform_shares(F.col("text"))).alias("platform", "score")).where("platform is not null")
 
 
 @query("SELECT page_id, left(sha256(html), 32) AS fingerprint FROM pages")
