@@ -16,7 +16,7 @@ from pagewright.llm.columns import numbered
 from pagewright.llm.decontamination import contaminated
 from pagewright.llm.language import UNKNOWN, identify, train
 from pagewright.llm.mixing import WORD, mix, sized
-from pagewright.llm.simhash import fingerprints, near_duplicates
+from pagewright.llm.near_copies import near_copies
 from pagewright.llm.token_files import read_token_index, write_token_files
 from pagewright.sources.session import shared_path, table
 
@@ -43,9 +43,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group the document of the smallest id stays."""
+    """Near-dedup on five-word shingles of similarity 0.8 or more: of each group the document of the smallest id stays."""
     rows = _one_of_each(docs)
-    groups = near_duplicates(fingerprints(rows, "__rid"))
+    groups = near_copies(rows, "__rid")
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept"))
     return rows.join(kept, rows["__rid"] == kept["__kept"], "left_semi").select(*COLUMNS)
 
