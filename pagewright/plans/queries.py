@@ -220,28 +220,29 @@ def _one_tier(kind: int, tier: str) -> str:
     return f"SELECT url, '{tier}' AS tier_used, name, brand, price FROM ({_PARTS}) WHERE kind = {kind}"
 
 
-def _of_kind(s, d, kind: int) -> DataFrame:  # noqa: ANN001
-    return _fields(E.extract(part_pages(s, d).where(F.col("k") % 5 == kind)))
+def _of_tier(s, d, tier: str) -> DataFrame:  # noqa: ANN001
+    """All pages go through the cascade; the records that the tier found stay."""
+    return _fields(E.extract(part_pages(s, d)).where(F.col("tier_used") == tier))
 
 
 @query(_one_tier(0, "json_ld"))
 def jsonld_extract(s, d):  # noqa: ANN001, ANN201
-    return _of_kind(s, d, 0)
+    return _of_tier(s, d, "json_ld")
 
 
 @query(_one_tier(1, "microdata"))
 def microdata_extract(s, d):  # noqa: ANN001, ANN201
-    return _of_kind(s, d, 1)
+    return _of_tier(s, d, "microdata")
 
 
 @query(_one_tier(2, "embedded_blob:initial_state"))
 def embedded_extract(s, d):  # noqa: ANN001, ANN201
-    return _of_kind(s, d, 2)
+    return _of_tier(s, d, "embedded_blob:initial_state")
 
 
 @query(_one_tier(3, "api_json"))
 def api_json_extract(s, d):  # noqa: ANN001, ANN201
-    return _of_kind(s, d, 3)
+    return _of_tier(s, d, "api_json")
 
 
 @query(f"SELECT url, CASE kind WHEN 0 THEN 'json_ld' WHEN 1 THEN 'microdata' WHEN 2 THEN 'embedded_blob:initial_state' WHEN 3 THEN 'known_api' END AS tier_used, CASE WHEN kind < 4 THEN name END AS name, CASE WHEN kind < 4 THEN brand END AS brand, CASE WHEN kind < 4 THEN price END AS price FROM ({_PARTS})")
@@ -249,10 +250,18 @@ def cascade_first_tier(s, d):  # noqa: ANN001, ANN201
     return _fields(E.extract(part_pages(s, d), ("name", "price")))
 
 
+_DOM_PROFILE = '{"selectors": {"name": "b[itemprop=name]", "price": "[itemprop=price]", "none": "em"}, "containers": ["div[itemscope]"]}'
+
+
 @query(f"SELECT url, 'profile_replay' AS tier_used, name, CAST(NULL AS VARCHAR) AS brand, price FROM ({_PARTS}) WHERE kind = 1")
 def profile_replay_dom(s, d):  # noqa: ANN001, ANN201
-    profile = '{"selectors": {"name": "b[itemprop=name]", "price": "[itemprop=price]", "none": "em"}, "containers": ["div[itemscope]"]}'
-    return _fields(E.extract(part_pages(s, d).where("k % 5 = 1").withColumn("profile_json", F.lit(profile))))
+    return _fields(E.extract(part_pages(s, d).where("k % 5 = 1").withColumn("profile_json", F.lit(_DOM_PROFILE))))
+
+
+@query(f"SELECT url, 'profile_replay' AS tier_used, name, CASE WHEN kind = 3 THEN brand END AS brand, price FROM ({_PARTS}) WHERE kind IN (1, 3)")
+def profile_replay_all(s, d):  # noqa: ANN001, ANN201
+    """The same profile tried on all pages: it also reads inline JSON."""
+    return _fields(E.extract(part_pages(s, d).withColumn("profile_json", F.lit(_DOM_PROFILE))).where("tier_used = 'profile_replay'"))
 
 
 @query("SELECT url, 'profile_replay' AS tier_used, name, brand, CAST(NULL AS VARCHAR) AS price FROM (SELECT 'https://shop.example/b/' || p_brand AS url, p_name AS name, p_brand AS brand FROM part)")
@@ -408,6 +417,18 @@ def similar_profiles(s, d):  # noqa: ANN001, ANN201
     return L.find_similar(p.where("pos % 10 = 0"), p).join(p.select(F.col("url_pattern").alias("target"), "platform"), "target").groupBy("platform").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT target, member FROM ({_CLUSTERS})")
+def cluster_match_all(s, d):  # noqa: ANN001, ANN201
+    p = profiles(s, d)
+    return L.find_clusters(p, p)
+
+
+@query(f"SELECT t.platform, count(*) AS n FROM ({_PROFILES}) t JOIN ({_PROFILES}) c ON t.platform = c.platform AND t.url <> c.url GROUP BY 1")
+def similar_profiles_all(s, d):  # noqa: ANN001, ANN201
+    p = profiles(s, d)
+    return L.find_similar(p, p).join(p.select(F.col("url_pattern").alias("target"), "platform"), "target").groupBy("platform").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT target, member AS donor FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY m DESC, pos) AS n FROM ({_CLUSTERS})) WHERE n = 1")
 def bootstrap_donor(s, d):  # noqa: ANN001, ANN201
     p = profiles(s, d)
