@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.sources.session import checkpoint
+from pagewright.sources.session import checkpoint, shuffle_partitions
 
 #: Bytes of text handled at once; a longer document is a slice of its own.
 SLICE = 4 << 20
+#: Bytes of text whose windows share a bucket.
+BUCKET = 64 << 20
 U = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -68,7 +70,7 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[tup
         i = 0
         while i < len(rids):
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size - held, "right")) - 1)
-            if held and offsets[min(j, len(rids))] - offsets[i] + held > 2 * size:
+            if ids and offsets[min(j, len(rids))] - offsets[i] + held > 2 * size:
                 yield out()
                 ids, parts, lengths, held = [], [], [], 0
                 continue
@@ -95,43 +97,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """Rabin-Karp hashes of any stretches of a sequence, from prefix sums modulo 2**64."""
+#: The prime of the window hashes, 2**61 - 1, in which reductions are shifts and additions.
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = U(PRIME), U((1 << 31) - 1), U((1 << 30) - 1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo PRIME."""
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(x: np.ndarray, factor: int) -> np.ndarray:
+    """x * factor modulo PRIME, for x below it.
+
+    >>> int(times(np.array([PRIME - 1], np.uint64), 3)[0]) == 3 * (PRIME - 1) % PRIME
+    True
+    """
+    high, low = U(factor >> 31), U(factor & ((1 << 31) - 1))
+    a, b = x >> U(31), x & _LOW31
+    middle = a * low + b * high
+    return reduced(U(2) * a * high + (middle >> U(30)) + ((middle & _LOW30) << U(31)) + b * low)
+
+
+class RabinKarp:
+    """Rabin-Karp hashes of every window of a sequence: polynomials over a prime field at a fixed random point.
+
+    Two different windows of w values collide for at most w of the field's 2**61 points, whatever the values are.
+    """
 
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 62)) * 4 + 3
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.byte = rng.integers(1 << 63, size=256, dtype=np.uint64) * U(2) + U(1)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    @staticmethod
-    def _grown(powers: np.ndarray, base: int, n: int) -> np.ndarray:
-        while len(powers) < n:
-            k = len(powers)
-            powers = np.concatenate([powers, powers * U(pow(base, k, 1 << 64))])
-        return powers
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Sums before each position, and after the last; values: bytes or 64-bit hashes."""
-        n = len(values)
-        self.powers = self._grown(self.powers, self.base, n + 1)
-        self.inverses = self._grown(self.inverses, self.inverse, n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        terms = self.byte[values] if values.dtype == np.uint8 else values.copy()
-        terms *= self.powers[:n]
-        np.cumsum(terms, out=sums[1:])
-        return sums
-
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hash of values[start:end], wherever it stands."""
-        return mixed((sums[end] - sums[start]) * self.inverses[start])
-
-    def every(self, sums: np.ndarray, width: int) -> np.ndarray:
-        """The hashes of all stretches of that width."""
-        h = sums[width:] - sums[:-width]
-        h *= self.inverses[: len(h)]
-        return mixed(h)
+        self.base = int(rng.integers(1 << 32, PRIME))
+        self.byte = rng.integers(1, PRIME, size=256, dtype=np.uint64)
+
+    def windows(self, values: np.ndarray, width: int) -> np.ndarray:
+        """The hash of values[i:i+width] for every i at which that many are left; values: bytes, or numbers below PRIME.
+
+        Windows of 1, 2, 4 ... values are joined from two halves each, and the width from these.
+        """
+        part = self.byte[values] if values.dtype == np.uint8 else values
+        n = max(0, len(values) - width + 1)
+        out, done, size = None, 0, 1
+        while True:
+            if width & size:
+                # what is joined so far stands before the part
+                if out is None:
+                    out = part
+                else:
+                    out = reduced(times(part[: len(part) - done], pow(self.base, done, PRIME)) + out[size : len(part) - done + size])
+                done += size
+            if 2 * size > width:
+                break
+            part = reduced(times(part[: len(part) - size], pow(self.base, size, PRIME)) + part[size:])
+            size *= 2
+        return mixed(out[:n])
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,6 +205,15 @@ def bucket_of(x: np.ndarray, n: int) -> np.ndarray:
     return ((x >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
+def text_bytes(rows: DataFrame, text: str = "text") -> int:
+    return rows.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
+
+
+def buckets(rows: DataFrame, text: str = "text") -> int:
+    """How many buckets the windows of these texts go to: the session's shuffle partitions, or more for BUCKET bytes of text in each."""
+    return max(shuffle_partitions(rows.sparkSession), -(-text_bytes(rows, text) // BUCKET))
+
+
 def row_bucket(rid: np.ndarray, n: int) -> np.ndarray:
     return bucket_of(mixed(rid.astype(np.int64).view(np.uint64) + U(1)), n)
 
@@ -214,6 +243,12 @@ def blobs(rows: Iterable[tuple], flush: int = 16 << 20) -> Iterator[pa.RecordBat
         yield out()
 
 
+def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """BLOB rows one by one, without their bucket."""
+    for batch in batches:
+        yield from zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True)
+
+
 def gathered(batches: Iterable[pa.RecordBatch]) -> dict[int, list[tuple]]:
     """The rows of one bucket by kind: kind -> [(a, b, c, d), ...]."""
     out: dict[int, list[tuple]] = {}
@@ -230,22 +265,26 @@ def joined(rows: list[tuple], column: int, kind: str | None = None) -> np.ndarra
     return np.concatenate(parts) if parts else np.empty(0, kind or np.int64)
 
 
+def reach(rid: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The running maximum of end, which starts anew with each row; rows stand together."""
+    shift = np.zeros(len(rid), np.int64)
+    shift[1:] = np.cumsum(rid[1:] != rid[:-1])
+    shift *= int(end.max(initial=0)) + 1
+    return np.maximum.accumulate(end + shift) - shift
+
+
 def merged(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of rows -> maximal stretches, ordered; those that touch or overlap are joined."""
     if not len(rid):
         return rid, start, end
     order = np.lexsort((start, rid))
     rid, start, end = rid[order], start[order], end[order]
-    group = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
-    row = np.zeros(len(rid), np.int64)
-    row[group[1:]] = 1
-    shift = np.cumsum(row) * (int(end.max()) + 1)  # a running maximum that starts anew with each row
-    reach = np.maximum.accumulate(end + shift) - shift
+    far = reach(rid, end)
     fresh = np.ones(len(rid), bool)
-    fresh[1:] = (rid[1:] != rid[:-1]) | (start[1:] > reach[:-1])
+    fresh[1:] = (rid[1:] != rid[:-1]) | (start[1:] > far[:-1])
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(rid)) - 1
-    return rid[first], start[first], reach[last]
+    return rid[first], start[first], far[last]
 
 
 def runs(rid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

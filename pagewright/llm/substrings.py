@@ -1,20 +1,22 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted over all documents.
 
-1. Every slice of documents hashes all its windows. Of windows that it holds in several documents
-   only those of the first document travel on; the others are repeats already. So a window that
-   a third of all documents share reaches its bucket once for each slice, not for each document.
-2. Windows are dealt to buckets by hash, one Spark partition each, as packed arrays; a bucket finds
-   each hash's smallest document, and the windows in later documents are repeats.
-3. Repeats are dealt by document and merged into maximal removal intervals.
+1. Every slice of documents hashes all its windows: a word is its XXH64, a window the polynomial of its words over a
+   prime field. Of windows that the slice holds in several documents, compared word by word, only those of
+   the first document travel on; the others are repeats already. So a window that a third of all documents
+   share reaches its bucket once for each slice, not for each document.
+2. Windows are dealt to buckets by hash, one Spark partition each, as packed arrays; a bucket folds them into one
+   entry for each hash, and claims that the windows of later documents repeat it.
+3. Claims are dealt by document, joined into runs, confirmed on the words themselves (see matches), and merged into
+   maximal removal intervals.
 
-Windows are equal if their 64-bit hashes are: among n different windows about n*n / 2**65 pairs
-collide by chance (0.0005 at 135 million windows).
+Hashes only decide what is compared: equal hashes of different words remove nothing, at any size.
 
 Defined results
 - null or empty text, or fewer words than a window: nothing is removed.
 - rows that share a doc_id (or null ids, which come first) count as documents ordered by the hash
   of their text; equal rows are one document and share its result.
 - windows repeated within one document only stay.
+- a text of more than two slices is hashed in pieces that overlap by a window; the last step holds one text and its word bounds.
 - an empty table gives an empty result. Further columns are ignored.
 """
 
@@ -25,39 +27,95 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import columns as C
-from pagewright.sources.session import prepare_workers, shuffle_partitions, table
+from pagewright.llm import matches as M
+from pagewright.sources.session import checkpoint, prepare_workers, table
 
 WINDOW = 13
 _ENTRIES = 0
-_BYTES, _WORDS = C.Rolling(11), C.Rolling(12)
-
-
-def _windows(window: int, n: int):
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for rids, data, offsets in C.slices(batches):
-            starts, ends, doc = C.words(data, offsets)
-            if len(starts) < window:
+_HASH = C.RabinKarp(12)
+
+
+class _Numbers(dict):
+    """Different words by number, in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, list[bytes], int]]:
+    """(rids ascending, texts, words before the first text) of slices; a long text comes alone, in overlapping pieces."""
+    for rids, data, offsets in C.slices(batches):
+        if len(rids) > 1 or len(data) <= 2 * C.SLICE:
+            order = np.argsort(rids, kind="stable")
+            yield rids[order], [data[offsets[i] : offsets[i + 1]].tobytes() for i in order], 0
+            continue
+        at, base, size = 0, 0, C.SLICE
+        while True:
+            end = at + size
+            while end < len(data) and not C.WHITE[data[end]]:
+                end += 1
+            part = data[at:end]
+            starts = C.words(part, np.array([0, len(part)]))[0]
+            if end < len(data) and len(starts) < window:
+                size *= 2
                 continue
-            word = _BYTES.of(_BYTES.prefix(data), starts, ends)
-            sums = _WORDS.prefix(word)
-            at = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :])
-            h = _WORDS.of(sums, at, at + window)
-            rid = rids[doc[at]]
-            pos = at - np.searchsorted(doc, np.arange(len(rids)))[doc[at]]
+            yield rids, [part.tobytes()], base
+            if end >= len(data):
+                break
+            step = len(starts) - window + 1
+            at, base, size = at + int(starts[step]), base + step, C.SLICE
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], window: int, bits: int):
+    """(rids, texts' words, words as numbers, at, document of each window, its position, its hash) of slices; bits: of the hash."""
+    for rids, texts, base in _pieces(batches, window):
+        found = [t.split() for t in texts]
+        counts = np.array([len(f) for f in found])
+        first = np.cumsum(counts) - counts
+        number = _Numbers()
+        ids = np.concatenate([np.fromiter(map(number.__getitem__, f), np.int64, len(f)) for f in found])
+        values = C.reduced(np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64))
+        doc = np.repeat(np.arange(len(rids)), np.maximum(counts - window + 1, 0))
+        if not len(doc):
+            continue
+        pos = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(rids)))[doc]
+        at = first[doc] + pos
+        yield rids, found, ids, at, doc, pos + base, _HASH.windows(values[ids], window)[at] & C.U((1 << 64) - (1 << (64 - bits)))
+
+
+def windows_of(window: int, bits: int) -> M.Windows:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for rids, found, _, _, doc, pos, h in _hashed(batches, window, bits):
+            base = int(pos[0])
+            yield rids, lambda i, f=found, d=doc, p=pos, b=base: b" ".join(f[d[i]][p[i] - b * (len(f) == 1) :][:window]), doc, pos, h
+
+    return M.Windows(window, M.Words, hashes)
+
+
+def _windows(window: int, n: int, bits: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for rids, _, ids, at, doc, pos, h in _hashed(batches, window, bits):
+            rid = rids[doc]
             order = np.argsort(h)
             sorted_h = h[order]
-            group = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])) if len(h) else np.empty(0, np.int64)
-            least = np.minimum.reduceat(rid[order], group) if len(h) else rid
-            first = np.empty(len(h), np.int64)
-            first[order] = np.repeat(least, np.diff(np.append(group, len(h))))
-            repeat = rid > first
+            group = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
+            first = np.empty(len(h), np.int64)  # rows ascend, so a group's least place is its first document's
+            first[order] = np.repeat(np.minimum.reduceat(order, group), np.diff(np.append(group, len(h))))
+            repeat = np.flatnonzero(rid > rid[first])
+            same = np.ones(len(repeat), bool)
+            for j in range(window):
+                same &= ids[at[repeat] + j] == ids[at[first[repeat]] + j]
+            repeat = repeat[same]
             r, p, k = C.runs(rid[repeat], pos[repeat])
             yield from C.span_rows(r, p, p + k - 1 + window, n)
-            keep = ~repeat
+            keep = np.ones(len(h), bool)
+            keep[repeat] = False
             h, rid, pos = h[keep], rid[keep], pos[keep]
             for b, (x, r, p) in C.dealt(C.bucket_of(h, n), n, h, rid, pos):
                 yield b, _ENTRIES, x.tobytes(), C.narrow(r), C.narrow(p) if p.max() > 65535 else b"", p.astype("<u2").tobytes() if p.max() <= 65535 else b""
@@ -65,86 +123,61 @@ def _windows(window: int, n: int):
     return lambda batches: C.blobs(found(batches))
 
 
-def _positions(row: tuple) -> np.ndarray:
-    return C.widened(row[2]) if row[2] else np.frombuffer(row[3], "<u2").astype(np.int64)
-
-
-def _counted(window: int, n: int):
+def _counted(n: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        rows = C.gathered(batches)
-        for a, b, c, _ in rows.get(C.SPANS, []):
-            yield from C.span_rows(*C.spans_from([(a, b, c)]), n)
-        entries = rows.pop(_ENTRIES, [])
-        if not entries:
-            return
-        h, rid = C.joined(entries, 0, "<u8"), C.joined(entries, 1)
-        pos = np.concatenate([_positions(e) for e in entries])
-        order = np.argsort(h)
-        h = h[order]
-        same = h[1:] == h[:-1]
-        twice = np.zeros(len(h), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        order, h = order[twice], h[twice]
-        if not len(h):
-            return
-        rid, pos = rid[order], pos[order]
-        group = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        first = np.repeat(np.minimum.reduceat(rid, group), np.diff(np.append(group, len(h))))
-        repeat = rid > first
-        rid, pos = rid[repeat], pos[repeat]
-        order = np.lexsort((pos, rid))
-        r, p, k = C.runs(rid[order], pos[order])
-        yield from C.span_rows(r, p, p + k - 1 + window, n)
+        fold = M.Fold(n, inside=False)
+        for kind, a, b, c, d in C.entries(batches):
+            if kind == C.SPANS:
+                yield from C.span_rows(*C.spans_from([(a, b, c)]), n)
+            else:
+                yield from fold.add(np.frombuffer(a, "<u8"), C.widened(b), C.widened(c) if c else np.frombuffer(d, "<u2").astype(np.int64))
+        yield from fold.folded()
 
     return lambda batches: C.blobs(found(batches))
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, n: int | None = None) -> DataFrame:
-    """(rid, text) -> (rid, spans) of the rows with repeats; spans: int64 pairs of word numbers, end excluded."""
-    n = n or shuffle_partitions(rows.sparkSession)
+def repeats(rows: DataFrame, window: int = WINDOW, bits: int = 64, n: int | None = None) -> DataFrame:
+    """(rid, text) -> what is known and what is claimed, as matches.FOUND."""
+    n = n or C.buckets(rows)
     prepare_workers(rows.sparkSession)
     C.bounded_batches(rows)
-    windows = rows.select("rid", "text").mapInArrow(_windows(window, n), C.BLOB)
-    counted = windows.repartitionById(n, F.col("bucket")).mapInArrow(_counted(window, n), C.BLOB)
-    return counted.repartitionById(n, F.col("bucket")).mapInArrow(C.collect_spans, C.ROW_SPANS)
-
-
-def _kept(text: bytes | None, spans: bytes | None) -> tuple[int, int, list[bytes]]:
-    found = (text or b"").split()
-    n = len(found)
-    if not spans:
-        return n, 0, found
-    out, at, removed = [], 0, 0
-    for a, b in np.frombuffer(spans, "<i8").reshape(-1, 2).tolist():
-        out += found[at:a]
-        removed += b - a
-        at = b
-    return n, removed, out + found[at:]
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row."""
+    windows = rows.select("rid", "text").mapInArrow(_windows(window, n, bits), C.BLOB)
+    counted = windows.repartitionById(n, F.col("bucket")).mapInArrow(_counted(n), C.BLOB)
+    return checkpoint(counted.repartitionById(n, F.col("bucket")).mapInArrow(M.by_document, M.FOUND))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True, bits: int = 64) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row; the same for any number of hash bits."""
     rows, distinct = C.with_row_ids(docs)
-    spans = repeated_spans(distinct, window).withColumnRenamed("rid", "of")
-    whole = rows.join(spans, rows["rid"] == spans["of"], "left").select("doc_id", "text", "spans")
+    found = repeats(distinct, window, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, sha, kept = [], [], [], []
-            for text, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                a, b, left = _kept(text, spans)
-                line = b" ".join(left)
-                n.append(a)
-                removed.append(b)
+            n, removed, sha, kept, failed = [], [], [], [], []
+            for text, known, claims in zip(batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                text = M.Words(text.as_py() or b"")
+                gone, wrong = M.settled(text, known, claims)
+                line = text.without(gone)
+                n.append(text.size)
+                removed.append(sum(b - a for a, b in gone))
                 sha.append(hashlib.sha256(line).hexdigest())
+                failed.append(np.array(wrong, "<i8").tobytes() if wrong else None)
                 if texts:
                     kept.append(line.decode())
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(failed, pa.binary())]
+            names = ["rid", "doc_id", "n_words", "n_removed", "kept_sha256", "failed"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * texts, names + ["kept_text"] * texts)
 
-    return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    schema = "rid long, doc_id long, n_words long, n_removed long, kept_sha256 string, failed binary" + ", kept_text string" * texts
+
+    def settle(found: DataFrame) -> DataFrame:
+        return checkpoint(M.with_spans(rows, distinct, found, M.Words, window).mapInArrow(run, schema))
+
+    done = settle(found)
+    wrong = done.where("failed is not null").select("rid", "failed").dropDuplicates(["rid"])
+    if not wrong.isEmpty():
+        done = settle(found.union(M.contested(distinct, wrong, windows_of(window, bits), inside=False)))
+    return done.drop("rid", "failed")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
