@@ -127,7 +127,10 @@ def claims_from(rows: list[tuple]) -> tuple[np.ndarray, ...]:
 
 def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All SPANS and CLAIMS rows of one bucket -> FOUND: what is known to be repeated, and runs."""
-    rows = C.gathered(batches)
+    yield from found_in(C.gathered(batches))
+
+
+def found_in(rows: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
     for batch in C.spans_by_row(*C.spans_from(rows.pop(C.SPANS, []))):
         nothing = pa.nulls(batch.num_rows, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), *[nothing] * 4, batch.column(1)], [x.split()[0] for x in FOUND.split(", ")])
@@ -146,20 +149,22 @@ class Fold:
 
     def __init__(self, buckets: int, inside: bool) -> None:
         self.buckets, self.inside = buckets, inside
-        self.h, self.rid, self.pos = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        #: hash, rid, position, windows in it, and what the caller adds
+        self.kept: list[np.ndarray] = []
+        self.parts: list[list[np.ndarray]] = []
         self.held = 0
 
-    def add(self, h: np.ndarray, rid: np.ndarray, pos: np.ndarray) -> Iterator[tuple]:
-        self.parts.append((h, rid, pos))
-        self.held += len(h)
-        if 24 * self.held > max(FOLD, 24 * len(self.h)):
+    def add(self, *entries: np.ndarray) -> Iterator[tuple]:
+        self.parts.append(list(entries))
+        self.held += sum(x.nbytes for x in entries)
+        if self.held > max(FOLD, sum(x.nbytes for x in self.kept)):
             yield from self.folded()
 
     def folded(self) -> Iterator[tuple]:
         if not self.parts:
             return
-        h, rid, pos = (np.concatenate(x) for x in zip((self.h, self.rid, self.pos), *self.parts, strict=True))
+        parts = [self.kept] * bool(self.kept) + self.parts
+        h, rid, pos, n, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.parts, self.held = [], 0
         order = np.argsort(h)
         ordered = h[order]
@@ -174,9 +179,9 @@ class Fold:
         first = some[np.maximum.accumulate(np.where(fresh, np.arange(len(some)), 0))] if len(some) else some
         again = ~fresh if self.inside else rid[some] > rid[first]
         a, b = some[again], first[again]
-        yield from claim_rows(rid[a], pos[a], np.ones(len(a), np.int64), rid[b], pos[b], self.buckets)
+        yield from claim_rows(rid[a], pos[a], n[a].astype(np.int64), rid[b], pos[b], self.buckets)
         keep = np.sort(np.concatenate([order[~tied], some[~again]]))
-        self.h, self.rid, self.pos = h[keep], rid[keep], pos[keep]
+        self.kept = [x[keep] for x in (h, rid, pos, n, *more)]
 
 
 def _digest(data: bytes) -> bytes:
@@ -201,11 +206,8 @@ def _digests(units: type[Text]):
     return run
 
 
-def with_spans(rows: DataFrame, distinct: DataFrame, found: DataFrame, units: type[Text], width: int) -> DataFrame:
-    """rows with (spans, failed): known and confirmed stretches of units, and the windows of runs that aren't what was claimed.
-
-    rows, distinct: (rid, doc_id, text), of which the texts are shuffled once; found: FOUND, n in windows.
-    """
+def _with_found(rows: DataFrame, distinct: DataFrame, found: DataFrame, units: type[Text], width: int) -> DataFrame:
+    """(rid, doc_id, text, known, claims): each row with its known stretches, and its claims with what they must digest to."""
     runs = found.where("spans is null").select("rid", "start", (F.col("n") + (width - 1)).alias("n"), "of", "at")
     asked = runs.select(F.col("of").alias("a_of"), "at", "n").distinct().groupBy("a_of").agg(F.collect_list(F.struct("at", "n")).alias("asked"))
     digests = distinct.join(asked, distinct["rid"] == asked["a_of"]).select("rid", "text", "asked", "doc_id").mapInArrow(_digests(units), "d_of long, d_at long, d_n long, digest binary")
@@ -232,6 +234,37 @@ def settled(text: Text, known: list[bytes] | None, claims: list[dict] | None) ->
     return out, failed
 
 
+def applied(rows: DataFrame, distinct: DataFrame, found: DataFrame, windows: Windows, inside: bool, result: Callable[[Text, list[tuple[int, int]]], tuple], schema: str) -> DataFrame:
+    """doc_id and what result() makes of every row's text and its maximal repeated stretches of units.
+
+    rows, distinct: (rid, doc_id, text), of which the texts are shuffled once; found: FOUND, n in windows.
+    The result is written to the shared folder: whether a claim failed is known only then.
+    """
+    fields = [x.strip() for x in f"rid long, doc_id long, failed binary, {schema}".split(",")]
+    names, units = [x.split()[0] for x in fields], windows.units
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in fields]
+        for batch in batches:
+            failed, out = [], []
+            for text, known, claims in zip(batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                text = units(text.as_py() or b"")
+                gone, wrong = settled(text, known, claims)
+                failed.append(np.array(wrong, "<i8").tobytes() if wrong else None)
+                out.append(result(text, gone))
+            columns = [batch.column(0), batch.column(1), failed, *zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def settle(found: DataFrame) -> DataFrame:
+        return checkpoint(_with_found(rows, distinct, found, units, windows.width).mapInArrow(run, ", ".join(fields)))
+
+    done = settle(found)
+    wrong = done.where("failed is not null").select("rid", "failed").dropDuplicates(["rid"])
+    if not wrong.isEmpty():
+        done = settle(found.union(contested(distinct, wrong, windows, inside)))
+    return done.drop("rid", "failed")
+
+
 def contested(rows: DataFrame, failed: DataFrame, windows: Windows, inside: bool) -> DataFrame:
     """(rid, text) and (rid, failed stretches) -> FOUND spans of all windows whose hash is that of a failed claim's window.
 

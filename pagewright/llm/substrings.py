@@ -130,7 +130,8 @@ def _counted(n: int):
             if kind == C.SPANS:
                 yield from C.span_rows(*C.spans_from([(a, b, c)]), n)
             else:
-                yield from fold.add(np.frombuffer(a, "<u8"), C.widened(b), C.widened(c) if c else np.frombuffer(d, "<u2").astype(np.int64))
+                h = np.frombuffer(a, "<u8")
+                yield from fold.add(h, C.widened(b), C.widened(c) if c else np.frombuffer(d, "<u2").astype(np.int64), np.ones(len(h), np.uint8))
         yield from fold.folded()
 
     return lambda batches: C.blobs(found(batches))
@@ -149,35 +150,13 @@ def repeats(rows: DataFrame, window: int = WINDOW, bits: int = 64, n: int | None
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True, bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row; the same for any number of hash bits."""
     rows, distinct = C.with_row_ids(docs)
-    found = repeats(distinct, window, bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, removed, sha, kept, failed = [], [], [], [], []
-            for text, known, claims in zip(batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                text = M.Words(text.as_py() or b"")
-                gone, wrong = M.settled(text, known, claims)
-                line = text.without(gone)
-                n.append(text.size)
-                removed.append(sum(b - a for a, b in gone))
-                sha.append(hashlib.sha256(line).hexdigest())
-                failed.append(np.array(wrong, "<i8").tobytes() if wrong else None)
-                if texts:
-                    kept.append(line.decode())
-            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(failed, pa.binary())]
-            names = ["rid", "doc_id", "n_words", "n_removed", "kept_sha256", "failed"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * texts, names + ["kept_text"] * texts)
-
-    schema = "rid long, doc_id long, n_words long, n_removed long, kept_sha256 string, failed binary" + ", kept_text string" * texts
-
-    def settle(found: DataFrame) -> DataFrame:
-        return checkpoint(M.with_spans(rows, distinct, found, M.Words, window).mapInArrow(run, schema))
-
-    done = settle(found)
-    wrong = done.where("failed is not null").select("rid", "failed").dropDuplicates(["rid"])
-    if not wrong.isEmpty():
-        done = settle(found.union(M.contested(distinct, wrong, windows_of(window, bits), inside=False)))
-    return done.drop("rid", "failed")
+
+    def result(text: M.Words, gone: list[tuple[int, int]]) -> tuple:
+        line = text.without(gone)
+        return (text.size, sum(b - a for a, b in gone), hashlib.sha256(line).hexdigest(), *[line.decode()] * texts)
+
+    schema = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
+    return M.applied(rows, distinct, repeats(distinct, window, bits), windows_of(window, bits), False, result, schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,31 @@
-"""Suffix dedup: a depth-limited radix sort of suffixes, most significant digit first.
+"""Suffix dedup: suffixes are told apart in passes, only through their first `length` bytes.
 
-Suffixes are ordered only through their first `length` bytes; equal groups are the repeated windows.
-A pass deals the suffixes by their next digit and drops those that stand alone; only their
-neighbours, which still tie, go on to the next pass with a deeper digit.
+Departure from a radix sort on the bytes: one entry for each suffix and 8-byte digit is 14 times the input, so only suffixes at
+anchors are dealt, and a pass's digit is the hash of a stretch of bytes instead of the bytes. Suffixes that
+stand alone after a pass are done; those that still tie go on to the next. What ties at the end is
+compared by its bytes, so the groups of equal windows are exact (see matches).
 
 Digit 1, anchors. A window of `length` bytes holds length - GRAM + 1 grams of GRAM bytes. Its anchor is
 its gram of smallest hash (the leftmost of equals), so equal windows have their anchors at the same
 offset. Windows that lie next to each other mostly share an anchor, about 27 of them, and travel as
 one stretch, keyed by the anchor's gram. Stretches whose gram is found once are done.
-Digit 2, stretches. Among stretches with the same gram, those that agree in all their bytes and in
-the anchor's offset are ordered by position; all but the first consist of repeated windows only.
+Digit 2, stretches. Among stretches with the same gram, those that agree in their whole and in
+the anchor's offset are ordered by position; all but the first claim to repeat it.
 Digit 3, windows. Where a gram's stretches differ, the first of each kind is opened, and its windows
-are dealt by all of their bytes; all but a window's first place are repeats. This happens only near
+are dealt by all of their bytes; all but a window's first place claim to repeat it. This happens only near
 the ends of repeated passages.
+Confirmation. Claims that continue each other are joined into runs; a run is removed if its bytes are the claimed ones.
 
 Each slice of documents makes these passes over its own rows first and sends on one row for each
 gram, stretch or window, so that a passage that a third of all documents share reaches its bucket
-once for each slice. Grams that differ within one slice are sent as a mark, and their stretches
-go straight to digit 3.
-
-Bytes are compared by hash: grams and stretches by 64 bits each, windows by 128.
+once for each slice; a bucket folds what it gets, so it holds each different stretch once. Grams that differ within
+one slice are sent as a mark, and their stretches go straight to digit 3.
 
 Defined results
 - null text: empty. Texts shorter than `length`: nothing is removed.
 - rows that share a doc_id (or null ids, which come first) are ordered by the hash of their text;
   equal rows are one document and share its result.
+- a long text is dealt in pieces that overlap; the last step holds one text.
 - an empty table gives an empty result. Further columns are ignored.
 """
 
@@ -39,14 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import columns as C
-from pagewright.sources.session import checkpoint, prepare_workers, shuffle_partitions, table
+from pagewright.llm import matches as M
+from pagewright.sources.session import checkpoint, prepare_workers, table
 
 LENGTH = 100
 GRAM = 48
 #: Bytes of text in a worker's arrays at a time.
 PIECE = 3 << 18
 _STRETCHES, _MARKS, _OPEN, _WINDOWS = 0, 1, 2, 3
-_ONE, _TWO = C.Rolling(21), C.Rolling(22)
+_HASH = C.RabinKarp(21)
 
 
 def _pieces(batches, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -72,16 +74,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(left, cells.reshape(-1)[: n - width + 1], out=left)
 
 
-def _anchored(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+def _anchored(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, bits: int):
     """Stretches of windows that share an anchor: (document, first start, windows, gram's hash, stretch's hash)."""
-    sums = _ONE.prefix(data)
-    grams = _ONE.every(sums, gram)
-    bits = C.U((1 << max(24, len(data).bit_length())) - 1)
-    keys = grams & ~bits
+    grams = _HASH.windows(data, gram)
+    place = C.U((1 << max(24, len(data).bit_length())) - 1)
+    keys = grams & ~place
     keys |= np.arange(len(grams), dtype=np.uint64)
     anchor = _sliding_min(keys, length - gram + 1)
     del keys
-    anchor &= bits
+    anchor &= place
     anchor = anchor.view(np.int64)
     start = np.union1d(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, offsets[:-1])
     start = start[start < len(anchor)]
@@ -90,8 +91,17 @@ def _anchored(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     some = end > start
     doc, start, end = doc[some], start[some], end[some]
     anchor = anchor[start]
-    shape = (anchor - start).astype(np.uint64) << C.U(32) | (end - start).astype(np.uint64)
-    return doc, start, end - start, grams[anchor], C.mixed(_ONE.of(sums, start, end - 1 + length) + C.mixed(shape))
+    size = end - 1 + length - start
+    part = 1 << (length.bit_length() - 1)
+    parts = grams if part == gram else _HASH.windows(data, part)
+    whole = C.mixed((anchor - start).astype(np.uint64) << C.U(32) | (end - start).astype(np.uint64))
+    for k in range(-(-(2 * length - gram) // part)):  # equal parts that cover the stretch, the last ones from its end
+        whole = C.mixed(whole + parts[start + np.minimum(k * part, size - part)])
+    return doc, start, end - start, grams[anchor], whole & _masked(bits)
+
+
+def _masked(bits: int) -> np.uint64:
+    return C.U((1 << 64) - (1 << (64 - bits)))
 
 
 def _fresh(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -112,22 +122,27 @@ def _ties(g: np.ndarray, c: np.ndarray, rid: np.ndarray, start: np.ndarray) -> t
     return order, first, several
 
 
+def _heads(first: np.ndarray) -> np.ndarray:
+    """For each place the last one before it, or itself, that is a first."""
+    return np.maximum.accumulate(np.where(first, np.arange(len(first)), 0)) if len(first) else np.empty(0, np.int64)
+
+
 def _bucket(g: np.ndarray, n: int) -> np.ndarray:
     """Anchors are grams of small hash, so the hash itself isn't even."""
     return C.bucket_of(C.mixed(g ^ C.U(0x5851F42D4C957F2D)), n)
 
 
-def _digit_1(length: int, gram: int, n: int):
+def _digit_1(length: int, gram: int, n: int, bits: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for rids, data, offsets, base in _pieces(batches, length):
             if len(data) < length:
                 continue
-            doc, start, count, g, c = _anchored(data, offsets, length, gram)
+            doc, start, count, g, c = _anchored(data, offsets, length, gram, bits)
             rid, start = rids[doc], start - offsets[doc] + base
             order, first, several = _ties(g, c, rid, start)
             g, c, rid, start, count = g[order], c[order], rid[order], start[order], count[order]
-            again = ~first
-            yield from C.span_rows(*C.merged(rid[again], start[again], start[again] + count[again] - 1 + length), n)
+            again, of = ~first, _heads(first)[~first]
+            yield from M.claim_rows(rid[again], start[again], count[again], rid[of], start[of], n)
             opened = first & several
             yield from C.span_rows(rid[opened], start[opened], start[opened] + count[opened], n, _OPEN)
             marks = np.unique(g[opened])
@@ -143,55 +158,55 @@ def _digit_1(length: int, gram: int, n: int):
     return lambda batches: C.blobs(found(batches))
 
 
-def _digit_2(length: int, n: int):
+def _stretches(a: bytes, b: bytes, c: bytes, d: bytes) -> tuple[np.ndarray, ...]:
+    """A row of stretches -> stretch's hash, rid, start, windows, gram's hash."""
+    n = len(a) // 16
+    return np.frombuffer(a, "<u8", offset=8 * n), C.widened(b), np.frombuffer(c, f"<u{len(c) // n}").astype(np.int64), np.frombuffer(d, f"<u{len(d) // n}").astype(np.uint16), np.frombuffer(a, "<u8", n)
+
+
+def _digit_2(n: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        rows = C.gathered(batches)
-        for kind in (C.SPANS, _OPEN):  # known already, on their way to their documents
-            for row in rows.pop(kind, []):
-                yield from C.span_rows(*C.spans_from([row]), n, kind)
-        entries = rows.pop(_STRETCHES, [])
-        marks = np.unique(C.joined(rows.pop(_MARKS, []), 0, "<u8"))
-        if not entries:
-            return
-        g = np.concatenate([np.frombuffer(e[0], "<u8", len(e[0]) // 16) for e in entries])
-        c = np.concatenate([np.frombuffer(e[0], "<u8", offset=len(e[0]) // 2) for e in entries])
-        rid = C.joined(entries, 1)
-        start = np.concatenate([np.frombuffer(e[2], f"<u{16 * len(e[2]) // len(e[0])}").astype(np.int64) for e in entries])
-        count = np.concatenate([np.frombuffer(e[3], f"<u{16 * len(e[3]) // len(e[0])}").astype(np.int64) for e in entries])
-        del entries
-        order = np.argsort(g)
-        ordered = g[order]
-        tied = np.zeros(len(g), bool)
-        tied[1:] = ordered[1:] == ordered[:-1]
-        tied[:-1] |= tied[1:]
-        if len(marks):
-            tied |= marks[np.minimum(np.searchsorted(marks, ordered), len(marks) - 1)] == ordered
-        some = order[tied]
-        g, c, rid, start, count = (x[some] for x in (g, c, rid, start, count))
-        order, first, several = _ties(g, c, rid, start)
-        g, rid, start, count = g[order], rid[order], start[order], count[order]
-        again = ~first
-        yield from C.span_rows(*C.merged(rid[again], start[again], start[again] + count[again] - 1 + length), n)
-        opened = first & (several | np.isin(g, marks))
-        yield from C.span_rows(rid[opened], start[opened], start[opened] + count[opened], n, _OPEN)
+        fold, marks = M.Fold(n, inside=True), [np.empty(0, np.uint64)]
+        for kind, a, b, c, d in C.entries(batches):
+            if kind == M.CLAIMS:
+                yield from M.claim_rows(*M.claims_from([(a, b, c, d)]), n)
+            elif kind == _OPEN:
+                yield from C.span_rows(*C.spans_from([(a, b, c)]), n, _OPEN)
+            elif kind == _MARKS:
+                marks.append(np.frombuffer(a, "<u8"))
+            else:
+                yield from fold.add(*_stretches(a, b, c, d))
+        yield from fold.folded()
+        if fold.kept:
+            _, rid, start, count, g = fold.kept
+            order = np.argsort(g)
+            ordered = g[order]
+            tied = np.isin(ordered, np.unique(np.concatenate(marks)))
+            same = ordered[1:] == ordered[:-1]
+            tied[1:] |= same
+            tied[:-1] |= same
+            some = order[tied]
+            yield from C.span_rows(rid[some], start[some], start[some] + count[some], n, _OPEN)
 
     return lambda batches: C.blobs(found(batches))
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SPANS and OPEN rows of one bucket -> (rid, kind, spans)."""
+    """CLAIMS and OPEN rows of one bucket -> FOUND with the kind."""
     rows = C.gathered(batches)
-    for kind in (C.SPANS, _OPEN):
-        for batch in C.spans_by_row(*C.spans_from(rows.get(kind, []))):
-            yield batch.append_column("kind", pa.array([kind] * batch.num_rows, pa.int32()))
+    opened = rows.pop(_OPEN, [])
+    for batch in M.found_in(rows):
+        yield batch.append_column("kind", pa.array([M.CLAIMS] * batch.num_rows, pa.int32()))
+    for batch in M.found_in({C.SPANS: opened}):
+        yield batch.append_column("kind", pa.array([_OPEN] * batch.num_rows, pa.int32()))
 
 
-def _digit_3(length: int, n: int):
+def _digit_3(length: int, n: int, bits: int):
     """(rid, text, the starts of open windows as spans) -> windows."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            at_row, spans = 0, batch.column(2).to_pylist()
+            spans = batch.column(2).to_pylist()
             rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(1)], ["i", "text"])
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for rows_at, data, offsets, base in _pieces([rows], length):
@@ -207,105 +222,80 @@ def _digit_3(length: int, n: int):
                 if not starts:
                     continue
                 at, doc = np.concatenate(starts), np.concatenate(docs)
-                x = _ONE.of(_ONE.prefix(data), at, at + length)
-                y = _TWO.of(_TWO.prefix(data), at, at + length)
+                x = _HASH.windows(data, length)[at] & _masked(bits)
                 offset = offsets[:-1][np.searchsorted(rows_at, doc)]
                 rid, start = ids[doc], at - offset + base
-                order = np.lexsort((start, rid, y, x))
-                x, y, rid, start = x[order], y[order], rid[order], start[order]
-                first = _fresh(x, y)
-                yield from C.span_rows(*C.merged(rid[~first], start[~first], start[~first] + length), n)
-                x, y, rid, start = x[first], y[first], rid[first], start[first]
+                order = np.lexsort((start, rid, x))
+                x, rid, start = x[order], rid[order], start[order]
+                first = _fresh(x)
+                of = _heads(first)[~first]
+                yield from M.claim_rows(rid[~first], start[~first], np.ones(len(of), np.int64), rid[of], start[of], n)
+                x, rid, start = x[first], rid[first], start[first]
                 order = np.lexsort((start, rid))
-                x, y, rid, start = x[order], y[order], rid[order], start[order]
-                for b, (p, q, r, s) in C.dealt(C.bucket_of(x, n), n, x, y, rid, start):
-                    yield b, _WINDOWS, p.tobytes(), q.tobytes(), C.narrow(r), s.astype("<i8").tobytes() if s.max() >= 1 << 31 else s.astype("<i4").tobytes()
-            at_row += batch.num_rows
+                x, rid, start = x[order], rid[order], start[order]
+                for b, (p, r, s) in C.dealt(C.bucket_of(x, n), n, x, rid, start):
+                    yield b, _WINDOWS, p.tobytes(), C.narrow(r), C.narrow(s)
 
     return lambda batches: C.blobs(found(batches))
 
 
-def _last(length: int, n: int):
+def _last(n: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        rows = C.gathered(batches)
-        for row in rows.pop(C.SPANS, []):
-            yield from C.span_rows(*C.spans_from([row]), n)
-        entries = rows.pop(_WINDOWS, [])
-        if not entries:
-            return
-        x, y, rid = C.joined(entries, 0, "<u8"), C.joined(entries, 1, "<u8"), C.joined(entries, 2)
-        start = np.concatenate([np.frombuffer(e[3], "<i8" if len(e[3]) == len(e[0]) else "<i4").astype(np.int64) for e in entries])
-        order = np.argsort(x)
-        ordered = x[order]
-        tied = np.zeros(len(x), bool)
-        tied[1:] = ordered[1:] == ordered[:-1]
-        tied[:-1] |= tied[1:]
-        some = order[tied]
-        x, y, rid, start = x[some], y[some], rid[some], start[some]
-        order = np.lexsort((start, rid, y, x))
-        again = ~_fresh(x[order], y[order])
-        rid, start = rid[order][again], start[order][again]
-        yield from C.span_rows(*C.merged(rid, start, start + length), n)
+        fold = M.Fold(n, inside=True)
+        for kind, a, b, c, d in C.entries(batches):
+            if kind == M.CLAIMS:
+                yield from M.claim_rows(*M.claims_from([(a, b, c, d)]), n)
+            else:
+                x = np.frombuffer(a, "<u8")
+                yield from fold.add(x, C.widened(b), C.widened(c), np.ones(len(x), np.uint8))
+        yield from fold.folded()
 
     return lambda batches: C.blobs(found(batches))
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, n: int | None = None) -> DataFrame:
-    """(rid, doc_id, text) -> (rid, spans): byte stretches covered by windows that also start earlier.
+def windows_of(length: int, bits: int) -> M.Windows:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for rids, data, offsets, base in _pieces(batches, length):
+            doc = np.repeat(np.arange(len(rids)), np.maximum(np.diff(offsets) - length + 1, 0))
+            if not len(doc):
+                continue
+            pos = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(rids)))[doc]
+            at = offsets[:-1][doc] + pos
+            yield rids, lambda i, d=data, at=at: d[at[i] : at[i] + length].tobytes(), doc, pos + base, _HASH.windows(data, length)[at] & _masked(bits)
+
+    return M.Windows(length, M.Text, hashes)
 
-    A rid has up to two rows, whose stretches may overlap; spans: int64 pairs, end excluded.
-    """
+
+def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = 64, n: int | None = None) -> DataFrame:
+    """(rid, doc_id, text) -> claims of windows that also start earlier, as matches.FOUND."""
     if not 1 <= gram <= length < 1 << 16:
         raise ValueError("1 <= gram <= length < 65536")
-    n = n or shuffle_partitions(rows.sparkSession)
+    n = n or C.buckets(rows)
     prepare_workers(rows.sparkSession)
     C.bounded_batches(rows)
     bucket = F.col("bucket")
-    deep = rows.select("rid", "text").mapInArrow(_digit_1(length, gram, n), C.BLOB).repartitionById(n, bucket).mapInArrow(_digit_2(length, n), C.BLOB)
-    known = checkpoint(deep.repartitionById(n, bucket).mapInArrow(_by_document, C.ROW_SPANS + ", kind int"))
-    opened = known.where(F.col("kind") == _OPEN).select(F.col("rid").alias("of"), "spans").dropDuplicates(["of"])
-    # with doc_id, so that the texts' exchange is the one that the removal reads too
-    windows = rows.join(opened, rows["rid"] == opened["of"]).select("rid", "text", "spans", "doc_id").mapInArrow(_digit_3(length, n), C.BLOB)
-    last = windows.repartitionById(n, bucket).mapInArrow(_last(length, n), C.BLOB).repartitionById(n, bucket).mapInArrow(C.collect_spans, C.ROW_SPANS)
-    return known.where(F.col("kind") == C.SPANS).select("rid", "spans").union(last)
+    deep = rows.select("rid", "text").mapInArrow(_digit_1(length, gram, n, bits), C.BLOB).repartitionById(n, bucket).mapInArrow(_digit_2(n), C.BLOB)
+    known = checkpoint(deep.repartitionById(n, bucket).mapInArrow(_by_document, M.FOUND + ", kind int"))
+    opened = known.where(F.col("kind") == _OPEN).select(F.col("rid").alias("o_rid"), F.col("spans").alias("opened"))
+    # with doc_id, so that the texts' exchange is the one that the confirmation and the removal read too
+    windows = rows.join(opened, rows["rid"] == opened["o_rid"]).select("rid", "text", "opened", "doc_id").mapInArrow(_digit_3(length, n, bits), C.BLOB)
+    last = windows.repartitionById(n, bucket).mapInArrow(_last(n), C.BLOB).repartitionById(n, bucket).mapInArrow(M.by_document, M.FOUND)
+    return known.where(F.col("kind") == M.CLAIMS).drop("kind").union(last)
 
 
-def _kept(text: bytes, spans: list[bytes]) -> tuple[list[tuple[int, int]], bytes]:
-    pairs = np.concatenate([np.frombuffer(s, "<i8").reshape(-1, 2) for s in spans]) if spans else np.empty((0, 2), np.int64)
-    _, a, b = C.merged(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
-    gone = list(zip(a.tolist(), b.tolist(), strict=True))
-    out, at = [], 0
-    for a, b in gone:
-        out.append(text[at:a])
-        at = b
-    return gone, b"".join([*out, text[at:]])
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_bytes]) of every row.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool = True, bits: int = 64) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_bytes]) of every row; the same for any number of hash bits.
 
     kept_bytes is binary: removal may cut through characters.
     """
     rows, distinct = C.with_row_ids(docs)
-    found = repeated_spans(distinct, length, gram).groupBy(F.col("rid").alias("of")).agg(F.collect_list("spans").alias("spans"))
-    whole = rows.join(found, rows["rid"] == found["of"], "left").select("doc_id", "text", "spans", "rid")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, removed, count, sha, left = [], [], [], [], []
-            for text, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = text or b""
-                gone, rest = _kept(text, spans) if spans else ([], text)
-                size.append(len(text))
-                removed.append(len(text) - len(rest))
-                count.append(len(gone))
-                sha.append(hashlib.sha256(rest).hexdigest())
-                if kept:
-                    left.append(rest)
-            cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, removed, count)), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(left, pa.binary())] * kept, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * kept)
-
-    return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * kept)
+    def result(text: M.Text, gone: list[tuple[int, int]]) -> tuple:
+        rest = text.without(gone)
+        return (text.size, text.size - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), *[rest] * kept)
+
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * kept
+    return M.applied(rows, distinct, repeats(distinct, length, gram, bits), windows_of(length, bits), True, result, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,13 @@ their ids' Simple-8b words, the word count of every block, the escapes, and the
 `first` is the number of ids before the segment in its shard, so that a reader needs no other row.
 Executors write through Spark's own writer, so any store that Spark writes will do.
 
-Range bounds are quantiles of doc_id alone: the text isn't read to find them, and it is shuffled
+Range bounds are quantiles of doc_id alone, unless ids repeat: the text isn't read to find them, and it is shuffled
 once, to its shard.
 
 Defined results
 - null or empty text: only the end id. null doc_id: before all others.
-- equal doc_ids: ordered by text; equal rows are interchangeable.
+- equal doc_ids: ordered by the hash of their text; equal rows are interchangeable.
+- a long text is encoded in parts, cut where no piece reaches over; a segment holds its ids.
 - an empty table gives an empty file set and an empty result.
 - further columns are ignored.
 """
@@ -30,156 +31,86 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import simple8b
-from pagewright.llm.columns import Rolling, bounded_batches
+from pagewright.llm.columns import bounded_batches
 from pagewright.sources.session import prepare_workers, shared_path, shuffle_partitions, table
 
 SEGMENT_IDS = 1 << 18
 #: Up to so many shards are cut by quantiles that stand in the plan; beyond, Spark samples the bounds itself.
 MAX_BOUNDS = 2_048
-#: Characters encoded at a time.
-CHARS = 2 << 20
+#: Characters encoded at a time, about.
+CHARS = 1 << 20
 SCHEMA = "shard int, segment int, first long, n_ids long, words binary, block_words binary, escapes binary, doc_ids array<long>, lengths array<int>"
 DECODED = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
-# Byte-level BPE cuts a text into pieces and merges inside each alone. For texts of these characters
-# only, the cuts are found here; _LETTER, _DIGIT and _WHITE are the classes of its pattern, which is
+# Byte-level BPE cuts a text into pieces and merges inside each alone. The settings under which it cuts by
 #   's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
-_OTHER = re.compile(r"[^\n\r\t\x20-\x7eÀ-ÖØ-öø-ɏ]")
+# and that pattern for the characters that are not _OTHER, whose classes are the same in every version of Unicode.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-_LETTER, _DIGIT, _WHITE, _REST = range(4)
-_CLASS = np.array([_WHITE if chr(c) in "\t\n\r " else _DIGIT if chr(c) in "0123456789" else _LETTER if chr(c).isalpha() else _REST for c in range(0x250)], np.uint8)
-_ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
+_PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
+_OTHER = re.compile(r"[^\n\r\t\x20-\x7eÀ-ÖØ-öø-ɏ]")
+#: No piece reaches over the end of what isn't white space.
+_EDGE = re.compile(r"[!-~](?=[ \n])")
 
 
-def pieces(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the pieces of documents of such characters, end to end; no document is empty.
+def parts(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about `size` characters, cut before white space, where pieces end too."""
+    at = 0
+    while at < len(text):
+        edge = _EDGE.search(text, at + size)
+        end = edge.end() if edge else len(text)
+        yield text[at:end]
+        at = end
 
-    A run of one class is a piece and takes a space before it; of white space before something else,
-    the last character stands apart; an apostrophe takes its ending from the letters behind it.
-    """
-    n = len(codes)
-    kind = _CLASS[codes]
-    head = np.zeros(n + 1, bool)
-    head[offsets[:-1]] = head[n] = True
-    fresh = head.copy()
-    fresh[1:n] |= kind[1:] != kind[:-1]
-    white = kind == _WHITE
-    cut = fresh.copy()
-    inside = ~head[1:n]
-    after = white[:-1] & ~white[1:] & inside
-    cut[: n - 1] |= after
-    cut[1:n] &= ~(after & (codes[:-1] == 32))
-    # an apostrophe alone between what isn't a space and letters
-    at = np.flatnonzero((codes == 39) & fresh[:n] & cut[:n] & fresh[1:])
-    at = at[(at + 1 < n)]
-    at = at[~head[at + 1] & (kind[np.minimum(at + 1, n - 1)] == _LETTER)]
-    for ending in _ENDINGS:
-        k = len(ending)
-        of = at[at + k < n]
-        for j, c in enumerate(ending, 1):
-            of = of[(codes[of + j] == ord(c)) & ~head[of + j]]
-        cut[of + 1] = False
-        cut[of + 1 + k] = True
-    return np.flatnonzero(cut[:n])
+
+class Pieces(dict):
+    """Piece -> its ids as little-endian 32-bit integers: the library is asked once, as long as the piece is remembered."""
+
+    #: So many pieces are remembered.
+    MOST = 600_000
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.encode = tokenizer.encode
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[piece] = out = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 class Encoder:
-    """The tokenizers library, with pieces of byte-level BPE encoded once as long as they are remembered.
+    """The tokenizers library, asked once for each piece of byte-level BPE, which is remembered by its own text.
 
-    A text with other characters, or with the string of an added token, and every text of another
-    kind of tokenizer goes through the library whole. Pieces are told apart by 64-bit hashes.
+    A text with other characters, or with the string of an added token, and every text of another kind of
+    tokenizer goes through the library whole.
     """
 
-    SLOTS = 1 << 19
-    POOL = 4 << 20
-
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        self.cuts = model["type"] == "BPE" and not spec.get("normalizer") and all(pre.get(k) == v for k, v in _BYTE_LEVEL.items()) and not model.get("ignore_merges") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        self.cuts = model["type"] == "BPE" and not spec.get("normalizer") and all(pre.get(k) == v for k, v in _BYTE_LEVEL.items())
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.shown = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if not _OTHER.match(chr(c))}
-        self.rolling = Rolling(31)
-        self.value = np.random.default_rng(32).integers(1 << 63, size=0x250, dtype=np.uint64)
-        self.forget()
-
-    def forget(self) -> None:
-        self.hashes = np.zeros(self.SLOTS, np.uint64)
-        self.where = np.zeros(self.SLOTS, np.int64)
-        self.count = np.zeros(self.SLOTS, np.int32)
-        self.pool = np.zeros(self.POOL, np.uint32)
-        self.used = 0
-
-    def _learn(self, shown: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        tokenize = self.tokenizer.model.tokenize
-        found = [[t.id for t in tokenize(s)] for s in shown]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for f in found for i in f), np.uint32, int(counts.sum()))
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.POOL), np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        where = self.used + np.cumsum(counts) - counts
-        self.used += len(ids)
-        return where, counts
-
-    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids end to end, and their number for each text; no text is empty."""
-        whole = "".join(texts)
-        codes = np.frombuffer(whole.encode("utf-16-le"), np.uint16)
-        offsets = np.cumsum([0, *map(len, texts)])
-        starts = pieces(codes, offsets)
-        ends = np.append(starts[1:], len(codes))
-        h = self.rolling.of(self.rolling.prefix(self.value[codes]), starts, ends)
-        h[h == 0] = 1
-        if self.used > self.POOL:
-            self.forget()
-        slot = (h >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
-        where, count = self.where[slot], self.count[slot].astype(np.int64)
-        missing = np.flatnonzero(self.hashes[slot] != h)
-        if len(missing):
-            new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            shown = whole.translate(self.shown)
-            place = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F))])
-            some = missing[first]
-            got, counts = self._learn([shown[a:b] for a, b in zip(place[starts[some]].tolist(), place[ends[some]].tolist(), strict=True)])
-            where[missing], count[missing] = got[back], counts[back]
-            at = (new >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
-            self.hashes[at], self.where[at], self.count[at] = new, got, counts  # of equal slots the last, in all three
-        before = np.concatenate([[0], np.cumsum(count)])
-        ids = self.pool[np.repeat(where - before[:-1], count) + np.arange(before[-1])]
-        return ids, np.diff(before[np.searchsorted(starts, offsets)])
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out = [np.empty(0, np.uint32)] * len(texts)
-        group: list[int] = []
-        size = 0
-
-        def cut() -> None:
-            ids, counts = self._cut([texts[i] for i in group])
-            for i, a, k in zip(group, (np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
-                out[i] = ids[a : a + k]
-
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.cuts or _OTHER.search(text) or any(t in text for t in self.added):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            group.append(i)
-            size += len(text)
-            if size >= CHARS:
-                cut()
-                group, size = [], 0
-        if group:
-            cut()
-        return out
+        self.pieces = Pieces(self.tokenizer)
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _cut(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, _PIECE.findall(text))), "<u4")
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """The ids of a text; long ones in parts of about CHARS characters where they can be cut."""
+        if not text:
+            return np.empty(0, np.uint32)
+        if not self.cuts or any(t in text for t in self.added):
+            return self._library(text)
+        plain = not _OTHER.search(text)
+        return np.concatenate([self._cut(p) if plain else self._library(p) for p in parts(text, CHARS)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -204,9 +135,9 @@ def _segments(tokenizer_path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for batch in batches:
-            for s, doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encode(batch.column(2).to_pylist()), strict=True):
+            for s, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 shard = s
-                got = np.append(own, np.uint32(end_id))
+                got = np.append(encode(text.as_py()), np.uint32(end_id))
                 ids.append(got)
                 docs.append(doc_id)
                 lengths.append(len(got))
@@ -221,16 +152,22 @@ def _segments(tokenizer_path: str, end_id: int):
 
 
 def shards(docs: DataFrame, n: int) -> DataFrame:
-    """(shard, doc_id, text), each shard an ascending range of doc_id and sorted."""
+    """(shard, doc_id, text), each shard an ascending range of doc_id and sorted.
+
+    Where ids repeat so often, or are null so often, that one of them would fill a shard, the ranges are cut by
+    (doc_id, hash of the text, row) instead, so that rows of one id spread over shards.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if n > MAX_BOUNDS:
-        ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"]
+    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000) if 1 < n <= MAX_BOUNDS else F.lit(None).alias("x"), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    bounds, nulls, total = found
+    if n > 1 and (n > MAX_BOUNDS or nulls > total / n or len(set(bounds or [])) < len(bounds or [])):
+        ranged = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n, *keys[:2], "row").sortWithinPartitions(*keys)
         return ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    bounds = sorted(set(bounds or []))
+    bounds = sorted(bounds or [])
     shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
     rows = rows.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int"))
-    return rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id", "text").select("shard", "doc_id", "text")
+    return rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(*keys).select("shard", "doc_id", "text")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, n_shards: int | None = None) -> None:

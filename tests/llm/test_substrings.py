@@ -69,11 +69,11 @@ def test_fold_keeps_one_of_each():
 
     fold, made = Fold(4, inside=False), []
     for part in (([5, 7, 5], [9, 9, 8], [0, 1, 4]), ([5, 7], [3, 9], [2, 6]), ([5], [1], [0])):
-        fold.parts.append(tuple(np.array(x, t) for x, t in zip(part, (np.uint64, np.int64, np.int64), strict=True)))
+        fold.parts.append([np.array(x, t) for x, t in zip((*part, [1] * len(part[0])), (np.uint64, np.int64, np.int64, np.uint8), strict=True)])
         made += [row[2:] for row in fold.folded()]
     got = sorted(zip(*(x.tolist() for x in claims_from(made)), strict=True))
     assert got == [(3, 2, 1, 1, 0), (8, 4, 1, 3, 2), (9, 0, 1, 8, 4)]
-    assert fold.h.tolist() == [7, 7, 5] and fold.rid.tolist() == [9, 9, 1]
+    assert fold.kept[0].tolist() == [7, 7, 5] and fold.kept[1].tolist() == [9, 9, 1]
 
 
 def test_odd_rows(spark):

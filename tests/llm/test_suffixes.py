@@ -38,6 +38,23 @@ def test_random_texts(spark, gram):
     assert got(remove_repeats(df, 20, gram)) == want
 
 
+@pytest.mark.parametrize("bits", [4, 12])
+def test_equal_hashes_remove_nothing_by_themselves(spark, bits):
+    r = np.random.default_rng(bits)
+    pool = ["".join(r.choice(list("ab "), 30)) for _ in range(5)]
+    rows = [(i, "".join(r.choice(pool) if r.random() < 0.5 else "".join(r.choice(list("abc"), 12)) for _ in range(int(r.integers(0, 8))))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(remove_repeats(df, 20, 8, bits=bits)) == sorted(brute([(a, b.encode()) for a, b in rows], 20))
+
+
+def test_an_empty_text_before_a_very_long_one():
+    r = np.random.default_rng(2)
+    text = "".join(map(str, r.integers(0, 1 << 40, 500_000)))
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"rid": [1, 2, 3, 4], "text": ["", None, text, "x"]})
+    sizes = [len(data) for _, data, _, _ in suffixes._pieces(iter([batch]), 100)]
+    assert len(text) > 5_000_000 and max(sizes) <= 2 * suffixes.PIECE and sum(sizes) >= len(text)
+
+
 def test_long_documents_come_in_pieces(spark, monkeypatch):
     r = np.random.default_rng(1)
     words = ["".join(r.choice(list("abcdef"), 5)) for _ in range(60)]
