@@ -1,14 +1,17 @@
 """Language ID by cross-parsing: the language whose text needs the fewest phrases to write a document wins.
 
-Training. Each language gets the suffix automaton of up to SAMPLE_BYTES of its labelled text, so the
+Training. Each language gets the suffix automaton of about SAMPLE_BYTES of its labelled text: whole texts of at most ROW_BYTES,
+drawn by a hash of doc_id (a language that has only longer ones is learned from its shortest), so the
 model's size is bounded by the number of languages, not by the corpus. The automaton is laid out as
 a table of its longest-match steps: from a state and a byte to the next state, or, where the match
 ends, to the state of a new phrase that begins with this byte.
 
 Scoring. A document is cut greedily into phrases, each the longest that the language's sample holds
 (a byte that it doesn't hold at all is a phrase). c phrases against a sample of n bytes cost c * log2(n);
-the smallest cost wins, the smaller code on a tie. Documents are parsed whole, in segments
-of SEGMENT bytes each of which begins a phrase, so that all segments of a batch step side by side.
+the smallest cost wins, the smaller code on a tie. Documents are parsed whole. So that all of a batch steps
+side by side, segments of SEGMENT bytes are parsed as if each began a phrase; then segments whose true
+first state is another are parsed again, until they meet the state that they had before, so that the phrases are
+those of one pass from the text's first byte to its last.
 
 Texts are lower-cased, and all but letters become single spaces.
 
@@ -16,6 +19,7 @@ Defined results
 - null texts and texts without a letter: `und`, score 0. An empty training set: all `und`.
 - score: 1 - best cost / second-best cost, 1 where only one language is learned.
 - null doc_id: not held out. Rows are scored one by one, so repeats get equal results.
+- a long text is parsed in parts of GROUP bytes, the state carried from one to the next.
 - empty tables: an empty result. Further columns are ignored.
 """
 
@@ -33,10 +37,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.columns import bounded_batches
 from pagewright.sources.session import prepare_workers, table
 
-#: Bytes of text learned of a language.
-SAMPLE_BYTES = 24_000
-#: About so many documents of a language are fetched for them, and so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 200, 2_000
+#: Bytes of text learned of a language, in whole texts of at most so many bytes, of about so many fetched.
+SAMPLE_BYTES, ROW_BYTES, SAMPLE_DOCS = 24_000, 8_000, 200
 SEGMENT = 256
 #: Bytes parsed side by side.
 GROUP = 2 << 20
@@ -119,18 +121,23 @@ class Model:
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages): phrases that each text needs; texts aren't empty."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        parts = [(i, t[a : a + GROUP]) for i, t in enumerate(texts) for a in range(0, len(t), GROUP)]
         at = 0
-        while at < len(parts):
+        while at < len(texts):
             end, size = at, 0
-            while end < len(parts) and (end == at or size + len(parts[end][1]) <= GROUP):
-                size += len(parts[end][1])
+            while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP):
+                size += len(texts[end])
                 end += 1
-            np.add.at(out, [i for i, _ in parts[at:end]], self._parsed([t for _, t in parts[at:end]]))
+            group, start = texts[at:end], [None] * len(self.start)
+            for a in range(0, max(size, 1), GROUP):  # more than one turn: a single long text
+                more, start = self._parsed([group[0][a : a + GROUP]] if end - at == 1 else group, start)
+                out[at:end] += more
+                if end - at > 1:
+                    break
             at = end
         return out
 
-    def _parsed(self, texts: list[bytes]) -> np.ndarray:
+    def _parsed(self, texts: list[bytes], before: list[int | None]) -> tuple[np.ndarray, list[int]]:
+        """Phrases of each text by language, and the last text's last states; before: the states that a single text begins in."""
         sizes = np.array([len(t) for t in texts])
         parts = -(-sizes // SEGMENT)
         lanes = int(parts.sum())
@@ -139,16 +146,40 @@ class Model:
         data = np.frombuffer(b"".join(texts), np.uint8)
         cells[np.arange(len(data)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)] = self.symbol[data]
         steps = np.ascontiguousarray(cells.reshape(lanes, SEGMENT).T)
-        out = np.empty((len(texts), len(self.languages)), np.int64)
+        out, last = np.empty((len(texts), len(self.languages)), np.int64), []
+        heads = first // SEGMENT
+        inner = np.ones(lanes, bool)
+        inner[heads] = False
         for k, start in enumerate(self.start):
-            state = np.full(lanes, start * self.width, np.int32)
-            count = np.ones(lanes, np.int32)
-            for symbols in steps:
-                move = self.table[state + symbols]
-                count += move & 1
+            begin = np.full(lanes, start * self.width, np.int32)
+            if before[k] is not None:
+                begin[0] = before[k]
+            moves = np.empty((SEGMENT, lanes), np.int32)
+            state = begin
+            for i, symbols in enumerate(steps):
+                moves[i] = move = self.table[state + symbols]
                 state = move >> 1
-            out[:, k] = np.add.reduceat(count, first // SEGMENT)
-        return out
+            # lanes whose true first state isn't the one they were parsed from
+            todo = np.flatnonzero(inner)
+            todo = todo[(moves[-1, todo - 1] >> 1) != begin[todo]]
+            while len(todo):
+                begin[todo] = state = moves[-1, todo - 1] >> 1
+                lane = todo
+                for i in range(SEGMENT):
+                    move = self.table[state + steps[i, lane]]
+                    differ = (move >> 1) != (moves[i, lane] >> 1)
+                    moves[i, lane] = move
+                    lane, state = lane[differ], (move >> 1)[differ]
+                    if not len(lane):
+                        break
+                todo = lane + 1  # the lanes behind those that end in another state than before
+                todo = todo[todo < lanes]
+                todo = todo[inner[todo]]
+            out[:, k] = np.add.reduceat((moves & 1).sum(0), heads)
+            if before[k] is None:
+                out[:, k] += 1
+            last.append(int(moves[-1, -1] >> 1))
+        return out, last
 
 
 _MODELS: dict[tuple, Model] = {}
@@ -169,19 +200,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame) -> dict[str, bytes]:
-    """(doc_id, text, lang) -> each language's sample, of documents in the order of a hash of doc_id."""
+    """(doc_id, text, lang) -> each language's sample: whole texts in the order of a hash of doc_id, up to SAMPLE_BYTES and at least one."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
-    if not sizes:
-        return {}
+    rows = rows.withColumn("size", F.octet_length("text"))
+    sizes = {r["lang"]: r["short"] for r in rows.groupBy("lang").agg(F.count_if(F.col("size") <= ROW_BYTES).alias("short")).collect()}  # one row for each language
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, SAMPLE_DOCS / n)])
-    some = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
+    found: list[tuple] = []
+    if some := {x: n for x, n in sizes.items() if n}:
+        share = F.create_map(*[F.lit(v) for x, n in some.items() for v in (x, SAMPLE_DOCS / n)])
+        drawn = rows.where(F.col("size") <= ROW_BYTES).withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
+        found += drawn.select("lang", "draw", "text").collect()
+    if long := [x for x, n in sizes.items() if not n]:
+        found += rows.where(F.col("lang").isin(long)).groupBy("lang").agg(F.lit(0.0), F.min_by("text", F.struct("size", F.xxhash64("text")))).collect()
     samples: dict[str, bytes] = {}
-    for r in sorted(some.select("lang", "draw", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect(), key=tuple):
-        have = samples.get(r["lang"], b"")
-        if len(have) < SAMPLE_BYTES and (more := cleaned(r["text"])):
-            samples[r["lang"]] = (have + b" " + more)[:SAMPLE_BYTES]
+    for lang, _, text in sorted(map(tuple, found)):
+        have, more = samples.get(lang, b""), cleaned(text)
+        if more and (not have or len(have) + 1 + len(more) <= SAMPLE_BYTES):
+            samples[lang] = have + b" " * bool(have) + more
     return samples
 
 

@@ -7,15 +7,14 @@ from pagewright.llm.language import SEGMENT, Model, automaton, cleaned, identify
 
 
 def brute_phrases(text, sample):
-    count = 0
-    for a in range(0, len(text), SEGMENT):
-        part, at = text[a : a + SEGMENT], 0
-        while at < len(part):
-            k = 1
-            while at + k < len(part) and part[at : at + k + 1] in sample:
-                k += 1
-            at += k
-            count += 1
+    """One greedy pass over the whole text."""
+    count = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in sample:
+            k += 1
+        at += k
+        count += 1
     return count
 
 
@@ -37,11 +36,22 @@ def test_phrases_agree_with_brute_force(monkeypatch):
     monkeypatch.setattr(language, "GROUP", 2 * SEGMENT)
     r = np.random.default_rng(2)
     samples = {k: bytes(r.choice(list(b"abc d"), 400)) for k in "xyz"}
-    texts = [bytes(r.choice(list(b"abc dq"), int(n))) for n in (1, 2, 255, 256, 257, 1500, 40)]
+    texts = [bytes(r.choice(list(b"abc dq"), int(n))) for n in (1, 2, 255, 256, 257, 1500, 40, 513, 512)]
+    texts += [samples["x"], samples["y"] * 5, samples["x"][:300] + samples["z"] * 3, b"q" * 700]  # phrases longer than a segment
     got = Model(samples).phrases(texts)
     assert got.tolist() == [[brute_phrases(t, samples[k]) for k in "xyz"] for t in texts]
 
 
+def test_train_takes_whole_texts(spark):
+    rows = [(i, f"word{chr(97 + i // 26)}{chr(97 + i % 26)} " * (1 + i % 90), "en") for i in range(300)] + [(900, "lang " * 9000, "xx"), (901, "lung " * 8000, "xx"), (902, None, "yy"), (903, "x", None), (904, "12", "zz")]
+    got = train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert sorted(got) == ["en", "xx"] and got["xx"] == cleaned("lung " * 8000)  # only longer texts: the shortest, whole
+    assert language.SAMPLE_BYTES * 0.8 < len(got["en"]) <= language.SAMPLE_BYTES
+    lengths = {cleaned(t).split()[0]: len(t.split()) for _, t, x in rows if x == "en"}
+    words = got["en"].split()
+    assert all(words.count(w) == lengths[w] for w in set(words)) and len(set(words)) > 20
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "123 -- 😀 ½", "b"), (None, "hello there", None), (5, "hola hola", "b"), (5, "hola hola", "b"), (6, "ÉTÉ " * 70000, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' as score", "1 as lang_pred")
