@@ -9,8 +9,9 @@ Candidates are verified by exact containment of the shingles themselves.
 
 The sketches are broadcast only if they are few; else the lookup is a shuffled join.
 
-Shingles are five consecutive words of the lower-cased text; words are runs of letters and digits. A
-text of fewer words has the whole sequence as its one shingle.
+Shingles are five consecutive words of the lower-cased text; words are runs of letters and digits. An
+item of fewer words is one shingle of its own length, and is looked for among the documents' runs of that
+length: an item of one word is found in every document that has the word.
 
 Defined results
 - null or empty texts, and texts without words, have no shingle: they match nothing.
@@ -48,14 +49,21 @@ def _joined(words_of: Column) -> Column:
     return F.array_join(words_of, " ")
 
 
-def shingles(width: int = SHINGLE, of=_joined, kind: str = "array<string>") -> Column:
-    """of() each run of width words in `w`; of fewer words, of the one run of all; of none, nothing.
+def runs(widths: list[int], of=_joined, kind: str = "array<string>") -> Column:
+    """of() each run of so many words in `w`, for each width; of fewer words, nothing.
 
     Runs are joined by a space, which no word holds: array_distinct() hashes strings, but compares arrays pair by pair.
     """
     w = F.col("w")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: of(F.slice(w, i, width)))
-    return F.when(F.size(w) >= width, runs).when(F.size(w) > 0, F.array(of(w))).otherwise(F.array().cast(kind))
+    run = lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: of(F.slice(w, i, k)))
+    made = [F.when(F.size(w) >= k, run(k)).otherwise(F.array().cast(kind)) for k in widths]
+    return made[0] if len(made) == 1 else F.concat(*made)
+
+
+def shingles(width: int = SHINGLE, of=_joined, kind: str = "array<string>") -> Column:
+    """An item's shingles: of() each run of width words in `w`; of fewer words, of the one run of all; of none, nothing."""
+    w = F.col("w")
+    return F.when((F.size(w) > 0) & (F.size(w) < width), F.array(of(w))).otherwise(runs([width], of, kind))
 
 
 def hashes(width: int = SHINGLE) -> Column:
@@ -80,14 +88,15 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """(rid, doc_id, text) and (item_id, text) -> (rid, doc_id, item_id, n_item, n_shared), n_shared >= threshold * n_item."""
     _, items = with_row_ids(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
-    items = checkpoint(with_words(items).select(F.col("rid").alias("iid"), F.col("doc_id").alias("item_id"), F.array_distinct(shingles(width)).alias("grams"), F.array_sort(F.array_distinct(hashes(width))).alias("hashes")))
+    items = checkpoint(with_words(items).select(F.col("rid").alias("iid"), F.col("doc_id").alias("item_id"), F.least(F.size("w"), F.lit(width)).alias("width"), F.array_distinct(shingles(width)).alias("grams"), F.array_sort(F.array_distinct(hashes(width))).alias("hashes")))
     sketch = checkpoint(sketches(items, threshold))
+    widths = sorted(r["width"] for r in items.where("width > 0").select("width").distinct().collect()) or [width]  # at most `width` rows
     # explode() would add a filter on its array, pushed to the scan: the shingles would be made twice, and of all rows
-    probes = with_words(docs).select("rid", F.explode_outer(hashes(width)).alias("p")).where("p is not null")
+    probes = with_words(docs).select("rid", F.explode_outer(runs(widths, F.xxhash64, "array<bigint>")).alias("p")).where("p is not null")
     sketch = _small(sketch)
     candidates = checkpoint(probes.join(sketch, probes["p"] == sketch["h"]).select("rid", "iid").distinct())
     wanted = _small(candidates.select(F.col("rid").alias("of")).distinct())
-    grams = with_words(docs.join(wanted, docs["rid"] == wanted["of"])).select("rid", "doc_id", F.explode_outer(F.array_distinct(shingles(width))).alias("gram")).where("gram is not null")
+    grams = with_words(docs.join(wanted, docs["rid"] == wanted["of"])).select("rid", "doc_id", F.explode_outer(F.array_distinct(runs(widths))).alias("gram")).where("gram is not null")
     own = _small(items.select("iid", "item_id", F.size("grams").alias("n_item"), F.explode("grams").alias("own")))
     shared = grams.join(own, grams["gram"] == own["own"]).groupBy("rid", "doc_id", "iid", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     shared = shared.where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - F.lit(1e-9)))
@@ -101,15 +110,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH w AS (
-  SELECT item_id, NULL AS doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
-  UNION ALL SELECT NULL, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM documents
-), s AS (
-  SELECT item_id, doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+WITH bw AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+), dw AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+), sized AS (
+  SELECT item_id, w, least(len(w), 5) AS width FROM bw WHERE len(w) > 0
 ), i AS (
-  SELECT item_id, len(s) AS n_item, unnest(s) AS k FROM s WHERE item_id IS NOT NULL
+  SELECT item_id, len(s) AS n_item, unnest(s) AS k FROM (
+    SELECT item_id, list_distinct(list_transform(range(1, len(w) - width + 2), lambda p: array_to_string(w[p:p + width - 1], ' '))) AS s FROM sized)
 ), d AS (
-  SELECT doc_id, unnest(s) AS k FROM s WHERE doc_id IS NOT NULL
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - width + 2), lambda p: array_to_string(w[p:p + width - 1], ' '))) AS k
+  FROM dw, (SELECT DISTINCT width FROM sized) WHERE len(w) >= width
 )
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
 FROM d JOIN i USING (k) GROUP BY doc_id, item_id, n_item HAVING 5 * count(*) >= 4 * n_item

@@ -9,24 +9,24 @@ from pagewright.llm.decontamination import contaminated, op5_decontamination
 RUN = re.compile(r"[^\W_]+")
 
 
-def grams(text):
+def grams(text, width=5):
     w = RUN.findall((text or "").lower())
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
 
 
 def brute(docs, items):
     out = set()
     for d, text in docs:
-        own = grams(text)
         for i, item in items:
-            g = grams(item)
+            width = min(5, len(RUN.findall((item or "").lower())))
+            g, own = (grams(item, width), grams(text, width)) if width else (set(), set())
             if g and 5 * len(g & own) >= 4 * len(g):
                 out.add((d, i, len(g), len(g & own)))
     return out
 
 
 WORDS = " ".join(f"w{i}" for i in range(40))
-ITEMS = [(1, WORDS), (2, "short one"), (3, None), (None, "A b c d e f g"), (5, ""), (1, WORDS), (7, " ".join(f"w{i}" for i in range(10, 22)))]
+ITEMS = [(1, WORDS), (2, "short one"), (3, None), (None, "A b c d e f g"), (5, ""), (1, WORDS), (7, " ".join(f"w{i}" for i in range(10, 22))), (8, "TAIL"), (9, "b-c, d"), (10, "one two three four")]
 DOCS = [
     (1, "long " * 3000 + WORDS.upper().replace(" ", ", ") + " tail" * 500), (2, WORDS[:-20]), (3, " ".join(f"w{i}" for i in range(0, 25))), (4, "Short, ONE!"), (5, "a short one indeed"),
     (None, "x a b c d e f g y"), (7, None), (7, "x"), (7, "x"), (9, ""), (10, "a b c d e f"),
