@@ -5,14 +5,16 @@ Complete: every pair of documents whose distinct shingles have a Jaccard similar
 Sets. Documents of equal shingle sets are one class, named by its smallest id. The rest works on classes.
 
 Prefix filter. Under any one order of all shingles, two sets of n and m shingles that share at least
-o = ceil(4/9 * (n + m)) of them, as a similarity of 4/5 asks for, share one among the first
-n - ceil(4/5 * n) + 1 of each. More: in the one whose prefix ends first at most n - o shingles are missing from the other,
-which bounds the number of shared prefix shingles from below; pairs under that bound are dropped
-before a text is opened. Shingles that are frequent in a sample come last in the order, so that license lines and
+o = ceil(4/9 * (n + m)) of them, as a similarity of 4/5 asks for, share one among the first n - o + 1 of the one and
+m - o + 1 of the other. That is never more than the first n - ceil(4/5 * n) + 1, which a set is entered under, with their places.
+Shingles that are frequent in a sample come last in the order, so that license lines and
 templates don't make buckets; the sample decides the cost alone, never the result.
 
-Links. First the pairs that SimHash links and each bucket's star around its smallest id are verified and grouped; then
-all pairs of a bucket that are in different groups. A crowd of near copies is mostly one group by then.
+Links. First the pairs that SimHash links, and each bucket's star around its smallest id, where enough of the entries agree
+(with fewer, the pair would fail), are verified and grouped. Then a bucket has a group that most of its entries are in, and
+others: the others are compared with all entries of other groups whose places leave room for o shared shingles. A crowd of
+near copies is mostly one group by then, so the pairs of a bucket grow with its outsiders, not with its square; outsiders
+differ in many shingles of their own, which come first in the order and leave no room for the rest.
 
 Defined results
 - null or empty texts, and texts without words: one class. Fewer words than a shingle: the whole sequence is the one shingle.
@@ -130,9 +132,9 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     heads = made.join(classes.select("rep"), made["rid"] == F.col("rep"), "left_semi")
     texts = rows.join(classes.select("rep"), rows["rid"] == F.col("rep"), "left_semi")
 
-    entries = heads.select("rid", "n", F.explode("keys").alias("key"))
+    entries = heads.select("rid", "n", F.posexplode("keys").alias("pos", "key"))
     least = entries.groupBy("key").agg(F.min(F.struct("rid", "n")).alias("first"), F.count("*").alias("many")).where("many > 1")
-    shared = checkpoint(entries.join(least.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k")).select("key", "rid", "n", "first"))
+    shared = checkpoint(entries.join(least.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k")).select("key", "rid", "n", "pos", "first"))
 
     prints = checkpoint(heads.groupBy("fp").agg(F.min("rid").alias("of")))
     linked = H.links(prints.select("fp"))
@@ -143,13 +145,17 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     first = checkpoint(_verified(checkpoint(_likely(stars).union(linked).union(alike).distinct()), texts))
 
     groups = components(first).select(F.col("node").alias("g_node"), "root")
-    labelled = shared.join(groups, shared["rid"] == groups["g_node"], "left").select("key", "rid", "n", F.coalesce("root", "rid").alias("label"))
-    mixed = labelled.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k")
-    rest = checkpoint(labelled.join(mixed, labelled["key"] == mixed["k"], "left_semi"))
-    other = rest.select(F.col("key").alias("k"), F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("label").alias("other"))
-    across: Column = (F.col("key") == F.col("k")) & (F.col("rid") < F.col("v")) & (F.col("label") != F.col("other")) & (5 * F.least("n", "nv") >= 4 * F.greatest("n", "nv"))
-    pairs = rest.join(other, across).select(F.col("rid").alias("u"), F.col("n").alias("nu"), "v", "nv")
-    second = _verified(checkpoint(_likely(pairs)), texts)
+    labelled = shared.join(groups, shared["rid"] == groups["g_node"], "left").select("key", "rid", "n", "pos", F.coalesce("root", "rid").alias("label"))
+    held = labelled.groupBy("key", "label").agg(F.count("*").alias("times"))
+    mixed = held.groupBy(F.col("key").alias("k")).agg(F.max_by("label", F.struct("times", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    rest = checkpoint(labelled.join(mixed, labelled["key"] == mixed["k"]).select("key", "rid", "n", "pos", "label", "most"))
+    other = rest.select(F.col("key").alias("k"), F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("pos").alias("pv"), F.col("label").alias("other"))
+    over = F.ceil((4 * (F.col("n") + F.col("nv"))) / 9)
+    room = (F.col("pos") <= F.col("n") - over) & (F.col("pv") <= F.col("nv") - over) & (5 * F.least("n", "nv") >= 4 * F.greatest("n", "nv"))
+    # two outsiders meet once, an outsider and one of the largest group too
+    across: Column = (F.col("key") == F.col("k")) & (F.col("label") != F.col("other")) & ((F.col("other") == F.col("most")) | (F.col("rid") < F.col("v"))) & room
+    pairs = rest.where("label <> most").join(other, across).select(F.least("rid", "v").alias("u"), F.greatest("rid", "v").alias("v")).distinct()
+    second = _verified(checkpoint(pairs), texts)
 
     found = components(first.union(second))
     ids = made.select("rid", "sig").join(classes, "sig")

@@ -5,12 +5,13 @@ from hashlib import md5
 
 import numpy as np
 import public_tokenizers as P
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from pagewright.llm.language import Model, cleaned, train
 from pagewright.llm.mixing import share_targets
-from test_simhash import brute_components, brute_print
+from test_near_copies import brute as brute_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RUN = re.compile(r"[^\W_]+")
@@ -27,11 +28,13 @@ def brute(docs, benchmark, samples):
     for d in docs:
         t = cleaned(d["text"])
         if t:
-            best = (model.phrases([t])[0] * model.cost).argmin()
-            if not (len(t) >= cp.LETTERS and len(t) < cp.PHRASE * model.phrases([t])[0][best]):
+            phrases = model.phrases([t])[0]
+            best, second = sorted(phrases * model.cost)[:2]
+            n = phrases[(phrases * model.cost).argmin()]
+            if not (len(t) >= cp.LETTERS and (len(t) < cp.PHRASE * n or 1 - best / second < cp.MARGIN)):
                 kept.append(d)
-    roots = brute_components([brute_print(d["text"]) for d in kept])
-    kept = [d for i, d in enumerate(kept) if roots[i] == i]
+    roots = brute_groups({d["doc_id"]: d["text"] for d in kept})
+    kept = [d for d in kept if roots[d["doc_id"]] == d["doc_id"]]
     items = [s for s in (shingles(b["text"]) for b in benchmark) if s]
     kept = [d for d in kept if not any(5 * len(s & own) >= 4 * len(s) for own in [shingles(d["text"])] for s in items)]
     sources = sorted({d["source"] for d in kept}, key=lambda s: (s is None, s or ""))
@@ -49,7 +52,8 @@ def brute(docs, benchmark, samples):
                 if n:
                     out.append((d["doc_id"], d["text"] if n == size[d["doc_id"]] else " ".join(WORD.findall(d["text"])[:n])))
     t, rows, start = Tokenizer.from_file(P.path(cp.TOKENIZER)), [], 0
-    for doc_id, text in sorted(out):
+    by_hash = lambda x: xxhash.xxh64_intdigest(x, 42) - (1 << 64) * (xxhash.xxh64_intdigest(x, 42) >> 63)
+    for doc_id, text in sorted(out, key=lambda x: (x[0], by_hash(x[1]))):
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
         rows.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -73,5 +77,9 @@ def test_stages_on_odd_rows(spark, sf):
                 assert docs.columns == cp.COLUMNS
                 docs = spark.createDataFrame(docs.collect(), schema)
     language = cp.language(spark, spark.createDataFrame(rows, schema), sf).collect()
+    junk = "x#q zv!k jw?y qk;z vx-j wq*z kz=x jq+v " * 20
+    mixed = [(50 + i, t, x, "a", len(t)) for i, (t, x) in enumerate([("the cat sat on the mat and looked at the dog again " * 5, "en"), ("el gato se sienta en la alfombra y mira al perro otra vez " * 5, "es"), (junk, None), ("the dog sat on the mat and looked at the cat again " * 5, None), ("el perro mira al gato y se sienta en la alfombra otra vez " * 5, "en")])]
+    said = {r["doc_id"]: r["lang"] for r in cp.language(spark, spark.createDataFrame(mixed, schema), sf).collect()}
+    assert said == {50: "en", 51: "es", 53: "en", 54: said[54]}
     assert sorted(r["text"] for r in language) == ["another text of some words", "hello there my friend", "hello there my friend"]
     assert len(cp.near_dedup(spark, spark.createDataFrame(rows, schema), sf).where("doc_id = 1").collect()) == 1
