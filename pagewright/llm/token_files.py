@@ -22,11 +22,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,12 @@ DECODED = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 lo
 # Byte-level BPE cuts a text into pieces and merges inside each alone. The settings under which it cuts by
 #   's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 # and that pattern for the characters that are not _OTHER, whose classes are the same in every version of Unicode.
+_MODEL = ("ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")  # unset
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
 _OTHER = re.compile(r"[^\n\r\t\x20-\x7eÀ-ÖØ-öø-ɏ]")
+#: White space before a space.
+_RUN = re.compile(r"[\n\r\t ] ")
 #: No piece reaches over the end of what isn't white space.
 _EDGE = re.compile(r"[!-~](?=[ \n])")
 
@@ -62,55 +67,99 @@ def parts(text: str, size: int) -> Iterator[str]:
         at = end
 
 
-class Pieces(dict):
-    """Piece -> its ids as little-endian 32-bit integers: the library is asked once, as long as the piece is remembered."""
+class Remembered(dict):
+    """String -> its ids as little-endian 32-bit integers, made once as long as the string is remembered."""
 
-    #: So many pieces are remembered.
-    MOST = 600_000
-
-    def __init__(self, tokenizer) -> None:
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.encode = tokenizer.encode
+        self.make, self.most = make, most
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.MOST:
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
             self.clear()
-        self[piece] = out = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self[key] = out = self.make(key)
         return out
 
 
 class Encoder:
     """The tokenizers library, asked once for each piece of byte-level BPE, which is remembered by its own text.
 
-    A text with other characters, or with the string of an added token, and every text of another kind of
-    tokenizer goes through the library whole.
+    A batch's texts are split at spaces, their different chunks found by Arrow, and a chunk's ids made of its pieces'. A text
+    with other characters, or with the string of an added token, and every text of another kind of tokenizer goes
+    through the library whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        self.cuts = model["type"] == "BPE" and not spec.get("normalizer") and all(pre.get(k) == v for k, v in _BYTE_LEVEL.items())
+        self.cuts = model["type"] == "BPE" and not spec.get("normalizer") and all(pre.get(k) == v for k, v in _BYTE_LEVEL.items()) and not any(model.get(k) for k in _MODEL)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.pieces = Pieces(self.tokenizer)
-
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if not _OTHER.match(chr(c))}
+        self.pieces = Remembered(self._piece, 800_000)
+        self.chunks = Remembered(lambda rest: self._by_piece(" " + rest), 400_000)
 
-    def _cut(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, _PIECE.findall(text))), "<u4")
+    def _piece(self, piece: str) -> bytes:
+        return struct.pack(f"<{len(found := self.model.tokenize(piece.translate(self.shown)))}I", *[t.id for t in found])
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The ids of a text; long ones in parts of about CHARS characters where they can be cut."""
-        if not text:
-            return np.empty(0, np.uint32)
-        if not self.cuts or any(t in text for t in self.added):
-            return self._library(text)
-        plain = not _OTHER.search(text)
-        return np.concatenate([self._cut(p) if plain else self._library(p) for p in parts(text, CHARS)])
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _by_piece(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
+
+    def _by_chunk(self, texts: list[str]) -> list[np.ndarray]:
+        """For texts in which each space stands behind what isn't white space: a piece ends there, and the next begins with the space."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        found = lists.flatten().dictionary_encode()
+        chunks = found.dictionary.to_pylist()
+        made = [self.chunks[c] for c in chunks] + [self._by_piece(t[: len(t) if (k := t.find(" ")) < 0 else k]) for t in texts]
+        code = found.indices.to_numpy().astype(np.int64)
+        code[offsets[:-1]] = len(chunks) + np.arange(len(texts))  # no space before a text's first
+        count = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        pool, begin, count_of = np.frombuffer(b"".join(made), "<u4"), (np.cumsum(count) - count)[code], count[code]
+        ends = np.concatenate([[0], np.cumsum(count_of)])
+        ids = pool[np.repeat(begin - ends[:-1], count_of) + np.arange(ends[-1])]
+        at = ends[offsets].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; long ones in parts of about CHARS characters where they can be cut."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        group: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            for (i, _), ids in zip(group, self._by_chunk([t for _, t in group]), strict=True):
+                out[i].append(ids)
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.cuts or any(t in text for t in self.added):
+                out[i].append(self._library(text))
+                continue
+            plain = not _OTHER.search(text)
+            for part in parts(text, CHARS) if len(text) > CHARS else (text,):
+                if not plain or _RUN.search(part):
+                    flush()
+                    group, size = [], 0
+                    out[i].append(np.frombuffer(self._by_piece(part), "<u4") if plain else self._library(part))
+                    continue
+                group.append((i, part))
+                size += len(part)
+                if size >= 4 * CHARS:
+                    flush()
+                    group, size = [], 0
+        flush()
+        return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.empty(0, np.uint32) for x in out]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -135,9 +184,9 @@ def _segments(tokenizer_path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for batch in batches:
-            for s, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for s, doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encode(batch.column(2).to_pylist()), strict=True):
                 shard = s
-                got = np.append(encode(text.as_py()), np.uint32(end_id))
+                got = np.append(own, np.uint32(end_id))
                 ids.append(got)
                 docs.append(doc_id)
                 lengths.append(len(got))

@@ -74,9 +74,9 @@ def test_pieces_are_those_of_the_library():
 
     r, t, e = random.Random(5), Tokenizer.from_file(PATH), Encoder(PATH)
     some = ["'", "'s", "'re", "'ll", "'x", " ", "  ", "\n", "\t", "\r", "a", "é", "Zz", "Ĳ", "1", "42", "_", "!", "--", " '", "s", "re", "d", "''", "×", "日", "\x0b", "`^~{"]
-    for _ in range(3000):
-        text = "".join(r.choices(some, k=r.randint(1, 14)))
-        assert e(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = ["".join(r.choices(some, k=r.randint(1, 14))) for _ in range(3000)]
+    for text, got in zip(texts, e(texts), strict=True):
+        assert got.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 @pytest.mark.parametrize("n", [64, 512, 1024, 4096])
@@ -85,16 +85,17 @@ def test_pieces_that_collide_in_powers_of_two(n):
     b = a.translate(str.maketrans("ab", "ba"))
     t, e = Tokenizer.from_file(PATH), Encoder(PATH)
     for text in (a, b, a + b):
-        assert e(text).tolist() == t.encode(text, add_special_tokens=False).ids
+        assert e([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_forgets_and_agrees(monkeypatch):
     t, e = Tokenizer.from_file(PATH), Encoder(PATH)
-    monkeypatch.setattr(e.pieces, "MOST", 50)
+    e.pieces.most = e.chunks.most = 50
     monkeypatch.setattr(token_files, "CHARS", 40)
-    for text in [f"word{i} été it's {i * 7919}  x\n  y\n\n z" * 3 for i in range(60)] * 2 + ["", None, "日本 it's" * 30, "no break" + "x" * 300]:
-        assert e(text).tolist() == t.encode(text or "", add_special_tokens=False).ids
-    assert len(e.pieces) <= 50
+    texts = [f"word{i} été it's {i * 7919}  x\n  y\n\n z" * 3 for i in range(60)] * 2 + ["", None, "日本 it's" * 30, "no break" + "x" * 300]
+    for text, got in zip(texts, e(texts), strict=True):
+        assert got.tolist() == t.encode(text or "", add_special_tokens=False).ids
+    assert all(len(x) <= 50 for x in (e.pieces, e.chunks))
 
 
 def test_a_long_text_is_cut(monkeypatch):
