@@ -151,47 +151,63 @@ def value_of(node: Node) -> str:
     return node.attrs.get("content") or node.text()
 
 
-def markdown(html: str | None) -> str:
-    """Headings, paragraphs, lists, emphasis, code, quotes, rules and images; links keep their text only."""
+MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+PLAIN_BLOCKS = frozenset("p div section article main figure form dl dt dd body html".split())
+
+
+def _shown(node: Node, inner: str, parts: list[tuple[Node, str]], cells: dict[int, str]) -> str:
+    """A node as Markdown; inner: its children's Markdown end to end; parts: that of each child element, as inner text."""
+    tag = node.tag
+    if tag in MARKS:
+        text = inner.strip()
+        return f"{MARKS[tag]}{text}{MARKS[tag]}" if text else ""
+    if tag == "img":
+        return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')})"
+    if tag in ("script", "style", "title", "head"):
+        return ""
+    if tag in ("ul", "ol"):
+        items = [text for child, text in parts if child.tag == "li"]
+        block = "\n".join(("* " if tag == "ul" else f"{i}. ") + re.sub(r"\s*\n\s*", "\n  ", text.strip()) for i, text in enumerate(items, 1))
+    elif tag == "table":
+        found = [[cells[id(c)].strip() for c in r.children if isinstance(c, Node)] for r in node.walk() if r.tag == "tr"]
+        lines = ["| " + " | ".join(r) + " |" for r in found]
+        block = "\n".join(lines[:1] + ["| " + " | ".join("---" for _ in found[0]) + " |"] * bool(found) + lines[1:])
+    elif tag == "blockquote":
+        block = "> " + re.sub(r"\n", "\n> ", inner.strip())
+    elif tag == "pre":
+        block = "```\n" + node.raw_text().strip("\n") + "\n```"
+    elif tag == "hr":
+        block = "---"
+    elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        block = "#" * int(tag[1]) + " " + inner.strip()
+    elif tag in PLAIN_BLOCKS:
+        block = inner.strip()
+    else:
+        return "  \n" if tag == "br" else inner
+    return "\n\n" + block + "\n\n"
 
-    def inline(node: Node) -> str:
-        out = []
-        for c in node.children:
+
+def markdown(html: str | None) -> str:
+    """Headings, paragraphs, lists, emphasis, code, quotes, rules, tables and images; links keep their text only. No recursion."""
+    root = parse(html)
+    cells: dict[int, str] = {}
+    # (element, its children still to come, their Markdown so far, that of its child elements)
+    open_: list[tuple[Node, list, list[str], list[tuple[Node, str]]]] = [(root, root.children[::-1], [], [])]
+    while True:
+        node, rest, out, parts = open_[-1]
+        if rest:
+            c = rest.pop()
             if isinstance(c, str):
                 out.append(re.sub(r"\s+", " ", c))
-            elif c.tag == "br":
-                out.append("  \n")
-            elif c.tag in ("b", "strong", "i", "em", "code"):
-                mark = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}[c.tag]
-                text = inline(c).strip()
-                out.append(f"{mark}{text}{mark}" if text else "")
-            elif c.tag == "img":
-                out.append(f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})")
-            elif c.tag in ("script", "style", "title", "head"):
-                continue
-            elif block := BLOCK.get(c.tag):
-                out.append("\n\n" + block(c) + "\n\n")
             else:
-                out.append(inline(c))
-        return "".join(out)
-
-    def items(node: Node, mark) -> str:
-        found = [c for c in node.children if isinstance(c, Node) and c.tag == "li"]
-        return "\n".join(mark(i) + re.sub(r"\s*\n\s*", "\n  ", inline(c).strip()) for i, c in enumerate(found, 1))
-
-    def rows(node: Node) -> str:
-        found = [[inline(c).strip() for c in r.children if isinstance(c, Node)] for r in node.walk() if r.tag == "tr"]
-        lines = ["| " + " | ".join(r) + " |" for r in found]
-        return "\n".join(lines[:1] + ["| " + " | ".join("---" for _ in found[0]) + " |"] * bool(found) + lines[1:])
-
-    BLOCK = {
-        **{f"h{n}": lambda c, n=n: "#" * n + " " + inline(c).strip() for n in range(1, 7)},
-        **{t: lambda c: inline(c).strip() for t in ("p", "div", "section", "article", "main", "figure", "form", "dl", "dt", "dd", "body", "html")},
-        "ul": lambda c: items(c, lambda i: "* "),
-        "ol": lambda c: items(c, lambda i: f"{i}. "),
-        "blockquote": lambda c: "> " + re.sub(r"\n", "\n> ", inline(c).strip()),
-        "pre": lambda c: "```\n" + c.raw_text().strip("\n") + "\n```",
-        "hr": lambda c: "---",
-        "table": rows,
-    }
-    return re.sub(r"\n{3,}", "\n\n", inline(parse(html))).strip()
+                open_.append((c, c.children[::-1], [], []))
+            continue
+        open_.pop()
+        inner = "".join(out)
+        if not open_:
+            return re.sub(r"\n{3,}", "\n\n", inner).strip()
+        if open_[-1][0].tag == "tr":
+            cells[id(node)] = inner
+        if open_[-1][0].tag in ("ul", "ol"):
+            open_[-1][3].append((node, inner))
+        open_[-1][2].append(_shown(node, inner, parts, cells))

@@ -15,12 +15,13 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pagewright.functions import html_tree
 from pagewright.functions import json_records as J
+from pagewright.functions.predicates import API_CONTENT_TYPES, API_PATTERNS
 from pagewright.sources.session import prepare_workers
 
 # Where pages embed their state, in the order in which they are tried.
@@ -31,8 +32,7 @@ BLOBS = (
     ("initial_state", re.compile(r"window\.__INITIAL_STATE__\s*=\s*(\{.*?\});", re.S)),
     ("preloaded_state", re.compile(r"window\.__PRELOADED_STATE__\s*=\s*(\{.*?\});", re.S)),
 )
-_API = re.compile(r"(?i)/api/|/v\d+/|\.json(\?|$)|/graphql|/feed(\b|/|\?)|/rss(\b|/|\?)|/sitemap|/data/|/search\?|/listings\?|\.xml(\?|$)")
-_API_TYPES = frozenset("application/json application/ld+json application/xml text/xml application/atom+xml application/rss+xml application/x-ndjson application/vnd.api+json".split())
+_API = re.compile("(?i)" + "|".join(API_PATTERNS))
 
 
 @dataclass
@@ -133,7 +133,7 @@ def _is_known_api(page: Page, options: Options) -> bool:
         return False
     if any(n and n.lower() in url for n in options.noise):
         return False
-    return any(x and x.lower() in url for x in options.learned) or page.content_type.lower().split(";")[0].strip() in _API_TYPES or bool(_API.search(page.url))
+    return any(x and x.lower() in url for x in options.learned) or page.content_type.lower().split(";")[0].strip() in API_CONTENT_TYPES or bool(_API.search(page.url))
 
 
 def _known_api(page: Page, options: Options) -> tuple[list[Any], str]:
@@ -264,15 +264,27 @@ def extract(pages: DataFrame, fields: Sequence[str] = (), learned: Sequence[str]
     return source.mapInArrow(run, RESULT)
 
 
-@F.pandas_udf(StringType())
-def fit_markdown(html: pd.Series) -> pd.Series:
-    """Markdown without noise elements, cut at 12,000 characters with a mark."""
-    noise = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|footer|header|aside|iframe|noscript)(?:\s[^>]*)?>.*?</\1>")
+_NOISE = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|footer|header|aside|iframe|noscript)(?:\s[^>]*)?>.*?</\1>")
+MARKDOWN_CHARS = 12_000
 
-    def one(page: str | None) -> str | None:
-        if page is None:
-            return None
-        text = html_tree.markdown(noise.sub("", page))
-        return text if len(text) <= 12_000 else text[:12_000] + "\n...[truncated]"
 
-    return html.map(one)
+def page_markdown(page: str | None, most: int = MARKDOWN_CHARS) -> str | None:
+    """Markdown without noise elements, cut with a mark; of a page that can't be read as a tree, the text between its tags."""
+    if page is None:
+        return None
+    try:
+        text = html_tree.markdown(_NOISE.sub("", page))
+        return text if len(text) <= most else text[:most] + "\n...[truncated]"
+    except Exception:  # noqa: BLE001 - one page's markup must not end the run
+        return re.sub(r" {2,}", " ", re.sub(r"<[^>]+>", " ", page)).strip()[:most]
+
+
+def fit_markdown(html: Column) -> Column:
+    """page_markdown() of a column."""
+    prepare_workers(SparkSession.active())
+
+    @F.pandas_udf(StringType())
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(page_markdown).astype(object)
+
+    return run(html)

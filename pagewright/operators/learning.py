@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import json_records as J
 from pagewright.functions.text import api_signature, domain
+from pagewright.sources.session import checkpoint, prepare_workers
 
 #: Maturity steps: crawls from which each holds, the highest first.
 MATURITY = (("STABLE", 10), ("WARM", 5), ("LEARNING", 2))
 BATCH_SIZE, SMART_COUNT = 50, 3
+HINT_LISTS = ("confirmed_endpoints", "confirmed_patterns", "list_container_selectors", "pagination_selectors", "noise_selectors")
+NAVIGATION = "struct<requires_interaction:boolean,scroll_for_content:boolean,wait_for_selector:string,wait_ms:int,external_sources:array<string>,pre_crawl_steps:array<string>>"
 
 
 def maturity(total_crawls: Column) -> Column:
@@ -70,11 +73,15 @@ def detect_drift(runs: DataFrame, drop: float = 0.5) -> DataFrame:
 
 
 def cluster_by_domain(profiles: DataFrame) -> DataFrame:
-    """(domain, n, first): groups of url patterns; the members stay rows of profiles, joined by domain, as a
-    host can have any number."""
+    """(domain, n, first): groups of url patterns; domain_members() has their members as rows, as a host can have any number."""
     return profiles.groupBy(domain(F.col("url_pattern")).alias("domain")).agg(F.count("*").alias("n"), F.min("url_pattern").alias("first"))
 
 
+def domain_members(profiles: DataFrame) -> DataFrame:
+    """The profiles with their domain, one row for each member of a group."""
+    return profiles.withColumn("domain", domain(F.col("url_pattern")))
+
+
 def find_clusters(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """(url_pattern, platform, confirmed_patterns) twice -> (target, member): same domain, another url, platforms and API
     signatures equal where both sides have one. An equi-join on the domain with the rest as its residual."""
@@ -99,17 +106,26 @@ def donors(clusters: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def bootstrap(profiles: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(url_pattern, platform, pagination_style, confirmed_patterns, selectors) with (target, donor) -> the targets' profiles:
-    hints united and sorted, the target's selectors over the donor's, WARM."""
-    donor = profiles.select(*[F.col(c).alias(f"d_{c}") for c in ("url_pattern", "platform", "pagination_style", "confirmed_patterns", "selectors")])
-    rows = profiles.join(chosen, F.col("url_pattern") == F.col("target")).join(donor, F.col("donor") == F.col("d_url_pattern"))
-    none = F.array().cast("array<string>")
-    own = F.coalesce("selectors", F.create_map().cast("map<string,string>"))
-    theirs = F.map_filter(F.coalesce("d_selectors", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(own, k))
+    """Profiles with (target, donor) -> the targets' profiles, WARM.
+
+    Lists of hints are united and sorted; the target's selectors stand over the donor's; pagination style, response format and
+    platform are the donor's where the target has none; either's need of authentication counts; the navigation is the
+    donor's where only the donor waits for a selector. What a profile lacks as a column counts as empty; blocked endpoints aren't kept.
+    """
+    names = ("platform", "pagination_style", "response_format", "auth_required", "selectors", "navigation", *HINT_LISTS)
+    kinds = {"selectors": "map<string,string>", "navigation": NAVIGATION, "auth_required": "boolean", **dict.fromkeys(HINT_LISTS, "array<string>")}
+    full = profiles.select("url_pattern", *[(F.col(c) if c in profiles.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in names])
+    donor = full.select(*[F.col(c).alias(f"d_{c}") for c in full.columns])
+    rows = full.join(chosen, F.col("url_pattern") == F.col("target")).join(donor, F.col("donor") == F.col("d_url_pattern"))
+    none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    own = F.coalesce("selectors", empty)
+    theirs = F.map_filter(F.coalesce("d_selectors", empty), lambda k, _: ~F.map_contains_key(own, k))
+    some = lambda c: F.coalesce(F.nullif(c, F.lit("")), f"d_{c}")
+    waits = lambda c: F.coalesce(F.col(f"{c}.wait_for_selector"), F.lit("")) != ""
     return rows.select(
-        "url_pattern", "donor", F.coalesce("platform", "d_platform").alias("platform"), F.coalesce("pagination_style", "d_pagination_style").alias("pagination_style"),
-        F.array_sort(F.array_union(F.coalesce("confirmed_patterns", none), F.coalesce("d_confirmed_patterns", none))).alias("confirmed_patterns"),
-        F.map_concat(theirs, own).alias("selectors"), F.lit("WARM").alias("maturity"),
+        "url_pattern", "donor", *[some(c).alias(c) for c in ("platform", "pagination_style", "response_format")], (F.coalesce("auth_required", F.lit(False)) | F.coalesce("d_auth_required", F.lit(False))).alias("auth_required"),
+        *[F.array_sort(F.array_union(F.coalesce(c, none), F.coalesce(f"d_{c}", none))).alias(c) for c in HINT_LISTS],
+        F.map_concat(theirs, own).alias("selectors"), F.when(~waits("navigation") & waits("d_navigation"), F.col("d_navigation")).otherwise(F.col("navigation")).alias("navigation"), F.lit("WARM").alias("maturity"),
     )
 
 
@@ -123,15 +139,15 @@ def apply_signals(profiles: DataFrame, signals: DataFrame) -> DataFrame:
     agg = signals.groupBy("url_pattern").agg(
         F.array_sort(F.collect_list(some("api_pattern", hint))).alias("apis"), F.array_sort(F.collect_list(some("noise", hint))).alias("noises"),
         F.max_by(F.when(F.col("signal_type") == "platform", F.col("platform")), F.when((F.col("signal_type") == "platform") & F.col("platform").isNotNull(), F.col("seq"))).alias("new_platform"),
-        F.array_sort(F.collect_list(keyed)).alias("found"),
     )
+    # a field's last selector; one row for each profile and field before they meet
+    last = signals.where(keyed.isNotNull()).groupBy("url_pattern", "field_name").agg(F.max_by(hint, "seq").alias("v"))
+    maps = last.groupBy(F.col("url_pattern").alias("m_url")).agg(F.map_from_entries(F.collect_list(F.struct("field_name", "v"))).alias("found"))
     none = F.array().cast("array<string>")
     values = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<seq:bigint,v:string>>")), lambda x: x["v"])
-    rows = profiles.join(agg, "url_pattern", "left")
-    found = F.coalesce("found", F.array().cast("array<struct<seq:bigint,k:string,v:string>>"))
+    rows = profiles.join(agg, "url_pattern", "left").join(maps, F.col("url_pattern") == F.col("m_url"), "left")
     own = F.coalesce("selectors", F.create_map().cast("map<string,string>"))
-    latest = F.filter(found, lambda x: ~F.exists(found, lambda y: (y["k"] == x["k"]) & (y["seq"] > x["seq"])))
-    final = F.map_from_entries(F.transform(latest, lambda x: F.struct(x["k"], x["v"])))
+    final = F.coalesce("found", F.create_map().cast("map<string,string>"))
     return rows.select(
         "url_pattern", F.array_distinct(F.concat(F.coalesce("confirmed_patterns", none), values("apis"))).alias("confirmed_patterns"),
         F.array_distinct(F.concat(F.coalesce("noise_selectors", none), values("noises"))).alias("noise_selectors"),
@@ -177,10 +193,22 @@ def blocked_endpoints(profiles: DataFrame, signals: DataFrame) -> DataFrame:
     return profiles.join(lists, "url_pattern", "left").withColumn("blocked", F.array_distinct(F.concat(F.coalesce("blocked", none), F.coalesce("more", none)))).drop("more")
 
 
+def places(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Each row's place within its key, from 0. Rows are sorted in ranges of (key, order), so that one key may fill many tasks:
+    a place is the row's in its range, and the rows of its key in the ranges before it."""
+    ranged = checkpoint(rows.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = ranged.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.count("*").alias("__n"))
+    counts = counts.select("__key", "__of", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order)) - 1
+    numbered = ranged.withColumn("__inside", inside)
+    both = numbered.join(counts, numbered[key].eqNullSafe(counts["__key"]) & (numbered["__part"] == counts["__of"]))
+    return both.withColumn("place", F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__key", "__of", "__before")
+
+
 def batches(signals: DataFrame, size: int = BATCH_SIZE, key: str = "skill", order: Sequence[str] = ("seq",)) -> DataFrame:
     """Number each signal's consolidation batch, and whether the batch is full."""
-    w = Window.partitionBy(key)
-    rows = signals.withColumn("batch", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / size))
+    rows = places(signals, key, order).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
     return rows.withColumn("full", F.count("*").over(Window.partitionBy(key, "batch")) == size)
 
 
@@ -241,6 +269,7 @@ def consolidate(memories: DataFrame, signals: DataFrame, responses: DataFrame, n
     counts = batches(signals, batch_size).groupBy("skill", "batch").agg(F.count("*").alias("signal_count"))
     steps = counts.join(responses, ["skill", "batch"], "left").join(memories, "skill")
     words = tuple(negative)
+    prepare_workers(memories.sparkSession)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("batch")

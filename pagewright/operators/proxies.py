@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import identity_bucket, proxy_url, session_user
+from pagewright.functions.text import identity_bucket, proxy_parts, proxy_url, session_user
+from pagewright.sources.session import prepare_workers
 
 QUARANTINE, RELEASE = 0.25, 0.5
 
@@ -80,6 +81,7 @@ def rate_limit(requests: DataFrame, rate: float = 1.0, burst: int = 3) -> DataFr
                 waits += w
             yield rows.assign(wait=waits)
 
+    prepare_workers(requests.sparkSession)
     rows = requests.select("domain", "seq", F.col("at").cast("double").alias("at"))
     return rows.repartition("domain").sortWithinPartitions("domain", "at", "seq").mapInPandas(fold, "domain string, seq long, at double, wait double")
 
@@ -111,6 +113,10 @@ def request_headers(url: Column, extra: dict[str, str] | None = None) -> Column:
     return F.create_map(*[x for name, v in {**rest, **own}.items() for x in (F.lit(name), v)])
 
 
+# The name under which the environment asks for session proxies; its host, port and users' prefix are in settings_from().
+SESSION_PROVIDER = "brightdata"
+
+
 def proxy_kind(settings: dict) -> str:
     """Which kind of proxies settings ask for: session (customer, zone and password), rotating, static or none, in this order."""
     if not settings or not settings.get("enabled", True):
@@ -120,11 +126,27 @@ def proxy_kind(settings: dict) -> str:
     return "rotating" if settings.get("servers") else "static" if settings.get("server") else "none"
 
 
+def settings_from(environment: Mapping[str, str]) -> dict:
+    """Settings of assign_proxies() from environment variables: PROXY_PROVIDER is rotating (PROXY_POOL_URLS, by commas), the session
+    provider's name, or static (PROXY_SERVER, PROXY_USERNAME, PROXY_PASSWORD); nothing usable is no proxy."""
+    kind = (environment.get("PROXY_PROVIDER") or "").strip().lower()
+    if kind == "rotating":
+        return {"servers": [s.strip() for s in environment.get("PROXY_POOL_URLS", "").split(",") if s.strip()]}
+    if kind == SESSION_PROVIDER:
+        get = lambda name: environment.get(f"PROXY_{SESSION_PROVIDER.upper()}_{name}")
+        customer = get("CUSTOMER_ID") or environment.get("PROXY_USERNAME")
+        found = {"customer_id": customer and f"brd-customer-{customer}", "zone": get("ZONE"), "password": environment.get("PROXY_PASSWORD"), "country": get("COUNTRY"), "host": environment.get("PROXY_HOST", "brd.superproxy.io"), "port": environment.get("PROXY_PORT", "22225")}
+        return {k: v for k, v in found.items() if v} | {"sticky": (get("STICKY_PER_URL") or "1").strip() != "0"}
+    server = environment.get("PROXY_SERVER")
+    return {"server": server, "username": environment.get("PROXY_USERNAME"), "password": environment.get("PROXY_PASSWORD")} if server else {}
+
+
 def assign_proxies(requests: DataFrame, settings: dict) -> DataFrame:
     """(url, shard, seq) -> with the proxy's url by the settings' kind, null for none."""
     kind, text = proxy_kind(settings), F.lit(None).cast("string")
     if kind == "rotating":
-        return round_robin(requests, list(settings["servers"]))
+        chosen = round_robin(requests, list(settings["servers"])).withColumn("__p", proxy_parts(F.col("proxy")))
+        return chosen.withColumn("proxy", F.coalesce(proxy_url(F.col("__p.server"), F.col("__p.username"), F.col("__p.password")), "proxy")).drop("__p")
     if kind == "static":
         text = proxy_url(F.lit(settings["server"]), F.lit(settings.get("username")).cast("string"), F.lit(settings.get("password")).cast("string"))
     if kind == "session":

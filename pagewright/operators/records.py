@@ -11,15 +11,18 @@ import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import json_records as J
 from pagewright.functions.predicates import contains_any
 from pagewright.functions.text import normalize_key
+from pagewright.sources.session import prepare_workers
 
 
 def _mapped(fn: Callable[[str | None], object], kind: str) -> Callable[[Column], Column]:
+    prepare_workers(SparkSession.active())
+
     @F.pandas_udf(kind)
     def run(values: pd.Series) -> pd.Series:
         return values.map(fn).astype(object)
@@ -146,14 +149,15 @@ def merge_records(existing: DataFrame, new: DataFrame, decisions: DataFrame, pri
     """Upsert new records into existing ones by decisions, each url by itself and in order.
 
     existing, new: (url, rec_idx, record_json); decisions: (url, seq, new_index, merge, target_id).
-    A merge into a known id overwrites its keys; all else inserts, over a record of the same id. New records
-    without a decision are dropped; existing ones of equal id collapse to the last.
+    A merge into a known target overwrites its keys; all else inserts, over a record of the same id; new records without an
+    id stand apart. New records without a decision are dropped; existing ones of equal id, or of none, collapse to the last.
     -> (url, rec_idx, record_json, added, updated); the counts are the url's.
     """
     sides = existing.select("url", F.lit(0).alias("side"), "rec_idx", "record_json", F.lit(None).cast("boolean").alias("merge"), F.lit(None).cast("string").alias("target"))
     chosen = decisions.select(F.col("url").alias("u"), "seq", "new_index", "merge", "target_id")
     picked = new.join(chosen, (new["url"] == chosen["u"]) & (new["rec_idx"] == chosen["new_index"])).select("url", F.lit(1).alias("side"), F.col("seq").alias("rec_idx"), "record_json", "merge", F.col("target_id").alias("target"))
     keys = tuple(merge_keys)
+    prepare_workers(existing.sparkSession)
 
     def ident(r: dict) -> str:
         own = r.get(primary_key)
@@ -168,16 +172,13 @@ def merge_records(existing: DataFrame, new: DataFrame, decisions: DataFrame, pri
         added = updated = 0
         for i, (side, text, merge, target) in enumerate(zip(group["side"], group["record_json"], group["merge"], group["target"], strict=True)):
             record = J.parse(text) or {}
-            own = ident(record) or f"\0{i}"
             if side == 0:
-                held[own] = record
-                continue
-            into = target or own
-            if merge and into in held:
-                held[into] = {**held[into], **record}
+                held[ident(record)] = record
+            elif merge and target and target in held:
+                held[target] = {**held[target], **record}
                 updated += 1
             else:
-                held[own] = record
+                held[ident(record) or f"\0{i}"] = record
                 added += 1
         return pd.DataFrame({"url": group["url"].iloc[0], "rec_idx": range(len(held)), "record_json": [json.dumps(r) for r in held.values()], "added": added, "updated": updated})
 
@@ -185,10 +186,11 @@ def merge_records(existing: DataFrame, new: DataFrame, decisions: DataFrame, pri
 
 
 def merge_snapshots(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Upsert of fixed columns, every new row a decision to merge: one join, no Python."""
-    cols = [c for c in new.columns if c != key]
-    both = existing.alias("a").join(new.alias("b"), key, "full_outer")
-    return both.select(key, *[F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) for c in cols])
+    """Upsert of fixed columns, every new row a decision to merge: one join, no Python. A new row's nulls overwrite too;
+    columns that only existing rows have stay."""
+    both = existing.alias("a").join(new.withColumn("__new", F.lit(True)).alias("b"), key, "full_outer")
+    cols = [F.when(F.col("__new"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}") if c in existing.columns else None).alias(c) for c in new.columns if c != key]
+    return both.select(key, *cols, *[F.col(f"a.{c}") for c in existing.columns if c not in new.columns])
 
 
 DECISIONS = "merge_decisions array<struct<new_record_index:int,existing_record_id:string,merge:boolean>>"

@@ -26,14 +26,16 @@ def prepare_workers(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests, one machine)
-    is a local folder used.
+    A cluster names it in spark.checkpoint.dir. Where that is unset, a local folder is used if Spark runs on this
+    machine alone; anywhere else that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return "/tmp/checkpoints"
