@@ -105,8 +105,8 @@ def record_id(fields: dict[str, Column], primary_key: str, merge_keys: Sequence[
 
 def missing_fields(records: DataFrame, fields: Sequence[str], inputs: DataFrame | None = None) -> DataFrame:
     """(url, columns) -> (url, missing): fields that are null or empty in all of a url's records; all fields for a url of inputs without records."""
-    agg = records.groupBy("url").agg(*[F.bool_and(F.coalesce(F.col(f).cast("string"), F.lit("")) == "").alias(f"__{i}") for i, f in enumerate(fields)])
-    names = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"__{i}"), F.lit(True)), F.lit(f)) for i, f in enumerate(fields)]))
+    agg = records.groupBy("url").agg(F.count("*").alias("__n"), *[F.bool_and(F.coalesce(F.col(f).cast("string"), F.lit("")) == "").alias(f"__{i}") for i, f in enumerate(fields)])
+    names = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"__{i}"), F.lit(True)), F.lit(f)) for i, f in enumerate(fields)]).cast("array<string>"))
     if inputs is not None:
         agg = inputs.select("url").distinct().join(agg, "url", "left")
     return agg.select("url", names.alias("missing"))

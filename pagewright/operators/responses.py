@@ -19,6 +19,7 @@ def join_responses(rows: DataFrame, responses: DataFrame, stage: str) -> DataFra
 def _parsed(rows: DataFrame, schema: str) -> DataFrame:
     good = F.when(F.col("error").isNull(), F.col("content"))
     bad = F.col("error").isNull() & F.try_parse_json("content").isNull()
+    rows = rows.withColumn("answered", F.coalesce(F.col("content").isNotNull() & ~bad, F.lit(False)))
     return rows.withColumn("d", F.from_json(good, schema)).withColumn("error", F.when(bad, "invalid_json").otherwise(F.col("error"))).withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0.0)))
 
 
@@ -32,7 +33,7 @@ def parse_discovery(rows: DataFrame) -> DataFrame:
     return _parsed(rows, DISCOVERY).select(
         "url", F.coalesce("d.ranked_apis", none).alias("ranked_apis"), F.coalesce("d.ranked_links", none).alias("ranked_links"), F.col("d.platform_guess").alias("platform_guess"),
         F.coalesce("d.navigation_hint", F.lit("")).alias("navigation_hint"), F.lit("discovery").alias("signal_type"), F.coalesce(F.nullif(s["platform_observed"], F.lit("")), F.col("d.platform_guess")).alias("platform"),
-        _or_first(s["free_text_observation"], s["misleading_patterns"]).alias("hint"), F.coalesce(s["confidence"], F.lit(0.5)).alias("confidence"), "cost_usd", "error",
+        _or_first(s["free_text_observation"], s["misleading_patterns"]).alias("hint"), F.coalesce(s["confidence"], F.lit(0.5)).alias("confidence"), F.coalesce(s["misleading_patterns"], none).alias("misleading"), "cost_usd", "error", "answered",
     )
 
 
@@ -40,7 +41,7 @@ def parse_external(rows: DataFrame) -> DataFrame:
     s = F.col("d.improvement_signal")
     return _parsed(rows, EXTERNAL).select(
         "url", F.coalesce("d.ranked_external_links", F.array().cast("array<string>")).alias("ranked_external_links"), F.lit("external_rank").alias("signal_type"),
-        F.coalesce(F.try_element_at(s["misleading_patterns"], F.lit(1)), s["free_text_observation"], F.lit("")).alias("hint"), F.coalesce(s["confidence"], F.lit(0.5)).alias("confidence"), "cost_usd", "error",
+        F.coalesce(F.try_element_at(s["misleading_patterns"], F.lit(1)), s["free_text_observation"], F.lit("")).alias("hint"), F.coalesce(s["confidence"], F.lit(0.5)).alias("confidence"), "cost_usd", "error", "answered",
     )
 
 
@@ -53,7 +54,7 @@ def parse_extraction(rows: DataFrame) -> DataFrame:
     return _parsed(rows, EXTRACTION).select(
         "url", records.alias("records"), mean.alias("confidence"), F.coalesce(F.nullif("d.platform_confirmed", F.lit("")), F.col("d.platform")).alias("platform"), F.col("d.field_mappings").alias("field_mappings"),
         F.coalesce("d.field_mapping_notes", F.lit("")).alias("note"), F.lit("extraction").alias("signal_type"), _or_first(F.try_element_at(s["api_patterns_that_worked"], F.lit(1)), F.array(s["free_text_observation"])).alias("hint"),
-        F.coalesce(s["confidence"], F.nullif(mean, F.lit(0.0)), F.lit(0.5)).alias("signal_confidence"), "cost_usd", "error",
+        F.coalesce(s["confidence"], F.nullif(mean, F.lit(0.0)), F.lit(0.5)).alias("signal_confidence"), "cost_usd", "error", "answered",
     )
 
 

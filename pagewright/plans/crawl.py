@@ -1,7 +1,10 @@
 """The crawl as one plan: inputs and pages in, records and results out.
 
 inputs (url[, profile_json, carry_json array<string>, previous_json array<string>]), pages (url, html,
-status_code, content_type, error). Pages, payloads and model responses are tables: a run fetches and asks nothing.
+status_code, content_type, error[, attempt, latency_ms, at]). Pages, payloads and model responses are tables: a run fetches and
+asks nothing. Where a step of a url would ask a model, its answer is looked up by stage and url in
+responses (stage, url, content, cost_usd, error): discovery and extraction for pages whose tiers found nothing, external_rank
+where minimum fields are missing, merge where a url has previous and new records. What isn't there was answered with nothing.
 """
 
 from __future__ import annotations
@@ -9,13 +12,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.predicates import fetch_success
-from pagewright.operators import extraction, records
-from pagewright.operators.discovery import discover
-from pagewright.sources.stores import bounded_queue
+from pagewright.functions.predicates import fetch_success, is_captcha
+from pagewright.operators import extraction, learning, records
+from pagewright.operators import responses as answers
+from pagewright.operators.discovery import crawl_candidates, discover
+from pagewright.sources.session import checkpoint
+from pagewright.sources.stores import bounded_queue, trace_rows
+
+RESPONSES = "stage string, url string, content string, cost_usd double, error string"
+MAPPINGS = "url_pattern string, field_name string, hint string, synonyms array<string>, confidence double, api_pattern string, json_path string, envelope string, selector string, success_count int"
 
 
 @dataclass(frozen=True)
@@ -34,38 +42,129 @@ class Skill:
     link_keywords: tuple[str, ...] = ()
     carry_forward: bool = True
     carry_days: int = 7
+    max_external_depth: int = 0
+
+
+@dataclass(frozen=True)
+class Memory:
+    """What earlier runs of a skill taught."""
+
+    api_patterns: tuple[str, ...] = ()
+    link_keywords: tuple[str, ...] = ()
+    noise_patterns: tuple[str, ...] = ()
+    synonyms: dict[str, list[str]] = field(default_factory=dict)
+
+    @staticmethod
+    def of(memory: dict) -> Memory:
+        """From a stored memory."""
+        get = lambda k: tuple(memory.get(k) or ())
+        return Memory(get("high_confidence_api_patterns"), get("high_confidence_link_keywords"), get("known_noise_patterns"), dict(memory.get("confirmed_field_synonyms") or {}))
 
 
-def status_of(fetched, has_records, passed, has_carry, carry: bool = True):  # noqa: ANN001, ANN201
+def status_of(fetched: Column, has_records: Column, passed: Column, has_carry: Column, carry: bool = True) -> Column:
     """EMPTY, SUCCESS or PARTIAL of a fetched page; CARRY_FORWARD or FAILED of one that wasn't."""
     failed = F.when(F.lit(carry) & has_carry, "CARRY_FORWARD").otherwise("FAILED")
     return F.when(~fetched, failed).when(~has_records, "EMPTY").when(passed, "SUCCESS").otherwise("PARTIAL")
 
 
-def run(inputs: DataFrame, pages: DataFrame, skill: Skill, tiers: Sequence[extraction.Tier] = extraction.CASCADE) -> dict[str, DataFrame]:
-    """-> records (url, rec_idx, record_json), results (url, status, tier_used, ...), dead letters, ranked links."""
+def fetched_pages(pages: DataFrame) -> DataFrame:
+    """One fetch of each url: its first success, else its last attempt; a challenge page is an error with status 403."""
+    have = set(pages.columns)
+    rows = pages.select("url", "html", "status_code", "content_type", "error", *[(F.col(c) if c in have else F.lit(d)).cast(t).alias(c) for c, d, t in (("attempt", 0, "long"), ("latency_ms", None, "double"), ("at", None, "timestamp"))])
+    blocked = is_captcha(F.col("html"))
+    rows = rows.withColumns({"error": F.when(blocked, "captcha_detected").otherwise(F.col("error")), "status_code": F.when(blocked, 403).otherwise(F.col("status_code"))})
+    rows = rows.withColumn("fetched", fetch_success(F.col("status_code"), F.col("error")) & F.col("html").isNotNull())
+    order = Window.partitionBy("url").orderBy(F.desc("fetched"), F.when(F.col("fetched"), F.col("attempt")).otherwise(-F.col("attempt")), F.sha2("html", 256))
+    return rows.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth", "attempt")
+
+
+def _listed(rows: DataFrame, column: str) -> DataFrame:
+    return rows.select("url", F.posexplode(column).alias("rec_idx", "record_json"))
+
+
+def run(
+    inputs: DataFrame, pages: DataFrame, skill: Skill, tiers: Sequence[extraction.Tier] = extraction.CASCADE, *,
+    responses: DataFrame | None = None, profiles: DataFrame | None = None, mappings: DataFrame | None = None, memory: Memory = Memory(),
+) -> dict[str, DataFrame]:
+    """profiles: stored (url_pattern, profile JSON); mappings: stored field mappings. ->
+
+    records (url, rec_idx, record_json), results (url, status, tier_used, ...), dead_letters, ranked links and apis, candidates,
+    external (url, links), signals, profiles (statistics), mappings, blocked (url, blocked), triggers, trace.
+    """
+    spark = inputs.sparkSession
+    responses = spark.createDataFrame([], RESPONSES) if responses is None else responses
     none = F.array().cast("array<string>")
     have = set(inputs.columns)
     rows = inputs.select("url", *[(F.col(c) if c in have else F.lit(None).cast(t)).alias(c) for c, t in (("profile_json", "string"), ("carry_json", "array<string>"), ("previous_json", "array<string>"))])
-    joined = rows.join(pages.dropDuplicates(["url"]), "url", "left").withColumn("fetched", fetch_success(F.col("status_code"), F.col("error")) & F.col("html").isNotNull())
-    good = joined.where("fetched").select("url", "html", "content_type", "profile_json")
-    found = extraction.extract(good, skill.fields, tiers=tiers)
-    found = found.withColumn("record_json", records.rename_keys(F.col("record_json"), skill.aliases))
-    kept = records.drop_negative(found.where("record_json is not null"), skill.negative_keywords)
-    kept = kept.withColumn("record_json", records.assign_identity(F.col("record_json"), skill.primary_key))
-    gate = records.schema_gate(kept, skill.minimum_fields, skill.json_schema)
-    tier = kept.groupBy("url").agg(F.first("tier_used").alias("tier_used"), F.first("confidence").alias("confidence"))
+    if profiles is not None:
+        stored = profiles.select(F.col("url_pattern").alias("p_url"), F.col("profile").alias("p_profile"))
+        rows = rows.join(stored, rows["url"] == stored["p_url"], "left").withColumn("profile_json", F.coalesce("profile_json", "p_profile")).drop("p_url", "p_profile")
+    joined = rows.join(fetched_pages(pages), "url", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
+    good = joined.where("fetched")
+
+    # the tiers, then a model's answers for pages in which they find nothing
+    found = checkpoint(extraction.extract(good.select("url", "html", "content_type", "profile_json"), skill.fields, memory.api_patterns, memory.noise_patterns, tiers))
+    empty = found.where("record_json is null").select("url")
+    discovered = answers.parse_discovery(answers.join_responses(empty, responses, "discovery"))
+    extracted = answers.parse_extraction(answers.join_responses(empty, responses, "extraction"))
+    told = _listed(extracted, "records").where(F.col("record_json").startswith("{"))
+    named = found.where("record_json is not null").select("url", "rec_idx", "record_json").union(told)
+    named = named.withColumn("record_json", records.rename_keys(F.col("record_json"), {**skill.aliases, **memory.synonyms}))
+    kept = checkpoint(records.drop_negative(named, skill.negative_keywords))
+    tier = found.where("record_json is not null").groupBy("url").agg(F.max("tier_used").alias("tier_used"), F.max("confidence").alias("confidence"))
+    tier = tier.union(extracted.select("url", F.lit("llm_extraction"), "confidence"))
+
+    # outside links where minimum fields are missing
+    links, apis = discover(good, memory.link_keywords or skill.link_keywords, skill.negative_keywords, memory.api_patterns)
+    values = kept.select("url", *[F.get_json_object("record_json", f"$['{f}']").alias(f) for f in skill.minimum_fields])
+    missing = records.missing_fields(values, skill.minimum_fields, good)
+    best = links.where("rank <= 25").groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "link"))), lambda x: x["link"]).alias("links"))  # at most 25 of a url
+    wanted = answers.needs_external(missing.join(best, "url"), skill.max_external_depth).select("url")
+    ranked = answers.parse_external(answers.join_responses(wanted, responses, "external_rank"))
+
+    # merge with previous records
+    before = _listed(joined.where(F.size(F.coalesce("previous_json", none)) > 0).join(kept.select("url").distinct(), "url", "left_semi"), "previous_json")
+    both = before.select("url").distinct()
+    said = answers.join_responses(both, responses, "merge")
+    merged = records.drop_negative(records.merge_answers(before, kept.join(both, "url", "left_semi"), said, skill.primary_key, skill.merging_keys), skill.negative_keywords)
+    final = kept.join(both, "url", "left_anti").union(merged.select("url", "rec_idx", "record_json"))
+    final = checkpoint(final.withColumn("record_json", records.assign_identity(F.col("record_json"), skill.primary_key)))
+
+    gate = records.schema_gate(final, skill.minimum_fields, skill.json_schema)
+    paid = discovered.select("url", "cost_usd").union(extracted.select("url", "cost_usd")).union(ranked.select("url", "cost_usd")).union(said.select("url", F.coalesce("cost_usd", F.lit(0.0))))
+    paid = paid.groupBy("url").agg(F.sum("cost_usd").alias("llm_cost_usd"))
     carried = F.coalesce(F.when(F.size("carry_json") > 0, F.col("carry_json")), F.col("previous_json"), none)
-    results = joined.select("url", "fetched", "error", "status_code", carried.alias("carried")).join(gate, "url", "left").join(tier, "url", "left").na.fill(0, ["n_records"])
+    results = joined.select("url", "fetched", "error", "status_code", "latency_ms", "at", "profile_json", carried.alias("carried"))
+    results = results.join(gate, "url", "left").join(tier, "url", "left").join(paid, "url", "left").na.fill(0, ["n_records", "llm_cost_usd", "confidence"])
     status = status_of(F.col("fetched"), F.col("n_records") > 0, F.coalesce("passed", F.lit(False)), F.size("carried") > 0, skill.carry_forward)
-    results = results.withColumn("status", status)
-    over = F.col("status") == "CARRY_FORWARD"
     error = F.when(~F.col("fetched"), F.coalesce("error", F.concat(F.lit("HTTP "), F.coalesce(F.col("status_code").cast("string"), F.lit("0")))))
-    results = results.select(
-        "url", "status", "tier_used", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.when(over, F.size("carried")).otherwise(F.col("n_records")).cast("long").alias("n_records"),
-        F.when(over, skill.carry_days).otherwise(0).alias("carry_forward_days"), F.lit(0.0).alias("llm_cost_usd"), F.array_compact(F.array(error, "reason")).alias("errors"), "carried",
-    )
-    old = results.where(F.col("status") == "CARRY_FORWARD").select("url", F.posexplode("carried").alias("rec_idx", "record_json"))
-    links, apis = discover(good, skill.link_keywords, skill.negative_keywords)
-    dead = bounded_queue(results.where(F.col("status") == "FAILED").select("url", F.try_element_at("errors", F.lit(1)).alias("error")), order=("url",))
-    return {"records": kept.select("url", "rec_idx", "record_json").union(old), "results": results.drop("carried"), "dead_letters": dead, "links": links, "apis": apis}
+    results = results.withColumn("status", status).withColumn("errors", F.array_compact(F.array(error)))
+    over = F.col("status") == "CARRY_FORWARD"
+    old = results.where(over).select("url", F.posexplode("carried").alias("rec_idx", "record_json"))
+
+    # what the run teaches
+    signal = lambda rows, *more: rows.where("error is null").select("url", "signal_type", *more, "hint")
+    signals = signal(discovered.where("answered"), "platform", "confidence").union(signal(extracted.where("answered"), "platform", F.col("signal_confidence").alias("confidence")))
+    signals = signals.union(signal(ranked.where("answered"), F.lit(None).cast("string").alias("platform"), "confidence")).withColumn("skill", F.lit(skill.name))
+    noisy = joined.where("profile_json is not null").select("url", F.coalesce(F.from_json("profile_json", "blocked array<string>")["blocked"], none).alias("blocked"))
+    noisy = noisy.join(discovered.where(F.size("misleading") > 0).select("url", "misleading"), "url")
+    fetched = results.where("fetched")
+    learned = extracted.where("field_mappings is not null").select(F.col("url").alias("url_pattern"), "note", "field_mappings")
+    pending = signals.groupBy("skill").agg(F.count("*").alias("n"))
+    event = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), F.lit("").alias("timestamp"), "url", F.lit(skill.name).alias("skill"), F.lit("{}").alias("payload"))
+    trace = event(fetched, "tier_attempted").union(event(fetched, "tier_won")).union(event(fetched, "profile_updated")).union(event(results.where(over), "carry_forward")).union(event(both, "merge_invoked"))
+    trace = trace.union(event(discovered, "discovery_llm_invoked")).union(event(ranked.where(F.size("ranked_external_links") > 0), "external_rank_invoked")).union(event(results.where("status = 'FAILED'"), "dlq_push"))
+    return {
+        "records": final.select("url", "rec_idx", "record_json").union(old),
+        "results": results.select(
+            "url", "status", "tier_used", "confidence", F.when(over, F.size("carried")).otherwise(F.col("n_records")).cast("long").alias("n_records"),
+            F.when(over, skill.carry_days).otherwise(0).alias("carry_forward_days"), "llm_cost_usd", "errors", "reason",
+        ),
+        "dead_letters": bounded_queue(results.where("status = 'FAILED'").select("url", F.try_element_at("errors", F.lit(1)).alias("error")), order=("url",)),
+        "links": links, "apis": apis, "candidates": crawl_candidates(links), "external": ranked.select("url", "ranked_external_links"), "signals": signals,
+        "profiles": learning.record_success(fetched.select("url", "n_records", "confidence", "latency_ms", "at")),
+        "mappings": learning.crystallize(spark.createDataFrame([], MAPPINGS) if mappings is None else mappings, learned),
+        "blocked": noisy.select("url", F.array_distinct(F.concat("blocked", F.filter("misleading", lambda x: x != ""))).alias("blocked")),
+        "triggers": learning.triggers(pending, learning.new_platforms(signals, spark.createDataFrame([], "skill string, platform string")), ended=True),
+        "trace": trace_rows(trace),
+    }

@@ -628,11 +628,52 @@ def retry_first_success(s, d):  # noqa: ANN001, ANN201
 
 # ---- whole runs -----------------------------------------------------------------------------------
 
+_RUN = """SELECT *, CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN CASE WHEN k % 2 = 0 THEN 'CARRY_FORWARD' ELSE 'FAILED' END WHEN n_new = 0 THEN 'EMPTY' ELSE 'SUCCESS' END AS status, k % 7 > 0 AND k % 11 > 0 AS fetched FROM (
+  SELECT p_partkey AS k, 'https://shop.example/p' || p_partkey AS url, p_name, p_partkey % 5 AS kind, CASE WHEN contains(p_name, 'rose') THEN 0 WHEN p_partkey % 5 < 4 OR p_partkey % 3 = 0 THEN 1 ELSE 0 END AS n_new FROM part)"""
 
-@query("""SELECT 'https://shop.example/p' || p_partkey AS url, CASE WHEN p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'CARRY_FORWARD' ELSE 'FAILED' END WHEN p_partkey % 5 = 4 OR contains(p_name, 'rose') THEN 'EMPTY' ELSE 'SUCCESS' END AS status FROM part""")
-def crawl_run(s, d):  # noqa: ANN001, ANN201
+
+def _crawled(s: SparkSession, d: str) -> dict:
+    """Pages of the parts: each seventh fails, each eleventh is a challenge; a model finds the part of some that no tier reads;
+    even ones have a previous record, which a model merges with the new one for half of them."""
     p = part_pages(s, d)
-    fetched = p.select("url", "html", "content_type", F.when(F.col("k") % 7 == 0, 500).otherwise(200).alias("status_code"), F.lit(None).cast("string").alias("error"))
+    html = F.when(F.col("k") % 11 == 0, '<div class="g-recaptcha">').otherwise(F.col("html"))
+    status = F.when(F.col("k") % 7 == 0, 500).otherwise(200)
+    fetched = p.select("url", html.alias("html"), "content_type", status.alias("status_code"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempt"))
+    fetched = fetched.union(p.where("k % 6 = 0").select("url", F.lit("x"), F.lit("text/html"), F.lit(503), F.lit("HTTP 503"), F.lit(0)))
     inputs = p.select("url", F.when(F.col("k") % 2 == 0, F.array(F.lit('{"name": "old"}'))).alias("previous_json"))
-    skill = crawl.Skill("parts", fields=("name", "price"), minimum_fields=("name",), negative_keywords=("rose",))
-    return crawl.run(inputs, fetched, skill)["results"].select("url", "status")
+    parts = table(s, d, "part").select(F.concat(F.lit("https://shop.example/p"), "p_partkey").alias("url"), F.col("p_partkey").alias("k"), "p_name")
+    answer = lambda rows, stage, content, cost: rows.select(F.lit(stage).alias("stage"), "url", content.alias("content"), F.lit(cost).alias("cost_usd"), F.lit(None).cast("string").alias("error"))
+    record = F.struct(F.array(F.struct(F.col("p_name").alias("name"), F.lit(0.75).alias("confidence"))).alias("records"), F.struct(F.lit("seen").alias("free_text_observation")).alias("improvement_signal"))
+    merge = '{"merge_decisions": [{"new_record_index": 0, "existing_record_id": "old", "merge": true}]}'
+    responses = answer(parts.where("k % 3 = 0"), "extraction", F.to_json(record), 0.5).union(answer(parts, "discovery", F.lit('{"platform_guess": "shopx", "improvement_signal": {"misleading_patterns": ["/x"]}}'), 0.25))
+    responses = responses.union(answer(parts.where("k % 4 = 0"), "merge", F.lit(merge), 0.125))
+    skill = crawl.Skill("parts", fields=("name", "price"), minimum_fields=("name",), merging_keys=("name",), negative_keywords=("rose",))
+    return crawl.run(inputs, fetched, skill, responses=responses)
+
+
+@query(f"""SELECT url, status, CASE WHEN NOT fetched THEN NULL WHEN kind = 0 THEN 'json_ld' WHEN kind = 1 THEN 'microdata' WHEN kind = 2 THEN 'embedded_blob:initial_state' WHEN kind = 3 THEN 'known_api' ELSE 'llm_extraction' END AS tier_used,
+  CASE WHEN NOT fetched THEN 0.0 WHEN kind = 0 THEN 0.9 WHEN kind = 1 THEN 0.75 WHEN kind = 2 THEN 0.8 WHEN kind = 3 THEN 0.9 WHEN k % 3 = 0 THEN 0.75 ELSE 0.0 END::DOUBLE AS confidence,
+  CAST(CASE WHEN NOT fetched THEN (k % 2 = 0)::INT WHEN n_new = 0 THEN 0 WHEN k % 4 = 2 THEN 2 ELSE 1 END AS BIGINT) AS n_records, CASE WHEN status = 'CARRY_FORWARD' THEN 7 ELSE 0 END AS carry_forward_days,
+  CASE WHEN NOT fetched THEN 0.0 ELSE (CASE WHEN kind = 4 THEN 0.25 + (k % 3 = 0)::INT * 0.5 ELSE 0 END) + (CASE WHEN k % 4 = 0 AND n_new > 0 THEN 0.125 ELSE 0 END) END::DOUBLE AS llm_cost_usd,
+  CASE WHEN fetched THEN '' WHEN k % 11 = 0 THEN 'captcha_detected' ELSE 'HTTP 500' END AS errors FROM ({_RUN})""")
+def crawl_run(s, d):  # noqa: ANN001, ANN201
+    return _crawled(s, d)["results"].withColumn("errors", F.array_join("errors", "; ")).drop("reason")
+
+
+@query(f"""SELECT url, CAST(i AS INT) AS rec_idx, CASE WHEN NOT fetched OR (k % 4 = 2 AND i = 0) THEN 'old' ELSE p_name END AS name, fetched AS has_id FROM ({_RUN}), (VALUES (0), (1)) v(i)
+  WHERE (NOT fetched AND k % 2 = 0 AND i = 0) OR (fetched AND n_new > 0 AND (i = 0 OR k % 4 = 2))""")
+def crawl_records(s, d):  # noqa: ANN001, ANN201
+    j = F.col("record_json")
+    return _crawled(s, d)["records"].select("url", "rec_idx", F.get_json_object(j, "$.name").alias("name"), F.get_json_object(j, "$._id").isNotNull().alias("has_id"))
+
+
+@query(f"""SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN fetched THEN ['tier_attempted', 'tier_won', 'profile_updated'] WHEN status = 'FAILED' THEN ['dlq_push'] ELSE ['carry_forward'] END) AS kind FROM ({_RUN})
+  UNION ALL SELECT 'merge_invoked' FROM ({_RUN}) WHERE fetched AND n_new > 0 AND k % 2 = 0 UNION ALL SELECT 'discovery_llm_invoked' FROM ({_RUN}) WHERE fetched AND kind = 4) GROUP BY 1""")
+def crawl_trace(s, d):  # noqa: ANN001, ANN201
+    return _crawled(s, d)["trace"].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT signal_type, platform, hint, confidence, count(*) AS n FROM (SELECT 'discovery' AS signal_type, 'shopx' AS platform, '/x' AS hint, 0.5::DOUBLE AS confidence FROM ({_RUN}) WHERE fetched AND kind = 4
+  UNION ALL SELECT 'extraction', NULL, 'seen', 0.75::DOUBLE FROM ({_RUN}) WHERE fetched AND kind = 4 AND k % 3 = 0) GROUP BY ALL""")
+def crawl_signals(s, d):  # noqa: ANN001, ANN201
+    return _crawled(s, d)["signals"].groupBy("signal_type", "platform", "hint", "confidence").agg(F.count("*").alias("n"))
