@@ -48,7 +48,48 @@ GRAM = 48
 #: Bytes of text in a worker's arrays at a time.
 PIECE = 3 << 18
 _STRETCHES, _MARKS, _OPEN, _WINDOWS = 0, 1, 2, 3
-_HASH = C.RabinKarp(21)
+
+
+class Rolling:
+    """Hashes of all stretches of one width, from prefix sums modulo 2**64: cheap, so that each byte may begin one.
+
+    Long texts of a special form collide (their difference has many factors of two); what ties is compared by its bytes.
+    """
+
+    def __init__(self, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.base = int(rng.integers(1 << 62)) * 4 + 3
+        self.byte = rng.integers(1 << 63, size=256, dtype=np.uint64) * C.U(2) + C.U(1)
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    @staticmethod
+    def _grown(powers: np.ndarray, base: int, n: int) -> np.ndarray:
+        while len(powers) < n:
+            powers = np.concatenate([powers, powers * C.U(pow(base, len(powers), 1 << 64))])
+        return powers
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        n = len(data)
+        self.powers = self._grown(self.powers, self.base, n + 1)
+        self.inverses = self._grown(self.inverses, pow(self.base, -1, 1 << 64), n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        terms = self.byte[data]
+        terms *= self.powers[:n]
+        np.cumsum(terms, out=sums[1:])
+        return sums
+
+    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of data[start:end], wherever it stands."""
+        return C.mixed((sums[end] - sums[start]) * self.inverses[start])
+
+    def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
+        h = sums[width:] - sums[:-width]
+        h *= self.inverses[: len(h)]
+        return C.mixed(h)
+
+
+_HASH = Rolling(21)
+
 
 
 def _pieces(batches, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -76,7 +117,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def _anchored(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, bits: int):
     """Stretches of windows that share an anchor: (document, first start, windows, gram's hash, stretch's hash)."""
-    grams = _HASH.windows(data, gram)
+    sums = _HASH.prefix(data)
+    grams = _HASH.windows(sums, gram)
     place = C.U((1 << max(24, len(data).bit_length())) - 1)
     keys = grams & ~place
     keys |= np.arange(len(grams), dtype=np.uint64)
@@ -91,13 +133,8 @@ def _anchored(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, bit
     some = end > start
     doc, start, end = doc[some], start[some], end[some]
     anchor = anchor[start]
-    size = end - 1 + length - start
-    part = 1 << (length.bit_length() - 1)
-    parts = grams if part == gram else _HASH.windows(data, part)
-    whole = C.mixed((anchor - start).astype(np.uint64) << C.U(32) | (end - start).astype(np.uint64))
-    for k in range(-(-(2 * length - gram) // part)):  # equal parts that cover the stretch, the last ones from its end
-        whole = C.mixed(whole + parts[start + np.minimum(k * part, size - part)])
-    return doc, start, end - start, grams[anchor], whole & _masked(bits)
+    shape = (anchor - start).astype(np.uint64) << C.U(32) | (end - start).astype(np.uint64)
+    return doc, start, end - start, grams[anchor], C.mixed(_HASH.of(sums, start, end - 1 + length) + C.mixed(shape)) & _masked(bits)
 
 
 def _masked(bits: int) -> np.uint64:
@@ -222,7 +259,7 @@ def _digit_3(length: int, n: int, bits: int):
                 if not starts:
                     continue
                 at, doc = np.concatenate(starts), np.concatenate(docs)
-                x = _HASH.windows(data, length)[at] & _masked(bits)
+                x = _HASH.of(_HASH.prefix(data), at, at + length) & _masked(bits)
                 offset = offsets[:-1][np.searchsorted(rows_at, doc)]
                 rid, start = ids[doc], at - offset + base
                 order = np.lexsort((start, rid, x))
@@ -261,7 +298,7 @@ def windows_of(length: int, bits: int) -> M.Windows:
                 continue
             pos = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(rids)))[doc]
             at = offsets[:-1][doc] + pos
-            yield rids, lambda i, d=data, at=at: d[at[i] : at[i] + length].tobytes(), doc, pos + base, _HASH.windows(data, length)[at] & _masked(bits)
+            yield rids, lambda i, d=data, at=at: d[at[i] : at[i] + length].tobytes(), doc, pos + base, _HASH.of(_HASH.prefix(data), at, at + length) & _masked(bits)
 
     return M.Windows(length, M.Text, hashes)
 
