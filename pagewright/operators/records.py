@@ -30,6 +30,11 @@ def _mapped(fn: Callable[[str | None], object], kind: str) -> Callable[[Column],
     return run
 
 
+def text_of(value_json: Column, show: Callable[[object], str]) -> Column:
+    """How a JSON value is shown in a prompt."""
+    return _mapped(lambda r: show(J.parse(r) if isinstance(r, str) else None), "string")(value_json)
+
+
 def rename_keys(record_json: Column, aliases: dict[str, list[str]]) -> Column:
     """Through the alias map; with no alternative names the record stays as it is."""
     if not any(aliases.values()):

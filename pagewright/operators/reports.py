@@ -54,7 +54,32 @@ def report_rows(results: DataFrame) -> DataFrame:
     return results.select("url", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
-def run_report(results: DataFrame, ledger: DataFrame, log: DataFrame | None = None) -> str:
+def report_totals(results: DataFrame) -> DataFrame:
+    """One row under report_rows(): all records, the cost, and how many results have errors."""
+    return results.agg(F.coalesce(F.sum("n_records"), F.lit(0)).alias("records"), F.coalesce(F.sum("llm_cost_usd"), F.lit(0.0)).alias("cost_usd"), F.count_if(F.size("errors") > 0).alias("with_errors"))
+
+
+def result_fields(results: DataFrame) -> DataFrame:
+    """What a result is exported as."""
+    return results.select("url", "status", "tier_used", "confidence", "llm_cost_usd", "n_records", "errors")
+
+
+def run_costs(results: DataFrame, log: DataFrame, warmup_cost: float = 0.0) -> DataFrame:
+    """One row: the costs of results, of consolidations (log: cost_usd) and of the warm-up, and their sum."""
+    own, folded = results.agg(F.coalesce(F.sum("llm_cost_usd"), F.lit(0.0)).alias("results_usd")), log.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("consolidation_usd"))
+    both = own.join(F.broadcast(folded))  # one row each
+    return both.withColumn("warmup_usd", F.lit(float(warmup_cost))).withColumn("total_usd", F.col("results_usd") + F.col("consolidation_usd") + F.col("warmup_usd"))
+
+
+def cost_sections(ledger: DataFrame, skill: str | None = None) -> DataFrame:
+    """(section, name, cost_usd): the total with the number of calls, each stage, each model, the ten dearest urls."""
+    rows = ledger if skill is None else ledger.where(F.col("skill") == skill)
+    total = rows.agg(F.concat(F.lit("calls: "), F.count("*")).alias("name"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd")).select(F.lit("total").alias("section"), "name", "cost_usd")
+    part = lambda df, key: df.select(F.lit(key).alias("section"), F.col(key).alias("name"), "cost_usd")
+    return total.union(part(cost_by(rows, "stage"), "stage")).union(part(cost_by(rows, "model"), "model")).union(part(top_costs(rows), "url"))
+
+
+def run_report(results: DataFrame, ledger: DataFrame, log: DataFrame | None = None, warmup_cost: float = 0.0) -> str:
     """A Markdown report. What comes to the driver is one row for each status, tier, stage and model."""
     m = crawl_metrics(results).first()
     lines = ["# Run", "", metrics_line(crawl_metrics(results)).first()["summary"], "", "## Statuses", *[f"- {r['status']}: {r['n']}" for r in status_counts(results).orderBy("status").collect()]]
@@ -62,6 +87,9 @@ def run_report(results: DataFrame, ledger: DataFrame, log: DataFrame | None = No
     lines += [cost_report(ledger)]
     if log is not None:
         last = log.orderBy(F.desc("seq")).limit(5).collect()
+        if "cost_usd" in log.columns:
+            c = run_costs(results, log, warmup_cost).first()
+            lines += ["", f"Costs: results ${c['results_usd']:.4f}, consolidations ${c['consolidation_usd']:.4f}, warm-up ${c['warmup_usd']:.4f}, together ${c['total_usd']:.4f}"]
         lines += ["", "## Last consolidations", *[f"- {r['triggered_by']}: {r['signal_count']} signals, version {r['version_after']}" for r in reversed(last)]]
     return "\n".join(lines)
 

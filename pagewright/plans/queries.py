@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import json_records as J
 from pagewright.functions import predicates as P
 from pagewright.functions import text as X
 from pagewright.operators import discovery as D
@@ -172,17 +173,12 @@ def api_url_extract(s, d):  # noqa: ANN001, ANN201
 
 
 @query(
-    rf"""SELECT url, CAST(pos AS INT) AS pos, link, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, pos) AS rank FROM (
-    SELECT url, pos, link, CASE WHEN contains(lower(link), 'en') AND contains(lower(link), 'th') THEN 0.6::DOUBLE + 0.3::DOUBLE WHEN contains(lower(link), 'en') THEN 0.6::DOUBLE WHEN contains(lower(link), 'th') THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS score
+    rf"""SELECT url, CAST(pos AS INT) AS pos, link, score, reason, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, pos) AS rank FROM (
+    SELECT url, pos, link, CASE WHEN contains(lower(link), 'en') AND contains(lower(link), 'th') THEN 0.6::DOUBLE + 0.3::DOUBLE WHEN contains(lower(link), 'en') THEN 0.6::DOUBLE WHEN contains(lower(link), 'th') THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS score, CASE WHEN contains(lower(link), 'en') AND contains(lower(link), 'th') THEN 'learned keyword: EN; schema field: th' WHEN contains(lower(link), 'en') THEN 'learned keyword: EN' WHEN contains(lower(link), 'th') THEN 'schema field: th' ELSE 'nothing learned' END AS reason
     FROM (SELECT url, link, min(pos) AS pos FROM ({_LINKS}) WHERE NOT contains(lower(link), 'er') GROUP BY url, link))) WHERE rank <= 50"""
 )
 def link_candidates(s, d):  # noqa: ANN001, ANN201
-    return D.link_candidates(pages(s, d), ("EN",), ("th",), ("er", "")).drop("reason").select("url", "pos", "link", "score", "rank")
-
-
-@query()
-def discover_links(s, d):  # noqa: ANN001, ANN201
-    return D.discover(pages(s, d).withColumn("content_type", F.lit("text/html")), KEYWORDS, NEGATIVE, threshold=0.2)[0]
+    return D.link_candidates(pages(s, d), ("EN",), ("th",), ("er", "")).select("url", "pos", "link", "score", "reason", "rank")
 
 
 @query("SELECT page_id, CAST(('0x' || left(sha256(url), 8))::BIGINT % 8 AS INT) AS identity, 'u-zone-z-country-us-session-' || left(sha256(url), 16) AS session FROM pages")
@@ -253,13 +249,8 @@ def cascade_first_tier(s, d):  # noqa: ANN001, ANN201
 _DOM_PROFILE = '{"selectors": {"name": "b[itemprop=name]", "price": "[itemprop=price]", "none": "em"}, "containers": ["div[itemscope]"]}'
 
 
-@query(f"SELECT url, 'profile_replay' AS tier_used, name, CAST(NULL AS VARCHAR) AS brand, price FROM ({_PARTS}) WHERE kind = 1")
-def profile_replay_dom(s, d):  # noqa: ANN001, ANN201
-    return _fields(E.extract(part_pages(s, d).where("k % 5 = 1").withColumn("profile_json", F.lit(_DOM_PROFILE))))
-
-
 @query(f"SELECT url, 'profile_replay' AS tier_used, name, CASE WHEN kind = 3 THEN brand END AS brand, price FROM ({_PARTS}) WHERE kind IN (1, 3)")
-def profile_replay_all(s, d):  # noqa: ANN001, ANN201
+def profile_replay_dom(s, d):  # noqa: ANN001, ANN201
     """The same profile tried on all pages: it also reads inline JSON."""
     return _fields(E.extract(part_pages(s, d).withColumn("profile_json", F.lit(_DOM_PROFILE))).where("tier_used = 'profile_replay'"))
 
@@ -279,7 +270,8 @@ def profile_replay_api(s, d):  # noqa: ANN001, ANN201
 def json_path_project(s, d):  # noqa: ANN001, ANN201
     p = table(s, d, "part")
     body = F.to_json(F.struct(F.struct(F.array("p_name", "p_brand").alias("xs")).alias("data")))
-    return p.select("p_partkey", body.alias("j")).select("p_partkey", F.get_json_object("j", "$.data.xs[0]").alias("a"), F.get_json_object("j", "$.data.xs[1]").alias("b"))
+    take = lambda path: R.text_of(F.col("j"), lambda v, path=path: J.walk(v, path))
+    return p.select("p_partkey", body.alias("j")).select("p_partkey", take("data.xs[0]").alias("a"), take("data/xs[1]").alias("b"))
 
 
 # ---- records --------------------------------------------------------------------------------------
@@ -313,17 +305,17 @@ def identity_hash(s, d):  # noqa: ANN001, ANN201
     return table(s, d, "part").select("p_partkey", R.identity_of(F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")))).alias("id"))
 
 
-@query("""SELECT url, n_records, (share >= 0.5) AS passed FROM (SELECT p_brand AS url, count(*) AS n_records, avg((p_size % 3 > 0)::INT) AS share FROM part GROUP BY p_brand)""")
+@query("""SELECT url, n_records, (share >= 0.5) AS passed, CASE WHEN share < 0.5 THEN 'insufficient_fields: ' || CAST(round(share * 100) AS INT) || '%' END AS reason FROM (SELECT p_brand AS url, count(*) AS n_records, avg((p_size % 3 > 0)::INT) AS share FROM part GROUP BY p_brand)""")
 def schema_gate(s, d):  # noqa: ANN001, ANN201
     j = F.when(F.col("p_size") % 3 > 0, F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size")))).otherwise(F.to_json(F.struct(F.col("p_size").alias("size"))))
     rows = table(s, d, "part").select(F.col("p_brand").alias("url"), j.alias("record_json"))
-    return R.schema_gate(rows, ("name", "size")).select("url", "n_records", "passed")
+    return R.schema_gate(rows, ("name", "size"))
 
 
-@query("""SELECT url, n_records, (fit >= 0.5) AS passed FROM (SELECT p_brand AS url, count(*) AS n_records, avg((p_size <= 24)::INT) AS fit FROM part GROUP BY p_brand)""")
+@query("""SELECT url, n_records, (fit >= 0.5) AS passed, CASE WHEN fit < 0.5 THEN 'insufficient_json_schema_pass: ' || CAST(round(fit * 100) AS INT) || '%' END AS reason FROM (SELECT p_brand AS url, count(*) AS n_records, avg((p_size <= 24)::INT) AS fit FROM part GROUP BY p_brand)""")
 def json_schema_gate(s, d):  # noqa: ANN001, ANN201
     rows = table(s, d, "part").select(F.col("p_brand").alias("url"), F.to_json(F.struct(F.col("p_size").alias("size"))).alias("record_json"))
-    return R.schema_gate(rows, ("size",), {"type": "array", "items": {"type": "object", "properties": {"size": {"type": "integer", "maximum": 24}}}}).select("url", "n_records", "passed")
+    return R.schema_gate(rows, ("size",), {"type": "array", "items": {"type": "object", "properties": {"size": {"type": "integer", "maximum": 24}}}})
 
 
 @query("SELECT l_suppkey AS url, arg_min(l_partkey, place) AS duplicate, min(place) AS place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY place) AS n FROM (SELECT l_suppkey, l_partkey, l_orderkey * 10 + l_linenumber AS place FROM lineitem)) WHERE n = 2 GROUP BY l_suppkey")
@@ -376,13 +368,13 @@ def _runs(s, d) -> DataFrame:  # noqa: ANN001
 
 
 @query(
-    f"""SELECT url, CAST(run AS INT) AS run, (last - n) / last >= 0.5 OR run % 4 = 0 AS drifted, CASE WHEN NOT ((last - n) / last >= 0.5 OR run % 4 = 0) THEN m WHEN m = 'STABLE' THEN 'WARM' WHEN m = 'WARM' THEN 'LEARNING' ELSE 'COLD' END AS suggested
+    f"""SELECT url, CAST(run AS INT) AS run, array_to_string(list_filter([CASE WHEN (last - n) / last >= 0.5 THEN 'record_count_drop:' || printf('%.2f', (last - n) / last) END, CASE WHEN run % 4 = 0 THEN 'all_minimum_fields_missing' END], lambda x: x IS NOT NULL), '|') AS reasons, (last - n) / last >= 0.5 OR run % 4 = 0 AS drifted, CASE WHEN NOT ((last - n) / last >= 0.5 OR run % 4 = 0) THEN m WHEN m = 'STABLE' THEN 'WARM' WHEN m = 'WARM' THEN 'LEARNING' ELSE 'COLD' END AS suggested
     FROM (SELECT *, lag(n) OVER (PARTITION BY url ORDER BY run) AS last, CASE run % 3 WHEN 0 THEN 'STABLE' WHEN 1 THEN 'WARM' ELSE 'COLD' END AS m FROM ({_MONTHS})) WHERE last IS NOT NULL"""
 )
 def drift_detect(s, d):  # noqa: ANN001, ANN201
     k = F.col("run") % 3
     rows = _runs(s, d).withColumn("all_missing", F.col("run") % 4 == 0).withColumn("maturity", F.when(k == 0, "STABLE").when(k == 1, "WARM").otherwise("COLD"))
-    return L.detect_drift(rows).select("url", "run", "drifted", "suggested")
+    return L.detect_drift(rows).select("url", "run", F.array_join("reasons", "|").alias("reasons"), "drifted", "suggested")
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS url, CASE WHEN count(*) >= 10 THEN 'STABLE' WHEN count(*) >= 5 THEN 'WARM' WHEN count(*) >= 2 THEN 'LEARNING' ELSE 'COLD' END AS maturity FROM orders GROUP BY 1")
@@ -405,26 +397,14 @@ _PROFILES = """SELECT s_suppkey AS pos, s_nationkey AS nat, 'https://n' || s_nat
 _CLUSTERS = f"SELECT t.url AS target, c.url AS member, c.m, c.pos FROM ({_PROFILES}) t JOIN ({_PROFILES}) c ON t.nat = c.nat AND t.url <> c.url AND (t.platform IS NULL OR c.platform IS NULL OR t.platform = c.platform) AND (t.sig IS NULL OR c.sig IS NULL OR t.sig = c.sig)"
 
 
-@query(f"SELECT target, member FROM ({_CLUSTERS}) WHERE target LIKE '%1'")
-def cluster_match(s, d):  # noqa: ANN001, ANN201
-    p = profiles(s, d)
-    return L.find_clusters(p.where("url_pattern like '%1'"), p)
-
-
-@query(f"SELECT t.platform, count(*) AS n FROM ({_PROFILES}) t JOIN ({_PROFILES}) c ON t.platform = c.platform AND t.url <> c.url WHERE t.pos % 10 = 0 GROUP BY 1")
-def similar_profiles(s, d):  # noqa: ANN001, ANN201
-    p = profiles(s, d)
-    return L.find_similar(p.where("pos % 10 = 0"), p).join(p.select(F.col("url_pattern").alias("target"), "platform"), "target").groupBy("platform").agg(F.count("*").alias("n"))
-
-
 @query(f"SELECT target, member FROM ({_CLUSTERS})")
-def cluster_match_all(s, d):  # noqa: ANN001, ANN201
+def cluster_match(s, d):  # noqa: ANN001, ANN201
     p = profiles(s, d)
     return L.find_clusters(p, p)
 
 
 @query(f"SELECT t.platform, count(*) AS n FROM ({_PROFILES}) t JOIN ({_PROFILES}) c ON t.platform = c.platform AND t.url <> c.url GROUP BY 1")
-def similar_profiles_all(s, d):  # noqa: ANN001, ANN201
+def similar_profiles(s, d):  # noqa: ANN001, ANN201
     p = profiles(s, d)
     return L.find_similar(p, p).join(p.select(F.col("url_pattern").alias("target"), "platform"), "target").groupBy("platform").agg(F.count("*").alias("n"))
 
@@ -435,13 +415,6 @@ def bootstrap_donor(s, d):  # noqa: ANN001, ANN201
     return L.donors(L.find_clusters(p, p), p)
 
 
-@query()
-def bootstrap_profiles(s, d):  # noqa: ANN001, ANN201
-    p = profiles(s, d)
-    got = L.bootstrap(p, L.donors(L.find_clusters(p, p), p))
-    return got.select("url_pattern", "donor", "platform", "pagination_style", F.array_join("confirmed_patterns", "|").alias("patterns"), F.col("selectors")["name"].alias("name_selector"), "maturity")
-
-
 _SIGNALS = "SELECT 's' || user_id % 7 AS skill, epoch_us(ts)::BIGINT AS arrived, event_id AS seq, event_type AS platform, (event_id % 100) / 100.0::DOUBLE AS confidence, CASE event_id % 3 WHEN 0 THEN 'external_rank' WHEN 1 THEN 'extraction' ELSE 'discovery' END AS signal_type FROM events"
 
 
@@ -481,14 +454,6 @@ def profile_stats(s, d):  # noqa: ANN001, ANN201
     return L.record_success(rows).withColumns({c: F.round(c, 8) for c in ("avg_confidence", "avg_latency_ms")})
 
 
-@query()
-def consolidate_memory(s, d):  # noqa: ANN001, ANN201
-    sig = signals(s, d)
-    memories = sig.select("skill").distinct().select("skill", F.lit(1).alias("version"), F.lit('{"known_noise_patterns": ["ads"]}').alias("memory"))
-    answers = L.batches(sig).select("skill", "batch").distinct().select("skill", "batch", F.concat(F.lit('{"summary": "b'), "batch", F.lit('"}')).alias("content"), F.lit(0.25).alias("cost_usd"), F.when(F.col("batch") % 5 == 4, "timeout").alias("error"))
-    return L.consolidate(memories, sig, answers, ("admin",))
-
-
 # ---- reports --------------------------------------------------------------------------------------
 
 _LEDGER = "SELECT event_type AS stage, CAST(user_id AS VARCHAR) AS url, 'm' || (event_id % 3) AS model, value AS cost_usd FROM events"
@@ -558,11 +523,6 @@ def tier_histogram(s, d):  # noqa: ANN001, ANN201
     return T.tier_histogram(results(s, d))
 
 
-@query()
-def report_rows(s, d):  # noqa: ANN001, ANN201
-    return T.report_rows(results(s, d))
-
-
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'CARRY_FORWARD' ELSE 'FAILED' END WHEN o_orderkey % 7 = 0 THEN 'EMPTY' WHEN o_orderkey % 3 = 0 THEN 'SUCCESS' ELSE 'PARTIAL' END AS status FROM orders""")
 def status_decision(s, d):  # noqa: ANN001, ANN201
     k = F.col("o_orderkey")
@@ -614,12 +574,6 @@ def proxy_round_robin(s, d):  # noqa: ANN001, ANN201
     return Z.round_robin(r, ["p0", "p1", "p2"]).select("event_id", "proxy")
 
 
-@query()
-def rate_limit_fold(s, d):  # noqa: ANN001, ANN201
-    r = table(s, d, "events").select(F.concat(F.lit("d"), F.col("user_id") % 9).alias("domain"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return Z.rate_limit(r, 0.01, 3)
-
-
 @query(f"SELECT url, attempt, CASE WHEN good THEN status ELSE 0 END AS status FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY good DESC, CASE WHEN good THEN attempt ELSE -attempt END) AS n FROM (SELECT *, error IS NULL AND status BETWEEN 200 AND 299 AS good FROM (SELECT CAST(user_id AS VARCHAR) AS url, event_id AS attempt, status, error FROM ({_CODES})))) WHERE n = 1")
 def retry_first_success(s, d):  # noqa: ANN001, ANN201
     o = outcomes(s, d).select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("attempt"), "status", "error")
@@ -677,3 +631,8 @@ def crawl_trace(s, d):  # noqa: ANN001, ANN201
   UNION ALL SELECT 'extraction', NULL, 'seen', 0.75::DOUBLE FROM ({_RUN}) WHERE fetched AND kind = 4 AND k % 3 = 0) GROUP BY ALL""")
 def crawl_signals(s, d):  # noqa: ANN001, ANN201
     return _crawled(s, d)["signals"].groupBy("signal_type", "platform", "hint", "confidence").agg(F.count("*").alias("n"))
+
+
+for _name in ("cluster_match", "similar_profiles"):
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
+QUERIES["profile_replay_all"], ORACLES["profile_replay_all"] = QUERIES["profile_replay_dom"], ORACLES["profile_replay_dom"]

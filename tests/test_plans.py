@@ -1,4 +1,6 @@
+import html
 import importlib
+import re
 import sys
 
 import duckdb
@@ -36,9 +38,14 @@ def test_query_agrees_with_sql(spark, sf, con, name):
     assert rows == sorted(map(str, ([plain(r[c]) for c in columns] for r in got.collect())))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_other_queries_run(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+def test_all_but_one_query_has_sql(spark, sf):
+    assert set(QUERIES) - set(ORACLES) == {"fit_markdown"}
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: r["markdown"] for r in QUERIES["fit_markdown"](spark, sf).collect()}
+    assert got.keys() == pages.keys()
+    for i, page in pages.items():
+        title = html.unescape(re.search(r"<h1>(.*?)</h1>", page, re.S)[1])
+        assert f"# {' '.join(title.split())}" in got[i] and "<p>" not in got[i] and "track(" not in got[i] and len(got[i]) <= 12_000 + len("\n...[truncated]")
 
 
 def test_entry(spark):
