@@ -67,6 +67,11 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRACE).json(path)
 
 
+def clear_trace(spark: SparkSession, path: str) -> None:
+    """Empty the trace at path."""
+    spark.createDataFrame([], TRACE).write.mode("overwrite").json(path)
+
+
 def bounded_queue(entries: DataFrame, size: int = DLQ_SIZE, order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """The first entries in order, as many as the queue holds: later ones are dropped. A top-k, not a full sort."""
     return entries.orderBy(*order).limit(size)
