@@ -47,6 +47,15 @@ def with_row_ids(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     return rows, rows if unique else rows.dropDuplicates(["rid"])
 
 
+#: Up to so many rows of a few numbers each are broadcast; they are counted first.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast if it has few rows; else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rid, text) batches -> (rids, bytes, offsets) of whole documents; null texts are empty."""
     ids: list[np.ndarray] = []

@@ -103,19 +103,25 @@ class Model:
             moves = automaton(samples[language])
             base = sum(len(t) for t in tables)
             lone = len(moves)  # the state behind a byte that the sample doesn't hold: the next begins a phrase
-            steps = np.full((lone + 1, self.width), -1, np.int64)
+            steps = np.full((lone + 1, self.width), -1, np.int32)
             for s, t in enumerate(moves):
                 if t:
                     steps[s, self.symbol[list(t)]] = list(t.values())
             anew = np.where(steps[0] >= 0, steps[0], lone)
-            out = np.where(steps >= 0, 2 * (steps + base), 2 * (anew + base)[None, :] + 1)
-            out[0, steps[0] < 0] = 2 * (lone + base)
-            out[:, self.rest] = 2 * (np.arange(lone + 1) + base)
-            tables.append(out)
+            lost = steps < 0
+            steps += base
+            steps *= 2
+            np.copyto(steps, (2 * (anew + base) + 1)[None, :], where=lost)
+            steps[0, lost[0]] = 2 * (lone + base)
+            steps[:, self.rest] = 2 * (np.arange(lone + 1) + base)
+            # a state is kept as its row's first cell, so that a step is one addition and one look-up
+            flags = steps & 1
+            steps >>= 1
+            steps *= 2 * self.width
+            steps |= flags
+            tables.append(steps)
             self.start.append(base)
-        # a state is kept as its row's first cell, so that a step is one addition and one look-up
-        table = np.concatenate(tables) if tables else np.zeros((1, self.width), np.int64)
-        self.table = ((table >> 1) * self.width * 2 + (table & 1)).astype(np.int32).reshape(-1)
+        self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(self.width, np.int32)
         self.cost = np.array([math.log2(len(samples[x]) + 1) for x in self.languages])
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
@@ -182,19 +188,6 @@ class Model:
         return out, last
 
 
-_MODELS: dict[tuple, Model] = {}
-
-
-def model(samples: dict[str, bytes]) -> Model:
-    """A worker keeps the last few models that it built."""
-    key = tuple(sorted(samples.items()))
-    if key not in _MODELS:
-        if len(_MODELS) > 3:
-            _MODELS.clear()
-        _MODELS[key] = Model(samples)
-    return _MODELS[key]
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -230,8 +223,9 @@ def identify(rows: DataFrame, samples: dict[str, bytes], keep: list[str]) -> Dat
     source = rows.select(*keep, F.col("text").cast("string").alias("__text"))
     fields = [f for f in source.schema.fields if f.name != "__text"]
 
+    m = Model(samples)  # built once, a few MB for each language
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(samples)
         for batch in batches:
             n = batch.num_rows
             lang, score, size, count = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)

@@ -10,9 +10,10 @@ m - o + 1 of the other. That is never more than the first n - ceil(4/5 * n) + 1,
 Shingles that are frequent in a sample come last in the order, so that license lines and
 templates don't make buckets; the sample decides the cost alone, never the result.
 
-Links. First the pairs that SimHash links, and each bucket's star around its smallest id, where enough of the entries agree
+Links. First the pairs that SimHash links, and each bucket's star around the first that came to it, where enough of the entries agree
 (with fewer, the pair would fail), are verified and grouped. Then a bucket has a group that most of its entries are in, and
-others: the others are compared with all entries of other groups whose places leave room for o shared shingles. A crowd of
+others: the others are compared with all entries of other groups whose places leave room for o shared shingles, first by
+their prefixes, of which enough must be common, then by their texts. A crowd of
 near copies is mostly one group by then, so the pairs of a bucket grow with its outsiders, not with its square; outsiders
 differ in many shingles of their own, which come first in the order and leave no room for the rest.
 
@@ -32,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm import columns as C
+from pagewright.llm import matches as M
 from pagewright.llm import simhash as H
 from pagewright.llm.columns import bounded_batches
 from pagewright.llm.components import components
-from pagewright.sources.session import checkpoint, prepare_workers
+from pagewright.sources.session import checkpoint, prepare_workers, shuffle_partitions
 
 SHINGLE = 5
-#: Documents of the sample that orders the shingles, and from how many of them a shingle counts as frequent.
-SAMPLE, FREQUENT = 20_000, 10
+#: Documents of the sample that orders the shingles, and from how many of them a shingle counts as frequent. A smaller share
+#: of all documents costs more candidates: a shingle of fewer copies is then as rare as one of a single document.
+SAMPLE, FREQUENT = 100_000, 2
 
 
 def _distinct(text: bytes | None) -> tuple[np.ndarray, list[int]]:
@@ -93,13 +97,18 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(run, "rid long, sig binary, n long, fp long, keys array<long>")
 
 
-def _likely(pairs: DataFrame) -> DataFrame:
-    """(u, nu, v, nv), one row for each shared prefix shingle -> the pairs that share enough of them."""
+def _enough(met: Column) -> Column:
+    """Whether so many common keys of two prefixes are as many as the sets' similarity asks for."""
     over = F.floor((4 * (F.col("nu") + F.col("nv")) + 8) / 9)
     slack = lambda n: over + 1 - F.floor((4 * n + 4) / 5)
+    return met >= F.least(slack(F.col("nu")), slack(F.col("nv")))
+
+
+def _likely(pairs: DataFrame) -> DataFrame:
+    """(u, nu, v, nv), one row for each shared prefix shingle -> the pairs that share enough of them."""
     sized = pairs.where(5 * F.least("nu", "nv") >= 4 * F.greatest("nu", "nv"))
     met = sized.groupBy("u", "nu", "v", "nv").agg(F.count("*").alias("met"))
-    return met.where(F.col("met") >= F.least(slack(F.col("nu")), slack(F.col("nv")))).select("u", "v")
+    return met.where(_enough(F.col("met"))).select("u", "v")
 
 
 def similar(a: bytes | None, b: bytes | None) -> bool:
@@ -119,22 +128,95 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             keep = pa.array([similar(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
 
-    text = lambda p: rows.select(F.col("rid").alias(f"{p}_rid"), F.col("text").alias(f"{p}_text"))
+    wanted = C.small(pairs.select(F.explode(F.array("u", "v")).alias("wanted")).distinct())
+    texts = rows.join(wanted, rows["rid"] == wanted["wanted"], "left_semi")
+    text = lambda p: texts.select(F.col("rid").alias(f"{p}_rid"), F.col("text").alias(f"{p}_text"))
     both = pairs.join(text("u"), F.col("u") == F.col("u_rid")).join(text("v"), F.col("v") == F.col("v_rid"))
     return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
+#: Keys dealt together, about.
+_DEAL = 1 << 19
+SHARED = "key long, rid long, n long, pos int, first struct<rid:long,n:long>"
+
+
+def _deal(n_buckets: int):
+    """(rid, n, keys) -> the keys, by bucket, as packed arrays with each one's document, its size, and the place in its prefix."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[tuple]:
+            key, rid, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for b, (k, r, m, p) in C.dealt(C.bucket_of(C.mixed(key), n_buckets), n_buckets, key, rid, n, pos):
+                yield b, 0, k.tobytes(), C.narrow(r), C.narrow(m), C.narrow(p)
+
+        for batch in batches:
+            lists = batch.column(2)
+            counts = np.diff(lists.offsets.to_numpy())
+            rid, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            pos = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            held.append((lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(rid, counts), np.repeat(n, counts), pos))
+            if sum(len(h[0]) for h in held) >= _DEAL:
+                yield from out()
+        if held:
+            yield from out()
+
+    return lambda batches: C.blobs(found(batches))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's keys -> SHARED: the entries of keys that several documents have, with the first that came.
+
+    Parts are folded into one entry for each key, so what is held grows with the different keys only.
+    """
+    key, rid, n, pos, told = np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3, np.empty(0, bool)
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def folded() -> Iterator[pa.RecordBatch]:
+        nonlocal key, rid, n, pos, told
+        k, r, m, p = (np.concatenate([held, *more]) for held, more in zip((key, rid, n, pos), zip(*parts, strict=True), strict=True))
+        said = np.concatenate([told, np.zeros(len(k) - len(told), bool)])
+        parts.clear()
+        order = np.argsort(k, kind="stable")  # what was held stands first
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = k[order][1:] != k[order][:-1]
+        first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))]
+        tied = ~fresh
+        tied[:-1] |= ~fresh[1:]
+        some = tied & ~said[order]
+        at, of = order[some], first[some]
+        if len(at):
+            heads = pa.StructArray.from_arrays([pa.array(r[of]), pa.array(m[of])], ["rid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[at].view(np.int64)), pa.array(r[at]), pa.array(m[at]), pa.array(p[at], pa.int32()), heads], ["key", "rid", "n", "pos", "first"])
+        said[order[tied]] = True
+        keep = order[fresh]
+        key, rid, n, pos, told = k[keep], r[keep], m[keep], p[keep], said[keep]
+
+    for _, a, b, c, d in C.entries(batches):
+        parts.append((np.frombuffer(a, "<u8"), C.widened(b), C.widened(c), C.widened(d)))
+        if 32 * sum(len(x[0]) for x in parts) > max(M.FOLD, 32 * len(key)):
+            yield from folded()
+    if parts:
+        yield from folded()
+
+
+def shared_keys(heads: DataFrame, buckets: int) -> DataFrame:
+    """(rid, n, keys) -> SHARED."""
+    dealt = heads.select("rid", "n", "keys").mapInArrow(_deal(buckets), C.BLOB)
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, SHARED)
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text) -> (doc_id, component_id): the smallest id reachable by links of similar documents."""
     rows = docs.select(F.col(id_column).cast("long").alias("rid"), F.col(text).cast("string").alias("text"))
     made = checkpoint(sketches(rows))
-    classes = checkpoint(made.groupBy("sig").agg(F.min("rid").alias("rep")))
-    heads = made.join(classes.select("rep"), made["rid"] == F.col("rep"), "left_semi")
-    texts = rows.join(classes.select("rep"), rows["rid"] == F.col("rep"), "left_semi")
-
-    entries = heads.select("rid", "n", F.posexplode("keys").alias("pos", "key"))
-    least = entries.groupBy("key").agg(F.min(F.struct("rid", "n")).alias("first"), F.count("*").alias("many")).where("many > 1")
-    shared = checkpoint(entries.join(least.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k")).select("key", "rid", "n", "pos", "first"))
+    classes = checkpoint(made.groupBy("sig").agg(F.min("rid").alias("rep"), F.count("*").alias("members")))
+    copies = made.select("rid", "sig").join(classes.where("members > 1"), "sig").where("rid <> rep").select(F.col("rid").alias("copy"))
+    copies = C.small(copies)
+    heads = made.join(copies, made["rid"] == copies["copy"], "left_anti")
+    shared = checkpoint(shared_keys(heads, max(shuffle_partitions(rows.sparkSession), C.buckets(rows))))
 
     prints = checkpoint(heads.groupBy("fp").agg(F.min("rid").alias("of")))
     linked = H.links(prints.select("fp"))
@@ -142,7 +224,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     linked = linked.join(end("u"), F.col("u") == F.col("u_fp")).join(end("v"), F.col("v") == F.col("v_fp")).select(F.least("u_of", "v_of").alias("u"), F.greatest("u_of", "v_of").alias("v"))
     alike = heads.join(prints.withColumnRenamed("fp", "p"), F.col("fp") == F.col("p")).where("rid <> of").select(F.col("of").alias("u"), F.col("rid").alias("v"))
     stars = shared.where("first.rid <> rid").select(F.col("first.rid").alias("u"), F.col("first.n").alias("nu"), F.col("rid").alias("v"), F.col("n").alias("nv"))
-    first = checkpoint(_verified(checkpoint(_likely(stars).union(linked).union(alike).distinct()), texts))
+    first = checkpoint(_verified(checkpoint(_likely(stars).union(linked).union(alike).distinct()), rows))
 
     groups = components(first).select(F.col("node").alias("g_node"), "root")
     labelled = shared.join(groups, shared["rid"] == groups["g_node"], "left").select("key", "rid", "n", "pos", F.coalesce("root", "rid").alias("label"))
@@ -155,8 +237,12 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     # two outsiders meet once, an outsider and one of the largest group too
     across: Column = (F.col("key") == F.col("k")) & (F.col("label") != F.col("other")) & ((F.col("other") == F.col("most")) | (F.col("rid") < F.col("v"))) & room
     pairs = rest.where("label <> most").join(other, across).select(F.least("rid", "v").alias("u"), F.greatest("rid", "v").alias("v")).distinct()
-    second = _verified(checkpoint(pairs), texts)
+    # their whole prefixes say more, before a text is opened
+    end = lambda p: heads.select(F.col("rid").alias(f"{p}_rid"), F.col("n").alias(f"n{p}"), F.col("keys").alias(f"{p}_keys"))
+    met = pairs.join(end("u"), F.col("u") == F.col("u_rid")).join(end("v"), F.col("v") == F.col("v_rid"))
+    pairs = met.where(_enough(F.size(F.array_intersect("u_keys", "v_keys")))).select("u", "v")
+    second = _verified(checkpoint(pairs), rows)
 
     found = components(first.union(second))
-    ids = made.select("rid", "sig").join(classes, "sig")
+    ids = made.select("rid", "sig").join(classes.select("sig", "rep"), "sig")
     return ids.join(found, ids["rep"] == found["node"], "left").select(F.col("rid").alias("doc_id"), F.coalesce("root", "rep").alias("component_id"))

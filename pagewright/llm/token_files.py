@@ -102,8 +102,8 @@ class Encoder:
         self.model = self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if not _OTHER.match(chr(c))}
-        self.pieces = Remembered(self._piece, 800_000)
-        self.chunks = Remembered(lambda rest: self._by_piece(" " + rest), 400_000)
+        self.pieces = Remembered(self._piece, 600_000)
+        self.chunks = Remembered(lambda rest: self._by_piece(" " + rest), 250_000)
 
     def _piece(self, piece: str) -> bytes:
         return struct.pack(f"<{len(found := self.model.tokenize(piece.translate(self.shown)))}I", *[t.id for t in found])

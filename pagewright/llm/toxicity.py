@@ -5,9 +5,10 @@ weight for each term, and for each pair the product of the terms' vectors, so th
 together can weigh more, or less, than apart. Terms are a text's distinct lower-cased words and their first
 3 to 6 letters, as 64-bit hashes.
 
-Training. At most about SAMPLE_DOCS labelled documents, drawn by a hash of doc_id. Term counts are
-gathered over them in Spark; the TERMS terms that tell the labels apart best (log-likelihood ratio
-above MIN_RATIO) are kept; the documents' terms among these, a few numbers each, are
+Training. At most about SAMPLE_DOCS labelled documents, drawn by a hash of doc_id. Term counts, and counts of pairs of words
+that stand within NEAR words of each other, are gathered over them in Spark. Terms that tell the labels apart alone (log-likelihood
+ratio above MIN_RATIO) are kept, and so are words that do so only together: pairs whose ratio exceeds that of either word by
+MIN_PAIR. The documents' terms among these, a few numbers each, are
 fitted on the driver by Adam. The sample bounds all that the driver holds.
 
 Scoring reads every whole text in one pass, without a shuffle.
@@ -32,16 +33,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.columns import bounded_batches
 from pagewright.llm.language import held_out
-from pagewright.sources.session import prepare_workers, table
+from pagewright.sources.session import checkpoint, prepare_workers, table
 
 SAMPLE_DOCS = 8_000
-TERMS = 8_192
 MIN_RATIO = 12.0
+#: Words apart at which two still make a pair, by how much a pair must tell more than its words, and in how many documents it must be.
+NEAR, MIN_PAIR, PAIR_DOCS = 5, 30.0, 5
 #: Lengths of the prefixes that are terms besides the words.
 PREFIXES = (3, 4, 5, 6)
 FACTORS = 8
@@ -137,6 +139,42 @@ def _ratio(a: np.ndarray, b: np.ndarray, positives: int, total: int) -> np.ndarr
     return 2 * (part(a, positives) + part(b, total - positives) - part(a + b, total))
 
 
+def _pair_terms(rows: DataFrame, found: DataFrame, lift: Column, positives: int, total: int) -> np.ndarray:
+    """The words of pairs that tell more together than either does alone."""
+    often = frozenset(found.where(F.col("n") >= PAIR_DOCS).toArrow().column("term").to_pylist())  # of the sample's terms
+
+    class Known(dict):
+        """Word -> its term, or 0 if that is too rare."""
+
+        def __missing__(self, word: str) -> int:
+            term = xxhash.xxh3_64_intdigest(word.encode()) >> 1
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = term = term if term in often else 0
+            return term
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
+        for batch in batches:
+            n, positive = Counter(), Counter()
+            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = list(map(known.__getitem__, _WORD.findall((text or "").lower())))
+                pairs = {(v, w) if v < w else (w, v) for k in range(1, NEAR + 1) for v, w in zip(words, words[k:], strict=False) if v and w and v != w}
+                n.update(pairs)
+                if y:
+                    positive.update(pairs)
+            left, right = [p[0] for p in n], [p[1] for p in n]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array([positive[p] for p in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["v", "w", "a", "n"])
+
+    pairs = rows.mapInArrow(counted, "v long, w long, a long, n long").groupBy("v", "w").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where((F.col("n") >= PAIR_DOCS) & (lift > 3))
+    own = lambda p: found.select(F.col("term").alias(p), F.col("a").alias(f"a_{p}"), F.col("n").alias(f"n_{p}"))
+    got = pairs.join(own("v"), "v").join(own("w"), "w").toArrow().to_pydict()
+    v, w = (np.array(got[k], np.int64) for k in ("v", "w"))
+    ratio = lambda p: _ratio(x := np.array(got[f"a{p}"], np.int64), np.array(got[f"n{p}"], np.int64) - x, positives, total)
+    more = ratio("") - np.maximum(ratio("_v"), ratio("_w")) > MIN_PAIR
+    return np.concatenate([v[more], w[more]])
+
+
 def _train_rows(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
     """(doc_id, text, y) of the labelled documents in the sample."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("y"))
@@ -168,12 +206,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     if not total or positives in (0, total):
         return fit([], [int(positives > 0)] * min(total, 1), np.empty(0, np.int64))
     found = rows.mapInArrow(counted, "term long, a long, n long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where("n > 2")
-    # a term's ratio in SQL orders the terms, so that only the best reach the driver
+    found = checkpoint(found)
+    # a term's deviation in SQL leaves out most terms, whose ratio can't reach the limit
     rate = positives / total
     lift = F.abs(F.col("a") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    best = found.orderBy(lift.desc(), "term").limit(TERMS).collect()
+    best = found.where(lift > 2).collect()
     terms, a, n = (np.array([r[k] for r in best], np.int64) for k in ("term", "a", "n"))
-    terms = np.sort(terms[_ratio(a, n - a, positives, total) > MIN_RATIO])
+    terms = terms[_ratio(a, n - a, positives, total) > MIN_RATIO]
+    terms = np.unique(np.concatenate([terms, _pair_terms(rows, found, lift, positives, total)]))
     wanted = {t: i for i, t in enumerate(terms.tolist())}
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,10 +32,25 @@ def test_odd_rows(spark):
     assert score(docs.limit(0), m, ["doc_id"]).collect() == [] and len(terms_of("ab")) == 1
 
 
-def test_query(spark, sf):
+def test_words_that_tell_only_together(spark):
+    """Toxic with both words or neither: each alone is as frequent in either kind."""
+    r, rows = np.random.default_rng(3), []
+    for i in range(600):
+        a, b = i % 2, i // 2 % 2
+        words = [f"w{x}" for x in r.integers(0, 300, 12)] + ["quorl"] * a + ["zimby"] * b
+        rows.append((i, " ".join(words[:4] + words[12:] + words[4:12]), int(a == b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    m = train(df.where("doc_id % 5 > 0").select("doc_id", "text"), df.select("doc_id", "toxic"))
+    got = {x["doc_id"]: x["score"] for x in score(df, m, ["doc_id"]).collect()}
+    assert np.mean([(got[i] >= 0.5) == y for i, _, y in rows if i % 5 == 0]) > 0.95
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
     got = op4_toxicity(spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got)
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    held = [(truth[r["doc_id"]], r["score"]) for r in got if r["held_out"] and r["doc_id"] in truth]
-    assert np.mean([(s >= 0.3) == t for t, s in held]) > 0.8
+    held = [(truth[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = [p for t, p in held if t], [p for t, p in held if not t]
+    assert len(toxic) >= 5 and np.mean(toxic) >= 0.6 and np.mean(clean) <= 0.03, (len(toxic), np.mean(toxic), np.mean(clean))
