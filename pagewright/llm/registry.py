@@ -12,6 +12,7 @@ from pagewright.llm.simhash import op9_simhash_dedup
 from pagewright.llm.substrings import OP8_SQL, op8_substring_dedup
 from pagewright.llm.suffixes import op2_suffix_dedup
 from pagewright.llm.token_files import op10_token_files
+from pagewright.llm.token_alignment import op11_token_alignment
 from pagewright.llm.toxicity import op4_toxicity
 from pagewright.llm.url_filters import OP12_SQL, op12_url_filters
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op1_source_mix": op1_source_mix,
     "op10_token_files": op10_token_files,
+    "op11_token_alignment": op11_token_alignment,
     "op12_url_filters": op12_url_filters,
     "op13_collocations": op13_collocations,
 }
