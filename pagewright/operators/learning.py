@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import json_records as J
 from pagewright.functions.text import api_signature, domain
-from pagewright.sources.session import checkpoint, prepare_workers
+from pagewright.operators.scans import places
+from pagewright.sources.session import prepare_workers
 
 #: Maturity steps: crawls from which each holds, the highest first.
 MATURITY = (("STABLE", 10), ("WARM", 5), ("LEARNING", 2))
@@ -193,19 +194,6 @@ def blocked_endpoints(profiles: DataFrame, signals: DataFrame) -> DataFrame:
     return profiles.join(lists, "url_pattern", "left").withColumn("blocked", F.array_distinct(F.concat(F.coalesce("blocked", none), F.coalesce("more", none)))).drop("more")
 
 
-def places(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Each row's place within its key, from 0. Rows are sorted in ranges of (key, order), so that one key may fill many tasks:
-    a place is the row's in its range, and the rows of its key in the ranges before it."""
-    ranged = checkpoint(rows.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
-    before = Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    counts = ranged.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.count("*").alias("__n"))
-    counts = counts.select("__key", "__of", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order)) - 1
-    numbered = ranged.withColumn("__inside", inside)
-    both = numbered.join(counts, numbered[key].eqNullSafe(counts["__key"]) & (numbered["__part"] == counts["__of"]))
-    return both.withColumn("place", F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__key", "__of", "__before")
-
-
 def batches(signals: DataFrame, size: int = BATCH_SIZE, key: str = "skill", order: Sequence[str] = ("seq",)) -> DataFrame:
     """Number each signal's consolidation batch, and whether the batch is full."""
     rows = places(signals, key, order).withColumn("batch", F.floor(F.col("place") / size)).drop("place")

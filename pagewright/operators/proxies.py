@@ -1,38 +1,55 @@
-"""Proxy health, choice and throttling as ordered folds."""
+"""Proxy health, choice and throttling: folds in order, as scans that split a key over tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import identity_bucket, proxy_parts, proxy_url, session_user
-from pagewright.sources.session import prepare_workers
+from pagewright.operators import scans
 
 QUARANTINE, RELEASE = 0.25, 0.5
+#: Sums of changes of health.
+NUMBER = "decimal(38,9)"
 
 
-def fold_health(deltas: Column) -> Column:
-    """struct(health, quarantined) after an ordered array of changes: clamped to [0, 1] at each, quarantined
-    below QUARANTINE, released from RELEASE on. Clamping isn't associative, so no sum over a window will do."""
-    start = F.struct(F.lit(1.0).alias("health"), F.lit(False).alias("quarantined"))
+def clamped(change: Column) -> Column:
+    """The step x -> min(high, max(low, x + by)) of a change of health, as a struct. Sums are of decimals, and so exact."""
+    number = lambda c: c.cast(NUMBER)
+    return F.struct(number(F.lit(0)).alias("low"), number(F.lit(1)).alias("high"), number(F.coalesce(change, F.lit(0))).alias("by"))
 
-    def step(state: Column, d: Column) -> Column:
-        h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), state["health"] + d))
-        return F.struct(h.alias("health"), F.when(h < QUARANTINE, True).when(h >= RELEASE, False).otherwise(state["quarantined"]).alias("quarantined"))
 
-    return F.aggregate(deltas, start, step)
+def then(f: Column, g: Column) -> Column:
+    """g after f: clamped additions are closed under composition."""
+    at = lambda x: F.least(g["high"], F.greatest(g["low"], (x + g["by"]).cast(NUMBER)))
+    return F.struct(at(f["low"]).alias("low"), at(f["high"]).alias("high"), (f["by"] + g["by"]).cast(NUMBER).alias("by"))
+
+
+def health_after(step: Column) -> Column:
+    """A composed step applied to full health."""
+    return F.least(step["high"], F.greatest(step["low"], (F.lit(1).cast(NUMBER) + step["by"]).cast(NUMBER)))
+
+
+def crossing(health: Column) -> Column:
+    """What a value of health says of quarantine: true below QUARANTINE, false from RELEASE on, null between."""
+    return F.when(health < F.lit(QUARANTINE).cast(NUMBER), True).when(health >= F.lit(RELEASE).cast(NUMBER), False)
+
+
+def running_health(outcomes: DataFrame) -> DataFrame:
+    """(proxy, seq, delta, ...) -> with place, each outcome's place among its proxy's, and health after it (exact)."""
+    return scans.running(outcomes, "proxy", ["seq"], clamped(F.col("delta")), then).withColumn("health", health_after(F.col("scan"))).drop("scan")
 
 
 def proxy_health(outcomes: DataFrame) -> DataFrame:
-    """(proxy, seq, delta) -> (proxy, health, quarantined).
+    """(proxy, seq, delta) -> (proxy, health, quarantined) after all outcomes, in order.
 
-    A proxy's outcomes are folded in order; at scale, fold each batch of them onto the stored state.
+    Health is clamped to [0, 1] at each; quarantine is what its last crossing said, none is no quarantine. A null change is none.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"])
-    return outcomes.groupBy("proxy").agg(ordered.alias("d")).select("proxy", fold_health(F.col("d")).alias("s")).select("proxy", "s.health", "s.quarantined")
+    rows = running_health(outcomes.select("proxy", "seq", "delta")).withColumn("crossed", crossing(F.col("health")))
+    said = F.max_by("crossed", F.when(F.col("crossed").isNotNull(), F.col("place")))
+    return rows.groupBy("proxy").agg(F.max_by("health", "place").cast("double").alias("health"), F.coalesce(said, F.lit(False)).alias("quarantined"))
 
 
 def best_proxy(health: DataFrame, pool: DataFrame) -> DataFrame:
@@ -43,8 +60,10 @@ def best_proxy(health: DataFrame, pool: DataFrame) -> DataFrame:
 
 def round_robin(requests: DataFrame, pool: list[str]) -> DataFrame:
     """(shard, seq, ...) -> proxy for each request, in turn within each shard."""
-    nth = F.row_number().over(Window.partitionBy("shard").orderBy("seq")) - 1
-    return requests.withColumn("proxy", F.element_at(F.array(*map(F.lit, pool)), (nth % len(pool) + 1).cast("int"))) if pool else requests.withColumn("proxy", F.lit(None).cast("string"))
+    if not pool:
+        return requests.withColumn("proxy", F.lit(None).cast("string"))
+    chosen = F.element_at(F.array(*map(F.lit, pool)), (F.col("place") % len(pool) + 1).cast("int"))
+    return scans.places(requests, "shard", ["seq"]).withColumn("proxy", chosen).drop("place")
 
 
 def throttle_state(state: tuple[float, float] | None, times: Iterator[float], rate: float, burst: int) -> tuple[tuple[float, float], list[float]]:
@@ -67,23 +86,25 @@ def throttle_state(state: tuple[float, float] | None, times: Iterator[float], ra
 
 
 def rate_limit(requests: DataFrame, rate: float = 1.0, burst: int = 3) -> DataFrame:
-    """(domain, seq, at seconds) -> with each request's wait under its domain's token bucket."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
-        current = None
-        for rows in batches:  # sorted by domain and time; a domain may span batches, but not tasks
-            waits = []
-            for d, t in zip(rows["domain"], rows["at"], strict=True):
-                if d != current:
-                    state, current = None, d
-                state, w = throttle_state(state, iter([t]), rate, burst)
-                waits += w
-            yield rows.assign(wait=waits)
-
-    prepare_workers(requests.sparkSession)
-    rows = requests.select("domain", "seq", F.col("at").cast("double").alias("at"))
-    return rows.repartition("domain").sortWithinPartitions("domain", "at", "seq").mapInPandas(fold, "domain string, seq long, at double, wait double")
+    """(domain, seq, at seconds) -> with each request's wait under its domain's token bucket; null for one without a time.
+
+    The time at which a bucket is full again moves to max(it, at) + 1 / rate with each request, in the order of (at, seq). That is a
+    product over (max, +): after the n-th request it is the greatest of at[k] - k / rate up to n, plus (n + 1) / rate. So it
+    is a running maximum, of a range's rows and of the ranges before.
+    """
+    gap, full = 1 / max(rate, 0.01), max(burst, 1) / max(rate, 0.01)
+    order = ["at", "seq"]
+    rows = scans.ranged(requests.select("domain", F.col("seq").cast("long").alias("seq"), F.col("at").cast("double").alias("at")), "domain", order)
+    so_far = scans.inside("domain", order)
+    rows = rows.withColumn("nth", F.count("at").over(so_far) - 1).withColumn("free", F.col("at") - F.col("nth") * gap)
+    parts = rows.groupBy("domain", "__part").agg(F.count("at").alias("n"), F.max("free").alias("most"))
+    ahead = scans.before(parts, "domain", earlier=F.sum("n"))
+    parts = scans.with_before(parts, ahead, "domain").na.fill(0, ["earlier"]).withColumn("most", F.col("most") - F.col("earlier") * gap)
+    reached = scans.before(parts, "domain", earlier=F.sum("n"), most=F.max("most"))
+    rows = scans.with_before(rows.withColumn("own", F.max("free").over(so_far)), reached, "domain").na.fill(0, ["earlier"])
+    free = F.greatest("most", F.col("own") - F.col("earlier") * gap) + (F.col("earlier") + F.col("nth") + 1) * gap
+    wait = F.when(F.col("at").isNotNull(), F.greatest(F.lit(0.0), free - full - F.col("at")))
+    return rows.select("domain", "seq", "at", wait.alias("wait"))
 
 
 # Identities are these user agents, each with the language at its place modulo three.
