@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pagewright.functions import json_records as J
 from pagewright.functions.predicates import contains_any
 from pagewright.functions.text import normalize_key
-from pagewright.sources.session import prepare_workers
+from pagewright.operators.scans import places
+from pagewright.sources.session import checkpoint, prepare_workers
 
 
 def _mapped(fn: Callable[[str | None], object], kind: str) -> Callable[[Column], Column]:
@@ -150,44 +151,96 @@ def sanity_check(new: DataFrame, previous: DataFrame, least: float = 0.5) -> Dat
     return both.select("url", "n_new", "n_previous", reason.isNull().alias("passed"), reason.alias("reason"))
 
 
+FIELDS = "map<string,variant>"
+
+
+def fields_of(record_json: Column) -> Column:
+    """A record's (key, value) pairs in their own order, repeated keys included; none of what isn't an object."""
+    return F.map_entries(F.coalesce(F.from_json(record_json, FIELDS), F.from_json(F.lit("{}"), FIELDS)))
+
+
+def shown(value: Column) -> Column:
+    """A JSON value as text: strings as they are, the rest as Python shows it."""
+    kind = F.schema_of_variant(value)
+    text = F.variant_get(value, "$", "string")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
+def record_key(fields: Column, primary_key: str, merge_keys: Sequence[str]) -> Column:
+    """record_id() of fields_of(): absent merge keys are empty, explicit nulls are shown."""
+    last = lambda name: F.try_element_at(F.filter(fields, lambda x: x["key"] == name), F.lit(-1))["value"]
+    parts = [F.coalesce(shown(last(k)), F.lit("")) for k in merge_keys]
+    joined = F.when(F.concat(*parts) != "", F.concat_ws("::", *parts)).otherwise("") if parts else F.lit("")
+    if not primary_key:
+        return joined
+    own = F.when(F.schema_of_variant(last(primary_key)) != "VOID", shown(last(primary_key)))
+    return F.when(own != "", own).otherwise(joined)
+
+
+def _settled(ops: DataFrame) -> DataFrame:
+    """Operations (url, at, kind, key, target, ...) with none of kind `open` left: it merges if its target was inserted before it, else it inserts.
+
+    An open operation can be told once all that might insert its target earlier are; the first open one of a url always can, so this ends.
+    In practice one round is enough: more are needed only where a target is the id of another operation without a target.
+    """
+    while True:
+        sure = ops.where("kind = 'insert'").groupBy(F.col("url").alias("s_url"), F.col("key").alias("s_key")).agg(F.min("at").alias("sure"))
+        maybe = ops.where("kind = 'open'").groupBy(F.col("url").alias("m_url"), F.col("key").alias("m_key")).agg(F.min("at").alias("maybe"))
+        asked = ops.where("kind = 'open'")
+        asked = asked.join(sure, (F.col("url") == F.col("s_url")) & (F.col("target") == F.col("s_key")), "left").join(maybe, (F.col("url") == F.col("m_url")) & (F.col("target") == F.col("m_key")), "left")
+        told = F.when(F.col("sure") < F.col("at"), "merge").when(F.col("maybe").isNull() | (F.col("maybe") >= F.col("at")), "insert").otherwise("open")
+        ops = checkpoint(ops.where("kind <> 'open'").unionByName(asked.withColumn("kind", told).select(*ops.columns)))
+        if ops.where("kind = 'open'").isEmpty():
+            return ops
+
+
+def _merged(existing: DataFrame, new: DataFrame, decisions: DataFrame, primary_key: str, merge_keys: Sequence[str]) -> DataFrame:
+    """merge_records(), not numbered: (url, at, record_json, added, updated); records of a url are in the order of at."""
+    place = lambda side, seq: F.struct(F.lit(side).alias("side"), seq.cast("long").alias("seq"), F.xxhash64("record_json").alias("tie"))
+    key = record_key(fields_of(F.col("record_json")), primary_key, merge_keys)
+    old = existing.select("url", place(0, F.col("rec_idx")).alias("at"), F.lit("insert").alias("kind"), key.alias("key"), F.lit(None).cast("string").alias("target"), "record_json")
+    chosen = decisions.select(F.col("url").alias("u"), "seq", "new_index", "merge", F.nullif("target_id", F.lit("")).alias("target"))
+    picked = new.join(chosen, (new["url"] == chosen["u"]) & (new["rec_idx"] == chosen["new_index"]))
+    own = F.when(key != "", key).otherwise(F.concat(F.lit("_new_"), F.col("new_index")))
+    kind = F.when(F.coalesce("merge", F.lit(False)) & F.col("target").isNotNull(), "open").otherwise("insert")
+    ops = _settled(old.unionByName(picked.select("url", place(1, F.col("seq")).alias("at"), kind.alias("kind"), own.alias("key"), "target", "record_json")))
+
+    # a record is its last insert and the merges behind it; it stands where its key was first inserted
+    ops = ops.withColumn("of", F.when(F.col("kind") == "merge", F.col("target")).otherwise(F.col("key")))
+    inserted, merged = F.col("kind") == "insert", F.col("kind") == "merge"
+    found = ops.groupBy("url", "of").agg(
+        F.min(F.when(inserted, F.col("at"))).alias("first"), F.max(F.when(inserted, F.col("at"))).alias("last"), F.max(F.when(merged, F.col("at"))).alias("merged"), F.max_by("record_json", F.when(inserted, F.col("at"))).alias("record_json"),
+    )
+    found = found.withColumn("chain", F.coalesce(F.col("merged") > F.col("last"), F.lit(False)))
+    whole = F.when(F.from_json("record_json", FIELDS).isNotNull(), F.col("record_json")).otherwise("{}")
+    single = found.where("not chain").select("url", F.col("first").alias("at"), whole.alias("record_json"))
+    heads = found.where("chain").select(F.col("url").alias("h_url"), F.col("of").alias("h_of"), "first", "last")
+    chain = ops.join(heads, (ops["url"] == heads["h_url"]) & (ops["of"] == heads["h_of"]) & (ops["at"] >= heads["last"]))
+    parts = chain.select("url", "first", "at", F.posexplode(fields_of(F.col("record_json"))).alias("pos", "x")).withColumn("nth", F.struct("at", "pos"))
+    fields = parts.groupBy("url", "first", F.col("x.key").alias("name")).agg(F.min("nth").alias("nth"), F.max_by(F.coalesce(F.to_json("x.value"), F.lit("null")), "nth").alias("value"))
+    said = F.concat(F.expr("substring(to_json(array(name)), 2, length(to_json(array(name))) - 2)"), F.lit(": "), F.col("value"))
+    several = fields.groupBy("url", "first").agg(F.array_sort(F.collect_list(F.struct("nth", said.alias("text")))).alias("fields"))  # a record's fields
+    several = several.select("url", F.col("first").alias("at"), F.concat(F.lit("{"), F.array_join(F.transform("fields", lambda x: x["text"]), ", "), F.lit("}")).alias("record_json"))
+    counts = ops.groupBy(F.col("url").alias("c_url")).agg(F.count_if(inserted & (F.col("at.side") == 1)).cast("int").alias("added"), F.count_if(merged).cast("int").alias("updated"))
+    records = single.unionByName(several)
+    return records.join(counts, records["url"] == counts["c_url"]).select("url", "at", "record_json", "added", "updated")
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    return places(records, "url", ["at"]).select("url", F.col("place").cast("int").alias("rec_idx"), "record_json", "added", "updated")
+
+
 def merge_records(existing: DataFrame, new: DataFrame, decisions: DataFrame, primary_key: str = "", merge_keys: Sequence[str] = ()) -> DataFrame:
     """Upsert new records into existing ones by decisions, each url by itself and in order.
 
     existing, new: (url, rec_idx, record_json); decisions: (url, seq, new_index, merge, target_id).
-    A merge into a known target overwrites its keys; all else inserts, over a record of the same id; new records without an
-    id stand apart. New records without a decision are dropped; existing ones of equal id, or of none, collapse to the last.
+    A merge into a target that is known by then overwrites its keys; all else inserts, over a record of the same id; new records without
+    an id stand apart. New records without a decision are dropped; existing ones of equal id, or of none, collapse to the last.
     -> (url, rec_idx, record_json, added, updated); the counts are the url's.
+
+    No url is gathered: operations are keyed by (url, id), a record's merges are a last writer for each field, and places are counted in ranges.
     """
-    sides = existing.select("url", F.lit(0).alias("side"), "rec_idx", "record_json", F.lit(None).cast("boolean").alias("merge"), F.lit(None).cast("string").alias("target"))
-    chosen = decisions.select(F.col("url").alias("u"), "seq", "new_index", "merge", "target_id")
-    picked = new.join(chosen, (new["url"] == chosen["u"]) & (new["rec_idx"] == chosen["new_index"])).select("url", F.lit(1).alias("side"), F.col("seq").alias("rec_idx"), "record_json", "merge", F.col("target_id").alias("target"))
-    keys = tuple(merge_keys)
-    prepare_workers(existing.sparkSession)
-
-    def ident(r: dict) -> str:
-        own = r.get(primary_key)
-        if own is not None and own != "":
-            return str(own)
-        parts = [str(r.get(k, "")) for k in keys]
-        return "::".join(parts) if any(parts) else ""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["side", "rec_idx"], kind="stable")
-        held: dict[str, dict] = {}
-        added = updated = 0
-        for i, (side, text, merge, target) in enumerate(zip(group["side"], group["record_json"], group["merge"], group["target"], strict=True)):
-            record = J.parse(text) or {}
-            if side == 0:
-                held[ident(record)] = record
-            elif merge and target and target in held:
-                held[target] = {**held[target], **record}
-                updated += 1
-            else:
-                held[ident(record) or f"\0{i}"] = record
-                added += 1
-        return pd.DataFrame({"url": group["url"].iloc[0], "rec_idx": range(len(held)), "record_json": [json.dumps(r) for r in held.values()], "added": added, "updated": updated})
-
-    return sides.unionByName(picked).groupBy("url").applyInPandas(fold, "url string, rec_idx int, record_json string, added int, updated int")
+    return _numbered(_merged(existing, new, decisions, primary_key, merge_keys))
 
 
 def merge_snapshots(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -207,14 +260,14 @@ def merge_answers(existing: DataFrame, new: DataFrame, answers: DataFrame, prima
     A url without new records keeps its own; one without existing records gets all new ones, whatever was answered;
     one whose answer is an error, isn't JSON or is missing gets its new records behind the existing ones.
     """
-    sides = existing.select("url", F.lit(0).alias("side")).union(new.select("url", F.lit(1).alias("side"))).groupBy("url").agg(F.max((F.col("side") == 0).cast("int")).alias("had"), F.max("side").alias("got"))
+    sides = existing.select("url", F.lit(0).alias("side")).union(new.select("url", F.lit(1).alias("side"))).groupBy("url").agg(F.max((F.col("side") == 0).cast("int")).alias("had"), F.max("side").alias("got"), F.sum("side").alias("n_new"))
     good = answers.where(F.col("error").isNull() & F.try_parse_json("content").isNotNull()).select("url", F.from_json("content", DECISIONS)["merge_decisions"].alias("d"), F.lit(True).alias("answered"))
     plan = sides.join(good, "url", "left").withColumn("by", (F.col("had") == 1) & (F.col("got") == 1) & F.coalesce("answered", F.lit(False)))
-    decided, rest = plan.where("by").select("url", "d"), plan.where("not by").select("url", F.when((F.col("had") == 0) & (F.col("got") == 1), True).otherwise(False).alias("fresh"))
+    decided, rest = plan.where("by").select("url", "d"), plan.where("not by").select("url", F.when((F.col("had") == 0) & (F.col("got") == 1), True).otherwise(False).alias("fresh"), "n_new")
     picks = decided.select("url", F.posexplode("d").alias("seq", "x")).select("url", "seq", F.col("x.new_record_index").alias("new_index"), F.coalesce("x.merge", F.lit(False)).alias("merge"), F.col("x.existing_record_id").alias("target_id"))
     urls = decided.select("url")
-    merged = merge_records(existing.join(urls, "url", "left_semi"), new.join(urls, "url", "left_semi"), picks, primary_key, merge_keys)
-    both = existing.select("url", F.lit(0).alias("side"), "rec_idx", "record_json").union(new.select("url", F.lit(1).alias("side"), "rec_idx", "record_json")).join(rest, "url")
-    added = F.when(F.col("fresh"), F.count("*").over(Window.partitionBy("url"))).otherwise(0).cast("int")
-    plain = both.select("url", (F.row_number().over(Window.partitionBy("url").orderBy("side", "rec_idx")) - 1).alias("rec_idx"), "record_json", added.alias("added"), F.lit(0).alias("updated"))
-    return merged.unionByName(plain)
+    merged = _merged(existing.join(urls, "url", "left_semi"), new.join(urls, "url", "left_semi"), picks, primary_key, merge_keys)
+    place = lambda side: F.struct(F.lit(side).alias("side"), F.col("rec_idx").cast("long").alias("seq"), F.xxhash64("record_json").alias("tie"))
+    both = existing.select("url", place(0).alias("at"), "record_json").union(new.select("url", place(1).alias("at"), "record_json"))
+    plain = both.join(rest, "url").select("url", "at", "record_json", F.when(F.col("fresh"), F.col("n_new")).otherwise(0).cast("int").alias("added"), F.lit(0).alias("updated"))
+    return _numbered(merged.unionByName(plain))
