@@ -7,11 +7,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagewright.functions.patterns import needles_in
+
 # Tokens of challenge pages.
 CAPTCHA_TOKENS = ("recaptcha", "hcaptcha", "cf-challenge", "cf_chl_opt", "challenge-running", "distil_identify", "px-captcha", "__ddg", "datadome", "arkoselabs")
 # Url shapes and content types of data endpoints.
 API_PATTERNS = (r"/api/", r"/v\d+/", r"\.json(\?|$)", r"/graphql", r"/feed(\b|/|\?)", r"/rss(\b|/|\?)", r"/sitemap", r"/data/", r"/search\?", r"/listings\?", r"\.xml(\?|$)")
 API_CONTENT_TYPES = ("application/json", "application/ld+json", "application/xml", "text/xml", "application/atom+xml", "application/rss+xml", "application/x-ndjson", "application/vnd.api+json")
+#: More needles than these are matched by an automaton, fewer by a test each in generated code.
+MANY = 32
 HARD_CODES = (403, 407, 451)
 
 
@@ -23,8 +27,11 @@ def any_of(conditions: Iterable[Column]) -> Column:
 
 
 def contains_any(text: Column, needles: Iterable[str], ignore_case: bool = True, skip_empty: bool = True) -> Column:
-    """Whether a text holds any of the needles. An empty needle is in every text unless skipped."""
+    """Whether a text holds any of the needles. An empty needle is in every text unless skipped. Beyond MANY needles an automaton looks for all at once."""
+    needles = list(needles)
     text = F.lower(text) if ignore_case else text
+    if len(needles) > MANY and (skip_empty or all(needles)):
+        return F.size(needles_in(text, [n.lower() for n in needles] if ignore_case else needles)) > 0
     return any_of(text.contains(n.lower() if ignore_case else n) for n in needles if n or not skip_empty)
 
 

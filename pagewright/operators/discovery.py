@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.predicates import contains_any, is_api_endpoint, is_data_api
+from pagewright.functions.patterns import needles_in
+from pagewright.functions.predicates import MANY, contains_any, is_api_endpoint, is_data_api
 from pagewright.functions.text import SCHEME, netloc, url_join, url_path
 
 ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -47,7 +48,10 @@ def score_url(url: Column, keywords: Sequence[str] = (), negative: Sequence[str]
     if not keywords:
         return F.when(bad, -1.0).otherwise(0.1)
     lower = F.lower(url)
-    hits = sum((lower.contains(k.lower()).cast("int") for k in keywords[1:]), lower.contains(keywords[0].lower()).cast("int"))
+    if len(keywords) > MANY:
+        hits = F.size(needles_in(lower, [k.lower() for k in keywords])) + sum(not k for k in keywords)
+    else:
+        hits = sum((lower.contains(k.lower()).cast("int") for k in keywords[1:]), lower.contains(keywords[0].lower()).cast("int"))
     path = url_path(url)
     depth = F.least(F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))), F.lit(4))
     return F.when(bad, -1.0).otherwise(F.least(F.lit(1.0), hits / F.lit(len(keywords)) + depth * F.lit(0.05)))
@@ -75,6 +79,8 @@ def discover(pages: DataFrame, keywords: Sequence[str] = (), negative: Sequence[
 
 def _first_match(url: Column, needles: Sequence[str]) -> Column:
     lower = F.lower(url)
+    if len(needles) > MANY:
+        return F.try_element_at(F.array(*map(F.lit, needles)), F.try_element_at(needles_in(lower, [n.lower() for n in needles]), F.lit(1)) + 1)
     return F.coalesce(*[F.when(lower.contains(n.lower()), F.lit(n)) for n in needles if n], F.lit(None).cast("string"))
 
 
