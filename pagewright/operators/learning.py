@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import json_records as J
 from pagewright.functions.text import api_signature, domain
+from pagewright.operators import clusters
+from pagewright.operators.clusters import find_clusters, find_similar  # noqa: F401
 from pagewright.operators.scans import places
 from pagewright.sources.session import prepare_workers
 
@@ -83,27 +85,14 @@ def domain_members(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("domain", domain(F.col("url_pattern")))
 
 
-def find_clusters(targets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(url_pattern, platform, confirmed_patterns) twice -> (target, member): same domain, another url, platforms and API
-    signatures equal where both sides have one. An equi-join on the domain with the rest as its residual."""
-    side = lambda df, p: df.select(F.col("url_pattern").alias(f"{p}_url"), F.col("platform").alias(f"{p}_platform"), F.nullif(api_signature(F.col("confirmed_patterns")), F.lit("")).alias(f"{p}_sig"), domain(F.col("url_pattern")).alias("domain"))
-    free = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b))
-    both = side(targets, "t").join(side(candidates, "c"), "domain")
-    return both.where((F.col("t_url") != F.col("c_url")) & free("t_platform", "c_platform") & free("t_sig", "c_sig")).select(F.col("t_url").alias("target"), F.col("c_url").alias("member"))
-
-
-def find_similar(targets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(target, member) of equal, non-null platform and another url."""
-    t = targets.select(F.col("url_pattern").alias("target"), "platform")
-    c = candidates.select(F.col("url_pattern").alias("member"), "platform")
-    return t.join(c, "platform").where("target <> member").select("target", "member")
+def donors(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(target, donor): the most mature member of each target's cluster, the first of equals."""
+    return clusters.donors(pairs, profiles, maturity_rank(F.col("maturity")))
 
 
-def donors(clusters: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(target, donor): the most mature member of each target's cluster, the first of equals."""
-    rows = clusters.join(profiles.select(F.col("url_pattern").alias("member"), "maturity", "pos"), "member")
-    best = Window.partitionBy("target").orderBy(F.desc(maturity_rank(F.col("maturity"))), "pos")
-    return rows.withColumn("n", F.row_number().over(best)).where("n = 1").select("target", F.col("member").alias("donor"))
+def all_donors(profiles: DataFrame) -> DataFrame:
+    """The same for all profiles among themselves, by classes instead of pairs."""
+    return clusters.class_donors(profiles, maturity_rank(F.col("maturity")))
 
 
 def bootstrap(profiles: DataFrame, chosen: DataFrame) -> DataFrame:

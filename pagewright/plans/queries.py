@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import json_records as J
 from pagewright.functions import predicates as P
 from pagewright.functions import text as X
+from pagewright.operators import clusters as C
 from pagewright.operators import discovery as D
 from pagewright.operators import extraction as E
 from pagewright.operators import learning as L
@@ -405,14 +406,12 @@ def cluster_match(s, d):  # noqa: ANN001, ANN201
 
 @query(f"SELECT t.platform, count(*) AS n FROM ({_PROFILES}) t JOIN ({_PROFILES}) c ON t.platform = c.platform AND t.url <> c.url GROUP BY 1")
 def similar_profiles(s, d):  # noqa: ANN001, ANN201
-    p = profiles(s, d)
-    return L.find_similar(p, p).join(p.select(F.col("url_pattern").alias("target"), "platform"), "target").groupBy("platform").agg(F.count("*").alias("n"))
+    return C.similar_counts(profiles(s, d)).where("n > 0").select("platform", "n")
 
 
 @query(f"SELECT target, member AS donor FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY m DESC, pos) AS n FROM ({_CLUSTERS})) WHERE n = 1")
 def bootstrap_donor(s, d):  # noqa: ANN001, ANN201
-    p = profiles(s, d)
-    return L.donors(L.find_clusters(p, p), p)
+    return L.all_donors(profiles(s, d))
 
 
 _SIGNALS = "SELECT 's' || user_id % 7 AS skill, epoch_us(ts)::BIGINT AS arrived, event_id AS seq, event_type AS platform, (event_id % 100) / 100.0::DOUBLE AS confidence, CASE event_id % 3 WHEN 0 THEN 'external_rank' WHEN 1 THEN 'extraction' ELSE 'discovery' END AS signal_type FROM events"

@@ -391,7 +391,7 @@ def bootstrap_profiles(s, d):  # noqa: ANN001, ANN201
     p = p.withColumn("response_format", F.when(k % 3 == 0, of("json")).otherwise("")).withColumn("auth_required", k % 7 == 0).withColumn("confirmed_endpoints", F.array(of("e"))).withColumn("noise_selectors", F.array(F.concat(F.lit("n"), k % 2)))
     p = p.withColumn("selectors", F.when(k % 5 == 0, F.create_map(F.lit("name"), of("#"), F.lit("other"), of("#d"))).otherwise(F.create_map(F.lit("name"), of("#"))))
     p = p.withColumn("navigation", F.struct(F.lit(True).alias("requires_interaction"), F.lit(None).cast("boolean").alias("scroll_for_content"), F.when(k % 3 == 1, of("w")).otherwise("").alias("wait_for_selector"), k.cast("int").alias("wait_ms"), F.array().cast("array<string>").alias("external_sources"), F.array().cast("array<string>").alias("pre_crawl_steps")))
-    got = L.bootstrap(p, L.donors(L.find_clusters(p, p), p))
+    got = L.bootstrap(p, L.all_donors(p))
     number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("long")
     got = got.select(
         number("url_pattern").alias("t"), number("donor").alias("donor"), "pagination_style", "response_format", "auth_required", F.array_join("confirmed_patterns", "|").alias("patterns"), F.array_join("confirmed_endpoints", "|").alias("endpoints"), F.array_join("noise_selectors", "|").alias("noise"),

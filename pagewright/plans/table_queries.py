@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewright.operators import clusters as C
 from pagewright.operators import keywords as K
-from pagewright.plans.queries import pages, query
+from pagewright.plans.queries import _CLUSTERS, _PROFILES, pages, profiles, query
 from pagewright.sources.session import table
 
 
@@ -16,3 +17,15 @@ def keyword_table_hits(s, d):  # noqa: ANN001, ANN201
     words = table(s, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("keyword"))
     hits = K.keyword_hits(pages(s, d), words, "page_id", "html")
     return hits.groupBy("page_id").agg(F.count("*").alias("n"), F.min("keyword").alias("first"), F.max("keyword").alias("last"), F.max(F.length("keyword")).alias("longest"))
+
+
+@query(f"SELECT url AS url_pattern, 'n' || nat || '.example' AS domain, platform, sig, count(member)::BIGINT AS n_links FROM ({_PROFILES}) LEFT JOIN ({_CLUSTERS}) ON url = target GROUP BY ALL")
+def cluster_membership(s, d):  # noqa: ANN001, ANN201
+    """Each profile's class, and how many others it fits: what cluster_match lists pair by pair."""
+    return C.cluster_membership(profiles(s, d))[0]
+
+
+@query(f"""WITH c AS (SELECT DISTINCT 'n' || nat || '.example' AS domain, platform, sig FROM ({_PROFILES}))
+  SELECT a.domain, a.platform, a.sig, b.platform AS to_platform, b.sig AS to_sig FROM c a JOIN c b ON a.domain = b.domain AND (a.platform IS NULL OR b.platform IS NULL OR a.platform = b.platform) AND (a.sig IS NULL OR b.sig IS NULL OR a.sig = b.sig)""")
+def cluster_links(s, d):  # noqa: ANN001, ANN201
+    return C.cluster_membership(profiles(s, d))[1]
