@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +14,6 @@ from pagewright.functions.text import api_signature, domain
 from pagewright.operators import clusters
 from pagewright.operators.clusters import find_clusters, find_similar  # noqa: F401
 from pagewright.operators.scans import places
-from pagewright.sources.session import prepare_workers
 
 #: Maturity steps: crawls from which each holds, the highest first.
 MATURITY = (("STABLE", 10), ("WARM", 5), ("LEARNING", 2))
@@ -124,18 +122,19 @@ def apply_signals(profiles: DataFrame, signals: DataFrame) -> DataFrame:
     signal_type, field_name, hint, platform) -> updated profiles: lists appended once in arrival order, selectors and
     platform by the last signal, one more crawl."""
     hint = F.nullif("hint", F.lit(""))
-    some = lambda kind, v: F.when((F.col("signal_type") == kind) & v.isNotNull(), F.struct("seq", v.alias("v")))
     keyed = F.when((F.col("signal_type") == "dom_selector") & (F.col("field_name") != "") & hint.isNotNull(), F.struct("seq", F.col("field_name").alias("k"), hint.alias("v")))
-    agg = signals.groupBy("url_pattern").agg(
-        F.array_sort(F.collect_list(some("api_pattern", hint))).alias("apis"), F.array_sort(F.collect_list(some("noise", hint))).alias("noises"),
+    platform = signals.groupBy("url_pattern").agg(
         F.max_by(F.when(F.col("signal_type") == "platform", F.col("platform")), F.when((F.col("signal_type") == "platform") & F.col("platform").isNotNull(), F.col("seq"))).alias("new_platform"),
     )
+    # a hint's first signal: one row for each profile and hint before they meet
+    once = signals.where(F.col("signal_type").isin("api_pattern", "noise") & hint.isNotNull()).groupBy(F.col("url_pattern").alias("h_url"), "signal_type", hint.alias("v")).agg(F.min("seq").alias("seq"))
+    agg = once.groupBy("h_url").agg(F.array_sort(F.collect_list(F.when(F.col("signal_type") == "api_pattern", F.struct("seq", "v")))).alias("apis"), F.array_sort(F.collect_list(F.when(F.col("signal_type") == "noise", F.struct("seq", "v")))).alias("noises"))
     # a field's last selector; one row for each profile and field before they meet
     last = signals.where(keyed.isNotNull()).groupBy("url_pattern", "field_name").agg(F.max_by(hint, "seq").alias("v"))
     maps = last.groupBy(F.col("url_pattern").alias("m_url")).agg(F.map_from_entries(F.collect_list(F.struct("field_name", "v"))).alias("found"))
     none = F.array().cast("array<string>")
     values = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<seq:bigint,v:string>>")), lambda x: x["v"])
-    rows = profiles.join(agg, "url_pattern", "left").join(maps, F.col("url_pattern") == F.col("m_url"), "left")
+    rows = profiles.join(platform, "url_pattern", "left").join(agg, F.col("url_pattern") == F.col("h_url"), "left").join(maps, F.col("url_pattern") == F.col("m_url"), "left")
     own = F.coalesce("selectors", F.create_map().cast("map<string,string>"))
     final = F.coalesce("found", F.create_map().cast("map<string,string>"))
     return rows.select(
@@ -236,30 +235,10 @@ def updated_memory(memory: dict, response: dict | None, negative: Sequence[str]
 
 
 def consolidate(memories: DataFrame, signals: DataFrame, responses: DataFrame, negative: Sequence[str] = (), batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Fold batches of signals, in order, into each skill's memory.
+    """See memory.consolidate()."""
+    from pagewright.operators import memory
 
-    memories: (skill, version, memory JSON); signals: (skill, seq, ...); responses: (skill, batch, content JSON or null,
-    cost_usd, error). A batch adds one version and its cost even if its response is an error. Batches are what they
-    are at their start: signals that arrive later are the next batch's.
-    -> (skill, batch, version_before, version_after, signal_count, cost_usd, summary, memory), one row for each batch.
-    """
-    counts = batches(signals, batch_size).groupBy("skill", "batch").agg(F.count("*").alias("signal_count"))
-    steps = counts.join(responses, ["skill", "batch"], "left").join(memories, "skill")
-    words = tuple(negative)
-    prepare_workers(memories.sparkSession)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("batch")
-        memory, version, rows = J.parse(group["memory"].iloc[0]) or {}, int(group["version"].iloc[0]), []
-        for r in group.itertuples():
-            answer = None if isinstance(r.error, str) and r.error else J.parse(r.content if isinstance(r.content, str) else None)
-            memory = updated_memory(memory, answer, words)
-            cost = float(r.cost_usd) if r.cost_usd == r.cost_usd and r.cost_usd is not None else 0.0
-            rows.append((r.skill, r.batch, version, version + 1, r.signal_count, cost, str(answer.get("summary", "")) if isinstance(answer, dict) else "", json.dumps(memory)))
-            version += 1
-        return pd.DataFrame(rows, columns=["skill", "batch", "version_before", "version_after", "signal_count", "cost_usd", "summary", "memory"])
-
-    return steps.groupBy("skill").applyInPandas(fold, "skill string, batch long, version_before int, version_after int, signal_count long, cost_usd double, summary string, memory string")
+    return memory.consolidate(memories, signals, responses, negative, batch_size)
 
 
 def new_memory(name: str, version: str) -> dict:

@@ -12,6 +12,7 @@ from pagewright.functions import text as X
 from pagewright.operators import discovery as D
 from pagewright.operators import extraction as E
 from pagewright.operators import learning as L
+from pagewright.operators import memory as Y
 from pagewright.operators import proxies as Z
 from pagewright.operators import records as R
 from pagewright.operators import reports as T
@@ -349,7 +350,7 @@ def consolidate_memory(s, d):  # noqa: ANN001, ANN201
     sig = signals(s, d)
     memories = sig.select("skill").distinct().select("skill", F.lit(1).alias("version"), F.lit('{"known_noise_patterns": ["ads"]}').alias("memory"))
     answers = L.batches(sig).select("skill", "batch").distinct().select("skill", "batch", F.concat(F.lit('{"summary": "b'), "batch", F.lit('", "navigation_wisdom": "w'), "batch", F.lit('"}')).alias("content"), F.lit(0.25).alias("cost_usd"), F.when(F.col("batch") % 5 == 4, "timeout").alias("error"))
-    return L.consolidate(memories, sig, answers, ("admin",))
+    return Y.consolidate(memories, sig, answers, ("admin",))
 
 
 @query("SELECT skill, n, CAST(n // 50 AS BIGINT) AS full_batches FROM (SELECT 's' || user_id % 7 AS skill, count(*) AS n FROM events GROUP BY 1)")
@@ -358,22 +359,28 @@ def pending_signals(s, d):  # noqa: ANN001, ANN201
     return numbered.groupBy("skill").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("full"), F.col("batch"))).alias("full_batches"))
 
 
-@query("""SELECT name, apis, noise, wisdom, cost::DOUBLE AS cost FROM (VALUES ('fresh', '["/a"]', '["x", "no"]', 'wise', 0.5), ('stale', '[]', '["no"]', '', 0.0), ('kept', '["/k"]', '[]', '', 0.0)) v(name, apis, noise, wisdom, cost) """)
+@query("""SELECT s_name AS skill, s_suppkey % 3 <> 1 AS warmed, CASE s_suppkey % 3 WHEN 1 THEN '["/k"]' WHEN 0 THEN '["/a", "/' || s_nationkey || '"]' ELSE '[]' END AS apis,
+  CASE WHEN s_suppkey % 3 = 1 THEN '[]' WHEN s_suppkey % 3 = 0 THEN '["x", "no"]' ELSE '["no"]' END AS noise, CASE WHEN s_suppkey % 3 = 0 THEN 'wise ' || s_name ELSE '' END AS wisdom, CASE WHEN s_suppkey % 3 = 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS cost FROM supplier""")
 def warmed_memories(s, d):  # noqa: ANN001, ANN201
-    """A new memory from an answer, one after an error, and a fresh one that stays."""
-    kept = {**L.new_memory("s", "1"), "high_confidence_api_patterns": ["/k"]}
-    found = {
-        "fresh": L.warm_up(None, "s", "1", {"content": '{"api_patterns": ["/a"], "known_noise_patterns": ["x"], "navigation_wisdom": "wise"}', "cost_usd": 0.5}, ("no",)),
-        "stale": L.warm_up(kept, "s", "2", {"error": "timeout"}, ("no",)), "kept": L.warm_up(kept, "s", "1", {"content": '{"api_patterns": ["/z"]}'}, ("no",)),
-    }
-    rows = [(k, json.dumps(m["high_confidence_api_patterns"]), json.dumps(m["known_noise_patterns"]), m["navigation_wisdom"], float(m["warmup_cost_usd"])) for k, m in found.items()]
-    return s.createDataFrame(rows, "name string, apis string, noise string, wisdom string, cost double")
+    """A third of the skills have a fresh memory, a third a stale one whose warm-up fails, the rest none: theirs is made from an answer."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    old = F.concat(F.lit('{"skill_hash": "'), Y.skill_hash(name, F.when(k % 3 == 1, "2").otherwise("1")), F.lit('", "high_confidence_api_patterns": ["/k"], "known_noise_patterns": [], "navigation_wisdom": "", "warmup_cost_usd": 0.0}'))
+    p = table(s, d, "supplier")
+    stored = p.select(name.alias("skill"), F.lit("2").alias("version"), F.when(k % 3 > 0, old).alias("memory"))
+    content = F.concat(F.lit('{"api_patterns": ["/a", "/'), "s_nationkey", F.lit('"], "known_noise_patterns": ["x"], "navigation_wisdom": "wise '), name, F.lit('"}'))
+    said = p.select(name.alias("skill"), content.alias("content"), F.lit(0.5).alias("cost_usd"), F.when(k % 3 == 2, "timeout").alias("error"))
+    get = lambda path: F.get_json_object("memory", f"$.{path}")
+    listed = lambda path: F.concat(F.lit("["), F.array_join(F.transform(F.from_json(get(path), "array<string>"), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", "), F.lit("]"))
+    return Y.warm(stored, said, ("no",)).select("skill", "warmed", listed("high_confidence_api_patterns").alias("apis"), listed("known_noise_patterns").alias("noise"), get("navigation_wisdom").alias("wisdom"), get("warmup_cost_usd").cast("double").alias("cost"))
 
 
-@query("SELECT 'name' AS field, 'title|label' AS synonyms, 'in h1' AS hint UNION ALL SELECT 'price', '', 'digits'")
+@query("""SELECT skill, field, synonyms, hint FROM (SELECT s_name AS skill, 'name' AS field, 'title|label' || s_suppkey AS synonyms, 'in h1' AS hint FROM supplier UNION ALL SELECT s_name, 'price', '', 'digits ' || s_nationkey FROM supplier WHERE s_suppkey % 2 = 0)""")
 def schema_hints(s, d):  # noqa: ANN001, ANN201
-    synonyms, hints = L.schema_parts({"confirmed_field_synonyms": {"name": ["title", "label"], "other": ["x"]}, "field_extraction_hints": {"name": "in h1", "price": "digits", "other": "y"}}, ("name", "price"))
-    return s.createDataFrame([(f, "|".join(synonyms.get(f, [])), hints.get(f, "")) for f in sorted({*synonyms, *hints})], "field string, synonyms string, hint string")
+    """What stored memories know of a schema's two fields; a third field isn't asked for."""
+    hints = F.to_json(F.map_concat(F.create_map(F.lit("name"), F.lit("in h1"), F.lit("other"), F.lit("y")), F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("price"), F.concat(F.lit("digits "), "s_nationkey"))).otherwise(F.create_map().cast("map<string,string>"))))
+    synonyms = F.to_json(F.create_map(F.lit("name"), F.array(F.lit("title"), F.concat(F.lit("label"), "s_suppkey")), F.lit("other"), F.array(F.lit("x"))))
+    stored = table(s, d, "supplier").select(F.col("s_name").alias("skill"), F.concat(F.lit('{"confirmed_field_synonyms": '), synonyms, F.lit(', "field_extraction_hints": '), hints, F.lit("}")).alias("memory"))
+    return Y.schema_parts(stored, ("name", "price")).select("skill", "field", F.array_join("synonyms", "|").alias("synonyms"), "hint")
 
 
 _DONORS = f"""SELECT t.pos AS t, c.pos AS c FROM (SELECT target, member FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY m DESC, pos) AS n FROM (SELECT t.url AS target, c.url AS member, c.m, c.pos FROM ({_PROFILES}) t JOIN ({_PROFILES}) c ON t.nat = c.nat AND t.url <> c.url AND (t.platform IS NULL OR c.platform IS NULL OR t.platform = c.platform) AND (t.sig IS NULL OR c.sig IS NULL OR t.sig = c.sig))) WHERE n = 1) d
