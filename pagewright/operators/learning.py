@@ -147,7 +147,7 @@ def apply_signals(profiles: DataFrame, signals: DataFrame) -> DataFrame:
 
 def bump_mappings(mappings: Column) -> Column:
     """After a replay that worked: one more success, a little more confidence, up to 0.95."""
-    return F.transform(mappings, lambda m: m.withField("success_count", m["success_count"] + 1).withField("confidence", F.least(F.lit(0.95), m["confidence"] + 0.05)))
+    return F.transform(mappings, lambda m: m.withField("success_count", m["success_count"] + 1).withField("confidence", F.when(m["confidence"] < 0.95, F.least(F.lit(0.95), m["confidence"] + 0.05)).otherwise(m["confidence"])))
 
 
 def crystallize(mappings: DataFrame, responses: DataFrame) -> DataFrame:

@@ -621,7 +621,8 @@ def crawl_records(s, d):  # noqa: ANN001, ANN201
 
 
 @query(f"""SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN fetched THEN ['tier_attempted', 'tier_won', 'profile_updated'] WHEN status = 'FAILED' THEN ['dlq_push'] ELSE ['carry_forward'] END) AS kind FROM ({_RUN})
-  UNION ALL SELECT 'merge_invoked' FROM ({_RUN}) WHERE fetched AND n_new > 0 AND k % 2 = 0 UNION ALL SELECT 'discovery_llm_invoked' FROM ({_RUN}) WHERE fetched AND kind = 4) GROUP BY 1""")
+  UNION ALL SELECT 'merge_invoked' FROM ({_RUN}) WHERE fetched AND n_new > 0 AND k % 2 = 0 UNION ALL SELECT 'discovery_llm_invoked' FROM ({_RUN}) WHERE fetched AND kind = 4
+  UNION ALL SELECT 'llm_called' FROM ({_RUN}), (VALUES (1), (2), (3)) v(i) WHERE fetched AND CASE i WHEN 1 THEN kind = 4 WHEN 2 THEN kind = 4 AND k % 3 = 0 ELSE n_new > 0 AND k % 4 = 0 END) GROUP BY 1""")
 def crawl_trace(s, d):  # noqa: ANN001, ANN201
     return _crawled(s, d)["trace"].groupBy("kind").agg(F.count("*").alias("n"))
 

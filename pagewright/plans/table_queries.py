@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import clusters as C
 from pagewright.operators import keywords as K
+from pagewright.operators import prompts as M
+from pagewright.plans import crawl
 from pagewright.plans.queries import _CLUSTERS, _PROFILES, pages, profiles, query
 from pagewright.sources.session import table
 
@@ -29,3 +31,69 @@ def cluster_membership(s, d):  # noqa: ANN001, ANN201
   SELECT a.domain, a.platform, a.sig, b.platform AS to_platform, b.sig AS to_sig FROM c a JOIN c b ON a.domain = b.domain AND (a.platform IS NULL OR b.platform IS NULL OR a.platform = b.platform) AND (a.sig IS NULL OR b.sig IS NULL OR a.sig = b.sig)""")
 def cluster_links(s, d):  # noqa: ANN001, ANN201
     return C.cluster_membership(profiles(s, d))[1]
+
+
+@query(r"""WITH p AS (SELECT 'n' || s_nationkey AS url, s_suppkey AS k, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) AS nth FROM supplier)
+  SELECT 'merge' AS stage, url, 'Key: id' || chr(10) || 'Stored: [' || string_agg('{"id":' || k || '}', ', ' ORDER BY k) FILTER (k % 2 = 0 AND nth <= 50) || ']' || chr(10) || 'New: [' || string_agg('{"id":' || k || '}', ', ' ORDER BY k) FILTER (k % 2 = 1 AND nth <= 50) || ']'
+    || chr(10) || 'Answer with JSON: merge_decisions, a list of objects with new_record_index, existing_record_id, merge.' AS prompt FROM p GROUP BY url HAVING count(DISTINCT k % 2) = 2""")
+def merge_requests(s, d):  # noqa: ANN001, ANN201
+    """Requests of 50 stored and 50 new records at most."""
+    p = table(s, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("url"), F.col("s_suppkey").alias("rec_idx"), F.to_json(F.struct(F.col("s_suppkey").alias("id"))).alias("record_json"))
+    return M.merge_requests(p.where("rec_idx % 2 = 0"), p.where("rec_idx % 2 = 1"), "id")
+
+
+@query(r"""SELECT 'discovery' AS stage, url, 'Task: find' || chr(10) || 'Known: k' || chr(10) || 'Avoid: ads' || chr(10) || 'Noise: (none)' || chr(10) || 'Page: ' || url || chr(10) || 'Endpoints: (none)' || chr(10) || 'Links: ' || CASE WHEN page_id % 2 = 0 THEN url || '/a' || chr(10) || url || '/b' ELSE '(none)' END || chr(10)
+  || 'Answer with JSON: ranked_apis, ranked_links, platform_guess, navigation_hint, improvement_signal.' AS prompt FROM pages""")
+def discovery_requests(s, d):  # noqa: ANN001, ANN201
+    shared = M.shared_parts("find", negative=("ads",), contexts={"prompt1_context": "k"})
+    p = pages(s, d).select("page_id", "url")
+    links = p.where("page_id % 2 = 0").select("url", F.posexplode(F.array(F.concat("url", F.lit("/a")), F.concat("url", F.lit("/b")))).alias("pos", "link"))
+    return M.discovery_requests(p, links, links.limit(0).withColumnRenamed("link", "api_url"), shared)
+
+
+def _replayed(s, d) -> dict:  # noqa: ANN001
+    """Shops of suppliers: each has a profile that maps two fields of an endpoint, whose payload two in three have; the rest is asked of a model."""
+    k, url = F.col("s_suppkey"), F.concat(F.lit("https://shop.example/s"), "s_suppkey")
+    p = table(s, d, "supplier")
+    endpoint = lambda field, path: F.struct(F.lit("/api/items").alias("pattern"), F.lit(field).alias("field"), F.create_map(F.lit(field), F.lit(path)).alias("paths"), F.lit("data").alias("envelope"))
+    stored = p.select(url.alias("url_pattern"), F.to_json(F.struct(F.array(endpoint("name", "n"), endpoint("price", "p")).alias("mappings"))).alias("profile"))
+    body = F.concat(F.lit('{"data": [{"n": "'), "s_name", F.lit('"'), F.when(k % 2 == 0, F.concat(F.lit(', "p": '), k)).otherwise(""), F.lit("}]}"))
+    bodies = p.where("s_suppkey % 3 > 0").select(url.alias("url"), F.lit("/api/items").alias("pattern"), body.alias("body")).union(p.select(url, F.lit("/api/other"), F.lit("{}")))
+    fetched = p.select(url.alias("url"), F.lit("<p>x</p>").alias("html"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("error"))
+    known = p.select(url.alias("url_pattern"), F.explode(F.array(F.lit("name"), F.lit("price"))).alias("field_name"), *[F.lit(None).cast(t).alias(c) for c, t in (("hint", "string"), ("synonyms", "array<string>"))], F.lit(0.5).alias("confidence"), *[F.lit(None).cast("string").alias(c) for c in ("api_pattern", "json_path", "envelope", "selector")], F.lit(1).alias("success_count"))
+    answers = p.where("s_suppkey % 3 = 0").select(F.lit("extraction").alias("stage"), url.alias("url"), F.lit('{"records": [{"name": "told"}], "platform": "shopx", "improvement_signal": {"free_text_observation": "seen"}}').alias("content"), F.lit(0.25).alias("cost_usd"), F.lit(None).cast("string").alias("error"))
+    whole = s.createDataFrame([("warmup", "shops", '{"link_keywords": ["shop"]}', 0.5, None), ("consolidation", "shops#0", '{"navigation_wisdom": "w0", "summary": "first"}', 0.125, None)], answers.schema)
+    skill = crawl.Skill("shops", fields=("name", "price"), minimum_fields=("name",), negative_keywords=("ads",))
+    return crawl.run(p.select(url.alias("url")), fetched, skill, responses=answers.union(whole), profiles=stored, mappings=known, payloads=bodies, warm=True)
+
+
+@query("""SELECT 'https://shop.example/s' || s_suppkey AS url, CASE WHEN s_suppkey % 3 = 0 THEN 'told' ELSE s_name END AS name, CASE WHEN s_suppkey % 3 > 0 AND s_suppkey % 2 = 0 THEN s_suppkey END AS price FROM supplier""")
+def crawl_replay(s, d):  # noqa: ANN001, ANN201
+    got = _replayed(s, d)["records"]
+    return got.select("url", F.get_json_object("record_json", "$.name").alias("name"), F.get_json_object("record_json", "$.price").cast("long").alias("price"))
+
+
+@query("""SELECT 'https://shop.example/s' || s_suppkey AS url_pattern, field_name, CASE WHEN s_suppkey % 3 > 0 AND (field_name = 'name' OR s_suppkey % 2 = 0) THEN 2 ELSE 1 END AS success_count, CASE WHEN s_suppkey % 3 > 0 AND (field_name = 'name' OR s_suppkey % 2 = 0) THEN 0.55::DOUBLE ELSE 0.5::DOUBLE END AS confidence
+  FROM supplier, (VALUES ('name'), ('price')) v(field_name)""")
+def crawl_mappings(s, d):  # noqa: ANN001, ANN201
+    """A replay that works strengthens the mappings of the fields that it produced."""
+    return _replayed(s, d)["mappings"].select("url_pattern", "field_name", "success_count", F.round("confidence", 4).alias("confidence"))
+
+
+@query("SELECT 'https://shop.example/s' || s_suppkey AS url, 'extraction' AS stage, 'shops' AS skill, 0.25::DOUBLE AS cost_usd FROM supplier WHERE s_suppkey % 3 = 0")
+def crawl_ledger(s, d):  # noqa: ANN001, ANN201
+    return _replayed(s, d)["ledger"].select("url", "stage", "skill", "cost_usd")
+
+
+@query("""SELECT batch, CAST(1 + batch AS INT) AS version_before, least(50, n - 50 * batch) AS signal_count, CASE WHEN batch = 0 THEN 0.125 ELSE 0.0 END::DOUBLE AS cost_usd, CASE WHEN batch = 0 THEN 'first' ELSE '' END AS summary, 'w0' AS wisdom, '["ads"]' AS noise, '["shop"]' AS keywords
+  FROM (SELECT n, unnest(range(0, (n + 49) // 50)) AS batch FROM (SELECT count(*) AS n FROM supplier WHERE s_suppkey % 3 = 0))""")
+def crawl_memory(s, d):  # noqa: ANN001, ANN201
+    """A warm-up ahead of the run, and its signals consolidated at the end of it."""
+    get = lambda name: F.get_json_object("memory", f"$.{name}")
+    return _replayed(s, d)["memory"].select("batch", "version_before", "signal_count", "cost_usd", "summary", get("navigation_wisdom").alias("wisdom"), get("known_noise_patterns").alias("noise"), get("high_confidence_link_keywords").alias("keywords"))
+
+
+@query("""SELECT kind, count(*)::BIGINT AS n FROM (SELECT unnest(['tier_attempted', 'tier_won', 'profile_updated']) AS kind FROM supplier UNION ALL SELECT unnest(['discovery_llm_invoked', 'llm_called']) FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'warmup_complete'
+  UNION ALL SELECT 'consolidation_fired' FROM (SELECT unnest(range(0, (n + 49) // 50)) FROM (SELECT count(*) AS n FROM supplier WHERE s_suppkey % 3 = 0))) GROUP BY 1""")
+def crawl_events(s, d):  # noqa: ANN001, ANN201
+    return _replayed(s, d)["trace"].groupBy("kind").agg(F.count("*").alias("n"))

@@ -85,12 +85,12 @@ def first_success(attempts: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.when(good, F.col("error")).otherwise(F.coalesce(F.when(F.col("status") > 0, F.concat(F.lit("HTTP "), F.col("status").cast("string"))), F.col("error")))).withColumn("status", F.when(good, F.col("status")).otherwise(0))
 
 
-# Our own wording; the answers' JSON is the contract.
+# Our own wording; the names in the answers' JSON are those that the parsers read.
 TEMPLATES = {
-    "warmup": "Site task: {general_instructions}\nFields: {output_fields}\nAvoid: {negative_keywords}\nAnswer with JSON: api_patterns, link_keywords, field_hints, platform_fingerprints, navigation_wisdom.",
-    "discovery": "Task: {general_instructions}\nPage: {url}\nEndpoints: {apis}\nLinks: {links}\nAnswer with JSON: ranked_apis, ranked_links, platform_guess, navigation_hint, improvement_signal.",
-    "extraction": "Task: {general_instructions}\nFields: {output_fields}\nPage text:\n{markdown}\nAnswer with JSON: records, field_mappings, platform, improvement_signal.",
-    "merge": "Key: {primary_key}\nStored: {existing}\nNew: {new}\nAnswer with JSON: decisions of new_index, merge, target_id.",
-    "external_rank": "Missing: {missing}\nRecords: {records}\nOutside links: {links}\nAnswer with JSON: ranked_external_links, improvement_signal.",
-    "consolidation": "Memory: {current_memory}\nSignals ({signal_count}, {success_count} good): {signals}\nPlatforms: {platforms_seen}\nAnswer with JSON: the memory's parts that change, and summary.",
+    "warmup": "Site task: {general_instructions}\nAbout: {metadata}\nFields: {output_fields}\nAvoid: {negative_keywords}\nAnswer with JSON: high_confidence_api_patterns, high_confidence_link_keywords, field_extraction_hints, platform_fingerprints, confirmed_field_synonyms, known_noise_patterns, navigation_wisdom, prompt1_context, prompt2_context, prompt4_context.",
+    "discovery": "Task: {general_instructions}\nKnown: {prompt1_context}\nAvoid: {negative_keywords}\nNoise: {noise}\nPage: {url}\nEndpoints: {apis}\nLinks: {links}\nAnswer with JSON: ranked_apis, ranked_links, platform_guess, navigation_hint, improvement_signal.",
+    "extraction": "Task: {general_instructions}\nKnown: {prompt2_context}\nAbout: {metadata}\nFields: {output_fields}\nAvoid: {negative_keywords}\nPage: {url}\nPage text:\n{markdown}\nAnswer with JSON: records, confidence, field_mappings, field_mapping_notes, platform, improvement_signal.",
+    "merge": "Key: {primary_key}\nStored: {existing}\nNew: {new}\nAnswer with JSON: merge_decisions, a list of objects with new_record_index, existing_record_id, merge.",
+    "external_rank": "Known: {prompt4_context}\nAvoid: {negative_keywords}\nPage: {url}\nMissing: {missing}\nRecords: {records}\nOutside links: {links}\nAnswer with JSON: ranked_external_links, improvement_signal.",
+    "consolidation": "Memory: {current_memory}\nSignals ({signal_count}, {success_count} good): {signals}\nPlatforms: {platforms_seen}\nAnswer with JSON: the memory's parts that change, by their names, and summary.",
 }
