@@ -8,7 +8,7 @@ count as alike) are one node of the host's tree, whatever they are. A node on m
 Its entropy importance is (1 - GAMMA) * presentation + GAMMA * content; on one page alone it is 1, for want of evidence.
 Its importance is that times what its markup leads to expect:
 - MARKED for what HTML or a plain class name says is no part of an article: menus, footers, side matter, forms, adverts,
-  notices, comments, hidden elements, and headers outside an article;
+  notices, comments, hidden elements, and page headers outside an article (heads of posts and texts are unmarked);
 - down to OUTSIDE by the share of its pages on which an article or main element stands elsewhere; else 1.
 Branches of importance below LEAST are cut from each page. MARKED is below it, so marked branches go on hosts of one page
 too; unmarked ones go if their texts recur over the host's pages.
@@ -22,7 +22,7 @@ Defined results
 - null or unparsable url: pages of one nameless host. null page_id, repeated rows: kept as they are.
 - markup that doesn't end: what follows `<name` without any `>` is no text; nor is a comment, script or style without an end.
 - elements nested deeper than DEPTH stand at that depth, as in browsers.
-- inline elements that are marked are left out of their block.
+- inline elements that are marked are left out of their block; a drawing (svg) ends where a block begins, if it has no end.
 - an empty table gives an empty result. Further columns are ignored.
 """
 
@@ -51,20 +51,23 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]+|\"[^\"]*\"|'[^']*')*+)>"
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 # Elements of HTML by their part in a page.
-RAW = frozenset("script style textarea noscript template title iframe svg".split())
+RAW = frozenset("script style textarea noscript template title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table td th ul".split())
-MARKED_TAGS = frozenset("nav footer aside form button select option input label dialog menu head object embed canvas audio video map".split())
+MARKED_TAGS = frozenset("nav footer aside form button select option input svg dialog menu head object embed canvas audio video map".split())
 #: Elements that hold the page: their class names don't mark them.
 WHOLE = frozenset("html body main".split())
 MARKED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Words of class names and ids that name page furniture, and words that may stand beside them in one name without changing that.
 FURNITURE = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs footer header sidebar "
+    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs footer sidebar "
     "widget cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations "
-    "comment comments respond reply replies disqus pagination pager skip toolbar masthead".split()
+    "comment comments respond reply replies disqus pagination pager skip toolbar".split()
 )
+# Words that name a head, and words beside them that make it the head of an article or of a part of it.
+HEADS = frozenset("header masthead".split())
+PARTS = frozenset("post posts article articles stories text body content title section item items list lists".split())
 BESIDE = frozenset(
     "site page main global top bottom left right upper lower primary secondary mobile desktop sticky fixed box bar list lists item items link links area block container wrapper wrap inner outer "
     "section row col column panel slot unit button buttons icon icons text body form thread user reader posts post articles stories content head title and the of to for in on".split()
@@ -84,8 +87,22 @@ def furniture(name: str) -> bool:
     >>> [furniture(x) for x in ("ad", "site-footer", "cookieNotice", "related-work", "share-price", "article-header")]
     [True, True, True, False, False, False]
     """
-    words = [w.lower() for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
-    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in BESIDE for w in words)
+    words = _words(name)
+    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in HEADS or w in BESIDE for w in words)
+
+
+def head_of(name: str) -> bool:
+    """Whether a class name or id names the head of a page, if it stands outside an article; that of a post, a text or a section is the article's.
+
+    >>> [head_of(x) for x in ("header", "siteHeader", "masthead", "post-header", "content-header", "header-image")]
+    [True, True, True, False, False, False]
+    """
+    words = _words(name)
+    return any(w in HEADS for w in words) and all(w in HEADS or w in BESIDE for w in words) and not any(w in PARTS for w in words)
+
+
+def _words(name: str) -> list[str]:
+    return [w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
 
 
 class Element:
@@ -110,11 +127,11 @@ class Block:
         self.of, self.text = of, text
 
 
-_NAMES: dict[tuple[str, str], tuple[str, bool]] = {}
+_NAMES: dict[tuple[str, str], tuple[str, bool, bool]] = {}
 
 
-def _shown(tag: str, attrs: str) -> tuple[str, bool]:
-    """How an element is shown in the tree, and whether its own markup marks it."""
+def _shown(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """How an element is shown in the tree, whether its own markup marks it, and whether it is a page's head if it stands outside an article."""
     known = _NAMES.get((tag, attrs))
     if known is None:
         found = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(attrs)} if attrs else {}
@@ -122,7 +139,7 @@ def _shown(tag: str, attrs: str) -> tuple[str, bool]:
         role = found.get("role", "").lower()
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         marked = tag in MARKED_TAGS or hidden or tag not in WHOLE and (role in MARKED_ROLES or any(map(furniture, names)))
-        known = ".".join([tag, *names, role, "hidden" * hidden]), marked
+        known = ".".join([tag, *names, role, "hidden" * hidden]), marked, tag == "header" or tag not in WHOLE and any(map(head_of, names))
         if len(_NAMES) >= 20_000:
             _NAMES.clear()
         if len(attrs) < 500:
@@ -223,13 +240,15 @@ def blocks(page: str | None) -> tuple[list[Block], dict[int, list[str]]]:
                 if barrier and stack[i].tag in CONTAINERS or not block and not stack[i].inline:
                     break
             continue
-        shown, marked = _shown(tag, attrs.strip())
+        shown, marked, head = _shown(tag, attrs.strip())
         if tag not in BLOCKS:
             if not attrs.endswith("/"):
                 stack.append(Element(tag, stack[-1], shown, marked, True))
                 opened[tag] += 1
             continue
         flush()
+        if opened["svg"] > 0:  # a drawing ends where a block begins
+            cut(next(i for i, e in enumerate(stack) if e.tag == "svg"))
         while stack[-1].inline:  # a block ends the inline elements before it, but for what they mark
             if stack[-1].marked and not _block_of(stack[-1]).marked:
                 break
@@ -244,8 +263,7 @@ def blocks(page: str | None) -> tuple[list[Block], dict[int, list[str]]]:
                 elif stack[i].tag in CONTAINERS and stack[i].tag not in closes:
                     break
         parent = stack[-1]
-        marked = marked or tag == "header" and not parent.main
-        element = Element(tag, parent, shown, marked)
+        element = Element(tag, parent, shown, marked or head and not parent.main)
         if element.depth <= DEPTH:
             sequence = children.setdefault(parent.node, [])
             if not sequence or sequence[-1] != shown:

@@ -44,6 +44,23 @@ def test_broken_pages_take_linear_time(page):
     assert len(blocks) <= 100_000
 
 
+def test_heads_of_articles_drawings_and_labels_stay():
+    for name in ("text-header", "post-header", "content-header", "entry-header", "header"):
+        assert main_text(f'<article><div class="{name}">Title</div><p>a</p></article>') == "Title\n\na"
+    assert main_text('<div class="post-header">Title</div><p>a</p>') == "Title\n\na" and main_text('<div class="site-header">Site</div><header>x</header><p>a</p>') == "a"
+    assert main_text("<article><p>a<svg><path/></p><p>b important</p></article>") == main_text("<article><p>a<svg><path>t</svg></p><p>b important</p></article>") == "a\n\nb important"
+    assert main_text("<p>a <svg><title>t</title><text>drawn</text></svg>b<svg><g><div>c</div>") == "a b\n\nc"
+    assert main_text("<p>use <label>Name</label> here</p><form><label>Mail</label></form>") == "use Name here"
+
+
+def test_recurring_heads_go_by_their_texts(spark):
+    """A name that could be a site's head or an article's: what its pages have there decides."""
+    make = lambda i, text: f"<div class='text-header'><p>{text}</p></div><div class='t'><p>Story {i}.</p></div>"
+    rows = [(i, "http://a/x", make(i, "Our site")) for i in range(6)] + [(10 + i, "http://b/x", make(i, f"Title {i}")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3." and got[13] == "Title 3\n\nStory 3."
+
+
 def test_markup_that_does_not_end():
     assert main_text("<p>one<p>two<a href='x>three</a> four</p><p>five") == "one\n\ntwothree four\n\nfive"
     assert main_text("<p>a < b and 1<2 <p>c<!-- d") == "a < b and 1<2\n\nc" and main_text("<p>a<div class=") == "a"
