@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.operators import clusters as C
+from pagewright.operators import functions
 from pagewright.operators import keywords as K
 from pagewright.operators import prompts as M
 from pagewright.plans import crawl
-from pagewright.plans.queries import _CLUSTERS, _PROFILES, pages, profiles, query
-from pagewright.sources.session import table
+from pagewright.plans.queries import _CLUSTERS, _PARTS, _PROFILES, pages, part_pages, profiles, query
+from pagewright.sources import archives
+from pagewright.sources.session import shared_path, table
 
 
 @query(r"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS keyword FROM documents), p AS (SELECT page_id, lower(html) AS html FROM pages)
@@ -97,3 +99,24 @@ def crawl_memory(s, d):  # noqa: ANN001, ANN201
   UNION ALL SELECT 'consolidation_fired' FROM (SELECT unnest(range(0, (n + 49) // 50)) FROM (SELECT count(*) AS n FROM supplier WHERE s_suppkey % 3 = 0))) GROUP BY 1""")
 def crawl_events(s, d):  # noqa: ANN001, ANN201
     return _replayed(s, d)["trace"].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT url, 200 AS status_code, md5(html) AS digest FROM pages WHERE page_id % 5 > 0 UNION ALL SELECT url, 404, md5('gone') FROM pages WHERE page_id % 5 = 0")
+def archive_pages(s, d):  # noqa: ANN001, ANN201
+    """The pages written as an archive, some of its records broken, and read back."""
+    p = pages(s, d)
+    bad = F.col("page_id") % 5 == 0
+    http = F.concat(F.when(bad, "HTTP/1.1 404 Not Found").otherwise("HTTP/1.1 200 OK"), F.lit("\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.when(bad, "gone").otherwise(F.col("html")))
+    record = lambda kind, length, block: F.concat(F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Date: 2026-01-01T00:00:00Z\r\nWARC-Target-URI: "), "url", F.lit("\r\nContent-Length: "), length, F.lit("\r\n\r\n"), block)
+    lines = F.array(record("request", F.lit("3"), F.lit("GET")), F.when(F.col("page_id") % 7 == 0, record("response", F.lit("x"), F.lit("broken"))), record("response", F.octet_length(http), http))
+    path = shared_path(s, "archive")
+    p.select(F.explode(F.array_compact(lines)).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    archives.register(s)
+    return s.read.format("warc").load(path).select("url", "status_code", F.md5("html").alias("digest"))
+
+
+@query(f"SELECT url, CASE kind WHEN 0 THEN 'json_ld' WHEN 1 THEN 'microdata' WHEN 2 THEN 'embedded_blob:initial_state' ELSE 'known_api' END AS tier_used, name, price FROM ({_PARTS}) WHERE kind < 4")
+def records_by_table_function(s, d):  # noqa: ANN001, ANN201
+    """The cascade called from SQL, its fields as columns."""
+    functions.register(s)
+    return s.sql("SELECT p.url, r.tier_used, r.name, r.price FROM {pages} AS p, LATERAL page_records(p.url, p.html, p.content_type, 'name,price') AS r", pages=part_pages(s, d))
