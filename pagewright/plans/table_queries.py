@@ -10,7 +10,7 @@ from pagewright.operators import keywords as K
 from pagewright.operators import prompts as M
 from pagewright.plans import crawl
 from pagewright.plans.queries import _CLUSTERS, _PARTS, _PROFILES, pages, part_pages, profiles, query
-from pagewright.sources import archives
+from pagewright.sources import archives, stores
 from pagewright.sources.session import shared_path, table
 
 
@@ -120,3 +120,17 @@ def records_by_table_function(s, d):  # noqa: ANN001, ANN201
     """The cascade called from SQL, its fields as columns."""
     functions.register(s)
     return s.sql("SELECT p.url, r.tier_used, r.name, r.price FROM {pages} AS p, LATERAL page_records(p.url, p.html, p.content_type, 'name,price') AS r", pages=part_pages(s, d))
+
+
+@query("SELECT user_id::VARCHAR AS url, count(*) AS calls, sum(event_id % 50)::BIGINT AS input_tokens FROM events GROUP BY 1")
+def ledger_by_url(s, d):  # noqa: ANN001, ANN201
+    """Every url's calls from a ledger clustered by url."""
+    e = table(s, d, "events")
+    rows = e.select(
+        F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.col("user_id").cast("string").alias("url"), F.concat(F.lit("s"), F.col("user_id") % 3).alias("skill"), F.lit("m").alias("model"),
+        (F.col("event_id") % 50).alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.col("value").alias("cost_usd"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    first, second = shared_path(s, "ledger"), shared_path(s, "ledger")
+    stores.append_ledger(rows, first)
+    stores.cluster_ledger(s, first, second, files=16)
+    return stores.ledger_entries_of(s, second)[0].groupBy("url").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"))

@@ -54,6 +54,45 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
+#: What a ledger is looked up by.
+LEDGER_KEYS = ("url", "stage", "skill")
+
+
+def cluster_ledger(spark: SparkSession, path: str, out: str, by: str = "url", files: int | None = None) -> None:
+    """Write the ledger at path to out, clustered by one of LEDGER_KEYS: files of its ranges, sorted, with a Bloom filter for each key, and a
+    list of the files with the least and the greatest of each key.
+
+    Ranges end in seq, so that one url or stage may fill many files. The ledger at path stays; append to it and cluster again.
+    """
+    rows = read_ledger(spark, path)
+    order = [by, "seq"]
+    ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    writer = ranged.sortWithinPartitions(*order).write
+    for key in LEDGER_KEYS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.parquet(f"{out}/entries")
+    held = spark.read.schema(LEDGER).parquet(f"{out}/entries")
+    ends = [f(key).alias(f"{name}_{key}") for key in LEDGER_KEYS for name, f in (("least", F.min), ("most", F.max))]
+    held.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("entries"), *ends).coalesce(1).write.parquet(f"{out}/files")  # one row for each file
+
+
+def ledger_entries_of(spark: SparkSession, clustered: str, **keys: str) -> tuple[DataFrame, int]:
+    """Entries of a clustered ledger by url, stage and skill, and how many files are opened for them.
+
+    The list of files leaves those that can hold the keys; in these, Bloom filters and page statistics leave out row groups.
+    """
+    files, entries = spark.read.parquet(f"{clustered}/files"), spark.read.schema(LEDGER).parquet(f"{clustered}/entries")
+    for key, value in keys.items():
+        if key not in LEDGER_KEYS:
+            raise ValueError(f"a ledger is looked up by {', '.join(LEDGER_KEYS)}, not by {key}")
+        files = files.where((F.col(f"least_{key}") <= value) & (F.col(f"most_{key}") >= value))
+    opened = [r["file"] for r in files.select("file").collect()]
+    found = spark.read.schema(LEDGER).parquet(*opened) if opened else entries.limit(0)
+    for key, value in keys.items():
+        found = found.where(F.col(key) == value)
+    return found, len(opened)
+
+
 def trace_rows(events: DataFrame) -> DataFrame:
     """Rows of the trace; a kind that isn't known counts as a model call."""
     return events.select(F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("llm_called").alias("kind"), "timestamp", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("skill", F.lit("")).alias("skill"), "payload")
