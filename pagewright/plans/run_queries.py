@@ -13,6 +13,7 @@ from pagewright.operators import discovery as D
 from pagewright.operators import extraction as E
 from pagewright.operators import learning as L
 from pagewright.operators import memory as Y
+from pagewright.operators import payloads as V
 from pagewright.operators import proxies as Z
 from pagewright.operators import records as R
 from pagewright.operators import reports as T
@@ -225,7 +226,7 @@ def json_walk(s, d):  # noqa: ANN001, ANN201
     p = table(s, d, "part")
     third = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("t"), "p_type"))
     body = F.to_json(F.struct(F.struct(F.array("p_name", "p_brand").alias("xs"), F.array(third).alias("ys")).alias("data")))
-    take = lambda path: R.text_of(body, lambda v, path=path: J.walk(v, path))
+    take = lambda path: F.variant_get(V.walk(V.parsed(body), F.lit(path)), "$", "string")
     return p.select("p_partkey", take("data.xs[0]").alias("a"), take("data/xs/1").alias("b"), take("data.ys[0].t").alias("c"))
 
 

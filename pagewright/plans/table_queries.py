@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import clusters as C
 from pagewright.operators import functions
 from pagewright.operators import keywords as K
+from pagewright.operators import payloads as V
 from pagewright.operators import prompts as M
 from pagewright.plans import crawl
 from pagewright.plans.queries import _CLUSTERS, _PARTS, _PROFILES, pages, part_pages, profiles, query
@@ -134,3 +135,16 @@ def ledger_by_url(s, d):  # noqa: ANN001, ANN201
     stores.append_ledger(rows, first)
     stores.cluster_ledger(s, first, second, files=16)
     return stores.ledger_entries_of(s, second)[0].groupBy("url").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"))
+
+
+@query("""SELECT 'https://shop.example/s' || s_suppkey AS url, CAST(i AS INT) AS item, CASE WHEN i = 0 THEN s_name END AS name, CASE WHEN i = 1 OR s_suppkey % 2 = 0 THEN s_nationkey + i END AS price FROM supplier, (VALUES (0), (1)) v(i) WHERE s_suppkey % 3 > 0""")
+def endpoint_records(s, d):  # noqa: ANN001, ANN201
+    """Endpoints' payloads by mapped paths, which are data: two items each, of which the second has no name."""
+    k, url = F.col("s_suppkey"), F.concat(F.lit("https://shop.example/s"), "s_suppkey")
+    p = table(s, d, "supplier")
+    first = F.concat(F.lit('{"n": "'), "s_name", F.lit('"'), F.when(k % 2 == 0, F.concat(F.lit(', "p": ["x", '), "s_nationkey", F.lit("]"))).otherwise(""), F.lit("}"))
+    second = F.concat(F.lit('{"n": null, "p": [0, '), F.col("s_nationkey") + 1, F.lit("]}"))
+    body = F.when(k % 3 == 1, F.concat(F.lit('{"data": {"rows": ['), first, F.lit(", "), second, F.lit("]}}"))).when(k % 3 == 2, F.concat(F.lit('{"more": [1], "rows": ['), first, F.lit(", "), second, F.lit("]}"))).otherwise("broken")
+    maps = p.select(url.alias("url"), F.lit("/api").alias("pattern"), F.explode(F.array(F.struct(F.lit("name").alias("field"), F.lit("n").alias("path")), F.struct(F.lit("price").alias("field"), F.lit("p[1]").alias("path")))).alias("x"), F.when(k % 3 == 1, "data/rows").alias("envelope"))
+    got = V.endpoint_records(p.select(url.alias("url"), F.lit("/api").alias("pattern"), body.alias("body")), maps.select("url", "pattern", "x.*", "envelope"))
+    return got.select("url", "item", F.get_json_object(F.concat(F.lit("["), F.col("record")["name"], F.lit("]")), "$[0]").alias("name"), F.col("record")["price"].cast("long").alias("price"))
