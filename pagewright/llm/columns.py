@@ -7,6 +7,9 @@ shuffled as one row for each (slice, bucket) whose binary columns hold whole arr
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,6 +44,26 @@ def numbered(docs: DataFrame, text: str = "text", rid: str = "rid") -> tuple[Dat
     return docs.join(ids, same).drop("__id", "__th"), False
 
 
+#: What modules of this package remember between a worker's tasks.
+_REMEMBERED: list[dict] = []
+
+
+def remembered() -> dict:
+    """A dictionary that release() empties."""
+    _REMEMBERED.append({})
+    return _REMEMBERED[-1]
+
+
+def release() -> None:
+    """Drop what a worker remembers of other operators, and give what it has freed back to the system, ahead of a task that needs its memory."""
+    for held in _REMEMBERED:
+        held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_row_ids(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rid, doc_id, text) of every row, and the same with one row for each rid; see numbered()."""
     rows, unique = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))

@@ -44,6 +44,8 @@ SHINGLE = 5
 #: Documents of the sample that orders the shingles, and from how many of them a shingle counts as frequent. A smaller share
 #: of all documents costs more candidates: a shingle of fewer copies is then as rare as one of a single document.
 SAMPLE, FREQUENT = 100_000, 2
+#: Most shingles whose frequency is kept.
+KNOWN = 4_000_000
 
 
 def _distinct(text: bytes | None) -> tuple[np.ndarray, list[int]]:
@@ -52,18 +54,39 @@ def _distinct(text: bytes | None) -> tuple[np.ndarray, list[int]]:
     return np.unique(np.array(h, np.uint64)), h
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few hundred rows, whose arrays are small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 200):
+            yield batch.slice(i, 200)
+
+
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes that are frequent in a sample of the documents, in order, and in how many."""
+    """The first 32 bits of shingle hashes that are frequent in a sample of the documents, in order, and in how many (255 at most).
+
+    Up to KNOWN of them, the most frequent: 5 bytes each, whatever the corpus. A rare shingle with the first bits of a frequent one
+    counts as frequent, which costs candidates and changes no result.
+    """
     every = max(1, rows.count() // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        C.release()
+        for batch in _few(batches):
             found = [_distinct(text.as_py())[0] for text in batch.column(0).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["h"])
 
     some = rows.where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
-    found = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
-    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    often = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    often = checkpoint(often.groupBy(F.shiftrightunsigned("h", 32).alias("h")).agg(F.least(F.max("n"), F.lit(255)).cast("short").alias("n")))
+    counts = sorted(((r["n"], r["count"]) for r in often.groupBy("n").count().collect()), reverse=True)  # 254 rows at most
+    least, total = 255, 0
+    for n, count in counts:
+        total += count
+        if total > KNOWN:
+            break
+        least = n
+    found = often.where(F.col("n") >= least).toArrow()
+    h, n = found["h"].to_numpy().astype(np.uint32), found["n"].to_numpy().astype(np.uint8)
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -75,15 +98,17 @@ def sketches(rows: DataFrame) -> DataFrame:
     known, times = _frequent(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        C.release()
+        for batch in _few(batches):
             sigs, sizes, keys, found, counts = [], [], [], [], []
             for text in batch.column(1).cast(pa.large_binary()):
                 s, h = _distinct(text.as_py())
                 n = len(s)
-                often = np.zeros(n, np.int64)
+                often = np.zeros(n, np.uint8)
                 if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = np.where(known[at] == s, times[at], 0)
+                    start = (s >> np.uint64(32)).astype(np.uint32)
+                    at = np.minimum(np.searchsorted(known, start), len(known) - 1)
+                    often = np.where(known[at] == start, times[at], 0)
                 first = np.lexsort((s, often))[: n - (4 * n + 4) // 5 + 1]
                 sigs.append(hashlib.md5(s.tobytes()).digest())
                 sizes.append(n)
@@ -123,6 +148,7 @@ def similar(a: bytes | None, b: bytes | None) -> bool:
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for batch in batches:
             a, b = batch.column(2).cast(pa.large_binary()), batch.column(3).cast(pa.large_binary())
             keep = pa.array([similar(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
@@ -144,6 +170,7 @@ def _deal(n_buckets: int):
     """(rid, n, keys) -> the keys, by bucket, as packed arrays with each one's document, its size, and the place in its prefix."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        C.release()
         held: list[tuple[np.ndarray, ...]] = []
 
         def out() -> Iterator[tuple]:

@@ -132,7 +132,7 @@ class Tokenizers:
         return [",".join(text[i:j]) for i, j in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
 
 
-_TOKENIZERS: dict[tuple[str, str], Tokenizers] = {}
+_TOKENIZERS: dict[tuple[str, str], Tokenizers] = C.remembered()
 
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import simple8b
-from pagewright.llm.columns import bounded_batches
+from pagewright.llm.columns import bounded_batches, remembered
 from pagewright.sources.session import prepare_workers, shared_path, shuffle_partitions, table
 
 SEGMENT_IDS = 1 << 18
@@ -162,7 +162,7 @@ class Encoder:
         return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.empty(0, np.uint32) for x in out]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = remembered()
 
 
 def encoder(path: str) -> Encoder:
