@@ -7,6 +7,7 @@ Payloads of endpoints are columns of the input: nothing is fetched.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -22,6 +23,7 @@ from pyspark.sql.types import StringType
 from pagewright.functions import html_tree
 from pagewright.functions import json_records as J
 from pagewright.functions.predicates import API_CONTENT_TYPES, API_PATTERNS
+from pagewright.functions.selectors import Found, Query, answers
 from pagewright.sources.session import prepare_workers
 
 # Where pages embed their state, in the order in which they are tried.
@@ -32,6 +34,12 @@ BLOBS = (
     ("initial_state", re.compile(r"window\.__INITIAL_STATE__\s*=\s*(\{.*?\});", re.S)),
     ("preloaded_state", re.compile(r"window\.__PRELOADED_STATE__\s*=\s*(\{.*?\});", re.S)),
 )
+#: What the built-in tiers look for in a page's markup, and the text without which it can't be there.
+_QUERIES = {
+    "next_data": ("__NEXT_DATA__", Query(("script#__NEXT_DATA__",), raw=True)),
+    "json_ld": ("application/ld+json", Query(('script[type="application/ld+json"]',), every=True, raw=True)),
+    "microdata": ("itemscope", Query(("[itemprop]",), ("[itemscope]",), every=True, fallback=False)),
+}
 _API = re.compile("(?i)" + "|".join(API_PATTERNS))
 
 
@@ -47,6 +55,7 @@ class Page:
     #: endpoint -> body, of the responses at hand
     payloads: dict[str, str] = field(default_factory=dict)
     _tree: html_tree.Node | None = None
+    _found: dict[str, list[list[Found]]] | None = None
 
     @property
     def tree(self) -> html_tree.Node:
@@ -54,6 +63,17 @@ class Page:
             self._tree = html_tree.parse(self.html)
         return self._tree
 
+    def found(self, what: str) -> list[list[Found]]:
+        """What the built-in tiers look for in the markup: "profile", "next_data", "json_ld" or "microdata", all from one pass."""
+        if self._found is None:
+            queries = {k: q for k, (mark, q) in _QUERIES.items() if mark in self.html}
+            with contextlib.suppress(Exception):  # then the profile's tier raises, and only that
+                queries["profile"] = Query(tuple((self.profile.get("selectors") or {}).values()), tuple(self.profile.get("containers") or ()))
+            self._found = answers(self.html, queries)
+        if what == "profile" and what not in self._found:
+            raise ValueError("the profile's selectors can't be read")
+        return self._found.get(what, [])
+
     @property
     def is_json(self) -> bool:
         return "json" in self.content_type.lower()
@@ -79,21 +99,16 @@ class Tier:
     extract: Callable[[Page, Options], tuple[list[Any], str]]
 
 
+def _record(names: Sequence[str], hits: list[Found]) -> dict[str, str]:
+    values = {h.selector: h.value for h in hits}
+    return {name: v for i, name in enumerate(names) if (v := values.get(i))}
+
+
 def _from_dom(page: Page) -> list[dict]:
     selectors = page.profile.get("selectors") or {}
     if not selectors:
         return []
-    scopes = [n for css in page.profile.get("containers") or [] for n in html_tree.select(page.tree, css)] or [page.tree]
-    found = []
-    for scope in scopes:
-        record = {}
-        for name, css in selectors.items():
-            hits = html_tree.select(scope, css)
-            if hits and (v := html_tree.value_of(hits[0])):
-                record[name] = v
-        if record:
-            found.append(record)
-    return found
+    return [r for hits in page.found("profile") if (r := _record(list(selectors), hits))]
 
 
 def _from_endpoints(page: Page, options: Options) -> list[dict]:
@@ -147,8 +162,8 @@ def _embedded(page: Page, options: Options) -> tuple[list[Any], str]:
             continue
         data = J.parse(m[1].strip())
         if data is None and label == "next_data":
-            hits = html_tree.select(page.tree, "script#__NEXT_DATA__")
-            data = J.parse(hits[0].raw_text()) if hits else None
+            hits = page.found("next_data")
+            data = J.parse(hits[0][0].value) if hits and hits[0] else None
         if data is not None and (found := J.find_records(data, options.fields)):
             return found, f"embedded_blob:{label}"
     return [], "embedded_blob"
@@ -156,8 +171,8 @@ def _embedded(page: Page, options: Options) -> tuple[list[Any], str]:
 
 def _json_ld(page: Page, options: Options) -> tuple[list[Any], str]:
     found: list[Any] = []
-    for node in html_tree.select(page.tree, 'script[type="application/ld+json"]'):
-        data = J.parse(node.raw_text())
+    for hit in (h for hits in page.found("json_ld") for h in hits):
+        data = J.parse(hit.value)
         found += data if isinstance(data, list) else [data] if isinstance(data, dict) else []
     return found, "json_ld"
 
@@ -172,23 +187,16 @@ def _api_json(page: Page, options: Options) -> tuple[list[Any], str]:
 
 
 def _microdata(page: Page, options: Options) -> tuple[list[Any], str]:
-    found = []
-    for scope in html_tree.select(page.tree, "[itemscope]"):
-        record = {n.attrs["itemprop"]: html_tree.value_of(n) for n in html_tree.select(scope, "[itemprop]") if n.attrs["itemprop"]}
-        if record:
-            found.append(record)
-    return found, "microdata"
+    records = ({h.attrs["itemprop"]: h.value for h in hits if h.attrs["itemprop"]} for hits in page.found("microdata"))
+    return [r for r in records if r], "microdata"
 
 
 def dom_css(selectors: dict[str, str], rank: float = 4) -> Tier:
     """A tier of one record for each page from a fixed selector map; not part of the cascade unless added."""
+    query = Query(tuple(selectors.values()))
 
     def extract(page: Page, options: Options) -> tuple[list[Any], str]:
-        record = {}
-        for name, css in selectors.items():
-            hits = html_tree.select(page.tree, css)
-            if hits and (v := html_tree.value_of(hits[0])):
-                record[name] = v
+        record = _record(list(selectors), answers(page.html, {"page": query})["page"][0])
         return [record] if record else [], "dom_css"
 
     return Tier("dom_css", rank, 0.6, lambda page, options: bool(selectors), extract)
