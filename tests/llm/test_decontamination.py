@@ -47,3 +47,13 @@ def test_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert {tuple(r)[:4] for r in op5_decontamination(spark, sf).collect()} == brute(docs, items)
+
+
+def test_very_long_text(spark):
+    """An item in the middle of a text of 2 MB is found; one that is spread over it isn't."""
+    filler = [f"f{i % 5000}" for i in range(350_000)]
+    text = " ".join([*filler[:170_000], WORDS, *filler[170_000:]])
+    spread = " ".join(f"f{i}" for i in range(0, 4000, 100))
+    _, docs = with_row_ids(spark.createDataFrame([(1, text), (2, "w1 w2")], "doc_id long, text string"))
+    items = spark.createDataFrame([(1, WORDS), (2, spread)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in contaminated(docs, items).collect()} == {(1, 1, 36, 36)}
