@@ -193,18 +193,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame) -> dict[str, bytes]:
-    """(doc_id, text, lang) -> each language's sample: whole texts in the order of a hash of doc_id, up to SAMPLE_BYTES and at least one."""
+    """(doc_id, text, lang) -> each language's sample: whole texts in the order of a hash of doc_id, up to SAMPLE_BYTES and at least one.
+
+    Texts without a letter teach nothing. A language whose texts of at most ROW_BYTES don't come to ROW_BYTES together starts with its
+    shortest longer one, if it has any.
+    """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.withColumn("size", F.octet_length("text"))
-    sizes = {r["lang"]: r["short"] for r in rows.groupBy("lang").agg(F.count_if(F.col("size") <= ROW_BYTES).alias("short")).collect()}  # one row for each language
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("size", F.octet_length("text"))
+    short = F.col("size") <= ROW_BYTES
+    sums = [F.count_if(short).alias("short"), F.coalesce(F.sum(F.when(short, F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(~short).alias("long")]
+    sizes = rows.groupBy("lang").agg(*sums).collect()  # one row for each language
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
     found: list[tuple] = []
-    if some := {x: n for x, n in sizes.items() if n}:
-        share = F.create_map(*[F.lit(v) for x, n in some.items() for v in (x, SAMPLE_DOCS / n)])
-        drawn = rows.where(F.col("size") <= ROW_BYTES).withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
+    if some := {r["lang"]: max(SAMPLE_DOCS / r["short"], 2 * SAMPLE_BYTES / r["bytes"]) for r in sizes if r["short"]}:
+        share = F.create_map(*[F.lit(v) for pair in some.items() for v in pair])
+        drawn = rows.where(short).withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
         found += drawn.select("lang", "draw", "text").collect()
-    if long := [x for x, n in sizes.items() if not n]:
-        found += rows.where(F.col("lang").isin(long)).groupBy("lang").agg(F.lit(0.0), F.min_by("text", F.struct("size", F.xxhash64("text")))).collect()
+    if long := [r["lang"] for r in sizes if r["long"] and r["bytes"] < ROW_BYTES]:
+        found += rows.where(~short & F.col("lang").isin(long)).groupBy("lang").agg(F.lit(-1.0), F.min_by("text", F.struct("size", F.xxhash64("text")))).collect()
     samples: dict[str, bytes] = {}
     for lang, _, text in sorted(map(tuple, found)):
         have, more = samples.get(lang, b""), cleaned(text)

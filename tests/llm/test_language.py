@@ -69,3 +69,14 @@ def test_query_and_held_out_accuracy(spark, sf):
     assert len(got) == len(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     held = [r for r in got if r["held_out"]]
     assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+
+
+def test_no_language_is_lost(spark):
+    """Long texts beside a short one without a letter; many tiny texts fill a sample."""
+    from pagewright.llm import language as L
+
+    rows = [(i, "palavra " * 1500, "xx") for i in range(20)] + [(20, "12 34", "xx"), (21, "!", "zz")]
+    rows += [(100 + i, f"ab{chr(97 + i % 26)}c{chr(97 + i // 26 % 26)}de", "yy") for i in range(20_000)]
+    samples = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert samples.keys() == {"xx", "yy"} and b"palavra" in samples["xx"]
+    assert L.SAMPLE_BYTES * 0.9 < len(samples["yy"]) <= L.SAMPLE_BYTES
