@@ -171,7 +171,7 @@ _HITS = "(" + " + ".join(f"contains(lower(link), '{k}')::INT" for k in KEYWORDS)
 
 def _with_apis(s: SparkSession, d: str) -> DataFrame:
     html = F.concat("html", F.lit('<script>fetch("/x/data/'), "page_id", F.lit(".json\");get('/en/page/api/a');get('/en/page/api/a')</script>"))
-    return pages(s, d).select("url", html.alias("html"), F.lit("text/html").alias("content_type"))
+    return pages(s, d).select("url", "page_id", html.alias("html"), F.lit("text/html").alias("content_type"))
 
 
 @query(f"""SELECT url, CAST(pos AS INT) AS pos, link, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, pos) AS rank FROM (
@@ -179,13 +179,13 @@ def _with_apis(s: SparkSession, d: str) -> DataFrame:
   FROM (SELECT *, regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM ({_FOUND}))) WHERE score >= 0.2)""")
 def discover_links(s, d):  # noqa: ANN001, ANN201
     """Links and endpoints of a page ranked together."""
-    return D.discover(_with_apis(s, d), KEYWORDS, NEGATIVE, threshold=0.2)[0].select("url", "pos", "link", "score", "rank")
+    return D.discover(_with_apis(s, d), KEYWORDS, NEGATIVE, threshold=0.2, page=["page_id"])[0].select("url", "pos", "link", "score", "rank")
 
 
 @query("""SELECT url, CAST(i AS INT) AS pos, regexp_extract(url, '^(https?://[^/?#]*)', 1) || CASE i WHEN 0 THEN '/x/data/' || page_id || '.json' ELSE '/en/page/api/a' END AS api_url, CASE i WHEN 1 THEN 0.95 ELSE 0.5 END::DOUBLE AS score,
   CASE i WHEN 1 THEN 'learned pattern: PAGE/api' ELSE 'endpoint by shape' END AS reason, CASE i WHEN 1 THEN 1 ELSE 2 END::INT AS rank FROM pages, (VALUES (0), (1)) v(i) WHERE i = 1 OR page_id % 10 <> 8""")
 def api_candidates(s, d):  # noqa: ANN001, ANN201
-    return D.api_candidates(_with_apis(s, d), ("PAGE/api",), ("8.JSON", "")).select("url", "pos", "api_url", "score", "reason", "rank")
+    return D.api_candidates(_with_apis(s, d), ("PAGE/api",), ("8.JSON", ""), page=["page_id"]).select("url", "pos", "api_url", "score", "reason", "rank")
 
 
 @query(f"SELECT url, CASE WHEN kind = 1 THEN 'mine' WHEN kind = 0 THEN 'json_ld' WHEN kind = 2 THEN 'embedded_blob:initial_state' WHEN kind = 3 THEN 'known_api' END AS tier_used, CASE WHEN kind < 4 THEN name END AS name, CASE WHEN kind < 4 AND kind <> 1 THEN brand END AS brand, CASE WHEN kind < 4 AND kind <> 1 THEN price END AS price FROM ({_PARTS})")

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import discovery as D
@@ -45,6 +46,20 @@ def test_discovery_and_candidates(spark):
     assert D.crawl_candidates(ranked, 2).count() == 1
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_pages_of_one_url(spark, parts):
+    """Endpoints are ranked page by page; links of the url's pages tie in page order, however the pages are dealt."""
+    page = lambda i: (i, "https://x.example/d", f'<a href="/same{9 - i}">a</a><a href="/later{9 - i}">b</a><script>f("/v/api/{i}"); f("/v/api/all")</script>', "text/html")
+    p = spark.createDataFrame([page(i) for i in (3, 1, 2)], "page_id long, url string, html string, content_type string").repartition(parts)
+    got = D.api_candidates(p, ["api/all"], page=["page_id"]).collect()
+    assert sorted((r["page_id"], r["rank"], r["api_url"][-5:]) for r in got) == [(i, k, u) for i in (1, 2, 3) for k, u in ((1, "i/all"), (2, f"api/{i}"))]
+    names = [f"https://x.example/{n}{9 - i}" for n in ("same", "later") for i in (1, 2, 3)]
+    links = D.discover(p, threshold=0.1, page=["page_id"])[0].where(~F.col("link").contains("api")).orderBy("rank")
+    assert [r["link"] for r in links.collect()] == names
+    assert [r["link"] for r in D.rank_links(D.extract_links(p, ["page_id"]), page=["page_id"]).orderBy("rank").collect()] == names
+    assert [r["link"] for r in D.link_candidates(p, page=["page_id"]).orderBy("rank").collect()] == names
+
+
 LD = '<script type="application/ld+json">{"@type":"Product","name":"Widget","price":"9.99"}</script>'
 MICRO = '<div itemscope><span itemprop="name">Gadget</span><span itemprop="price" content="19.99">x</span></div>'
 
