@@ -52,9 +52,9 @@ def merge_requests(existing: DataFrame, new: DataFrame, primary_key: str = "", l
     return _rendered(old.join(fresh, "url"), "merge", {"primary_key": F.lit(primary_key or "(none)"), "existing": _json_list(F.col("old")), "new": _json_list(F.col("fresh"))})
 
 
-def discovery_requests(pages: DataFrame, links: DataFrame, apis: DataFrame, shared: dict[str, Column]) -> DataFrame:
-    """(url), (url, pos, link), (url, pos, api_url) -> a request for each page."""
-    rows = pages.select("url").distinct().join(_first(links, "url", ["pos"], 50, F.col("link"), "links"), "url", "left").join(_first(apis, "url", ["pos"], 25, F.col("api_url"), "apis"), "url", "left")
+def discovery_requests(pages: DataFrame, links: DataFrame, apis: DataFrame, shared: dict[str, Column], page: str = "url") -> DataFrame:
+    """(url), (url, pos, link), (url, pos, api_url) -> a request for each page. Where pages repeat a url, all three have `page`, which tells them apart."""
+    rows = pages.select(*{"url": 0, page: 0}).distinct().join(_first(links, page, ["pos"], 50, F.col("link"), "links"), page, "left").join(_first(apis, page, ["pos"], 25, F.col("api_url"), "apis"), page, "left")
     return _rendered(rows, "discovery", {**shared, "url": F.col("url"), "apis": _lines(F.col("apis")), "links": _lines(F.col("links"))})
 
 

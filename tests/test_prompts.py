@@ -64,3 +64,10 @@ def test_requests_are_bounded_and_filled(spark):
     assert [m.count() for m in made] == [2, 2, 1, 3]
     assert all(not re.search(r"\{[a-z_0-9]+\}", r["prompt"]) or "{0}" in r["prompt"] for m in made for r in m.collect())
     assert "130 record(s); sample: [{0}, {1}, {2}]" in made[2].first()["prompt"]
+
+
+def test_discovery_requests_of_pages_with_one_url(spark):
+    p = spark.createDataFrame([(1, "u"), (2, "u"), (3, "v")], "page_id long, url string")
+    links = p.select("page_id", F.lit(0).alias("pos"), F.concat(F.lit("l"), "page_id").alias("link"), F.lit("a").alias("api_url"))
+    got = M.discovery_requests(p, links, links.limit(0), M.shared_parts("task"), page="page_id").collect()
+    assert sorted((r["url"], re.findall(r"\bl\d", r["prompt"])) for r in got) == [("u", ["l1"]), ("u", ["l2"]), ("v", ["l3"])]
