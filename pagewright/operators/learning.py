@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import json_records as J
-from pagewright.functions.text import api_signature, domain
+from pagewright.functions.text import api_signature, domain, fixed
 from pagewright.operators import clusters
 from pagewright.operators.clusters import find_clusters, find_similar  # noqa: F401
 from pagewright.operators.scans import places
@@ -58,7 +58,7 @@ def drift_reasons(last: Column, now: Column, all_missing: Column, state: Column,
     fall = (last - now) / last
     return F.array_compact(
         F.array(
-            F.when((last > 0) & (fall >= drop), F.concat(F.lit("record_count_drop:"), F.format_string("%.2f", fall))),
+            F.when((last > 0) & (fall >= drop), F.concat(F.lit("record_count_drop:"), fixed(fall, 2))),
             F.when((now > 0) & all_missing, F.lit("all_minimum_fields_missing")),
             F.when((now == 0) & state.isin("WARM", "STABLE"), F.lit("no_records")),
         )

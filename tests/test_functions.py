@@ -93,3 +93,11 @@ def test_html_tree():
         html_tree.select(root, "p:first-child")
     assert html_tree.markdown("<h2>T</h2><p>a <b>b</b> <a href='x'>link</a></p><ul><li>1<li>2</ul><pre>c\n d</pre>") == "## T\n\na **b** link\n\n* 1\n* 2\n\n```\nc\n d\n```"
     assert html_tree.markdown("<p><b>open <p>x") and html_tree.markdown(None) == ""
+
+
+def test_fixed_decimals_as_printf_has_them(spark):
+    some = [0.625, 0.375, 0.615, 0.495, 1.005, 99.995, -0.125, -0.001, 0.0, 2.5, 123456789012345.67, 2251403475511.5818, 1e300] + [i / 200 for i in range(-99, 400)]
+    got = spark.createDataFrame([(x,) for x in some], "x double").select("x", X.fixed(F.col("x"), 2).alias("two"), X.fixed(F.col("x"), 4).alias("four")).collect()
+    assert [(r["two"], r["four"]) for r in got if r["x"] < 1e15] == [("%.2f" % x, "%.4f" % x) for x in some if x < 1e15]
+    odd = spark.createDataFrame([(float("nan"),), (float("-inf"),)], "x double").select(X.fixed(F.col("x"), 2).alias("t")).collect()
+    assert [r["t"] for r in odd] == ["NaN", "-Infinity"]
