@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import fixed
+
 
 def total_cost(ledger: DataFrame, skill: str | None = None) -> DataFrame:
     rows = ledger if skill is None else ledger.where(F.col("skill") == skill)
@@ -36,7 +38,7 @@ def crawl_metrics(results: DataFrame) -> DataFrame:
 
 
 def metrics_line(metrics: DataFrame) -> DataFrame:
-    text = F.format_string("%d/%d succeeded, %d carried forward, %d failed; %d records; $%.4f; mean confidence %.2f", "succeeded", "total", "carried_forward", "failed", "records", "cost_usd", "mean_confidence")
+    text = F.format_string("%d/%d succeeded, %d carried forward, %d failed; %d records; $%s; mean confidence %s", "succeeded", "total", "carried_forward", "failed", "records", fixed(F.col("cost_usd"), 4), fixed(F.col("mean_confidence"), 2))
     return metrics.select(text.alias("summary"))
 
 
@@ -50,7 +52,7 @@ def tier_histogram(results: DataFrame) -> DataFrame:
 
 def report_rows(results: DataFrame) -> DataFrame:
     """One line of a Markdown table for each result, with its first three errors."""
-    cells = (F.col("url"), F.col("status"), F.coalesce("tier_used", F.lit("")), F.col("n_records").cast("string"), F.format_string("%.2f", "confidence"), F.array_join(F.slice(F.coalesce("errors", F.array().cast("array<string>")), 1, 3), "; "))
+    cells = (F.col("url"), F.col("status"), F.coalesce("tier_used", F.lit("")), F.col("n_records").cast("string"), fixed(F.col("confidence"), 2), F.array_join(F.slice(F.coalesce("errors", F.array().cast("array<string>")), 1, 3), "; "))
     return results.select("url", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
@@ -107,7 +109,7 @@ def url_report(results: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     text = F.concat_ws(
         "\n", F.concat(F.lit("# "), F.col("url")), F.concat(F.lit("status: "), F.col("status")), F.concat(F.lit("tier: "), F.coalesce("tier_used", F.lit("(none)"))),
-        F.format_string("confidence: %.2f", "confidence"), F.format_string("cost: $%.4f", "llm_cost_usd"), F.concat(F.lit("records: "), F.col("n_records").cast("string")),
+        F.concat(F.lit("confidence: "), fixed(F.col("confidence"), 2)), F.concat(F.lit("cost: $"), fixed(F.col("llm_cost_usd"), 4)), F.concat(F.lit("records: "), F.col("n_records").cast("string")),
         F.when(F.size(F.coalesce("errors", none)) > 0, F.concat(F.lit("errors: "), F.array_join(F.slice("errors", 1, 5), "; "))),
     )
     return results.select("url", text.alias("report"))
