@@ -52,3 +52,13 @@ def test_one_domain_stays_linear(spark):
     assert counted.count() == 4000 and links.count() < 12 * 12
     assert L.all_donors(df).where("target = 'https://one/0'").first()["donor"] == "https://one/1"
     assert {r["platform"]: (r["n_members"], r["n"]) for r in C.similar_counts(df).collect()} == {f"p{i}": (1000, 999000) for i in (1, 2, 3)}
+
+
+def test_matches_stay_one_row_for_each_profile(spark):
+    rows = profiles(3, 60, 2)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    class_of = {(u, u.split("/")[2] if "//" in u else u, p, "|".join(sorted(s)) if s else None) for u, p, s, _, _ in rows if u is not None}
+    times, links = Counter(r[0] for r in rows), Counter(a for a, _ in pairs(rows))
+    want = {(u, min(x[0] for x in class_of if x[1:] == c), links[u] // times[u]) for u, *c in class_of for c in [tuple(c)] if links[u]}
+    got = C.matched(df).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
