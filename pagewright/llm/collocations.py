@@ -183,23 +183,37 @@ def written(paths: Paths, counts: np.ndarray, words: pa.Array, langs: list[bytes
 
 def read(row: tuple, depth: int) -> tuple[Paths, np.ndarray, pa.Array, dict[int, bytes]]:
     """What written() was given."""
-    unpack = lambda b: pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec=_CODEC, asbytes=True) if b else b""
-    same = np.frombuffer(unpack(row[0]), np.uint8)
-    rest = np.frombuffer(unpack(row[1][1:]), "<u" + chr(row[1][0])).astype(np.int32)
-    counts = C.widened(unpack(row[2]))
-    book = unpack(row[3])
+    return paths_of(row, depth), counts_of(row), *book_of(row)
+
+
+def _unpacked(b: bytes) -> bytes:
+    return pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec=_CODEC, asbytes=True) if b else b""
+
+
+def counts_of(row: tuple) -> np.ndarray:
+    return C.widened(_unpacked(row[2]))
+
+
+def book_of(row: tuple) -> tuple[pa.Array, dict[int, bytes]]:
+    """The words and the languages of a run."""
+    book = _unpacked(row[3])
     size = int.from_bytes(book[:8], "little")
     langs = {int(k): bytes.fromhex(v.decode()) for k, v in (x.split(b"=") for x in book[8 : 8 + size].split(b"\0"))}
     n = int.from_bytes(book[8 + size : 16 + size], "little")
     offsets = np.zeros(n + 1, np.int64)
     np.cumsum(np.frombuffer(book, "<u4", n, 16 + size), out=offsets[1:])
-    words = _binary(np.frombuffer(book, np.uint8, offset=16 + size + 4 * n), offsets)
+    return _binary(np.frombuffer(book, np.uint8, offset=16 + size + 4 * n), offsets), langs
+
+
+def paths_of(row: tuple, depth: int) -> Paths:
+    same = np.frombuffer(_unpacked(row[0]), np.uint8)
+    rest = np.frombuffer(_unpacked(row[1][1:]), "<u" + chr(row[1][0]))
     begin = np.cumsum(depth + 1 - same.astype(np.int64)) - (depth + 1 - same)
     paths = np.empty((depth + 1, len(same)), np.int32)
     for d in range(depth + 1):
         at = np.flatnonzero(same <= d)  # a first path shares nothing
         paths[d] = np.repeat(rest[begin[at] + d - same[at]], np.diff(np.append(at, len(same))))
-    return paths, counts, words, langs
+    return paths
 
 
 def places(paths: Paths, words: pa.Array, langs: list[bytes], bounds: list[tuple]) -> np.ndarray:
@@ -264,21 +278,26 @@ def _ranges(bounds: list[tuple], depth: int):
 
 
 def merged(rows: list[tuple], depth: int) -> tuple[Paths, np.ndarray, list[bytes], pa.Array]:
-    """The runs of a range as one trie: paths in order, counts, languages, words."""
-    runs = [read(row, depth) for row in rows]
-    langs = sorted({x for run in runs for x in run[3].values()})
-    code, words = _ranked(pa.concat_arrays([run[2] for run in runs]))
-    at, parts = 0, []
-    for paths, _, own, names in runs:
+    """The runs of a range as one trie: paths in order, counts, languages, words. Takes the rows off the list, and holds one run's paths besides all."""
+    books = [book_of(row) for row in rows]
+    langs = sorted({x for _, names in books for x in names.values()})
+    code, words = _ranked(pa.concat_arrays([own for own, _ in books]))
+    counts = [counts_of(row) for row in rows]
+    at, end, total = 0, 0, sum(map(len, counts))
+    paths = np.empty((depth + 1, total), np.int32)
+    rows.reverse()
+    for own, names in books:
         number = np.concatenate([[0], code[at : at + len(own)] + 1]).astype(np.int32)
         to = np.zeros(max(names) + 1, np.int32)
         for k, name in names.items():
             to[k] = langs.index(name)
-        parts.append(np.concatenate([to[paths[:1]], number[paths[1:]]]))
+        run = paths_of(rows.pop(), depth)
+        begin, end = end, end + run.shape[1]
+        paths[0, begin:end] = to[run[0]]
+        for d in range(1, depth + 1):
+            paths[d, begin:end] = number[run[d]]
         at += len(own)
-    counts = np.concatenate([run[1] for run in runs])
-    runs.clear()
-    paths, counts = folded(np.concatenate(parts, axis=1), counts, max(len(words), len(langs)))
+    paths, counts = folded(paths, np.concatenate(counts), max(len(words), len(langs)))
     return paths, counts, langs, words
 
 
@@ -305,12 +324,10 @@ def _nodes(bounds: list[tuple], depth: int, least: int):
         fresh = np.zeros(paths.shape[1], bool)
         fresh[0] = True
         on_edge = [np.ones(paths.shape[1], bool) for _ in near]
-        node_of: list[np.ndarray] = []  # of each path at each depth: its node's count
-        edge_of: list[np.ndarray] = []
+        kept: list[tuple[np.ndarray, ...]] = []  # at each depth the nodes that leave: their first paths, counts and edges; what is above one leaves too
         for d in range(depth + 1):
             fresh[1:] |= paths[d, 1:] != paths[d, :-1]
             first = np.flatnonzero(fresh)
-            size = np.diff(np.append(first, paths.shape[1]))
             f = total[np.append(first[1:], paths.shape[1])] - total[first]
             for on, bound in zip(on_edge, numbers, strict=True):
                 on &= paths[d] == bound[d]
@@ -319,16 +336,16 @@ def _nodes(bounds: list[tuple], depth: int, least: int):
                 edge = np.ones(len(first), bool)
             keep = (edge | (f >= least)) & ((paths[d, first] > 0) | (d == 0))
             at = first[keep]
+            above = [np.searchsorted(own[0], at, "right") - 1 for own in kept[1:]]
             if len(at):
                 text = [words.take(pa.array(paths[k, at] - 1)).cast(pa.binary()) for k in range(1, d + 1)]
                 phrase = pc.binary_join_element_wise(*text, pa.scalar(b" ", pa.binary())).cast(pa.string()) if d else pa.array([""] * len(at), pa.string())
-                lefts = np.stack([x[at] for x in node_of[1:]], 1) if d > 1 else np.zeros((len(at), 0), np.int64)
-                opened = np.sum([x[at] for x in edge_of[1:]], axis=0) if d > 1 else np.zeros(len(at))
+                lefts = np.stack([own[1][i] for own, i in zip(kept[1:], above, strict=True)], 1) if d > 1 else np.zeros((len(at), 0), np.int64)
+                opened = np.sum([own[2][i] for own, i in zip(kept[1:], above, strict=True)], axis=0) if d > 1 else np.zeros(len(at))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * max(d - 1, 0) + 1, max(d - 1, 0)) if d > 1 else np.zeros(len(at) + 1), pa.int32()), pa.array(lefts.ravel(), pa.int64()))
                 cols = [pa.array([langs[x].decode() for x in paths[0, at].tolist()]), [d] * len(at), phrase, f[keep], lists, opened.astype(np.int32), edge[keep]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-            node_of.append(np.repeat(f, size))
-            edge_of.append(np.repeat(edge, size))
+            kept.append((at, f[keep], edge[keep]))
 
     return run
 

@@ -1,7 +1,9 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagewright.llm import collocations as K
@@ -78,6 +80,21 @@ def test_runs_are_read_as_written():
     assert (got[0] == paths).all() and (got[1] == counts).all() and got[2].to_pylist() == words.to_pylist() and got[3] == {0: b"x", 1: "é".encode()}
 
 
+def test_runs_are_let_go_as_they_are_merged():
+    r = np.random.default_rng(5)
+    words = pa.array([f"w{i:03}".encode() for i in range(100)], pa.large_binary())
+    runs = []
+    for _ in range(30):
+        paths = np.concatenate([np.zeros((1, 4000), np.int64), r.integers(1, 101, (5, 4000))]).astype(np.int32)
+        runs.append(K.written(*K.folded(paths, None, 100), words, [b"x"]))
+    tracemalloc.start()
+    paths, counts, langs, _ = K.merged(runs, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert runs == [] and counts.sum() == 120_000 and langs == [b"x"]
+    assert peak < 5.1 * paths.nbytes  # 5.4 while all runs were held beside the whole
+
+
 def test_a_node_cut_by_every_bound(spark, monkeypatch):
     """One word begins nearly all windows, so most ranges lie below one node."""
     monkeypatch.setattr(K, "RANGE_SAMPLE", 20)
