@@ -18,7 +18,7 @@ from pagewright.operators import proxies as Z
 from pagewright.operators import records as R
 from pagewright.operators import reports as T
 from pagewright.operators import responses as A
-from pagewright.plans.queries import _LINKS, _PARTS, _PROFILES, _RESULTS, _SIGNALS, KEYWORDS, NEGATIVE, _fields, ledger, pages, part_pages, profiles, query, results, signals
+from pagewright.plans.queries import _LINKS, _PARTS, _PROFILES, _RESULTS, _SIGNALS, KEYWORDS, NEGATIVE, _fields, ledger, pages, part_pages, parts, profiles, query, results, signals
 from pagewright.sources import stores
 from pagewright.sources.session import shared_path, table
 
@@ -101,7 +101,7 @@ def markdown_of_parts(s, d):  # noqa: ANN001, ANN201
         F.lit("<html><head><title>t</title><style>p{}</style></head><body><nav>menu</nav><!-- c --><h1>"), "p_name", F.lit("</h1><p>"), long, F.lit("<b>"), "p_brand", F.lit("</b> and\n <em>"), "p_type",
         F.lit('</em> <a href="/x">link</a></p><ul><li>'), "p_type", F.lit("<li><code>"), "p_size", F.lit("</code></ul><script>var x</script><blockquote>"), "p_brand", F.lit("</blockquote><ol><li>x</ol><footer>f</footer></body>"),
     )
-    return table(s, d, "part").select("p_partkey", E.fit_markdown(html).alias("markdown"))
+    return parts(s, d).select("p_partkey", E.fit_markdown(html).alias("markdown"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '(none provided)' ELSE '{' || chr(10) || '  "a": ' || s_suppkey || ',' || chr(10) || '  "name": "' || s_name || '"' || chr(10) || '}' END AS metadata,
