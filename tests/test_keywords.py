@@ -34,6 +34,23 @@ def test_table_of_keywords(spark, monkeypatch, most):
     assert K.keyword_hits(rows, spark.createDataFrame([], "keyword string"), "id", "body").collect() == []
 
 
+@pytest.mark.parametrize("bits", [20, 6])
+def test_large_table_is_one_pass(spark, monkeypatch, bits):
+    """Also where most candidates of a full bitmap are false, and texts are longer than the places walked at a time."""
+    monkeypatch.setattr(K, "AUTOMATON_BYTES", 40)
+    monkeypatch.setattr(K, "TRIE_BITS", bits)
+    monkeypatch.setattr(K, "PLACES", 7)
+    monkeypatch.setattr(K, "RUN", 50)
+    r = np.random.default_rng(bits)
+    words = sorted({"".join(r.choice(list("abcé漢"), int(r.integers(1, 7)))) for _ in range(400)})
+    texts = ["".join(r.choice(list("abcéx漢"), int(r.integers(0, 60)))) for _ in range(40)] + [None, "", "漢" * 50]
+    rows = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id int, body string")
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    got = K.keyword_hits(rows, table, "id", "body")
+    assert sorted(map(tuple, got.collect())) == sorted((i // 2, w) for i, t in enumerate(texts) for w in words if t and w in t)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_plan_does_not_grow_with_keywords(spark):
     rows = spark.createDataFrame([("Some Text",), (None,), ("other",)], "t string")
     few, many = [f"w{i}" for i in range(40)], [f"w{i}" for i in range(10_000)] + ["TEXT"]
