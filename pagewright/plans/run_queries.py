@@ -48,10 +48,10 @@ def profile_store(s, d):  # noqa: ANN001, ANN201
 
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 4 > 0")
 def profile_import(s, d):  # noqa: ANN001, ANN201
-    """A JSON file for each profile, a quarter of them broken."""
+    """A JSON document for each profile, a quarter of them broken, many to a file."""
     path = shared_path(s, "profile-json")
     whole = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
-    table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), F.when(F.col("s_suppkey") % 4 > 0, whole).otherwise(F.lit('{"id": 1, "name')).alias("value")).repartition("file").write.partitionBy("file").text(path)
+    stores.export_documents(table(s, d, "supplier").select(F.when(F.col("s_suppkey") % 4 > 0, whole).otherwise(F.lit('{"id": 1, "name')).alias("value")), path)
     return stores.import_profiles(s, path, "id bigint, name string").select("id", "name")
 
 

@@ -15,6 +15,8 @@ KINDS = (
     "cluster_matched crawl_started crawl_completed carry_forward dlq_push merge_invoked external_rank_invoked discovery_llm_invoked"
 ).split()
 DLQ_SIZE = 1000
+#: What stands between the documents of a JSON text sequence (RFC 7464), and in no JSON document.
+DOCUMENT = "\x1e"
 
 
 def with_profile_key(profiles: DataFrame) -> DataFrame:
@@ -32,8 +34,13 @@ def load_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_profiles(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON file for each profile; unreadable ones are left out."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    """Profiles as JSON documents, which may have many lines: one in a file, or any number as written by export_documents(). Unreadable ones are left out."""
+    return spark.read.schema(schema).option("lineSep", DOCUMENT).option("mode", "DROPMALFORMED").json(path)
+
+
+def export_documents(documents: DataFrame, path: str) -> None:
+    """Write a column of JSON documents as JSON text sequences: a file for each task, however many documents there are."""
+    documents.write.option("lineSep", DOCUMENT).text(path)
 
 
 def lookup_profiles(inputs: DataFrame, profiles: DataFrame) -> DataFrame:

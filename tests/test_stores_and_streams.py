@@ -23,6 +23,17 @@ def test_profile_store(spark, tmp_path):
     assert [tuple(r) for r in S.import_profiles(spark, str(tmp_path / "j"), "url_pattern string, profile string").where("url_pattern is not null").collect()] == [("x", "y")]
 
 
+def test_profiles_are_imported_from_packs_and_from_files_of_one(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    for i, text in enumerate(['{\n  "id": 7,\n  "name": "é\\u001e"\n}\n', '{"id": 8, "name', "", '[{"id": 9}]']):
+        (tmp_path / "one" / f"{i}.json").write_text(text)
+    assert sorted(map(tuple, S.import_profiles(spark, str(tmp_path / "one"), "id long, name string").collect())) == [(7, "é\x1e"), (9, None)]
+    made = spark.range(1000).selectExpr("concat('{\\n\"id\":', id, if(id % 4 = 0, '', '\\n}')) AS value").coalesce(2)
+    S.export_documents(made, str(tmp_path / "packs"))
+    assert len(list((tmp_path / "packs").glob("part-*"))) <= 2
+    assert sorted(r["id"] for r in S.import_profiles(spark, str(tmp_path / "packs"), "id long").collect()) == [i for i in range(1000) if i % 4]
+
+
 def test_ledger_trace_queue_retries(spark, tmp_path):
     row = spark.createDataFrame([(1, "p1", "u", "s", "m", 1, 2, 0.5, None)], S.LEDGER)
     for _ in range(2):
