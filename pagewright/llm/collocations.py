@@ -63,33 +63,59 @@ def _ranked(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return rank[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(pa.array(order))
 
 
-def keys_of(paths: Paths, most: int) -> list[np.ndarray]:
-    """The columns packed into as few 64-bit keys as hold numbers up to `most`, the leading ones first."""
+def _packing(most: int, columns: int) -> tuple[int, list[range]]:
+    """How many bits a number up to `most` takes, and the columns that share each 64-bit key, the leading ones first."""
     bits = max(1, int(most).bit_length())
     each = 64 // bits
+    return bits, [range(i, min(i + each, columns)) for i in range(0, columns, each)]
+
+
+def keys_of(paths: Paths, most: int) -> list[np.ndarray]:
+    """The columns packed into as few 64-bit keys as hold numbers up to `most`."""
+    bits, groups = _packing(most, paths.shape[0])
     keys = []
-    for i in range(0, paths.shape[0], each):
+    for group in groups:
         key = np.zeros(paths.shape[1], np.uint64)
-        for column in paths[i : i + each]:
-            key = (key << C.U(bits)) | column.astype(np.uint64)
+        for d in group:
+            key = (key << C.U(bits)) | paths[d].astype(np.uint64)
         keys.append(key)
     return keys
 
 
-def folded(paths: Paths, counts: np.ndarray | None, most: int) -> tuple[Paths, np.ndarray]:
-    """Ordered different paths and their counts (each 1 if none are given)."""
-    if not paths.shape[1]:
-        return paths, np.zeros(0, np.int64)
-    keys = keys_of(paths, most)
+def paths_from(keys: list[np.ndarray], most: int, columns: int) -> Paths:
+    """What keys_of() was given."""
+    bits, groups = _packing(most, columns)
+    paths = np.empty((columns, len(keys[0])), np.int32)
+    for key, group in zip(keys, groups, strict=True):
+        for nth, d in enumerate(reversed(group)):
+            paths[d] = key >> C.U(bits * nth) & C.U((1 << bits) - 1)
+    return paths
+
+
+def _folded_keys(keys: list[np.ndarray], counts: np.ndarray | None) -> np.ndarray:
+    """Put the ordered different keys in place of the keys, column by column; their counts."""
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     fresh = np.zeros(len(order), bool)
-    fresh[0] = True
-    for key in keys:
-        key = key[order]
-        fresh[1:] |= key[1:] != key[:-1]
+    fresh[:1] = True
+    for i in range(len(keys)):
+        keys[i] = keys[i][order]
+        fresh[1:] |= keys[i][1:] != keys[i][:-1]
     first = np.flatnonzero(fresh)
     total = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first)
-    return paths[:, order[first]], total
+    del order
+    for i in range(len(keys)):
+        keys[i] = keys[i][first]
+    return total
+
+
+def folded(paths: Paths, counts: np.ndarray | None, most: int) -> tuple[Paths, np.ndarray]:
+    """Ordered different paths and their counts (each 1 if none are given)."""
+    if not paths.shape[1]:
+        return paths, np.zeros(0, np.int64)
+    keys, columns = keys_of(paths, most), paths.shape[0]
+    del paths
+    total = _folded_keys(keys, counts)
+    return paths_from(keys, most, columns), total
 
 
 def _parts(data: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -278,27 +304,37 @@ def _ranges(bounds: list[tuple], depth: int):
 
 
 def merged(rows: list[tuple], depth: int) -> tuple[Paths, np.ndarray, list[bytes], pa.Array]:
-    """The runs of a range as one trie: paths in order, counts, languages, words. Takes the rows off the list, and holds one run's paths besides all."""
+    """The runs of a range as one trie: paths in order, counts, languages, words. Takes the rows off the list, and holds all runs as packed keys
+    and one run's paths besides."""
     books = [book_of(row) for row in rows]
     langs = sorted({x for _, names in books for x in names.values()})
+    sizes = [len(own) for own, _ in books]
+    names_of = [names for _, names in books]
     code, words = _ranked(pa.concat_arrays([own for own, _ in books]))
-    counts = [counts_of(row) for row in rows]
-    at, end, total = 0, 0, sum(map(len, counts))
-    paths = np.empty((depth + 1, total), np.int32)
+    books.clear()
+    code = code.astype(np.int32) + np.int32(1)
+    counts = np.concatenate([counts_of(row) for row in rows])
+    most = max(len(words), len(langs))
+    bits, groups = _packing(most, depth + 1)
+    keys = [np.zeros(len(counts), np.uint64) for _ in groups]
+    at, end = 0, 0
     rows.reverse()
-    for own, names in books:
-        number = np.concatenate([[0], code[at : at + len(own)] + 1]).astype(np.int32)
+    for size, names in zip(sizes, names_of, strict=True):
+        number = np.concatenate([np.zeros(1, np.int32), code[at : at + size]])
         to = np.zeros(max(names) + 1, np.int32)
         for k, name in names.items():
             to[k] = langs.index(name)
         run = paths_of(rows.pop(), depth)
         begin, end = end, end + run.shape[1]
-        paths[0, begin:end] = to[run[0]]
-        for d in range(1, depth + 1):
-            paths[d, begin:end] = number[run[d]]
-        at += len(own)
-    paths, counts = folded(paths, np.concatenate(counts), max(len(words), len(langs)))
-    return paths, counts, langs, words
+        for key, group in zip(keys, groups, strict=True):
+            own = key[begin:end]
+            for d in group:
+                own <<= C.U(bits)
+                own |= (number[run[d]] if d else to[run[0]]).astype(np.uint64)
+        at += size
+    del code
+    counts = _folded_keys(keys, counts)
+    return paths_from(keys, most, depth + 1), counts, langs, words
 
 
 NODES = "lang string, size int, phrase string, f long, lefts array<long>, open int, edge boolean"
@@ -309,6 +345,7 @@ def _nodes(bounds: list[tuple], depth: int, least: int):
     names = [x.split()[0] for x in NODES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         rows: list[tuple] = []
         number = None
         for batch in batches:

@@ -80,6 +80,25 @@ def test_runs_are_read_as_written():
     assert (got[0] == paths).all() and (got[1] == counts).all() and got[2].to_pylist() == words.to_pylist() and got[3] == {0: b"x", 1: "é".encode()}
 
 
+def test_merge_holds_packed_paths():
+    """All runs' paths as numbers of 4 bytes beside their keys and the result took 90 bytes a path."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    words = pa.array([f"{i:03}".encode() for i in range(1000)], pa.large_binary())
+    runs = []
+    for _ in range(10):
+        paths, counts = K.folded(np.concatenate([np.zeros((1, 20_000)), r.integers(1, 1001, (5, 20_000))]).astype(np.int32), None, 1000)
+        runs.append(K.written(paths, counts, words, [b"x"]))
+    every = [K.read(row, 5) for row in runs]
+    want, times = K.folded(np.concatenate([paths for paths, *_ in every], 1), np.concatenate([counts for _, counts, *_ in every]), 1000)
+    tracemalloc.start()
+    paths, counts, _, _ = K.merged(runs, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(paths, want) and np.array_equal(counts, times) and peak < 75 * paths.shape[1]
+
+
 def test_runs_are_let_go_as_they_are_merged():
     r = np.random.default_rng(5)
     words = pa.array([f"w{i:03}".encode() for i in range(100)], pa.large_binary())
