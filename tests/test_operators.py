@@ -283,3 +283,21 @@ def test_identities_and_providers(spark):
     assert proxies({}) == [None, None] and proxies({"servers": ["p", "q"]}) == ["p", "q"] and proxies({"server": "http://h:1", "username": "u"}) == ["http://u@h:1"] * 2
     got = proxies({"customer_id": "c", "zone": "z", "password": "p", "host": "h"})
     assert got[0] != got[1] and all(p.startswith("http://c-zone-z-session-") and p.endswith(":p@h:22225") for p in got)
+
+
+def test_markdown_batches_are_bounded_in_bytes(spark):
+    """A batch of long pages was as large as 10,000 of them."""
+    from pagewright.operators.extraction import fit_markdown, page_markdown
+
+    pages = spark.range(1000, numPartitions=1).select("id", F.concat(F.lit("<p>"), F.col("id"), F.lit("</p>" + "<!-- -->" * 2_500)).alias("html"))
+    markdown = fit_markdown(F.col("html"))
+
+    @F.arrow_udf("long")
+    def held(html):
+        import pyarrow as pa
+
+        return pa.array([html.nbytes] * len(html), pa.int64())
+
+    got = pages.select("id", markdown.alias("markdown"), held("html").alias("held")).collect()
+    assert max(r["held"] for r in got) < 6 << 20
+    assert [r["markdown"] for r in got] == [page_markdown(f"<p>{i}</p>") for i in range(1000)]
