@@ -12,6 +12,11 @@ the same ones whatever partitions the recordings are in. A pair's landmarks vote
 linked if the best segment (the whole overlap if that is shorter) has at most MAX_ERROR of its bits wrong: unrelated recordings
 differ in more than a fifth. Each slice posts the two for each of its landmarks, and is answered where the two of all slices are others.
 
+The rest. Recordings that share a landmark and are in different groups by then are all compared, at every offset at which they share
+one: if two of a landmark's recordings are in different groups, one of them isn't in the group of the landmark's first, so the landmarks
+of recordings that stand apart from a first are all that is looked up again. So no pair that shares a landmark and is right enough at it is in two groups.
+Copies are one group by then; a landmark costs its outsiders times its recordings, on any number of tasks.
+
 Recordings without a landmark, short, silent or steady ones, are linked by their whole: the sequence of all
 their items, or the bytes where there are no items. Such a link has no votes.
 
@@ -161,6 +166,17 @@ def _landmarks(code: np.ndarray) -> np.ndarray:
     return np.flatnonzero(varied[2 * GAP :] > varied[:n])
 
 
+def _hashed(rids: np.ndarray, counts: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Recordings' items end to end -> the hash, rid and position of each of their landmarks."""
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    found = [_landmarks(code[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    many = np.array([len(f) for f in found], np.int64)
+    pos, rid = np.concatenate([*found, np.empty(0, np.int64)]), np.repeat(rids, many)
+    at = pos + np.repeat(bounds[:-1], many)
+    wide = code.astype(np.uint64)
+    return C.mixed(C.mixed(wide[at] << C.U(32) | wide[at + GAP]) + wide[at + 2 * GAP]), rid, pos
+
+
 def _whole(audio: np.ndarray, code: np.ndarray) -> bytes | None:
     """The digest of a recording's items, or of its bytes where it has none; nothing if it is empty or has a landmark."""
     if not len(audio) or len(_landmarks(code)):
@@ -184,13 +200,7 @@ class _Marks:
     """The landmarks of a slice, ordered by (hash, rid, pos), and the order in which their hashes are posted to n buckets."""
 
     def __init__(self, rids: np.ndarray, counts: np.ndarray, code: np.ndarray, n: int) -> None:
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        found = [_landmarks(code[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        many = np.array([len(f) for f in found], np.int64)
-        pos, rid = np.concatenate([*found, np.empty(0, np.int64)]), np.repeat(rids, many)
-        at = pos + np.repeat(bounds[:-1], many)
-        wide = code.astype(np.uint64)
-        h = C.mixed(C.mixed(wide[at] << C.U(32) | wide[at + GAP]) + wide[at + 2 * GAP])
+        h, rid, pos = _hashed(rids, counts, code)
         order = np.lexsort((pos, rid, h))
         self.h, self.rid, self.pos = h[order], rid[order], pos[order]
         self.run, self.first, self.drawn = _chosen(self.h, self.rid)
@@ -351,21 +361,87 @@ def errors(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, float, float]
 SCORED = "u long, v long, shift int, votes long, overlap int, bit_error double, segment_error double"
 
 
-def links(prints: DataFrame, n: int | None = None) -> DataFrame:
-    """(slice, rid, items) -> SCORED: pairs at the offset that most of their landmarks agree on, if their best segment is right enough."""
-    best = candidates(prints, n).groupBy("u", "v").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("ns"), "shift")).alias("b")).select("u", "v", "b.shift", "b.votes")
+def _scored(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(u, v, shifts array<struct<shift, votes>>) -> SCORED: the pairs that are right enough at an offset, there of those of most votes."""
     side = lambda p: prints.select(F.col("rid").alias(f"{p}_rid"), F.col("items").alias(f"{p}_items"))
-    both = best.join(side("u"), F.col("u") == F.col("u_rid")).join(side("v"), F.col("v") == F.col("v_rid")).select("u", "v", "shift", "votes", "u_items", "v_items")
+    both = pairs.join(side("u"), F.col("u") == F.col("u_rid")).join(side("v"), F.col("v") == F.col("v_rid")).select("u", "v", "shifts", "u_items", "v_items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [(c.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.concatenate([[0], np.cumsum(np.diff(c.offsets.to_numpy()))])) for c in (batch.column(4), batch.column(5))]
+            lists = [(c.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.concatenate([[0], np.cumsum(np.diff(c.offsets.to_numpy()))])) for c in (batch.column(3), batch.column(4))]
             (x, p), (y, q) = lists
-            found = [errors(x[p[i] : p[i + 1]], y[q[i] : q[i + 1]], s) for i, s in enumerate(batch.column(2).to_pylist())]
-            cols = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int32(), pa.float64(), pa.float64()), strict=True)] if found else [pa.nulls(0, k) for k in (pa.int32(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], ["u", "v", "shift", "votes", "overlap", "bit_error", "segment_error"])
+            rows = []
+            for i, (u, v, shifts) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                for s in sorted(shifts, key=lambda s: (-s["votes"], abs(s["shift"]), -s["shift"])):
+                    found = errors(x[p[i] : p[i + 1]], y[q[i] : q[i + 1]], s["shift"])
+                    if found[2] <= MAX_ERROR:
+                        rows.append((u, v, s["shift"], s["votes"], *found))
+                        break
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64())
+            cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
+
+    return both.mapInArrow(run, SCORED)
+
+
+#: Bits of the table of landmarks that are looked up again, as a power of two: 16 MB at most, whatever their number.
+_LOOKED_UP = 27
 
-    return both.mapInArrow(run, SCORED).where(F.col("segment_error") <= MAX_ERROR)
+
+def _places(prints: DataFrame, table: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(slice, rid, items) -> (h, rid, pos) of all landmarks, or of those whose bit is in the table and a few more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None
+        if table is not None:
+            bits = np.zeros(1 << (_LOOKED_UP - 6), np.uint64)
+            bits[table[0]] = table[1]
+        for _, rids, counts, code in _recordings(batches):
+            h, rid, pos = _hashed(rids, counts, code)
+            if bits is not None:
+                keep = (bits[h >> C.U(70 - _LOOKED_UP)] >> (h & C.U(63))) & C.U(1) == 1
+                h, rid, pos = h[keep], rid[keep], pos[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid, pa.int64()), pa.array(pos.astype(np.int32))], ["h", "rid", "pos"])
+
+    return prints.select("slice", "rid", "items").mapInArrow(run, "h long, rid long, pos int")
+
+
+def _apart(prints: DataFrame, best: DataFrame, first: DataFrame) -> DataFrame | None:
+    """SCORED of all right pairs that share a landmark and are in different groups of the links found first; None if no two are."""
+    groups = checkpoint(components(first.select("u", "v")))
+    group = lambda p: groups.select(F.col("node").alias(f"{p}_node"), F.col("root").alias(f"{p}_root"))
+    told = best.join(group("u"), F.col("u") == F.col("u_node"), "left").join(group("v"), F.col("v") == F.col("v_node"), "left")
+    # the first of a landmark has the smallest rid, so it is v
+    outside = checkpoint(told.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select(F.col("u").alias("outside")).distinct())
+    if outside.isEmpty():
+        return None
+    own = _places(prints.join(C.small(outside), F.col("rid") == F.col("outside"), "left_semi"))
+    word = F.shiftrightunsigned("h", 70 - _LOOKED_UP).cast("int").alias("word")
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    found = own.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()  # 16 MB of bits at most
+    places = _places(prints, (found["word"].to_numpy(), found["bits"].to_numpy().view(np.uint64)))
+    places = places.join(group("g"), F.col("rid") == F.col("g_node"), "left").select("h", "rid", "pos", F.coalesce("g_root", "rid").alias("label"))
+    places = checkpoint(places)
+    held = places.groupBy("h", "label").agg(F.count("*").alias("times"))
+    mixed = held.groupBy(F.col("h").alias("m")).agg(F.max_by("label", F.struct("times", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    rest = checkpoint(places.join(mixed, F.col("h") == F.col("m")).select("h", "rid", "pos", "label", "most"))
+    other = rest.select(F.col("h").alias("k"), F.col("rid").alias("y"), F.col("pos").alias("py"), F.col("label").alias("other"))
+    # two outsiders meet once, an outsider and one of the largest group too
+    across = (F.col("h") == F.col("k")) & (F.col("label") != F.col("other")) & ((F.col("other") == F.col("most")) | (F.col("rid") < F.col("y")))
+    met = rest.where("label <> most").join(other, across)
+    shift = F.when(F.col("rid") > F.col("y"), F.col("pos") - F.col("py")).otherwise(F.col("py") - F.col("pos")).alias("shift")
+    votes = met.select(F.greatest("rid", "y").alias("u"), F.least("rid", "y").alias("v"), shift).groupBy("u", "v", "shift").agg(F.count("*").alias("votes"))
+    return _scored(votes.groupBy("u", "v").agg(F.collect_list(F.struct("shift", "votes")).alias("shifts")), prints)
+
+
+def links(prints: DataFrame, n: int | None = None) -> DataFrame:
+    """(slice, rid, items) -> SCORED: pairs with one of the two chosen of each landmark, at the offset that most of their landmarks agree
+    on, and all pairs of different groups that share a landmark, at any offset; those whose best segment is right enough."""
+    best = candidates(prints, n).groupBy("u", "v").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("ns"), "shift")).alias("b"))
+    best = checkpoint(best.select("u", "v", F.array(F.struct("b.shift", "b.votes")).alias("shifts")))
+    first = checkpoint(_scored(best, prints))
+    rest = _apart(prints, best, first)
+    return first if rest is None else first.union(rest)
 
 
 def aligned(media: DataFrame) -> DataFrame:
