@@ -51,6 +51,8 @@ _MODEL = ("ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")  #
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
 _OTHER = re.compile(r"[^\n\r\t\x20-\x7eÀ-ÖØ-öø-ɏ]")
+#: Marks that are a piece of their own behind letters and before a space.
+_MARKS = frozenset(".,;:!?")
 #: White space before a space.
 _RUN = re.compile(r"[\n\r\t ] ")
 #: No piece reaches over the end of what isn't white space.
@@ -68,16 +70,23 @@ def parts(text: str, size: int) -> Iterator[str]:
 
 
 class Remembered(dict):
-    """String -> its ids as little-endian 32-bit integers, made once as long as the string is remembered."""
+    """String -> its ids as little-endian 32-bit integers, made once as long as the string is remembered.
+
+    When `most` are held they become the older ones, of which those asked for again are kept: at most twice as many stand in memory.
+    """
 
     def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        self[key] = out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -102,11 +111,14 @@ class Encoder:
         self.model = self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if not _OTHER.match(chr(c))}
-        self.pieces = Remembered(self._piece, 600_000)
-        self.chunks = Remembered(lambda rest: self._by_piece(" " + rest), 250_000)
+        self.pieces = Remembered(self._piece, 300_000)
+        self.chunks = Remembered(self._chunk, 400_000)
 
     def _piece(self, piece: str) -> bytes:
-        return struct.pack(f"<{len(found := self.model.tokenize(piece.translate(self.shown)))}I", *[t.id for t in found])
+        return self._ids(piece.translate(self.shown))
+
+    def _ids(self, shown: str) -> bytes:
+        return struct.pack(f"<{len(found := self.model.tokenize(shown))}I", *[t.id for t in found])
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -114,12 +126,20 @@ class Encoder:
     def _by_piece(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
+    def _chunk(self, rest: str) -> bytes:
+        """The ids of a space and what stands behind it, up to the next space: mostly a word, or a word and a mark, which are pieces."""
+        if rest.isalpha():
+            return self._ids(self.shown[32] + rest) if rest.isascii() else self._piece(" " + rest)
+        if rest[-1:] in _MARKS and rest[:-1].isalpha():
+            return self.chunks[rest[:-1]] + self.pieces[rest[-1]]
+        return self._by_piece(" " + rest)
+
     def _by_chunk(self, texts: list[str]) -> list[np.ndarray]:
         """For texts in which each space stands behind what isn't white space: a piece ends there, and the next begins with the space."""
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         found = lists.flatten().dictionary_encode()
-        chunks = found.dictionary.to_pylist()
+        chunks = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         made = [self.chunks[c] for c in chunks] + [self._by_piece(t[: len(t) if (k := t.find(" ")) < 0 else k]) for t in texts]
         code = found.indices.to_numpy().astype(np.int64)
         code[offsets[:-1]] = len(chunks) + np.arange(len(texts))  # no space before a text's first
@@ -155,7 +175,7 @@ class Encoder:
                     continue
                 group.append((i, part))
                 size += len(part)
-                if size >= 4 * CHARS:
+                if size >= 8 * CHARS:
                     flush()
                     group, size = [], 0
         flush()

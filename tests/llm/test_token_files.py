@@ -115,3 +115,19 @@ def test_ids_that_repeat_spread_over_shards(spark):
     got = read_token_index(spark, path).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None] * 400 + list(range(7)) + [7] * 501 + list(range(8, 20))
     assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+
+
+def test_words_asked_for_again_are_made_once():
+    made = []
+    held = token_files.Remembered(lambda key: made.append(key) or key.encode(), 4)
+    for i in range(40):
+        assert held["often"] == b"often" and held[f"once{i}"] == f"once{i}".encode()
+        assert len(held) + len(held.older) <= 8
+    assert made.count("often") == 1 and len(made) == 41
+
+
+def test_words_and_marks_agree_with_the_library():
+    encode = Encoder(PATH)
+    words = ["the", "Übergrößen", "a1", "it's", "its'", "'s", "x.", "x..", "x,\n", "re:", "é!", "don't.", ".", "", "A\tb.", "1.", "q;?"]
+    texts = [f"{a} {b} {c}" for a in words for b in words if b for c in words]
+    assert all((x == encode._library(t)).all() and len(x) == len(encode._library(t)) for t, x in zip(texts, encode(texts), strict=True))
