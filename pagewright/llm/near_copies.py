@@ -13,9 +13,14 @@ templates don't make buckets; the sample decides the cost alone, never the resul
 Links. First the pairs that SimHash links, and each bucket's star around the first that came to it, where enough of the entries agree
 (with fewer, the pair would fail), are verified and grouped. Then a bucket has a group that most of its entries are in, and
 others: the others are compared with all entries of other groups whose places leave room for o shared shingles, first by
-their prefixes, of which enough must be common, then by their texts. A crowd of
-near copies is mostly one group by then, so the pairs of a bucket grow with its outsiders, not with its square; outsiders
-differ in many shingles of their own, which come first in the order and leave no room for the rest.
+their prefixes, of which enough must be common, then by their texts.
+
+Crowds. That is done in buckets of up to CROWD entries. In a larger one, where pairs would grow with the square of a crowd of near copies, all
+are compared with a pivot c, a document of the group of most entries. D(x) being the number of shingles in one of x and c alone, and
+w(x) = 9 D(x) - n(x), x and y are similar exactly if they share (w(x) + w(y)) / 18 or more of these differences. Those similar to c
+are linked with it, and so with each other. Any other has w > w's bound -w(c), so shares a difference with whatever it is similar to, and the prefix filter
+is repeated on the differences: what x has beyond c comes first in the order, so that what the crowd has in common, which
+filled the prefixes, is in none. Buckets of differences that are crowds of another group get a pivot of their own, up to ROUNDS times. No pair is left out.
 
 Defined results
 - null or empty texts, and texts without words: one class. Fewer words than a shingle: the whole sequence is the one shingle.
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +52,8 @@ SHINGLE = 5
 SAMPLE, FREQUENT = 100_000, 2
 #: Most shingles whose frequency is kept.
 KNOWN = 4_000_000
+#: Most entries of a bucket that are compared by pairs, and how often the entries of larger ones are compared with a pivot first.
+CROWD, ROUNDS = 16, 4
 
 
 def _distinct(text: bytes | None) -> tuple[np.ndarray, list[int]]:
@@ -91,11 +99,17 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def sketches(rows: DataFrame) -> DataFrame:
-    """(rid, text) -> (rid, sig, n, fp, keys): the set's digest and size, the SimHash, and the prefix."""
-    prepare_workers(rows.sparkSession)
-    bounded_batches(rows)
-    known, times = _frequent(rows)
+def _often(s: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """In how many documents of the sample each shingle is; 0 of rare ones."""
+    if not len(known) or not len(s):
+        return np.zeros(len(s), np.uint8)
+    start = (s >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(known, start), len(known) - 1)
+    return np.where(known[at] == start, times[at], 0)
+
+
+def sketches(rows: DataFrame, known: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(rid, text) -> (rid, sig, n, fp, keys): the set's digest and size, the SimHash, and the prefix. known, times: see _frequent()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.release()
@@ -104,12 +118,7 @@ def sketches(rows: DataFrame) -> DataFrame:
             for text in batch.column(1).cast(pa.large_binary()):
                 s, h = _distinct(text.as_py())
                 n = len(s)
-                often = np.zeros(n, np.uint8)
-                if len(known) and n:
-                    start = (s >> np.uint64(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(known, start), len(known) - 1)
-                    often = np.where(known[at] == start, times[at], 0)
-                first = np.lexsort((s, often))[: n - (4 * n + 4) // 5 + 1]
+                first = np.lexsort((s, _often(s, known, times)))[: n - (4 * n + 4) // 5 + 1]
                 sigs.append(hashlib.md5(s.tobytes()).digest())
                 sizes.append(n)
                 keys.append(s[first].view(np.int64))
@@ -146,6 +155,15 @@ def similar(a: bytes | None, b: bytes | None) -> bool:
     return 5 * shared >= 4 * (len(sets[0]) + len(sets[1]) - shared)
 
 
+def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u, v) -> (u, v, u_text, v_text)."""
+    wanted = C.small(pairs.select(F.explode(F.array("u", "v")).alias("wanted")).distinct())
+    texts = rows.join(wanted, rows["rid"] == wanted["wanted"], "left_semi")
+    text = lambda p: texts.select(F.col("rid").alias(f"{p}_rid"), F.col("text").alias(f"{p}_text"))
+    both = pairs.join(text("u"), F.col("u") == F.col("u_rid")).join(text("v"), F.col("v") == F.col("v_rid"))
+    return both.select("u", "v", "u_text", "v_text")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.release()
@@ -154,11 +172,45 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             keep = pa.array([similar(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
 
-    wanted = C.small(pairs.select(F.explode(F.array("u", "v")).alias("wanted")).distinct())
-    texts = rows.join(wanted, rows["rid"] == wanted["wanted"], "left_semi")
-    text = lambda p: texts.select(F.col("rid").alias(f"{p}_rid"), F.col("text").alias(f"{p}_text"))
-    both = pairs.join(text("u"), F.col("u") == F.col("u_rid")).join(text("v"), F.col("v") == F.col("v_rid"))
-    return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
+    return _texts(pairs, rows).mapInArrow(run, "u long, v long")
+
+
+def _prefix(x: np.ndarray, c: np.ndarray, known: np.ndarray, times: np.ndarray) -> tuple[int, np.ndarray]:
+    """Of two documents' distinct shingles: how many are in one alone, and the first of these in order, by which x is found from c.
+
+    Where x isn't similar to c, whatever is similar to x shares D(x) - n(x) / 4 or more of them, being of at most 5/4 of its size;
+    where it is, what isn't similar to c, so has w > n(c), shares (w(x) + n(c) + 1) / 18 or more.
+    """
+    more, less = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+    d = len(more) + len(less)
+    near = 9 * d <= len(x) + len(c)
+    least = -(-(9 * d - len(x) + len(c) + 1) // 18) if near else d - len(x) // 4
+    order = np.concatenate([part[np.lexsort((part, _often(part, known, times)))] for part in (more, less)])
+    return d, order[: max(0, d - max(1, least) + 1)]
+
+
+def _differences(crowds: DataFrame, rows: DataFrame, known: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(u, v) of documents and their pivots -> (u, v, n, d, linked, keys): u's size, its differences from v, whether they are similar, and the prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
+        pivot, c = None, None
+        for batch in _few(batches):
+            sizes, found, linked, keys = [], [], [], []
+            u, v = (batch.column(i).cast(pa.large_binary()).to_pylist() for i in (2, 3))
+            for a, b in zip(u, v, strict=True):
+                if c is None or b != pivot:
+                    pivot, c = b, _distinct(b)[0]
+                x = _distinct(a)[0]
+                d, first = _prefix(x, c, known, times)
+                sizes.append(len(x))
+                found.append(d)
+                linked.append(9 * d <= len(x) + len(c) and similar(a, b))
+                keys.append(first.view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.int64()), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "n", "d", "linked", "keys"])
+
+    return _texts(crowds, rows).mapInArrow(run, "u long, v long, n long, d long, linked boolean, keys array<long>")
 
 
 #: Keys dealt together, about.
@@ -235,10 +287,42 @@ def shared_keys(heads: DataFrame, buckets: int) -> DataFrame:
     return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, SHARED)
 
 
+def _roomy(entries: DataFrame) -> DataFrame:
+    """(key, rid, n, d, pos) -> (key, rid, n, w, room): the entry's document is found by it from those of w up to room."""
+    w = 9 * F.col("d") - F.col("n")
+    return entries.select("key", "rid", "n", w.alias("w"), (18 * (F.col("d") - F.col("pos")) - w).alias("room"))
+
+
+def _mixed(entries: DataFrame, links: DataFrame, own: DataFrame) -> DataFrame:
+    """Entries of buckets with several groups -> key, rid, n, w, room, label, most (the group of most entries), pivot (of it) and size (of the bucket)."""
+    groups = components(links).select(F.col("node").alias("g_node"), "root")
+    label = lambda x: x.join(groups, x["rid"] == groups["g_node"], "left").withColumn("label", F.coalesce("root", "rid")).drop("g_node", "root")
+    labelled = label(entries)
+    centres = label(own).groupBy(F.col("label").alias("of")).agg(F.min_by("rid", F.struct("unshared", "rid")).alias("centre"), F.count("*").alias("members"))
+    held = labelled.groupBy("key", "label").agg(F.count("*").alias("times"), F.min("w").alias("least"))
+    held = held.join(centres, held["label"] == centres["of"])
+    best = F.max_by(F.struct("label", "centre"), F.struct("times", "members", "label"))
+    mixed = held.groupBy(F.col("key").alias("k")).agg(best.alias("best"), F.count("*").alias("labels"), F.sum("times").alias("size"), F.min("least").alias("least"))
+    mixed = mixed.where("labels > 1").select("k", "least", "size", F.col("best.label").alias("most"), F.col("best.centre").alias("pivot"))
+    return checkpoint(labelled.join(mixed, (labelled["key"] == mixed["k"]) & (labelled["room"] >= mixed["least"])).drop("k", "least"))
+
+
+def _across(rest: DataFrame) -> DataFrame:
+    """(u, v) of entries of the same bucket and different groups that leave room for one another."""
+    other = rest.select(F.col("key").alias("k"), F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("w").alias("wv"), F.col("room").alias("room_v"), F.col("label").alias("other"))
+    room = (F.col("wv") <= F.col("room")) & (F.col("w") <= F.col("room_v")) & (5 * F.least("n", "nv") >= 4 * F.greatest("n", "nv"))
+    # two outsiders meet once, an outsider and one of the largest group too
+    across: Column = (F.col("key") == F.col("k")) & (F.col("label") != F.col("other")) & ((F.col("other") == F.col("most")) | (F.col("rid") < F.col("v"))) & room
+    return rest.where("label <> most").join(other, across).select(F.least("rid", "v").alias("u"), F.greatest("rid", "v").alias("v")).distinct()
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text) -> (doc_id, component_id): the smallest id reachable by links of similar documents."""
     rows = docs.select(F.col(id_column).cast("long").alias("rid"), F.col(text).cast("string").alias("text"))
-    made = checkpoint(sketches(rows))
+    prepare_workers(rows.sparkSession)
+    bounded_batches(rows)
+    known, times = _frequent(rows)
+    made = checkpoint(sketches(rows, known, times))
     classes = checkpoint(made.groupBy("sig").agg(F.min("rid").alias("rep"), F.count("*").alias("members")))
     copies = made.select("rid", "sig").join(classes.where("members > 1"), "sig").where("rid <> rep").select(F.col("rid").alias("copy"))
     copies = C.small(copies)
@@ -253,23 +337,26 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     stars = shared.where("first.rid <> rid").select(F.col("first.rid").alias("u"), F.col("first.n").alias("nu"), F.col("rid").alias("v"), F.col("n").alias("nv"))
     first = checkpoint(_verified(checkpoint(_likely(stars).union(linked).union(alike).distinct()), rows))
 
-    groups = components(first).select(F.col("node").alias("g_node"), "root")
-    labelled = shared.join(groups, shared["rid"] == groups["g_node"], "left").select("key", "rid", "n", "pos", F.coalesce("root", "rid").alias("label"))
-    held = labelled.groupBy("key", "label").agg(F.count("*").alias("times"))
-    mixed = held.groupBy(F.col("key").alias("k")).agg(F.max_by("label", F.struct("times", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    rest = checkpoint(labelled.join(mixed, labelled["key"] == mixed["k"]).select("key", "rid", "n", "pos", "label", "most"))
-    other = rest.select(F.col("key").alias("k"), F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("pos").alias("pv"), F.col("label").alias("other"))
-    over = F.ceil((4 * (F.col("n") + F.col("nv"))) / 9)
-    room = (F.col("pos") <= F.col("n") - over) & (F.col("pv") <= F.col("nv") - over) & (5 * F.least("n", "nv") >= 4 * F.greatest("n", "nv"))
-    # two outsiders meet once, an outsider and one of the largest group too
-    across: Column = (F.col("key") == F.col("k")) & (F.col("label") != F.col("other")) & ((F.col("other") == F.col("most")) | (F.col("rid") < F.col("v"))) & room
-    pairs = rest.where("label <> most").join(other, across).select(F.least("rid", "v").alias("u"), F.greatest("rid", "v").alias("v")).distinct()
+    links, found = first, []
+    prefix = F.col("n") - F.ceil(4 * F.col("n") / 5) + 1
+    own = checkpoint(shared.groupBy("rid", "n").agg(F.count("*").alias("times")).select("rid", (prefix - F.col("times")).alias("unshared")))
+    entries = _roomy(shared.withColumn("d", F.col("n")))
+    for last in [False] * ROUNDS + [True]:
+        rest = _mixed(entries, links, own)
+        found.append(checkpoint(_across(rest if last else rest.where(F.col("size") <= CROWD))))
+        crowds = rest.where(F.col("size") > CROWD).select(F.col("rid").alias("u"), F.col("pivot").alias("v")).where("u <> v").distinct()
+        if last or (crowds := checkpoint(crowds)).isEmpty():
+            break
+        apart = checkpoint(_differences(crowds, rows, known, times))
+        links = links.union(apart.where("linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        entries = _roomy(apart.select("u", "v", "n", "d", F.posexplode("keys").alias("pos", "e")).select(F.xxhash64("v", "e").alias("key"), F.col("u").alias("rid"), "n", "d", "pos"))
+    pairs = reduce(DataFrame.union, found).distinct()
     # their whole prefixes say more, before a text is opened
     end = lambda p: heads.select(F.col("rid").alias(f"{p}_rid"), F.col("n").alias(f"n{p}"), F.col("keys").alias(f"{p}_keys"))
     met = pairs.join(end("u"), F.col("u") == F.col("u_rid")).join(end("v"), F.col("v") == F.col("v_rid"))
     pairs = met.where(_enough(F.size(F.array_intersect("u_keys", "v_keys")))).select("u", "v")
     second = _verified(checkpoint(pairs), rows)
 
-    found = components(first.union(second))
+    found = components(links.union(second))
     ids = made.select("rid", "sig").join(classes.select("sig", "rep"), "sig")
     return ids.join(found, ids["rep"] == found["node"], "left").select(F.col("rid").alias("doc_id"), F.coalesce("root", "rep").alias("component_id"))
