@@ -18,7 +18,7 @@ their prefixes, of which enough must be common, then by their texts.
 Crowds. That is done in buckets of up to CROWD entries. In a larger one, where pairs would grow with the square of a crowd of near copies, all
 are compared with a pivot c, a document of the group of most entries. D(x) being the number of shingles in one of x and c alone, and
 w(x) = 9 D(x) - n(x), x and y are similar exactly if they share (w(x) + w(y)) / 18 or more of these differences. Those similar to c
-are linked with it, and so with each other. Any other has w > w's bound -w(c), so shares a difference with whatever it is similar to, and the prefix filter
+are linked with it, and so with each other. Any other has w > n(c), so shares a difference with whatever it is similar to, and the prefix filter
 is repeated on the differences: what x has beyond c comes first in the order, so that what the crowd has in common, which
 filled the prefixes, is in none. Buckets of differences that are crowds of another group get a pivot of their own, up to ROUNDS times. No pair is left out.
 
