@@ -12,13 +12,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.columns import numbered, small
+from pagewright.llm.columns import lacking, numbered
 from pagewright.llm.decontamination import contaminated
 from pagewright.llm.language import UNKNOWN, identify, train
 from pagewright.llm.mixing import WORD, mix, sized
 from pagewright.llm.near_copies import near_copies
 from pagewright.llm.token_files import read_token_index, write_token_files
-from pagewright.sources.session import checkpoint, shared_path, table
+from pagewright.sources.session import shared_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Of texts of this many letters or more go those whose phrases are on average shorter than PHRASE, which no learned language
@@ -52,16 +52,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-dedup on five-word shingles of similarity 0.8 or more: of each group the document of the smallest id stays."""
     rows = _one_of_each(docs)
     groups = near_copies(rows, "__rid")
-    gone = small(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")))
-    return rows.join(gone, rows["__rid"] == gone["__gone"], "left_anti").select(*COLUMNS)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
+    return lacking(rows, "__rid", gone).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
     rows = _one_of_each(docs)
     found = contaminated(rows.select(F.col("__rid").alias("rid"), "doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("rid").alias("__gone")).distinct()
-    found = small(checkpoint(found))
-    return rows.join(found, rows["__rid"] == found["__gone"], "left_anti").select(*COLUMNS)
+    return lacking(rows, "__rid", found).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,44 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+#: Most bits of the map by which having() and lacking() tell rows from many ids (16 MB), bits for each id, and bits of one of its rows.
+MAP_BITS, BITS_EACH, ROW_BITS = 27, 16, 15
+
+
+def _mapped(rows: DataFrame, key: str, ids: DataFrame, n: int) -> DataFrame:
+    """The rows with __maybe: false only of those whose key is not among the n ids."""
+    bits = min(MAP_BITS, max(ROW_BITS, (BITS_EACH * n).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    at = lambda c: F.shiftright(slot(c), ROW_BITS)
+    place = lambda c: slot(c).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    bitmap = checkpoint(ids.groupBy(at(ids.columns[0]).alias("__at")).agg(F.bitmap_construct_agg(place(ids.columns[0])).alias("__map")))
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (F.shiftright(place(key), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    some = rows.join(F.broadcast(bitmap), at(key) == F.col("__at"), "left")
+    return some.withColumn("__maybe", F.coalesce(F.getbit(byte, F.pmod(place(key), F.lit(8)).cast("int")) == 1, F.lit(False))).drop("__at", "__map")
+
+
+def having(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key, a long that isn't null, is among the ids (of one column, of another name).
+
+    Few ids are broadcast. Of many, a map of their hashes goes to all rows first, and only rows that it takes for one of them are shuffled, to be joined.
+    """
+    ids = checkpoint(ids)
+    if (n := ids.count()) <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(ids), F.col(key) == F.col(ids.columns[0]), "left_semi")
+    maybe = _mapped(rows, key, ids, n).where("__maybe").drop("__maybe")
+    return maybe.join(ids, F.col(key) == F.col(ids.columns[0]), "left_semi")
+
+
+def lacking(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key isn't among the ids; see having()."""
+    ids = checkpoint(ids)
+    if (n := ids.count()) <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(ids), F.col(key) == F.col(ids.columns[0]), "left_anti")
+    mapped = _mapped(rows, key, ids, n)
+    maybe = mapped.where("__maybe").join(ids, F.col(key) == F.col(ids.columns[0]), "left_anti")
+    return mapped.where("not __maybe").union(maybe).drop("__maybe")
+
+
 def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rid, text) batches -> (rids, bytes, offsets) of whole documents; null texts are empty."""
     ids: list[np.ndarray] = []

@@ -7,8 +7,8 @@ Sets. Documents of equal shingle sets are one class, named by its smallest id. T
 Prefix filter. Under any one order of all shingles, two sets of n and m shingles that share at least
 o = ceil(4/9 * (n + m)) of them, as a similarity of 4/5 asks for, share one among the first n - o + 1 of the one and
 m - o + 1 of the other. That is never more than the first n - ceil(4/5 * n) + 1, which a set is entered under, with their places.
-Shingles that are frequent in a sample come last in the order, so that license lines and
-templates don't make buckets; the sample decides the cost alone, never the result.
+Shingles that are frequent (counted in all documents for the hashes that prefixes begin with, and in a sample) come last in the order, so that
+license lines and templates don't make buckets; the counts decide the cost alone, never the result.
 
 Links. First the pairs that SimHash links, and each bucket's star around the first that came to it, where enough of the entries agree
 (with fewer, the pair would fail), are verified and grouped. Then a bucket has a group that most of its entries are in, and
@@ -50,6 +50,9 @@ SHINGLE = 5
 #: Documents of the sample that orders the shingles, and from how many of them a shingle counts as frequent. A smaller share
 #: of all documents costs more candidates: a shingle of fewer copies is then as rare as one of a single document.
 SAMPLE, FREQUENT = 100_000, 2
+#: Hashes below it are counted in all documents. Rare shingles are ordered by their hashes, so that these are the ones in most prefixes (a fifth of
+#: a set): however large the corpus, a prefix has few shingles that are frequent and not known to be.
+BAND = 3 * 2**64 // 10
 #: Most shingles whose frequency is kept.
 KNOWN = 4_000_000
 #: Most entries of a bucket that are compared by pairs, and how often the entries of larger ones are compared with a pivot first.
@@ -70,22 +73,27 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The first 32 bits of shingle hashes that are frequent in a sample of the documents, in order, and in how many (255 at most).
+    """The first 32 bits of shingle hashes that are frequent, in order, and the level of each: 12 log2 of the documents that have it, 255 at most.
 
-    Up to KNOWN of them, the most frequent: 5 bytes each, whatever the corpus. A rare shingle with the first bits of a frequent one
-    counts as frequent, which costs candidates and changes no result.
+    Those of a hash below BAND are counted in all documents, others in a sample of them. Up to KNOWN, the most frequent: 5 bytes each,
+    whatever the corpus. A rare shingle with the first bits of a frequent one counts as frequent, which costs candidates and changes no result.
     """
     every = max(1, rows.count() // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.release()
         for batch in _few(batches):
-            found = [_distinct(text.as_py())[0] for text in batch.column(0).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["h"])
+            found = [np.empty(0, np.uint64)]
+            for whole, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+                s = _distinct(text.as_py())[0]
+                found.append(s if whole else s[: np.searchsorted(s, np.uint64(BAND))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
-    some = rows.where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
+    some = rows.select((F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).alias("whole"), "text").mapInArrow(run, "h long")
     often = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    often = checkpoint(often.groupBy(F.shiftrightunsigned("h", 32).alias("h")).agg(F.least(F.max("n"), F.lit(255)).cast("short").alias("n")))
+    copies = F.when(F.col("h").between(0, BAND - 1), F.col("n")).otherwise(F.col("n") * every)
+    often = often.groupBy(F.shiftrightunsigned("h", 32).alias("h")).agg(F.least(F.floor(12 * F.log2(F.max(copies))), F.lit(255)).cast("short").alias("n"))
+    often = checkpoint(often)
     counts = sorted(((r["n"], r["count"]) for r in often.groupBy("n").count().collect()), reverse=True)  # 254 rows at most
     least, total = 255, 0
     for n, count in counts:
@@ -100,7 +108,7 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _often(s: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """In how many documents of the sample each shingle is; 0 of rare ones."""
+    """Each shingle's level, see _frequent(); 0 of rare ones."""
     if not len(known) or not len(s):
         return np.zeros(len(s), np.uint8)
     start = (s >> np.uint64(32)).astype(np.uint32)
@@ -157,8 +165,7 @@ def similar(a: bytes | None, b: bytes | None) -> bool:
 
 def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(u, v) -> (u, v, u_text, v_text)."""
-    wanted = C.small(pairs.select(F.explode(F.array("u", "v")).alias("wanted")).distinct())
-    texts = rows.join(wanted, rows["rid"] == wanted["wanted"], "left_semi")
+    texts = C.having(rows, "rid", pairs.select(F.explode(F.array("u", "v")).alias("wanted")).distinct())
     text = lambda p: texts.select(F.col("rid").alias(f"{p}_rid"), F.col("text").alias(f"{p}_text"))
     both = pairs.join(text("u"), F.col("u") == F.col("u_rid")).join(text("v"), F.col("v") == F.col("v_rid"))
     return both.select("u", "v", "u_text", "v_text")
@@ -295,7 +302,7 @@ def _roomy(entries: DataFrame) -> DataFrame:
 
 def _mixed(entries: DataFrame, links: DataFrame, own: DataFrame) -> DataFrame:
     """Entries of buckets with several groups -> key, rid, n, w, room, label, most (the group of most entries), pivot (of it) and size (of the bucket)."""
-    groups = components(links).select(F.col("node").alias("g_node"), "root")
+    groups = C.small(components(links).select(F.col("node").alias("g_node"), "root"))
     label = lambda x: x.join(groups, x["rid"] == groups["g_node"], "left").withColumn("label", F.coalesce("root", "rid")).drop("g_node", "root")
     labelled = label(entries)
     centres = label(own).groupBy(F.col("label").alias("of")).agg(F.min_by("rid", F.struct("unshared", "rid")).alias("centre"), F.count("*").alias("members"))
@@ -325,9 +332,9 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     made = checkpoint(sketches(rows, known, times))
     classes = checkpoint(made.groupBy("sig").agg(F.min("rid").alias("rep"), F.count("*").alias("members")))
     copies = made.select("rid", "sig").join(classes.where("members > 1"), "sig").where("rid <> rep").select(F.col("rid").alias("copy"))
-    copies = C.small(copies)
-    heads = made.join(copies, made["rid"] == copies["copy"], "left_anti")
-    shared = checkpoint(shared_keys(heads, max(shuffle_partitions(rows.sparkSession), C.buckets(rows))))
+    heads = C.lacking(made, "rid", copies)
+    buckets = max(shuffle_partitions(rows.sparkSession), C.buckets(rows))
+    shared = checkpoint(shared_keys(heads, buckets))
 
     prints = checkpoint(heads.groupBy("fp").agg(F.min("rid").alias("of")))
     linked = H.links(prints.select("fp"))
@@ -349,7 +356,11 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
             break
         apart = checkpoint(_differences(crowds, rows, known, times))
         links = links.union(apart.where("linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-        entries = _roomy(apart.select("u", "v", "n", "d", F.posexplode("keys").alias("pos", "e")).select(F.xxhash64("v", "e").alias("key"), F.col("u").alias("rid"), "n", "d", "pos"))
+        # only what several share can be met again, which packed arrays tell
+        own_keys = apart.select(F.col("u").alias("rid"), F.col("d").alias("n"), F.transform("keys", lambda e: F.xxhash64("v", e)).alias("keys"))
+        again = shared_keys(own_keys, buckets).select("key", "rid", F.col("n").alias("d"), "pos")
+        sizes = C.small(apart.select(F.col("u").alias("sized"), "n").distinct())
+        entries = _roomy(checkpoint(again.join(sizes, F.col("rid") == F.col("sized"))))
     pairs = reduce(DataFrame.union, found).distinct()
     # their whole prefixes say more, before a text is opened
     end = lambda p: heads.select(F.col("rid").alias(f"{p}_rid"), F.col("n").alias(f"n{p}"), F.col("keys").alias(f"{p}_keys"))
