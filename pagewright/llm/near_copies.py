@@ -300,22 +300,32 @@ def _roomy(entries: DataFrame) -> DataFrame:
     return entries.select("key", "rid", "n", w.alias("w"), (18 * (F.col("d") - F.col("pos")) - w).alias("room"))
 
 
-def _mixed(entries: DataFrame, links: DataFrame, own: DataFrame) -> DataFrame:
-    """Entries of buckets with several groups -> key, rid, n, w, room, label, most (the group of most entries), pivot (of it) and size (of the bucket)."""
-    groups = C.small(components(links).select(F.col("node").alias("g_node"), "root"))
-    label = lambda x: x.join(groups, x["rid"] == groups["g_node"], "left").withColumn("label", F.coalesce("root", "rid")).drop("g_node", "root")
-    labelled = label(entries)
-    centres = label(own).groupBy(F.col("label").alias("of")).agg(F.min_by("rid", F.struct("unshared", "rid")).alias("centre"), F.count("*").alias("members"))
+def _label(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """The entries with label: the group of their document."""
+    return entries.join(groups, entries["rid"] == groups["g_node"], "left").withColumn("label", F.coalesce("root", "rid")).drop("g_node", "root")
+
+
+def _few_across(labelled: DataFrame) -> DataFrame:
+    """(u, v) of entries of the same bucket and different groups that leave room for one another; buckets of a few entries."""
+    other = labelled.select(F.col("key").alias("k"), F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("w").alias("wv"), F.col("room").alias("room_v"), F.col("label").alias("other"))
+    room = (F.col("wv") <= F.col("room")) & (F.col("w") <= F.col("room_v")) & (5 * F.least("n", "nv") >= 4 * F.greatest("n", "nv"))
+    across: Column = (F.col("key") == F.col("k")) & (F.col("rid") < F.col("v")) & (F.col("label") != F.col("other")) & room
+    return labelled.join(other, across).select(F.col("rid").alias("u"), "v").distinct()
+
+
+def _mixed(labelled: DataFrame, own: DataFrame) -> DataFrame:
+    """Entries of buckets with several groups -> key, rid, n, w, room, label, most (the group of most entries) and pivot (of it)."""
+    centres = own.groupBy(F.col("label").alias("of")).agg(F.min_by("rid", F.struct("unshared", "rid")).alias("centre"), F.count("*").alias("members"))
     held = labelled.groupBy("key", "label").agg(F.count("*").alias("times"), F.min("w").alias("least"))
     held = held.join(centres, held["label"] == centres["of"])
     best = F.max_by(F.struct("label", "centre"), F.struct("times", "members", "label"))
-    mixed = held.groupBy(F.col("key").alias("k")).agg(best.alias("best"), F.count("*").alias("labels"), F.sum("times").alias("size"), F.min("least").alias("least"))
-    mixed = mixed.where("labels > 1").select("k", "least", "size", F.col("best.label").alias("most"), F.col("best.centre").alias("pivot"))
+    mixed = held.groupBy(F.col("key").alias("k")).agg(best.alias("best"), F.count("*").alias("labels"), F.min("least").alias("least"))
+    mixed = mixed.where("labels > 1").select("k", "least", F.col("best.label").alias("most"), F.col("best.centre").alias("pivot"))
     return checkpoint(labelled.join(mixed, (labelled["key"] == mixed["k"]) & (labelled["room"] >= mixed["least"])).drop("k", "least"))
 
 
 def _across(rest: DataFrame) -> DataFrame:
-    """(u, v) of entries of the same bucket and different groups that leave room for one another."""
+    """(u, v) as of _few_across(); entries of the largest group are compared with the others only."""
     other = rest.select(F.col("key").alias("k"), F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("w").alias("wv"), F.col("room").alias("room_v"), F.col("label").alias("other"))
     room = (F.col("wv") <= F.col("room")) & (F.col("w") <= F.col("room_v")) & (5 * F.least("n", "nv") >= 4 * F.greatest("n", "nv"))
     # two outsiders meet once, an outsider and one of the largest group too
@@ -349,10 +359,19 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     own = checkpoint(shared.groupBy("rid", "n").agg(F.count("*").alias("times")).select("rid", (prefix - F.col("times")).alias("unshared")))
     entries = _roomy(shared.withColumn("d", F.col("n")))
     for last in [False] * ROUNDS + [True]:
-        rest = _mixed(entries, links, own)
-        found.append(checkpoint(_across(rest if last else rest.where(F.col("size") <= CROWD))))
-        crowds = rest.where(F.col("size") > CROWD).select(F.col("rid").alias("u"), F.col("pivot").alias("v")).where("u <> v").distinct()
-        if last or (crowds := checkpoint(crowds)).isEmpty():
+        groups = C.small(components(links).select(F.col("node").alias("g_node"), "root"))
+        labelled = checkpoint(_label(entries, groups))
+        sizes = labelled.groupBy(F.col("key").alias("crowd")).agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"))
+        crowded = checkpoint(sizes.where((F.col("size") > CROWD) & (F.col("least") < F.col("most"))).select("crowd"))
+        found.append(checkpoint(_few_across(C.lacking(labelled, "key", crowded))))
+        if crowded.isEmpty():
+            break
+        rest = _mixed(C.having(labelled, "key", crowded), _label(own, groups))
+        if last:
+            found.append(checkpoint(_across(rest)))
+            break
+        crowds = checkpoint(rest.select(F.col("rid").alias("u"), F.col("pivot").alias("v")).where("u <> v").distinct())
+        if crowds.isEmpty():
             break
         apart = checkpoint(_differences(crowds, rows, known, times))
         links = links.union(apart.where("linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
